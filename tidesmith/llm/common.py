@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def worker_cache(name: str) -> dict:
+    """A dict of this Python worker, which serves many tasks."""
+    home = sys.modules.setdefault("tidesmith_worker_cache", types.ModuleType("tidesmith_worker_cache"))
+    return home.__dict__.setdefault(name, {})
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

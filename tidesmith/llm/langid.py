@@ -15,11 +15,11 @@ from tidesmith.llm.common import slices, table
 from tidesmith.llm.sample import remainder
 
 #: Bound of the training sample: documents of a language, bytes of its dictionary, and bytes taken of one document.
-PER_LANG, DICT_BYTES, DOC_BYTES = 120, 112_640, 4096
+PER_LANG, DICT_BYTES, DOC_BYTES = 400, 112_640, 1000
 #: Bytes of text compressed at a time, so that a dictionary counts at the end of a long text as at its start.
-BLOCK, LEVEL = 4096, 3
+BLOCK, LEVEL = 4096, 6
 #: Texts are rejected where the second smallest is less than this share larger than the smallest, and no more than so many bytes.
-MARGIN, MARGIN_BYTES = 0.01, 1
+MARGIN, MARGIN_BYTES = 0.004, 1
 _LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 
 
@@ -50,7 +50,7 @@ class Coders:
         for _, raw in dicts:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: str) -> np.ndarray:
         """Compressed bytes of the whole text under each language's dictionary."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidesmith.llm.common import keep, n_partitions, slices, table
+from tidesmith.llm.common import keep, n_partitions, slices, table, worker_cache
 
 CONTEXT, END = 4096, 1
 #: Documents of an enumerated pattern, starts tried for each length, sweeps of the least-squares fit.
@@ -55,14 +55,12 @@ class Tokenizer:
         return b"".join(map(seen.__getitem__, words))
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}  # of this Python worker, which serves many tasks
-
-
 def _pieces(path: str, context: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = Tokenizer(path)
-        tokenize = _TOKENIZERS[path]
+        tokenizers = worker_cache("tokenizers")
+        if path not in tokenizers:
+            tokenizers[path] = Tokenizer(path)
+        tokenize = tokenizers[path]
         tail = np.array([end], "<u4").tobytes()
         for part in slices(batches):
             out: list[list] = [[] for _ in range(6)]
