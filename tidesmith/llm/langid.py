@@ -18,8 +18,10 @@ from tidesmith.llm.sample import remainder
 PER_LANG, DICT_BYTES, DOC_BYTES = 400, 112_640, 1000
 #: Bytes of text compressed at a time, so that a dictionary counts at the end of a long text as at its start.
 BLOCK, LEVEL = 4096, 6
+#: Texts of so many bytes at most are encoded with each of so many parts of the dictionary.
+SHORT, PARTS = 200, 8
 #: Texts are rejected where the second smallest is less than this share larger than the smallest, and no more than so many bytes.
-MARGIN, MARGIN_BYTES = 0.004, 1
+MARGIN, MARGIN_BYTES = 0.004, 0.125
 _LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 
 
@@ -44,19 +46,27 @@ def dictionaries(docs: DataFrame) -> list[tuple[str, bytes]]:
     return [(lang, b" ".join(t)[:DICT_BYTES]) for lang, t in sorted(texts.items())]
 
 
+def _coder(raw: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 class Coders:
     def __init__(self, dicts: list[tuple[str, bytes]]):
-        self.langs, self.coders = [lang for lang, _ in dicts], []
-        for _, raw in dicts:
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.langs = [lang for lang, _ in dicts]
+        self.whole = [[_coder(raw)] for _, raw in dicts]
+        self.parts = [[_coder(raw[i * len(raw) // PARTS : (i + 1) * len(raw) // PARTS]) for i in range(PARTS)] for _, raw in dicts]
 
     def sizes(self, text: str) -> np.ndarray:
-        """Compressed bytes of the whole text under each language's dictionary."""
+        """Compressed bytes of the whole text under each language's dictionary.
+
+        A short text, whose size under one dictionary is too coarse, is encoded with each part of it, and the mean is taken.
+        """
         raw = letters(text)
+        coders = self.parts if len(raw) <= SHORT else self.whole
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.coders], float)
+        return np.array([sum(len(c.compress(b)) for b in blocks for c in own) / len(own) for own in coders], float)
 
 
 def _predict(dicts: list[tuple[str, bytes]]):
