@@ -2,5 +2,536 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidesmith.operators import graph as G
+from tidesmith.operators import pairs as P
+from tidesmith.operators import series as S
+from tidesmith.operators import text as X
+from tidesmith.streaming import news as N
+from tidesmith.sources.market import between, event_long, market_long, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def alike(sql: str) -> str:
+    """Dates as text, and no negative zero, as rounded() gives them."""
+    last = sql[sql.rfind(" SELECT ") if " SELECT " in sql else 0 :]
+    fixes = ["CAST(date AS VARCHAR) AS date"] if re.search(r"\bdate, |AS date", last) else []
+    fixes += [f"{c} + 0.0 AS {c}" for c in ("r", "rho", "value", "cov", "r1", "r2", "t") if re.search(rf"round\(.*\) AS {c}\b", last)]
+    return f"SELECT * REPLACE ({', '.join(fixes)}) FROM ({sql})" if fixes else sql
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = alike(sql)
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without negative zeros; dates as text."""
+    own = {"double": lambda c: F.round(c, digits) + F.lit(0.0), "date": lambda c: F.col(c).cast("string")}
+    return df.select(*(own.get(t, F.col)(c).alias(c) for c, t in df.dtypes))
+
+
+# --- SQL building blocks -------------------------------------------------------------------------------------------
+
+MARKET = """
+base AS (SELECT s_nationkey, n_regionkey, CAST(l_shipdate AS DATE) AS date, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s, count(*) AS c
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+market AS (
+  SELECT 'asset:N' || s_nationkey AS key, date, CAST(sum(s) AS DOUBLE) / sum(c) AS value FROM base GROUP BY ALL
+  UNION ALL SELECT 'asset:R' || n_regionkey, date, CAST(sum(s) AS DOUBLE) / sum(c) FROM base GROUP BY ALL
+  UNION ALL SELECT 'asset:MKT', date, CAST(sum(s) AS DOUBLE) / sum(c) FROM base GROUP BY ALL
+  UNION ALL SELECT 'indicator:' || o_orderpriority, CAST(o_orderdate AS DATE), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) FROM orders GROUP BY ALL)"""
+EVENTS = """
+market AS (SELECT 'asset:' || event_type AS key, CAST(ts AS DATE) AS date, avg(value) AS value FROM events GROUP BY ALL)"""
+FILLED = """
+spine AS (SELECT key, date FROM (SELECT DISTINCT key FROM market) CROSS JOIN (SELECT DISTINCT date FROM market)),
+filled AS (SELECT s.key, s.date, last_value(m.value IGNORE NULLS) OVER (PARTITION BY s.key ORDER BY s.date ROWS UNBOUNDED PRECEDING) AS value
+  FROM spine s LEFT JOIN market m ON s.key = m.key AND s.date = m.date)"""
+CHANGED = """
+prev AS (SELECT *, lag(value) OVER w AS p, row_number() OVER w AS rn FROM filled WINDOW w AS (PARTITION BY key ORDER BY date)),
+ret AS (SELECT key, date, CASE WHEN key LIKE 'asset:%' THEN CASE WHEN value / nullif(p, 0) > 0 THEN ln(value / nullif(p, 0)) END ELSE value - p END AS value
+  FROM prev WHERE rn > 1)"""
+SCALED = """
+z AS (SELECT key, date, CASE WHEN stddev_samp(value) OVER w >= 1e-10 THEN (value - avg(value) OVER w) / stddev_samp(value) OVER w END AS value
+  FROM ret WINDOW w AS (PARTITION BY key))"""
+CLIPPED = """
+bounds AS (SELECT key, v[CAST(round((len(v) - 1) * 0.01) AS INT) + 1] AS lo, v[CAST(round((len(v) - 1) * 0.99) AS INT) + 1] AS hi
+  FROM (SELECT key, list(value ORDER BY value) FILTER (value IS NOT NULL) AS v FROM z GROUP BY key)),
+w AS (SELECT z.key, date, CASE WHEN value IS NOT NULL THEN greatest(lo, least(hi, value)) END AS value FROM z JOIN bounds ON z.key = bounds.key)"""
+MONTHLY = """
+monthly AS (SELECT key, CAST(date_trunc('month', date) AS DATE) AS date, arg_max(value, date) AS value FROM market GROUP BY ALL)"""
+LAGGED = """
+dates AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM {src} WHERE value IS NOT NULL)),
+onidx AS (SELECT key, idx, value FROM {src} JOIN dates USING (date) WHERE value IS NOT NULL),
+pairs AS (SELECT a.key AS a, b.key AS b, lag, a.idx, a.value AS x, b.value AS y
+  FROM (SELECT *, idx - lag AS at FROM onidx CROSS JOIN (SELECT unnest({lags}) AS lag)) a JOIN onidx b ON a.at = b.idx
+  WHERE (lag = 0 AND a.key < b.key) OR (lag > 0 AND a.key <> b.key))"""
+R = "covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)"
+
+
+def chain(*parts: str) -> str:
+    return "WITH " + ", ".join(parts)
+
+
+def pairs_sql(src: str, lags: list[int]) -> str:
+    return LAGGED.format(src=src, lags=lags)
+
+
+def filled(spark: SparkSession, d: str) -> DataFrame:
+    return S.forward_fill(market_long(spark, d))
+
+
+def returns(spark: SparkSession, d: str) -> DataFrame:
+    return S.transform(filled(spark, d))
+
+
+def scaled(spark: SparkSession, d: str) -> DataFrame:
+    return S.winsorize(S.zscore(returns(spark, d)))
+
+
+def event_pairs(spark: SparkSession, d: str, lags: list[int]) -> DataFrame:
+    return P.lagged(S.transform(S.forward_fill(event_long(spark, d))), lags)
+
+
+EVENT_RETURNS = (EVENTS, FILLED, CHANGED)
+
+# --- scans ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND event_type <> 'view'")
+def scan_bulk_range(spark, d):
+    rows = between(table(spark, d, "events"), "ts", F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"))
+    return rows.where("event_type <> 'view'").select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_suppkey = 7 AND l_returnflag = 'R' AND l_shipdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31'")
+def scan_entity_range(spark, d):
+    rows = between(table(spark, d, "lineitem"), "l_shipdate", F.lit("1994-01-01").cast("timestamp_ntz"), F.lit("1996-12-31").cast("timestamp_ntz"))
+    return rows.where("l_suppkey = 7 and l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30")
+def latest_n(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(30).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL")
+def parametrised_sql(spark, d):
+    return spark.sql(
+        "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n FROM {rows} WHERE l_discount >= :least GROUP BY ALL",
+        args={"least": 0.05}, rows=table(spark, d, "lineitem"),
+    )
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS date, round(arg_max(value, (ts, event_id)), 9) AS value FROM events GROUP BY ALL")
+def last_per_day(spark, d):
+    e = table(spark, d, "events")
+    return rounded(e.groupBy("event_type", F.to_date("ts").alias("date")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")), 9)
+
+
+@query(chain(MARKET, MONTHLY) + " SELECT key, date, round(value, 6) AS value FROM monthly")
+def last_per_month(spark, d):
+    return rounded(S.monthly_last(market_long(spark, d)))
+
+
+@query("SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in ("click", "purchase", "view")) + " FROM events GROUP BY ALL")
+def pivot_wide(spark, d):
+    e = table(spark, d, "events")
+    return rounded(e.groupBy(F.to_date("ts").alias("date")).pivot("event_type", ["click", "purchase", "view"]).agg(F.avg("value")))
+
+
+# --- series --------------------------------------------------------------------------------------------------------
+
+
+@query(chain(MARKET, FILLED) + " SELECT key, date, round(value, 6) AS value FROM filled")
+def forward_fill(spark, d):
+    return rounded(filled(spark, d))
+
+
+@query(chain(MARKET, FILLED) + " SELECT key, count(value) AS n FROM filled GROUP BY key HAVING count(value) >= greatest(15, CAST(floor(count(*) * 0.75) AS BIGINT))")
+def min_obs_filter(spark, d):
+    return S.min_observations(filled(spark, d)).groupBy("key").agg(F.count("value").alias("n"))
+
+
+@query(chain(MARKET, FILLED) + " SELECT key, date, round(CASE WHEN value / nullif(lag(value) OVER w, 0) > 0 THEN ln(value / nullif(lag(value) OVER w, 0)) END, 6) AS value FROM filled WINDOW w AS (PARTITION BY key ORDER BY date)")
+def log_returns(spark, d):
+    return rounded(filled(spark, d).withColumn("value", S.log_return()))
+
+
+@query(chain(MARKET, FILLED) + " SELECT key, date, round(value - lag(value) OVER w, 8) AS value FROM filled WINDOW w AS (PARTITION BY key ORDER BY date)")
+def first_diff(spark, d):
+    return rounded(filled(spark, d).withColumn("value", S.difference()), 8)
+
+
+@query(chain(MARKET, FILLED) + " SELECT key, date, round((value - lag(value) OVER w) / nullif(lag(value) OVER w, 0), 6) AS value FROM filled WINDOW w AS (PARTITION BY key ORDER BY date)")
+def pct_change(spark, d):
+    return rounded(filled(spark, d).withColumn("value", S.percent_change()))
+
+
+@query(chain(MARKET, FILLED, CHANGED) + " SELECT key, date, round(value, 5) AS value FROM ret")
+def typed_transform(spark, d):
+    return rounded(returns(spark, d), 5)
+
+
+@query(chain(MARKET, FILLED, CHANGED, SCALED) + " SELECT key, date, round(value, 5) AS value FROM z")
+def zscore(spark, d):
+    return rounded(S.zscore(returns(spark, d)), 5)
+
+
+@query(chain(MARKET, FILLED, CHANGED, SCALED, CLIPPED) + " SELECT key, date, round(value, 5) AS value FROM w")
+def winsorize_nearest(spark, d):
+    return rounded(scaled(spark, d), 5)
+
+
+@query(chain(MARKET, FILLED, CHANGED) + " SELECT key, round(stddev_pop(value), 6) AS sd FROM ret GROUP BY key HAVING stddev_pop(value) >= 1e-10")
+def low_variance_filter(spark, d):
+    return rounded(P.low_variance(returns(spark, d)).groupBy("key").agg(F.stddev_pop("value").alias("sd")))
+
+
+def sectors(spark, d):
+    pairs = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return pairs.select(F.concat(F.lit("asset:N"), F.col("s_nationkey")).alias("key"), F.concat(F.lit("asset:R"), F.col("n_regionkey")).alias("sector_key")).distinct()
+
+
+@query(
+    chain(MARKET, FILLED, CHANGED, SCALED, """
+j AS (SELECT z.key, z.date, z.value AS y, m.value AS m, s.value AS s FROM z
+  JOIN (SELECT DISTINCT 'asset:N' || s_nationkey AS key, 'asset:R' || n_regionkey AS sk FROM supplier JOIN nation ON s_nationkey = n_nationkey) k ON z.key = k.key
+  LEFT JOIN z m ON m.key = 'asset:MKT' AND m.date = z.date LEFT JOIN z s ON s.key = sk AND s.date = z.date),
+f AS (SELECT key, count(*) AS n, var_pop(m) AS mm, var_pop(s) AS ss, covar_pop(m, s) AS ms, covar_pop(m, y) AS my, covar_pop(s, y) AS sy, avg(m) AS am, avg(s) AS asx, avg(y) AS ay
+  FROM j WHERE y IS NOT NULL AND m IS NOT NULL AND s IS NOT NULL GROUP BY key),
+g AS (SELECT key, n, am, asx, ay, mm * ss - ms * ms AS det,
+  CASE WHEN mm * ss - ms * ms > 1e-12 THEN (ss * my - ms * sy) / nullif(mm * ss - ms * ms, 0) ELSE my / nullif(mm, 0) END AS b1,
+  CASE WHEN mm * ss - ms * ms > 1e-12 THEN (mm * sy - ms * my) / nullif(mm * ss - ms * ms, 0) ELSE 0 END AS b2 FROM f)""")
+    + " SELECT j.key, j.date, round(CASE WHEN n < 30 THEN y ELSE y - ay - b1 * (m - am) - b2 * (s - asx) END, 4) AS value FROM j JOIN g USING (key)"
+)
+def beta_market_sector_residual(spark, d):
+    rest = S.beta_residual(S.zscore(returns(spark, d)), "asset:MKT", sectors(spark, d))
+    return rounded(rest.where("key like 'asset:N%'"), 4)
+
+
+# --- pairs -----------------------------------------------------------------------------------------------------------
+
+
+@query(chain(MARKET, FILLED, CHANGED, SCALED, pairs_sql("z", [0])) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30 AND {R} IS NOT NULL")
+def pearson_pairs_lag0(spark, d):
+    return rounded(P.correlations(P.lagged(S.zscore(returns(spark, d)), [0])), 5)
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1, 2, 3])) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10 AND {R} IS NOT NULL")
+def lagged_pairs_both_directions(spark, d):
+    return rounded(P.correlations(event_pairs(spark, d, [0, 1, 2, 3]), 10), 5)
+
+
+@query(chain(MARKET, FILLED) + " , n AS (SELECT count(DISTINCT key) AS k FROM filled), full_dates AS (SELECT date FROM filled GROUP BY date HAVING count(value) = (SELECT k FROM n)) SELECT key, date, round(value, 6) AS value FROM filled SEMI JOIN full_dates USING (date)")
+def listwise_complete_dates(spark, d):
+    return rounded(P.listwise(filled(spark, d)))
+
+
+@query("SELECT DISTINCT a.s_nationkey AS a, b.s_nationkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey < b.s_nationkey JOIN nation x ON x.n_nationkey = a.s_nationkey JOIN nation y ON y.n_nationkey = b.s_nationkey WHERE x.n_regionkey <> y.n_regionkey")
+def redundancy_filter(spark, d):
+    group = sectors(spark, d).select(F.substring("key", 8, 9).cast("int").alias("a"), F.col("sector_key").alias("ga"))
+    other = group.select(F.col("a").alias("b"), F.col("ga").alias("gb"))
+    return group.join(other, (F.col("a") < F.col("b")) & ~F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b")
+
+
+CATEGORY = "CASE WHEN key LIKE 'indicator:%' THEN CASE WHEN key LIKE 'indicator:1%' OR key LIKE 'indicator:2%' THEN 'rates' ELSE 'fred_other' END WHEN key LIKE 'asset:R%' OR key = 'asset:MKT' THEN 'index' ELSE 'equity' END"
+
+
+@query(chain(MARKET) + f" SELECT key, {CATEGORY} AS category FROM market GROUP BY key")
+def classify_entity(spark, d):
+    return market_long(spark, d).select("key").distinct().select("key", F.expr(CATEGORY).alias("category"))
+
+
+BLOCKED = [("fred_other", "index"), ("rates", "rates")]
+
+
+@query(
+    chain(MARKET, f"k AS (SELECT key, {CATEGORY} AS c FROM market GROUP BY key)")
+    + " SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON a.key < b.key WHERE (least(a.c, b.c), greatest(a.c, b.c)) NOT IN (('fred_other', 'index'), ('rates', 'rates'))"
+)
+def plausibility_gate(spark, d):
+    k = classify_entity(spark, d)
+    pairs = k.select(F.col("key").alias("a"), F.col("category").alias("ca")).join(k.select(F.col("key").alias("b"), F.col("category").alias("cb")), F.col("a") < F.col("b"))
+    blocked = F.broadcast(spark.createDataFrame(BLOCKED, "lo string, hi string"))
+    return pairs.select("a", "b", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).join(blocked, ["lo", "hi"], "left_anti").select("a", "b")
+
+
+SPEARMAN = """
+ranks AS (SELECT a, b, lag, rank() OVER (PARTITION BY a, b, lag ORDER BY x) + (count(*) OVER (PARTITION BY a, b, lag, x) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY a, b, lag ORDER BY y) + (count(*) OVER (PARTITION BY a, b, lag, y) - 1) / 2.0 AS y FROM pairs)"""
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), SPEARMAN) + f" SELECT a, b, lag, round({R}, 5) AS rho, count(*) AS n FROM ranks GROUP BY ALL")
+def spearman_pairs(spark, d):
+    return rounded(P.spearman(event_pairs(spark, d, [0, 1]), ["a", "b", "lag"]), 5)
+
+
+T = "greatest(-0.99999, least(0.99999, r)) * sqrt((n - 2) / (1 - power(greatest(-0.99999, least(0.99999, r)), 2)))"
+
+
+def tested(spark, d):
+    c = P.correlations(event_pairs(spark, d, [0, 1, 2, 3]), 10)
+    return c.withColumn("t", P.t_statistic(F.col("r"), F.col("n")))
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1, 2, 3]), f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10)") + f" SELECT a, b, lag, n, round({T}, 4) AS t FROM c WHERE r IS NOT NULL")
+def t_statistic(spark, d):
+    return rounded(tested(spark, d).select("a", "b", "lag", "n", "t"), 4)
+
+
+@query()
+def p_value_two_sided(spark, d):
+    return rounded(P.p_values(tested(spark, d)))
+
+
+@query(
+    "WITH p AS (SELECT o_orderkey AS k, (o_orderkey * 7919 % 10007) / 10007.0 * ((o_custkey % 13 + 1) / 13.0) AS p FROM orders), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rk, count(*) OVER () AS m FROM p), "
+    "a AS (SELECT k, least(1.0, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adjusted_p FROM r) SELECT k, round(adjusted_p, 6) AS adjusted_p FROM a WHERE adjusted_p <= 0.6"
+)
+def bh_fdr(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr("(o_orderkey * 7919 % 10007) / 10007.0D * ((o_custkey % 13 + 1) / 13.0D)").alias("p"))
+    return rounded(P.false_discovery(p, ["k"], 0.6).select("k", "adjusted_p"))
+
+
+HALVES = """
+h AS (SELECT a, b, lag, CASE WHEN idx - (SELECT min(idx) FROM pairs) < (SELECT count(DISTINCT idx) // 2 FROM pairs) THEN 1 ELSE 2 END AS part, x, y FROM pairs),
+q AS (SELECT a, b, lag, part, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM h GROUP BY ALL HAVING count(*) >= 10),
+twice AS (SELECT a, b, lag, max(r) FILTER (part = 1) AS r1, max(r) FILTER (part = 2) AS r2 FROM q GROUP BY ALL)"""
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), HALVES) + " SELECT a, b, lag, round(r1, 5) AS r1, round(r2, 5) AS r2, round(least(abs(r1), abs(r2)), 5) AS stability FROM twice WHERE abs(r1) >= 0.001 AND abs(r2) >= 0.001")
+def split_half_stability(spark, d):
+    return rounded(P.split_half(event_pairs(spark, d, [0, 1]), 0.001, 10), 5)
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), HALVES) + " SELECT a, b, lag, (r1 > 0) = (r2 > 0) AS consistent FROM twice WHERE r1 IS NOT NULL AND r2 IS NOT NULL")
+def sign_consistent(spark, d):
+    return P.split_half(event_pairs(spark, d, [0, 1]), 0.0, 10).select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
+
+
+# --- monthly, partial ------------------------------------------------------------------------------------------------
+
+MONTHLY_RETURNS = """
+mp AS (SELECT key, date, value, lag(value) OVER w AS p, row_number() OVER w AS rn FROM monthly WINDOW w AS (PARTITION BY key ORDER BY date)),
+ret AS (SELECT key, date, CASE WHEN key LIKE 'asset:%' THEN CASE WHEN value / nullif(p, 0) > 0 THEN ln(value / nullif(p, 0)) END ELSE value - p END AS value FROM mp WHERE rn > 1)"""
+
+
+def monthly(spark, d):
+    return S.transform(S.monthly_last(market_long(spark, d)))
+
+
+@query(chain(MARKET, MONTHLY, MONTHLY_RETURNS) + " SELECT key, date, round(value, 6) AS value FROM ret WHERE key LIKE 'asset:%'")
+def monthly_log_returns(spark, d):
+    return rounded(monthly(spark, d).where("key like 'asset:%'"))
+
+
+@query(chain(MARKET, MONTHLY, MONTHLY_RETURNS) + " SELECT key, date, round(value, 5) AS value FROM ret WHERE key LIKE 'indicator:%'")
+def monthly_indicator_diff(spark, d):
+    return rounded(monthly(spark, d).where("key like 'indicator:%'"), 5)
+
+
+def monthly_pairs(spark, d):
+    m = monthly(spark, d).where("value is not null")
+    a = m.where("key like 'asset:%'").select("date", F.col("key").alias("a"), F.col("value").alias("x"))
+    return a.join(m.where("key like 'indicator:%'").select("date", F.col("key").alias("b"), F.col("value").alias("y")), "date")
+
+
+MP = "pairs AS (SELECT a.date, a.key AS a, b.key AS b, 0 AS lag, a.value AS x, b.value AS y FROM ret a JOIN ret b ON a.date = b.date WHERE a.key LIKE 'asset:%' AND b.key LIKE 'indicator:%' AND a.value IS NOT NULL AND b.value IS NOT NULL)"
+
+
+@query(chain(MARKET, MONTHLY, MONTHLY_RETURNS, MP) + " SELECT a, b, count(*) AS n, round(sum(x), 5) AS sx FROM pairs GROUP BY ALL")
+def monthly_join(spark, d):
+    return rounded(monthly_pairs(spark, d).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("sx")), 5)
+
+
+@query(chain(MARKET, MONTHLY, MONTHLY_RETURNS, MP, SPEARMAN) + f" SELECT a, b, round({R}, 5) AS rho, count(*) AS n FROM ranks GROUP BY a, b HAVING count(*) >= 10")
+def monthly_spearman(spark, d):
+    return rounded(P.spearman(monthly_pairs(spark, d), ["a", "b"]).where("n >= 10"), 5)
+
+
+@query()
+def bootstrap_ci(spark, d):
+    rows = P.indexed(monthly_pairs(spark, d)).where("a in ('asset:MKT', 'asset:R0', 'asset:R1')")
+    return rounded(P.bootstrap(rows.select("a", "b", "idx", "x", "y"), ["a", "b"]))
+
+
+@query(chain(*EVENT_RETURNS) + " SELECT a.key AS a, b.key AS b, round(covar_pop(a.value, b.value), 6) AS cov FROM ret a JOIN ret b ON a.date = b.date AND a.key <= b.key GROUP BY ALL")
+def covariance_matrix(spark, d):
+    r = S.transform(S.forward_fill(event_long(spark, d)))
+    x, y = (r.select("date", F.col("key").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return rounded(x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("cov")))
+
+
+@query(chain(*EVENT_RETURNS) + ", c AS (SELECT covar_pop(a.value, b.value) AS v FROM ret a JOIN ret b ON a.date = b.date AND a.key < b.key GROUP BY a.key, b.key) SELECT round(max(abs(v)), 6) AS alpha_max FROM c")
+def alpha_max(spark, d):
+    return rounded(event_pairs(spark, d, [0]).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("v")).agg(F.max(F.abs("v")).alias("alpha_max")))
+
+
+@query()
+def glasso_ebic_pairs(spark, d):
+    return rounded(P.partial_correlations(P.listwise(S.zscore(S.transform(S.forward_fill(event_long(spark, d)))))), 5)
+
+
+# --- graph and status --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT n_nationkey AS id, n_regionkey AS other, 'BELONGS_TO' AS rel_type FROM nation UNION SELECT n_regionkey + 1000, n_nationkey, 'HOLDS' FROM nation WHERE n_regionkey + 1000 < 0 UNION SELECT DISTINCT n_regionkey, n_nationkey, 'BELONGS_TO' FROM nation")
+def adjacency_union(spark, d):
+    return G.adjacency(table(spark, d, "nation").select(F.col("n_nationkey").alias("from_id"), F.col("n_regionkey").alias("to_id"), F.lit("BELONGS_TO").alias("rel_type")))
+
+
+@query("SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id, 'BUYS_FROM' AS rel_type FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND o_custkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def edge_upsert_endpoint_check(spark, d):
+    rels = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id"), F.lit("BUYS_FROM").alias("rel_type"))
+    return G.edges_between(rels, table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id")))
+
+
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_totalprice * 2 ELSE a.o_totalprice END AS value, CASE WHEN a.o_orderkey IS NULL THEN 'new' ELSE a.o_orderstatus END AS unit FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b ON a.o_orderkey = b.o_orderkey")
+def upsert_facts(spark, d):
+    o = table(spark, d, "orders")
+    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_totalprice").alias("value"), F.col("o_orderstatus").alias("unit"))
+    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("value"), F.lit("new").alias("unit"))
+    return G.upsert(old, new, ["o_orderkey"], ["value"])
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'candidate' ELSE 'pending_verification' END AS status FROM labels")
+def verdict_writeback(spark, d):
+    verdict = F.when(F.col("toxic") == 1, "spurious").when(F.col("quality") == 1, "plausible").otherwise("uncertain")
+    return table(spark, d, "labels").select("doc_id", G.verdict_status(verdict).alias("status"))
+
+
+@query("SELECT quality, toxic, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM labels GROUP BY ALL")
+def verdict_distribution(spark, d):
+    n = table(spark, d, "labels").groupBy("quality", "toxic").count()
+    total = n.agg(F.sum("count").alias("total"))
+    return n.join(F.broadcast(total)).select("quality", "toxic", F.col("count").alias("n"), F.round(F.col("count") * 100.0 / F.col("total"), 4).alias("percent"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN false WHEN event_type = 'view' THEN true ELSE value < 0.65 END AS review FROM events")
+def review_routing(spark, d):
+    v = F.when(F.col("event_type") == "click", "confirmed_real").when(F.col("event_type") == "view", "uncertain").otherwise("likely_real")
+    return table(spark, d, "events").select("event_id", G.needs_review(v, F.col("value")).alias("review"))
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10)") + " SELECT a, b, lag, n, round(round(abs(r), 6), 5) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
+def candidate_build(spark, d):
+    built, _ = G.candidates(P.correlations(event_pairs(spark, d, [0, 1]), 10).withColumn("p", F.lit(0.0)))
+    return built.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def dedup_keep_first(spark, d):
+    return G.first_of(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_extendedprice >= 40000 THEN 'active' ELSE 'pending_verification' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def merge_passes_keep_strongest(spark, d):
+    best = G.first_of(table(spark, d, "lineitem").withColumn("neg", -F.col("l_extendedprice")), ["l_orderkey"], ["neg", "l_linenumber"])
+    return best.select("l_orderkey", "l_linenumber", "l_extendedprice", F.when(F.col("l_extendedprice") >= 40000, "active").otherwise("pending_verification").alias("status"))
+
+
+@query("(SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000) UNION SELECT s_suppkey FROM supplier INTERSECT SELECT ps FROM (SELECT DISTINCT l_suppkey AS ps FROM lineitem WHERE l_quantity > 45)")
+def pass_sets(spark, d):
+    t = lambda n, c, w="true": table(spark, d, n).where(w).select(F.col(c).alias("id"))
+    left = t("customer", "c_custkey").subtract(t("orders", "o_custkey", "o_totalprice > 100000"))
+    return left.union(t("supplier", "s_suppkey").intersect(t("lineitem", "l_suppkey", "l_quantity > 45"))).distinct()
+
+
+# --- text ----------------------------------------------------------------------------------------------------------------
+
+
+def _html_sql() -> str:
+    x = r"regexp_replace(regexp_replace(html, '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g'), '<[^>]+>', '', 'g')"
+    for entity, char in X.ENTITIES:
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"SELECT page_id, trim(regexp_replace({x}, '[\\s ]+', ' ', 'g')) AS text FROM pages"
+
+
+@query(_html_sql())
+def html_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 20 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def article_admit(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("feed"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("url"), "doc_id")
+    known = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("url"))
+    return X.admit(docs, known).select(F.col("feed").alias("source"), "doc_id")
+
+
+NAMES = ["Idiot", "License", "Apache", "Und", "Que"]
+
+
+@query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}0-9]+')) AS word FROM documents) SELECT doc_id, name FROM w JOIN (SELECT unnest(['Idiot', 'License', 'Apache', 'Und', 'Que']) AS name) ON word = lower(name)")
+def mention_match(spark, d):
+    return X.mentions(table(spark, d, "documents"), spark.createDataFrame([(n,) for n in NAMES], "name string"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'apache license') OR contains(lower(text), 'apache') OR contains(lower(text), 'license') AS grounded FROM documents")
+def hallucination_filter(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.grounded(F.col("text"), F.lit("Apache License"), ["group", "company"]).alias("grounded"))
+
+
+@query(
+    "WITH b AS (SELECT l_linenumber AS a, count(*) AS c FROM lineitem GROUP BY ALL) SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.r, o.r) AS r, "
+    "CASE WHEN o.verdict IS NOT NULL THEN o.status WHEN n.o_orderkey IS NOT NULL THEN 'candidate' ELSE o.status END AS status, o.verdict FROM "
+    "(SELECT o_orderkey, o_totalprice AS r, CASE WHEN o_orderstatus = 'F' THEN 'candidate' ELSE 'active' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'plausible' END AS verdict FROM orders "
+    "WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 5 <> 0)) o FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS r FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"
+)
+def replace_candidates(spark, d):
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "candidate").otherwise("active").alias("status")
+    old = o.select("o_orderkey", F.col("o_totalprice").alias("r"), status, F.when(F.col("o_orderkey") % 5 == 0, "plausible").alias("verdict"), F.lit(63).alias("window_days"))
+    return G.replace_candidates(old, o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("r")), ["o_orderkey"], 63)
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN n_name ELSE upper(n_name) END AS name, CASE WHEN n_regionkey = 1 THEN NULL ELSE CAST(n_regionkey AS VARCHAR) END AS region FROM nation")
+def node_upsert(spark, d):
+    n = table(spark, d, "nation")
+    old = n.select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string")).alias("props"))
+    gone = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("region"), F.lit(None).cast("string")).alias("props"))
+    new = n.where("n_regionkey <> 1").select(F.col("n_nationkey").alias("id"), F.create_map(F.lit("name"), F.upper("n_name")).alias("props"))
+    return G.overlay(old, new.union(gone), ["id"]).select("id", F.col("props")["name"].alias("name"), F.col("props")["region"].alias("region"))
+
+
+@query("SELECT key, min(pos) AS pos FROM (SELECT n_name AS key, n_nationkey AS pos FROM nation UNION ALL SELECT r_name, r_regionkey + 100 FROM region UNION ALL SELECT n_name, n_nationkey + 200 FROM nation) GROUP BY key")
+def registry_union_distinct(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    part = lambda t, k, p, base: t.select(F.col(k).alias("key"), (F.col(p) + base).alias("pos"))
+    return part(n, "n_name", "n_nationkey", 0).union(part(r, "r_name", "r_regionkey", 100)).union(part(n, "n_name", "n_nationkey", 200)).groupBy("key").agg(F.min("pos").alias("pos"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND NOT (o_orderpriority = '1-URGENT' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
+def relationship_rules(spark, d):
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "Commodity").otherwise("Company").alias("entity_type")
+    entities = table(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit(" C"), F.col("c_custkey")).alias("name"), kind)
+    rel = F.when(F.col("o_orderpriority") == "1-URGENT", "SUPPLIES_TO").otherwise("COMPETES_WITH").alias("relationship_type")
+    name = F.concat(F.lit("c"), F.col("o_custkey"))
+    rels = table(spark, d, "orders").select("o_orderkey", "o_custkey", name.alias("subject"), name.alias("object"), rel)
+    return X.relationships(rels, entities).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT user_id, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
+def news_stream_dedup(spark, d):
+    """All of events through a stream that keeps each id once; what it wrote is then counted."""
+    source = table(spark, d, "events")
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    rows = N.read_stream(spark, f"{d}/events.parquet*", source).withColumn("ts", F.col("ts").cast("timestamp"))
+    N.run_available(N.dedup_stream(rows, "event_id", "ts", "400 days"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").groupBy("user_id", "event_type").agg(F.countDistinct("event_id").alias("n"))
