@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidesmith.operators.series import BY_KEY
+from tidesmith.operators.series import by_key
 
 
 def pearson(x: str, y: str) -> Column:
@@ -115,7 +115,7 @@ def split_half(rows: DataFrame, least_r: float = 0.4, least_n: int = 20) -> Data
 
 
 def low_variance(df: DataFrame, least: float = 1e-10) -> DataFrame:
-    return df.withColumn("sd", F.stddev_pop("value").over(BY_KEY)).where(F.col("sd") >= least).drop("sd")
+    return df.withColumn("sd", F.stddev_pop("value").over(by_key())).where(F.col("sd") >= least).drop("sd")
 
 
 def bootstrap(rows: DataFrame, by: list[str], resamples: int = 1000, seed: int = 42) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("key").orderBy("date")
-BY_KEY = Window.partitionBy("key")
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("key").orderBy("date")
+
+
+def by_key() -> WindowSpec:
+    return Window.partitionBy("key")
 
 
 def spine(df: DataFrame) -> DataFrame:
@@ -15,18 +20,18 @@ def spine(df: DataFrame) -> DataFrame:
 
 
 def forward_fill(df: DataFrame) -> DataFrame:
-    last = F.last("value", ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("value", ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     return spine(df).withColumn("value", last)
 
 
 def min_observations(df: DataFrame, share: float = 0.75, least: int = 15) -> DataFrame:
     """Series with values on at least max(least, int(dates * share)) dates of the filled spine."""
-    n, dates = F.count("value").over(BY_KEY), F.count("*").over(BY_KEY)
+    n, dates = F.count("value").over(by_key()), F.count("*").over(by_key())
     return df.withColumn("n", n).withColumn("dates", dates).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("dates") * share))).drop("n", "dates")
 
 
 def previous() -> Column:
-    return F.lag("value").over(BY_DATE)
+    return F.lag("value").over(by_date())
 
 
 def log_return() -> Column:
@@ -47,13 +52,13 @@ def transform(df: DataFrame, volatile: tuple[str, ...] = ()) -> DataFrame:
     kind = F.when(F.col("key").isin(*volatile), percent_change()) if volatile else None
     usual = F.when(F.col("key").startswith("asset:"), log_return()).otherwise(difference())
     change = usual if kind is None else F.when(F.col("key").isin(*volatile), percent_change()).otherwise(usual)
-    return df.select("key", "date", change.alias("value"), F.row_number().over(BY_DATE).alias("row")).where("row > 1").drop("row")
+    return df.select("key", "date", change.alias("value"), F.row_number().over(by_date()).alias("row")).where("row > 1").drop("row")
 
 
 def zscore(df: DataFrame) -> DataFrame:
     """Null where the sample deviation is below 1e-10."""
-    sd = F.stddev_samp("value").over(BY_KEY)
-    return df.withColumn("value", F.when(sd >= 1e-10, (F.col("value") - F.avg("value").over(BY_KEY)) / sd))
+    sd = F.stddev_samp("value").over(by_key())
+    return df.withColumn("value", F.when(sd >= 1e-10, (F.col("value") - F.avg("value").over(by_key())) / sd))
 
 
 def quantile_nearest(q: float) -> Column:
