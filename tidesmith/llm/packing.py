@@ -47,7 +47,7 @@ class Tokenizer:
             return self._raw(text)
         words, seen = text.lower().split(), self.seen
         new = [w for w in dict.fromkeys(words) if w not in seen]
-        if len(seen) + len(new) > 400_000:
+        if len(seen) + len(new) > 800_000:
             seen.clear()
             new = list(dict.fromkeys(words))
         for word, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
