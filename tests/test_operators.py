@@ -68,6 +68,24 @@ def test_glasso_drops_the_confounded_edge(spark):
     assert np.allclose(theta, theta.T) and abs(theta[1, 2]) < min(abs(theta[0, 1]), abs(theta[0, 2]))
 
 
+def test_bootstrap_is_that_of_numpy(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(20, 2))
+    rows = [("p", i, *map(float, x[i])) for i in range(20)] + [("q", i, 1.0 * i, 2.0 * i) for i in range(5)]
+    got = {r["a"]: r for r in P.bootstrap(spark.createDataFrame(rows[::-1], "a string, idx int, x double, y double"), ["a"]).collect()}
+    r = [np.corrcoef(*x[at].argsort(0).argsort(0).T)[0, 1] for at in np.random.default_rng(42).integers(0, 20, (1000, 20))]
+    assert [got["p"]["low"], got["p"]["high"]] == pytest.approx(list(np.percentile(r, [2.5, 97.5])))
+    assert got["p"]["n"] == 20 and (got["q"]["n"], got["q"]["low"], got["q"]["high"]) == (5, None, None)
+
+
+def test_bootstrap_has_every_monthly_pair(spark):
+    from tidesmith.plans.catalogue import QUERIES
+
+    pairs = lambda name: {(r["a"], r["b"], r["n"]) for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    assert pairs("bootstrap_ci") == pairs("monthly_join")
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b")], "k int, v double, u string")
     new = spark.createDataFrame([(2, 9.0, "x"), (3, 3.0, "y")], "k int, v double, u string")

@@ -366,7 +366,7 @@ def monthly_spearman(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    rows = P.indexed(monthly_pairs(spark, d)).where("a in ('asset:MKT', 'asset:R0', 'asset:R1')")
+    rows = P.indexed(monthly_pairs(spark, d))
     return rounded(P.bootstrap(rows.select("a", "b", "idx", "x", "y"), ["a", "b"]))
 
 
