@@ -86,6 +86,25 @@ def test_bootstrap_has_every_monthly_pair(spark):
     assert pairs("bootstrap_ci") == pairs("monthly_join")
 
 
+def test_lags_by_kind(spark):
+    df = spark.range(70).select(F.explode(F.array(*map(F.lit, ["asset:A", "asset:B", "indicator:X"]))).alias("key"), F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("date"), F.rand(1).alias("value"))
+    n = {(r["a"], r["b"], r["lag"]): r["count"] for r in P.lagged_by_kind(df).groupBy("a", "b", "lag").count().collect()}
+    want = {("asset:A", "asset:B", 0), ("asset:A", "indicator:X", 0), ("asset:B", "indicator:X", 0)}
+    want |= {(a, b, k) for a, b in (("asset:A", "asset:B"), ("asset:B", "asset:A")) for k in (1, 2, 3, 5, 10)}
+    want |= {p for a in ("asset:A", "asset:B") for k in (1, 2, 3, 5, 10, 21, 63) for p in ((a, "indicator:X", k), ("indicator:X", a, k))}
+    assert set(n) == want and all(v == 70 - k for (_, _, k), v in n.items())
+
+
+def test_lagged_links_of_market_series(spark):
+    from tidesmith.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["p_value_two_sided"](spark, d).collect()
+    keys = {r["key"] for r in QUERIES["min_obs_filter"](spark, d).collect()}
+    assert {r["a"] for r in got} >= keys and {r["lag"] for r in got} == {0, 1, 2, 3, 5, 10, 21, 63} and min(r["n"] for r in got) >= 30
+    assert {r["a"] for r in QUERIES["market_covariance_matrix"](spark, d).collect()} >= keys
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b")], "k int, v double, u string")
     new = spark.createDataFrame([(2, 9.0, "x"), (3, 3.0, "y")], "k int, v double, u string")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tidesmith.operators.series import by_key
 
 
+#: Lags of pairs of assets, and of pairs with an indicator.
+LAGS, MACRO_LAGS = [0, 1, 2, 3, 5, 10], [0, 1, 2, 3, 5, 10, 21, 63]
+
+
 def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
@@ -33,6 +37,12 @@ def lagged(df: DataFrame, lags: list[int]) -> DataFrame:
     return left.join(right, "at").where("(lag = 0 and a < b) or (lag > 0 and a <> b)").select("a", "b", "lag", "idx", "x", "y")
 
 
+def lagged_by_kind(df: DataFrame) -> DataFrame:
+    """lagged, at MACRO_LAGS where an indicator takes part and at LAGS elsewhere."""
+    macro = F.col("a").startswith("indicator:") | F.col("b").startswith("indicator:")
+    return lagged(df, MACRO_LAGS).where(F.col("lag").isin(LAGS) | macro)
+
+
 def correlations(rows: DataFrame, least: int = 30) -> DataFrame:
     """(a, b, lag, r, n) of pairs with at least so many common rows and some variance."""
     return rows.groupBy("a", "b", "lag").agg(pearson("x", "y").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull())

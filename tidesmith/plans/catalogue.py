@@ -108,6 +108,15 @@ def event_pairs(spark: SparkSession, d: str, lags: list[int]) -> DataFrame:
 
 EVENT_RETURNS = (EVENTS, FILLED, CHANGED)
 
+
+def market_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return P.lagged_by_kind(S.zscore(returns(spark, d)))
+
+
+MARKET_PAIRS = (MARKET, FILLED, CHANGED, SCALED, """
+every AS (SELECT * FROM (""" + chain(pairs_sql("z", P.MACRO_LAGS)) + """ SELECT * FROM pairs)),
+pairs AS (SELECT * FROM every WHERE lag NOT IN (21, 63) OR a LIKE 'indicator:%' OR b LIKE 'indicator:%')""")
+
 # --- scans ---------------------------------------------------------------------------------------------------------
 
 
@@ -236,6 +245,11 @@ def lagged_pairs_both_directions(spark, d):
     return rounded(P.correlations(event_pairs(spark, d, [0, 1, 2, 3]), 10), 5)
 
 
+@query(chain(*MARKET_PAIRS) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30 AND {R} IS NOT NULL")
+def market_lagged_pairs(spark, d):
+    return rounded(P.correlations(market_pairs(spark, d)), 5)
+
+
 @query(chain(MARKET, FILLED) + " , n AS (SELECT count(DISTINCT key) AS k FROM filled), full_dates AS (SELECT date FROM filled GROUP BY date HAVING count(value) = (SELECT k FROM n)) SELECT key, date, round(value, 6) AS value FROM filled SEMI JOIN full_dates USING (date)")
 def listwise_complete_dates(spark, d):
     return rounded(P.listwise(filled(spark, d)))
@@ -280,6 +294,11 @@ def spearman_pairs(spark, d):
     return rounded(P.spearman(event_pairs(spark, d, [0, 1]), ["a", "b", "lag"]), 5)
 
 
+@query(chain(*MARKET_PAIRS, SPEARMAN) + f" SELECT a, b, lag, round({R}, 5) AS rho, count(*) AS n FROM ranks GROUP BY ALL")
+def market_spearman_pairs(spark, d):
+    return rounded(P.spearman(market_pairs(spark, d), ["a", "b", "lag"]), 5)
+
+
 T = "greatest(-0.99999, least(0.99999, r)) * sqrt((n - 2) / (1 - power(greatest(-0.99999, least(0.99999, r)), 2)))"
 
 
@@ -293,9 +312,18 @@ def t_statistic(spark, d):
     return rounded(tested(spark, d).select("a", "b", "lag", "n", "t"), 4)
 
 
+def market_tested(spark, d):
+    return P.correlations(market_pairs(spark, d)).withColumn("t", P.t_statistic(F.col("r"), F.col("n")))
+
+
+@query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)") + f" SELECT a, b, lag, n, round({T}, 4) AS t FROM c WHERE r IS NOT NULL")
+def market_t_statistic(spark, d):
+    return rounded(market_tested(spark, d).select("a", "b", "lag", "n", "t"), 4)
+
+
 @query()
 def p_value_two_sided(spark, d):
-    return rounded(P.p_values(tested(spark, d)))
+    return rounded(P.p_values(market_tested(spark, d)))
 
 
 @query(
@@ -324,6 +352,19 @@ def sign_consistent(spark, d):
     return P.split_half(event_pairs(spark, d, [0, 1]), 0.0, 10).select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
 
 
+MARKET_HALVES = HALVES.replace("count(*) >= 10", "count(*) >= 20")
+
+
+@query(chain(*MARKET_PAIRS, MARKET_HALVES) + " SELECT a, b, lag, round(r1, 5) AS r1, round(r2, 5) AS r2, round(least(abs(r1), abs(r2)), 5) AS stability FROM twice WHERE abs(r1) >= 0.4 AND abs(r2) >= 0.4")
+def market_split_half_stability(spark, d):
+    return rounded(P.split_half(market_pairs(spark, d)), 5)
+
+
+@query(chain(*MARKET_PAIRS, MARKET_HALVES) + " SELECT a, b, lag, (r1 > 0) = (r2 > 0) AS consistent FROM twice WHERE r1 IS NOT NULL AND r2 IS NOT NULL")
+def market_sign_consistent(spark, d):
+    return P.split_half(market_pairs(spark, d), 0.0).select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
+
+
 # --- monthly, partial ------------------------------------------------------------------------------------------------
 
 MONTHLY_RETURNS = """
@@ -382,9 +423,33 @@ def alpha_max(spark, d):
     return rounded(event_pairs(spark, d, [0]).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("v")).agg(F.max(F.abs("v")).alias("alpha_max")))
 
 
+LISTWISE = (MARKET, FILLED, CHANGED, SCALED, """
+rows AS (SELECT * FROM z SEMI JOIN (SELECT date FROM z GROUP BY date HAVING count(value) = (SELECT count(DISTINCT key) FROM z)) USING (date)),
+cov AS (SELECT a.key AS a, b.key AS b, covar_pop(a.value, b.value) AS cov FROM rows a JOIN rows b ON a.date = b.date AND a.key <= b.key GROUP BY ALL)""")
+
+
+def complete(spark, d):
+    return P.listwise(S.zscore(returns(spark, d)))
+
+
+def market_covariances(spark, d):
+    x, y = (complete(spark, d).select("date", F.col("key").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("cov"))
+
+
+@query(chain(*LISTWISE) + " SELECT a, b, round(cov, 6) AS cov FROM cov")
+def market_covariance_matrix(spark, d):
+    return rounded(market_covariances(spark, d))
+
+
+@query(chain(*LISTWISE) + " SELECT round(max(abs(cov)), 6) AS alpha_max FROM cov WHERE a < b")
+def market_alpha_max(spark, d):
+    return rounded(market_covariances(spark, d).where("a < b").agg(F.max(F.abs("cov")).alias("alpha_max")))
+
+
 @query()
 def glasso_ebic_pairs(spark, d):
-    return rounded(P.partial_correlations(P.listwise(S.zscore(S.transform(S.forward_fill(event_long(spark, d)))))), 5)
+    return rounded(P.partial_correlations(complete(spark, d)), 5)
 
 
 # --- graph and status --------------------------------------------------------------------------------------------------
@@ -434,6 +499,12 @@ def candidate_build(spark, d):
     return built.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
 
 
+@query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)") + " SELECT a, b, lag, n, round(round(abs(r), 6), 5) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
+def market_candidate_build(spark, d):
+    built, _ = G.candidates(P.p_values(market_tested(spark, d)))
+    return built.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
+
+
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
 def dedup_keep_first(spark, d):
     return G.first_of(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
