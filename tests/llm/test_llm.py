@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidesmith.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, suffixdedup, topk, toxicity
 
@@ -65,6 +66,24 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 50])
+def test_a_pair_in_one_wide_bucket_is_linked(spark, monkeypatch, block):
+    """Two near copies meet in one bucket only, with 600 other texts, and far apart in the order of the sketches."""
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng, n = np.random.default_rng(5), 600
+    sketches = rng.integers(0, 256, (n, 6, 8), dtype=np.uint8)
+    sketches[400] = sketches[300]
+    sketches[:, :, 7] = np.arange(n)[:, None] * 7 % 200 + 28 & 255
+    sketches[300, :, 7], sketches[400, :, 7] = 200, 60
+    base = words(80, 900).split()
+    text = {300: " ".join(base), 400: " ".join(base[:-1])}
+    rows = [(i, text.get(i) or words(20, i), s) for i, s in enumerate(sketches.reshape(n, 48).view("<i8").tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sketch array<long>")
+    buckets = df.select(F.lit(1).cast("long").alias("bucket"), "doc_id", "sketch")
+    roots = neardup.classes(buckets, df.select("doc_id", "text"), np.ones(1 << neardup.IDF_BITS, np.float32))
+    assert {r["doc_id"]: r["root"] for r in roots.collect()} == {i: 300 if i == 400 else i for i in range(n)}
+
+
 def test_decontamination(spark):
     item = words(14, 5)
     texts = [f"x {item} y", " ".join(item.split()[:10]) + " end", " ".join(item.split()[:9]), None, "", "short Item"]

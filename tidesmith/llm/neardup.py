@@ -17,14 +17,14 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Buckets of the word frequencies; entries of the pool of random numbers.
 IDF_BITS, POOL_BITS = 16, 16
-#: Samples of BANDS * ROWS that must agree in a byte before texts are compared: at similarity 0.8 fewer agree with probability below 0.0002.
+#: Samples of BANDS * ROWS that must agree in a byte before texts are compared: at similarity 0.8 fewer agree with probability 0.0005.
 AGREE = 29
 #: Partners of a document in the first round, which later rounds do not depend on.
 NEAREST = 2
 #: Members of a bucket that the second round compares with its others; each further round takes GROWTH times as many.
 HEADS, GROWTH = 32, 32
-#: Members outside the largest component of a bucket above which it is split by a second band.
-WIDE = 512
+#: Members and heads of a bucket that one task compares at once.
+BLOCK = 1024
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -218,29 +218,27 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     return best.withColumn("place", place).where(F.col("place") <= NEAREST).select("a", "b").distinct()
 
 
-def _split(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """members of open buckets, where buckets with more than WIDE members outside their largest component give way to those of two bands.
+def _met(members: DataFrame, own: DataFrame) -> DataFrame:
+    """members with the heads (own) of their bucket, in cells of about BLOCK members and BLOCK heads.
 
-    A passage that many texts hold puts those whose samples of a band all fall into it into one wide bucket, far from similar to each other.
-    Two texts of similarity 0.8 share two of the 12 bands or more with probability 0.983, ones of 0.4 with 0.04. Groups
-    of near copies are one component after the first round and stay as they are.
+    Both sides of a bucket are dealt by a hash, and every block of one meets every block of the other: no pair is left out, and
+    a task never holds more of a wide bucket than a cell. Buckets of up to BLOCK members are one cell.
     """
-    hard = members.where("root <> big").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("bucket")
-    if not hard.head(1):
-        return members
-    wide = members.join(hard, "bucket", "left_semi").join(bands, "doc_id")
-    two = wide.select("*", F.explode(F.array_remove("bands", F.col("bucket"))).alias("other"))
-    key = F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("key")
-    two = keep(two.select("doc_id", "sketch", "root", "done", key).dropDuplicates(["doc_id", "key"]))
-    shared = two.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    two = two.join(shared.select("key"), "key").select(F.col("key").alias("bucket"), "doc_id", "sketch", "root", "done")
-    return members.join(hard, "bucket", "left_anti").drop("big").unionByName(two)
-
-
-def classes(buckets: DataFrame, bands: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
+    n = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    heads = own.groupBy("bucket").agg(F.count("*").alias("h"))
+    wide = n.join(heads, "bucket").select("bucket", F.ceil(F.col("n") / BLOCK).alias("across"), F.ceil(F.col("h") / BLOCK).alias("down"))
+    wide = F.broadcast(keep(wide))
+    across, down = (F.coalesce(c, F.lit(1)) for c in ("across", "down"))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    left = members.join(wide, "bucket", "left").withColumn("i", F.pmod(F.xxhash64("doc_id"), across)).withColumn("j", every(down)).drop("across", "down")
+    right = own.join(wide, "bucket", "left").withColumn("j", F.pmod(F.xxhash64("head"), down)).withColumn("i", every(across)).drop("across", "down")
+    return left.join(right.hint("shuffle_hash"), ["bucket", "i", "j"])
+
+
+def classes(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
     """(doc_id, root): of each document in a bucket, the smallest doc_id of the component that verified links give.
 
-    buckets: (bucket, doc_id, sketch), bands: (doc_id, bands), texts: (doc_id, text). Texts are compared where sketches agree in AGREE samples.
+    buckets: (bucket, doc_id, sketch), texts: (doc_id, text). Texts are compared where sketches agree in AGREE samples.
     The first round compares each document with a few neighbours, which joins groups of near copies. In each further one the first few members
     outside the largest component of their bucket (HEADS, then GROWTH times as many, ...) meet all members of other components; links
     found anywhere join components everywhere. A bucket is done when it lies in one component, or when every member outside
@@ -260,14 +258,12 @@ def classes(buckets: DataFrame, bands: DataFrame, texts: DataFrame, idf: np.ndar
             roots = keep(roots.join(moved, "root", "left").select("doc_id", to))
             members = members.join(moved, "root", "left").select("bucket", "doc_id", "sketch", to, "done")
         members = _open(members)
-        if heads == HEADS:
-            members = _open(_split(members, bands))
         place = Window.partitionBy("bucket").orderBy("doc_id")
         own = members.where("root <> big and not done").withColumn("place", F.row_number().over(place)).where(F.col("place") <= heads)
         own = keep(own.select("bucket", F.col("doc_id").alias("head"), F.col("root").alias("head_root"), F.col("sketch").alias("head_sketch")))
         if not own.head(1):
             return roots
-        met = members.join(own, "bucket").where("root <> head_root and (not done or doc_id < head)").where(agreeing("sketch", "head_sketch") >= AGREE)
+        met = _met(members, own).where("root <> head_root and (not done or doc_id < head)").where(agreeing("sketch", "head_sketch") >= AGREE)
         pairs = met.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
         new = _verified(pairs.join(known, ["a", "b"], "left_anti"), texts, idf)
         was = own.select("bucket", F.col("head").alias("doc_id"), F.lit(True).alias("compared"))
@@ -297,8 +293,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     every = same.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc_id"), "sketch").dropDuplicates(["bucket", "doc_id"])
     buckets = keep(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"))
     texts = keep(rows.join(buckets.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
-    bands = same.select(F.col("rep").alias("doc_id"), "bands").dropDuplicates(["doc_id"])
-    roots = classes(buckets, bands, texts, idf, least)
+    roots = classes(buckets, texts, idf, least)
     rep = same.join(roots, same["rep"] == roots["doc_id"], "left").select("g1", "g2", F.coalesce("root", "rep").alias("class_id"))
     member = signed.select("doc_id", "g1", "g2").join(rep, ["g1", "g2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return rows.select("doc_id").join(member, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
