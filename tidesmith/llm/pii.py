@@ -15,14 +15,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: An ip's part of at most 255, leading zeros allowed.
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
 
 #: Seeds beside the base kinds: access keys of a fixed form, and hexadecimal strings of 16 or more with both digits and letters.
-SECRET = r"(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,62})"
-#: Candidates for further identifiers: runs of 6 or more of these characters, at least one digit.
+SECRET = r"(?:AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{16,})"
+#: Candidates for further identifiers: runs of at least LEAST_LENGTH of these characters, however long, with a digit, less what marks end them.
 # A pattern is the label before one: a word, a mark of = : #, and at most an opening quote or bracket.
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._@/#:-]))(?=[A-Za-z0-9._@/#:-]{0,63}[0-9])[A-Za-z0-9@#][A-Za-z0-9._@/#:-]{4,62}[A-Za-z0-9](?![A-Za-z0-9._@/#:-])"
+CANDIDATE = r"(?<![A-Za-z0-9._@/#:-])(?=[A-Za-z._@/#:-]*+[0-9])[A-Za-z0-9@#][A-Za-z0-9._@/#:-]*[A-Za-z0-9]"
+LEAST_LENGTH = 6
 ROUNDS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 3, 5, 0.8, 0.9
+#: Belief that an identifier needs whose shape no seed has.
+LEAST_STRANGE = 0.95
 
 
 def _matches(text: Column, regex: str) -> Column:
@@ -87,7 +90,7 @@ def candidates(spans: DataFrame) -> DataFrame:
     """(doc, doc_id, start, end, text, seed, base, pattern): base matches and other candidates, each with the pattern of its place."""
     t = F.coalesce("text", F.lit(""))
     base = F.flatten(F.array(*(F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(True).alias("seed"), F.lit(True).alias("base"))) for k in KINDS)))
-    free = F.filter(_matches(t, CANDIDATE), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter(_matches(t, CANDIDATE), lambda m: (F.length(m["text"]) >= LEAST_LENGTH) & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = spans.withColumn("base", base).withColumn("all", F.concat("base", F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.regexp_like(m["text"], F.lit(f"^{SECRET}$")).alias("seed"), F.lit(False).alias("base")))))
     with_context = F.transform("all", lambda m: F.struct(m["start"], m["end"], m["text"], m["seed"], m["base"], _context(t, m["start"]).alias("pattern")))
     return (
@@ -101,24 +104,25 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     An instance is an identifier's text; it starts believed (1) if it is a seed. A pattern's confidence is the share of
     belief among its distinct instances, once LEAST_SEEDS believed ones support it. An instance's belief is the noisy-or of the
-    confidences of its patterns of LEAST_PATTERN or more. Only identifiers that look like some seed (digits, letters, marks) take part. Each round is one
+    confidences of its patterns of LEAST_PATTERN or more. An identifier is found at a belief of LEAST_INSTANCE where it looks like some seed
+    (digits, letters, marks), and of LEAST_STRANGE where it does not. Patterns are judged by the instances that look like a seed. Each round is one
     pass of partially aggregated sums over the graph, which holds a row for each pair of pattern and instance.
     """
     edges = keep(found.where("pattern <> ''").groupBy("pattern", "text").agg(F.max("seed").alias("seed")).withColumn("shape", _shape(F.col("text"))))
-    shapes = edges.where("seed").select("shape").distinct()
-    edges = keep(edges.join(shapes, "shape", "left_semi"))
+    shapes = edges.where("seed").select("shape", F.lit(True).alias("like")).distinct()
+    edges = keep(edges.join(shapes, "shape", "left").withColumn("like", F.coalesce("like", F.lit(False))))
     belief = edges.groupBy("text").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for _ in range(rounds):
-        scored = edges.join(belief, "text")
-        patterns = scored.groupBy("pattern").agg(F.sum("belief").alias("for"), F.count("*").alias("n")).where(
+        scored = edges.join(belief.select("text", "belief"), "text")
+        patterns = scored.where("like").groupBy("pattern").agg(F.sum("belief").alias("for"), F.count("*").alias("n")).where(
             (F.col("for") >= LEAST_SEEDS) & (F.col("for") >= LEAST_PATTERN * F.col("n"))
         )
         conf = patterns.select("pattern", F.least(F.col("for") / (F.col("n") + 1), F.lit(0.999)).alias("conf"))
         doubt = edges.join(conf, "pattern", "left").groupBy("text").agg(
-            F.max("seed").alias("seed"), F.sum(F.log1p(-F.coalesce("conf", F.lit(0.0)))).alias("doubt")
+            F.max("seed").alias("seed"), F.max("like").alias("like"), F.sum(F.log1p(-F.coalesce("conf", F.lit(0.0)))).alias("doubt")
         )
-        belief = keep(doubt.select("text", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("belief")))
-    good = belief.where(F.col("belief") >= LEAST_INSTANCE).select("text")
+        belief = keep(doubt.select("text", "like", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("belief")))
+    good = belief.where(F.col("belief") >= F.when(F.col("like"), LEAST_INSTANCE).otherwise(LEAST_STRANGE)).select("text")
     free = found.where("not base")
     places = free.where("not seed and pattern <> ''").join(edges.where("not seed").select("pattern", "text"), ["pattern", "text"], "left_semi")
     return places.join(good, "text", "left_semi").union(free.where("seed").select(places.columns)).select("doc", "doc_id", "start", "end")
