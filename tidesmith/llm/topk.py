@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,51 +12,55 @@ from pyspark.sql import functions as F
 
 from tidesmith.llm.common import keep, table
 
-#: Vectors of a leaf of a ball tree; rows of a shard (one Arrow batch in, one tree out); queries of a block.
-LEAF, SHARD_ROWS, BLOCK_ROWS = 128, 8192, 4096
+#: Vectors of a leaf, rows of a shard (one tree each), queries of a block, shards that are searched first.
+LEAF, SHARD_ROWS, BLOCK_ROWS, PILOT = 128, 8192, 4096, 4
 #: The score of no candidate.
 NONE = -(2**62)
 
 
-def _leaves(x: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of the leaves of a ball tree: each ball is cut at the median of its widest direction between two far points."""
-    todo, done = [np.arange(len(x))], []
-    while todo:
-        at = todo.pop()
-        if len(at) <= LEAF:
-            done.append(at)
-            continue
-        v = x[at]
-        far = v[np.argmax(((v - v.mean(0)) ** 2).sum(1))]
-        other = v[np.argmax(((v - far) ** 2).sum(1))]
-        order = np.argsort(v @ (other - far), kind="stable")
-        half = len(at) // 2
-        todo += [at[order[:half]], at[order[half:]]]
-    return done
+def _tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows, (lo, hi, left, right) of each node, centres and radii of a ball tree; a node is a range of rows in that order.
+
+    Each ball is cut at the median of the direction between two far points; node 0 is the root, left is -1 at a leaf.
+    """
+    order, nodes, centres, radii = np.arange(len(x)), [[0, len(x), -1, -1]], [], []
+    at = 0
+    while at < len(nodes):
+        lo, hi, _, _ = nodes[at]
+        v = x[order[lo:hi]]
+        c = v.mean(0)
+        away = ((v - c) ** 2).sum(1)
+        centres.append(c)
+        radii.append(float(np.sqrt(away.max())) * (1 + 1e-9) + 1e-6)  # a hair wider, so that rounding never makes a bound too low
+        if hi - lo > LEAF:
+            far = v[np.argmax(away)]
+            other = v[np.argmax(((v - far) ** 2).sum(1))]
+            order[lo:hi] = order[lo:hi][np.argsort(v @ (other - far), kind="stable")]
+            half = (lo + hi) // 2
+            nodes[at][2:] = len(nodes), len(nodes) + 1
+            nodes += [[lo, half, -1, -1], [half, hi, -1, -1]]
+        at += 1
+    return order, np.array(nodes, np.int64), np.array(centres), np.array(radii)
 
 
 def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards of (id, dim, v): one row per ball, with centre, radius and its vectors as bytes."""
+    """Shards of (id, dim, v): one row for each tree of up to SHARD_ROWS vectors."""
     for pdf in batches:
         for dim, group in pdf.groupby("dim"):
             for cut in range(0, len(group), SHARD_ROWS):
                 part = group.iloc[cut : cut + SHARD_ROWS]
-                x, ids = np.stack(part["v"].to_numpy()).astype(np.float64).reshape(len(part), -1), part["id"].to_numpy(np.int64)
-                rows = []
-                for leaf in _leaves(x):
-                    c = x[leaf].mean(0)
-                    # a hair wider, so that rounding never makes a bound too low
-                    r = float(np.sqrt(((x[leaf] - c) ** 2).sum(1).max())) * (1 + 1e-9) + 1e-6
-                    rows.append((int(dim), len(leaf), r, c.tobytes(), ids[leaf].tobytes(), x[leaf].astype(np.int64).tobytes()))
-                yield pd.DataFrame(rows, columns=["dim", "n", "radius", "centre", "ids", "vecs"])
+                x, ids = np.stack(part["v"].to_numpy()).astype(np.int64).reshape(len(part), -1), part["id"].to_numpy(np.int64)
+                order, nodes, centres, radii = _tree(x.astype(np.float64))
+                row = (int(dim), len(part), ids[order].tobytes(), x[order].tobytes(), nodes.tobytes(), centres.astype(np.float64).tobytes(), radii.tobytes())
+                yield pd.DataFrame([row], columns=[c.split()[0] for c in TREES.split(", ")])
 
 
-BALLS = "dim int, n int, radius double, centre binary, ids binary, vecs binary"
+TREES = "dim int, n int, ids binary, vecs binary, nodes binary, centres binary, radii binary"
 HITS = "query_id long, vec_id long, score long"
 
 
 class _Best:
-    """The k best of each query so far, ties to the smaller id; low is the kth score, shared by all balls that follow."""
+    """The k best of each query so far, ties to the smaller id; low is the kth score, shared by all nodes that follow."""
 
     def __init__(self, n: int, k: int, low: np.ndarray):
         self.score, self.id, self.low, self.k = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max), low.copy(), k
@@ -69,42 +74,58 @@ class _Best:
         self.low[q] = np.maximum(self.low[q], self.score[q, -1])
 
 
+def _walk(tree: pd.Series, qid: np.ndarray, qv: np.ndarray, best: _Best) -> None:
+    """Branch and bound of all queries through one tree: the node of the highest bound first, each with the queries that can still gain from it."""
+    ids, nodes = np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["nodes"], np.int64).reshape(-1, 4)
+    vecs, radii = np.frombuffer(tree["vecs"], np.int64).reshape(len(ids), -1), np.frombuffer(tree["radii"], np.float64)
+    centres = np.frombuffer(tree["centres"], np.float64).reshape(len(radii), -1)
+    qf = qv.astype(np.float64)
+    norm = np.sqrt((qf**2).sum(1))
+    # floats are exact where all sums are below 2^53
+    exact = vecs.size and qv.size and float(np.abs(vecs).max()) * float(np.abs(qv).max()) * vecs.shape[1] < 2.0**52
+    heap: list[tuple] = []
+
+    def push(node: int, on: np.ndarray) -> None:
+        bound = qf[on] @ centres[node] + norm[on] * radii[node] + 1e-6
+        able = bound >= best.low[on]
+        if able.any():
+            heapq.heappush(heap, (-float(bound[able].max()), node, on[able], bound[able]))
+
+    push(0, np.arange(len(qid)))
+    while heap:
+        _, node, on, bound = heapq.heappop(heap)
+        on = on[bound >= best.low[on]]
+        if not len(on):
+            continue
+        lo, hi, left, right = nodes[node].tolist()
+        if left >= 0:
+            push(left, on), push(right, on)
+            continue
+        v = vecs[lo:hi]
+        s = (qf[on] @ v.T.astype(np.float64)).astype(np.int64) if exact else qv[on] @ v.T
+        best.add(on, np.where(ids[lo:hi][None, :] == qid[on][:, None], NONE, s), ids[lo:hi][None, :])
+
+
 def _search(queries: dict, k: int):
-    """Task: walks the balls of each batch from the highest bound down; a ball no query can gain from is passed over."""
+    """Task: every query through every tree of its length; sends hits that reach the kth scores known before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = {d: _Best(len(ids), k, low) for d, (ids, _, low) in queries.items()}
         for pdf in batches:
-            for dim, balls in pdf.groupby("dim"):
-                if dim not in queries:
-                    continue
-                qid, qv, _ = queries[dim]
-                b, qf = best[dim], qv.astype(np.float64)
-                centre = np.stack([np.frombuffer(x) for x in balls["centre"]]) if dim else np.zeros((len(balls), 0))
-                norm = np.sqrt((qf**2).sum(1))
-                bound = qf @ centre.T + norm[:, None] * balls["radius"].to_numpy()[None, :] + 1e-6
-                for j in np.argsort(-bound.max(0), kind="stable"):
-                    on = np.flatnonzero(bound[:, j] >= b.low)
-                    if not len(on):
-                        continue
-                    ids = np.frombuffer(balls["ids"].iloc[j], np.int64)
-                    v = np.frombuffer(balls["vecs"].iloc[j], np.int64).reshape(len(ids), -1)
-                    if v.size and qv.size and float(np.abs(v).max()) * float(np.abs(qv).max()) * max(1, dim) < 2.0**52:
-                        s = (qf[on] @ v.T.astype(np.float64)).astype(np.int64)  # exact: all sums are below 2^53
-                    else:
-                        s = qv[on] @ v.T
-                    s = np.where(ids[None, :] == qid[on][:, None], NONE, s)
-                    b.add(on, s, ids[None, :])
+            for _, tree in pdf.iterrows():
+                if tree["dim"] in queries:
+                    _walk(tree, *queries[tree["dim"]][:2], best[tree["dim"]])
         for dim, b in best.items():
-            q, c = np.nonzero(b.id != np.iinfo(np.int64).max)
+            ids, _, low = queries[dim]
+            q, c = np.nonzero((b.id != np.iinfo(np.int64).max) & (b.score >= low[:, None]))
             if len(q):
-                yield pd.DataFrame({"query_id": queries[dim][0][q], "vec_id": b.id[q, c], "score": b.score[q, c]})
+                yield pd.DataFrame({"query_id": ids[q], "vec_id": b.id[q, c], "score": b.score[q, c]})
 
     return run
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; every task has sent at most k, so a query's group holds k rows a task."""
+    """The k best of each query; a task has sent at most k, and of those only what reaches the shared kth score."""
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("vec_id"))))
     top = hits.groupBy("query_id").agg(F.slice(pairs, 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top")).select(
@@ -120,37 +141,37 @@ def integers(rows: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> Da
     return good.select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), v.alias("v"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, pilot_balls: int = 64) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact top k by inner product of integer vectors: (query_id, rank, vec_id, score).
 
-    rows, queries: (id long, dim int, v array<long>). The query itself (same id) is no candidate; ties go to the smaller
+    rows, queries: (id long, dim int, v array<long>). Rows of the query's id are no candidates; ties go to the smaller
     vec_id; fewer than k candidates: all. Vectors of other lengths than the query's do not meet it. Empty inputs give an
-    empty result; a repeated id is a candidate each time.
+    empty result. A repeated id is a candidate each time, but one query: the least of its vectors.
 
     Trees are built per shard and written once. Queries come in blocks of BLOCK_ROWS, whose size is the proven bound of
-    what is sent to tasks. For each block the widest balls are searched first; the kth scores found
-    there are shared with every shard as lower bounds, below which balls are passed over.
+    what is sent to tasks. For each block PILOT trees are searched first; the kth scores found there are
+    shared with every shard as lower bounds, below which nodes are passed over and hits are not sent.
     """
     spark = rows.sparkSession
-    balls = keep(rows.mapInPandas(build, BALLS))
-    n = queries.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks = -(-n // BLOCK_ROWS)
-    out = None
+    trees = keep(rows.mapInPandas(build, TREES))
+    one = keep(queries.groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("id", "q.dim", "q.v"))
+    blocks, out = max(1, -(-one.count() // BLOCK_ROWS)), None
     for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
+        own = one.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
         held = {}
         for dim, g in own.groupby("dim"):
             ids = g["id"].to_numpy(np.int64)
             held[int(dim)] = (ids, np.stack(g["v"].to_numpy()).astype(np.int64).reshape(len(ids), -1), np.full(len(ids), NONE))
-        first = balls.orderBy(F.desc("radius")).limit(pilot_balls).mapInPandas(_search(held, k), HITS)
-        kth = {(r["query_id"]): r["score"] for r in ranked(first, k).where(F.col("rank") == k).collect()}
+        if not held:
+            continue
+        first = trees.limit(PILOT).mapInPandas(_search(held, k), HITS)
+        kth = {r["query_id"]: r["score"] for r in ranked(first, k).where(F.col("rank") == k).collect()}
         for ids, _, low in held.values():
             low[:] = [kth.get(int(i), NONE) for i in ids]
-        found = balls.mapInPandas(_search(held, k), HITS)
+        found = trees.mapInPandas(_search(held, k), HITS)
+        found = found if blocks == 1 else keep(found)
         out = found if out is None else out.union(found)
-    return ranked(out, k)
+    return ranked(spark.createDataFrame([], HITS) if out is None else out, k)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +185,10 @@ WITH v AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-), s AS (
+), q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
