@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidesmith.llm.common import slices, table
 from tidesmith.llm.sample import remainder
 
-#: Bound of the training sample: documents of a language, bytes of its dictionary, and bytes taken of one document.
-PER_LANG, DICT_BYTES, DOC_BYTES = 400, 112_640, 1000
+#: Bound of the training sample: documents of a language, bytes of its dictionary, and characters of the stretch taken of one document.
+PER_LANG, DICT_BYTES, STRETCH = 400, 112_640, 1000
 #: Bytes of text compressed at a time, so that a dictionary counts at the end of a long text as at its start.
 BLOCK, LEVEL = 4096, 6
 #: Texts of so many bytes at most are encoded with each of so many parts of the dictionary.
@@ -31,15 +31,23 @@ def letters(text: str) -> bytes:
 
 
 def dictionaries(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """(lang, raw content): texts of each language's documents of the smallest hashes, up to DICT_BYTES.
+    """(lang, raw content): stretches of each language's documents of the smallest hashes, up to DICT_BYTES.
 
-    docs: (doc_id, text, lang); rows with a null in any of them, and texts without a letter, take no part. Sorted by lang.
+    docs: (doc_id, text, lang); rows with a null in any of them, and texts without a letter, take no part. Of equal texts one is
+    taken. The stretch of a text of more than STRETCH characters begins at a place chosen by a hash, so that no part of texts (a
+    header, say) stands out. Stretches come in the order of hashes until the dictionary is full: about 112 of STRETCH bytes. Sorted by lang.
     """
     own = docs.where("doc_id is not null and lang is not null").where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PER_LANG)
-    # rows are bounded by PER_LANG for each language, bytes by DOC_BYTES for each row
-    chosen = own.select("doc_id", F.substring("text", 1, DOC_BYTES).alias("text")).join(F.broadcast(ids), "doc_id").select("lang", "rank", "text").collect()
+    hashed = own.select("doc_id", "lang", F.xxhash64("text").alias("h"))
+    # salted, so that no task meets more than PER_LANG of each task before it, and the last one no more than PER_LANG of each salt
+    one = hashed.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")).withColumn("salt", F.pmod("h", F.lit(64)))
+    for by in (["lang", "salt"], ["lang"]):
+        one = one.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).where(F.col("rank") <= PER_LANG)
+    ids = one.select("doc_id", "lang", "h", "rank")
+    # rows are bounded by PER_LANG for each language, bytes by STRETCH for each row
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
+    texts_ = own.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.substring("text", start, F.lit(STRETCH)).alias("text"))
+    chosen = texts_.join(F.broadcast(ids), ["doc_id", "lang", "h"]).select("lang", "rank", "text").distinct().collect()
     texts: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["rank"], r["text"])):
         texts.setdefault(r["lang"], []).append(letters(r["text"]))
