@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -25,15 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is missing (tests, local mode: one machine) a folder of this machine is taken.
+    Where the setting is missing in local mode (tests: one machine) a folder of this machine is taken; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this application has kept, once its results are written: they read those files."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-*")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(path) or ():
+            files.delete(found.getPath(), True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors cost no more than a reread."""
     spark = df.sparkSession

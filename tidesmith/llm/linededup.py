@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ from tidesmith.llm.common import keep, slices, table
 MIN_CHARS = 10
 #: Lines of a shard of the index (at about 30 bytes each), and the most lines of the index that goes to every task.
 SHARD_KEYS, HOT_KEYS = 500_000, 100_000
+#: Lines that probe one shard.
+SHARD_PROBES = 2_000_000
 _STRIP, _LEVELS = b" \t\n\x0b\x0c\r", 40
 
 
@@ -183,7 +184,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     Keys found in two documents or more are indexed: the many keys of one document can lose no line, and the 64-bit
     fingerprint turns their probes away. Keys by far more frequent than the rest (at most HOT_KEYS, however large the
     input: the least count that counts as hot is the number of holders / HOT_KEYS) are held by an index of a few MB that goes
-    to every task, so no shard meets more than that many probes of one key. All other probes go to their shard.
+    to every task, so no shard meets more than that many probes of one key. All other probes go to their shard; there are as many shards
+    as keep both its keys and its probes bounded.
     """
     spark = docs.sparkSession
     known = keep(repeated_lines(docs))
@@ -193,12 +195,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     least = max(100, -(-size["holders"] // HOT_KEYS))
     top = known.where(F.col("n") > least).toPandas()
     hot = Index.make(*(top[c].to_numpy(np.int64) for c in ("h1", "h2", "n", "owner"))) if len(top) else None
-    shards = max(1, -(-size["keys"] // SHARD_KEYS)) * 8
+    probes = keep(docs.select("doc_id", "text").mapInArrow(_probes(hot), "h1 long, h2 long, doc_id long, decided boolean"))
+    cold = probes.where("not decided")
+    shards = max(-(-size["keys"] // SHARD_KEYS) * 8, -(-cold.count() // SHARD_PROBES))
     shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
     index = keep(known.where(F.col("n") <= least).withColumn("shard", shard).groupBy("shard").applyInPandas(_build_shard, SHARD))
-    probes = docs.select("doc_id", "text").mapInArrow(_probes(hot), "h1 long, h2 long, doc_id long, decided boolean")
-    probes = keep(probes)
-    cold = probes.where("not decided").select(shard, "h1", "h2", "doc_id")
+    cold = cold.select(shard, "h1", "h2", "doc_id")
     found = cold.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe_shard, "doc_id long, h1 long")
     found = found.union(probes.where("decided").select("doc_id", "h1"))
     return found.groupBy("doc_id").agg(F.collect_set("h1").alias("drop"))

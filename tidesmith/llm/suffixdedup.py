@@ -15,11 +15,18 @@ from tidesmith.llm.common import keep, n_partitions, slices, table
 LEAST = 100
 #: Bytes of the token at which a sampled suffix starts; suffixes of one token (or of several) that a task sorts at once.
 TOKEN, BUCKET_SUFFIXES = 32, 500_000
-_PLACE_BITS = 28
+#: Windows of a text that are sampled at once; a place among them has so many bits.
+_STRIDE, _PLACE_BITS = 1 << 22, 23
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, lo, hi) of a text of any length: those of stretches of _STRIDE windows, none of which is left out or split."""
+    parts = [(t, lo + i, hi + i) for i in range(0, max(1, len(raw) - LEAST + 1), _STRIDE) for t, lo, hi in [_anchors(raw[i : i + _STRIDE + LEAST - 1])]]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+def _anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, lo, hi): the sampled suffixes of a text and the windows of LEAST bytes that each stands for.
 
     A window's sample is the TOKEN bytes in it whose hash is least (the leftmost of equals), so equal windows have their
