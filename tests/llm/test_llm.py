@@ -66,7 +66,7 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 50])
+@pytest.mark.parametrize("block", [1024, 256, 50])
 def test_a_pair_in_one_wide_bucket_is_linked(spark, monkeypatch, block):
     """Two near copies meet in one bucket only, with 600 other texts, and far apart in the order of the sketches."""
     monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
@@ -77,9 +77,10 @@ def test_a_pair_in_one_wide_bucket_is_linked(spark, monkeypatch, block):
     sketches[300, :, 7], sketches[400, :, 7] = 200, 60
     base = words(80, 900).split()
     text = {300: " ".join(base), 400: " ".join(base[:-1])}
-    rows = [(i, text.get(i) or words(20, i), s) for i, s in enumerate(sketches.reshape(n, 48).view("<i8").tolist())]
-    df = spark.createDataFrame(rows, "doc_id long, text string, sketch array<long>")
-    buckets = df.select(F.lit(1).cast("long").alias("bucket"), "doc_id", "sketch")
+    bands = lambda i: [100 * i + k + 1000 if k != 3 else 1 for k in range(neardup.BANDS)]
+    rows = [(i, text.get(i) or words(20, i), bands(i), s) for i, s in enumerate(sketches.reshape(n, 48).view("<i8").tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bands array<long>, sketch array<long>")
+    buckets = df.select(F.lit(1).cast("long").alias("bucket"), "doc_id", "bands", "sketch")
     roots = neardup.classes(buckets, df.select("doc_id", "text"), np.ones(1 << neardup.IDF_BITS, np.float32))
     assert {r["doc_id"]: r["root"] for r in roots.collect()} == {i: 300 if i == 400 else i for i in range(n)}
 
@@ -94,8 +95,45 @@ def test_decontamination(spark):
     assert got[5]["items"] == ["2"] and got[0]["near_items"] == ["1"]
 
 
-@pytest.mark.parametrize("bucket", [10**6, 20])
-def test_suffix_dedup(spark, bucket):
+def plain_contamination(texts, items, size, distance):
+    tokens = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = [(i, w[k : k + size]) for i, t in items for w in [tokens(t)] for k in range(max(1, len(w) - size + 1) if w else 0)]
+    out = []
+    for t in texts:
+        w = tokens(t)
+        hit, found, near = set(), set(), set()
+        for i, x in windows:
+            for at in range(len(w)):
+                if w[at : at + len(x)] == x:
+                    hit.update(range(at, at + len(x)))
+                    found.add(i)
+                if w[at] == x[0] and set(x) <= set(w[max(0, at - distance) : at + distance + 1]):
+                    near.add(i)
+        out.append((len(w), hit, sorted(str(i) for i in found - {None}), sorted(str(i) for i in near - {None})))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_BYTES": 60, "SHARD_TOKENS": 50}])
+def test_contamination_is_that_of_a_plain_search(spark, monkeypatch, limits):
+    """Repeated rows, null ids, frequent words and long texts; small limits give the same rows."""
+    for name, value in limits.items():
+        monkeypatch.setattr(decontaminate, name, value)
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice("a b c dd É Ff g,h i".split()) for _ in range(n))
+    items = [(i, text(r.randint(1, 7))) for i in range(8)] + [(None, "c dd c"), (9, None), (10, ""), (3, "g b")]
+    texts = [text(r.randint(0, 40)) for _ in range(40)] + [None, "", text(3000)]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(5, texts[5], "x", 1), (5, "a b c", "x", 1), (None, texts[7], "x", 1), (None, texts[7], "x", 1)]
+    tests = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n_words int")
+    got = sorted((str(x["doc_id"]), x["n_words"], sorted(p for a, b in zip(x["starts"], x["ends"]) for p in range(a, b)), x["items"], x["near_items"]) for x in decontaminate.contamination(spark.createDataFrame(rows, DOCS), tests, 4, 6).collect())
+    want = plain_contamination([x[1] for x in rows], items, 4, 6)
+    assert got == sorted((str(x[0]), n, sorted(hit), a, b) for x, (n, hit, a, b) in zip(rows, want))
+    assert decontaminate.contamination(spark.createDataFrame(rows[:9], DOCS), tests.limit(0)).where("size(starts) > 0").count() == 0
+    assert decontaminate.contamination(spark.createDataFrame([], DOCS), tests).count() == 0
+
+
+@pytest.mark.parametrize("bucket,stride", [(10**6, 1 << 22), (20, 1 << 22), (10**6, 37)])
+def test_suffix_dedup(spark, monkeypatch, bucket, stride):
+    monkeypatch.setattr(suffixdedup, "_STRIDE", stride)
     a, b = words(60, 7), words(80, 8)
     texts = [a, f"{b} {a[20:180]} {b}", a, None, "", "ab" * 150, words(30, 9) + a[50:151], "é" * 120, a[:99]]
     seen, want = set(), {}
@@ -155,14 +193,56 @@ def test_personal_data(spark):
     assert span(35, "learned") == [(9, 19)]
 
 
-def test_top_k(spark):
+def base_of(text):
+    """The contract's patterns and checks, one by one."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def luhn(x):
+        twice = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(x))]
+        return sum(twice) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    }
+    return {k: [m.span() for m in re.finditer(r, text or "") if ok(m[0])] for k, (r, ok) in kinds.items()}
+
+
+def test_base_spans_are_those_of_the_patterns(spark):
+    r = random.Random(9)
+    atoms = ["0", "00", "1", "25", "255", "256", "010", "4111", "1111", ".", ".", "-", " ", "+", "@", "a", "é", "b.c", "(", ")", "%", "12345678901234567"]
+    texts = ["10.0.0.1 127.0.0.1 0.0.0.0 000.1.02.255 256.1.1.1", None, "", "10.0.0.1 " * 3000, *("".join(r.choice(atoms) for _ in range(r.randint(1, 40))) for _ in range(3000))]
+    for row in pii.base_spans(docs(spark, texts)).collect():
+        assert {k: [(m["start"], m["end"]) for m in row[k]] for k in pii.KINDS} == base_of(row["text"]), row["text"]
+
+
+def test_long_and_strange_identifiers(spark):
+    texts = [*(f"password={hashlib.md5(bytes([i])).hexdigest()[:18]} z" for i in range(60)), "password=Abc-123xyz.", f"password={'k9' * 60}", "token " + "9" * 90]
+    rows = docs(spark, texts).union(docs(spark, texts[-3:-2])).union(spark.createDataFrame([(None, texts[-3], "x", 1)], DOCS))
+    got = [(r["doc_id"], [(m["start"], m["end"]) for m in r["learned"]]) for r in pii.personal_data(rows).where("doc_id is null or doc_id >= 60 or doc_id = 0").collect()]
+    assert sorted(got, key=str) == sorted([(60, [(9, 19)]), (61, [(9, 129)]), (62, []), (None, [(9, 19)]), (0, [(9, 27)]), (0, [(9, 19)])], key=str)
+    assert pii.personal_data(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"LEAF": 7, "SHARD_ROWS": 90, "BLOCK_ROWS": 5, "PILOT": 1}])
+def test_top_k(spark, monkeypatch, limits):
+    """Against all products, with nulls, other lengths, ties, repeated rows and repeated queries; small limits give the same rows."""
+    for name, value in limits.items():
+        monkeypatch.setattr(topk, name, value)
     r = random.Random(3)
-    rows = [(i, [r.randint(-300, 300) for _ in range(8)]) for i in range(600)] + [(700, [1] * 8), (701, [1] * 8)]
-    df = topk.integers(spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows] + [(800, None), (801, [float("nan")])], "id long, v array<double>"), "id", "v")
+    rows = [(i, [r.randint(-300, 300) for _ in range(8)]) for i in range(600)] + [(700, [1] * 8), (701, [1] * 8), (702, [5, 6])]
+    rows += [rows[50], rows[50], rows[51], (100, [9999] * 8)]
+    table = spark.createDataFrame([(i, [x / 256 for x in v], "x") for i, v in rows] + [(800, None, "x"), (801, [float("nan")], "x"), (None, [1.0] * 8, "x")], "id long, v array<double>, dim string")
+    df = topk.integers(table, "id", "v")
     got = {}
     for x in topk.top_k(df, df.where("id % 50 = 0"), 5).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    for q, v in rows:
-        if q % 50 == 0:
-            want = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5]
-            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    want = {}
+    for q in {q for q, _ in rows if q % 50 == 0}:
+        v = min(v for i, v in rows if i == q)
+        all_ = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+        want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(all_[:5])]
+    assert {q: sorted(x) for q, x in got.items()} == want
+    assert topk.top_k(df.limit(0), df.where("id % 50 = 0"), 5).count() == 0 == topk.top_k(df, df.limit(0), 5).count()
