@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,35 +26,79 @@ MOST_DOCS, STARTS, SWEEPS = 12, 4, 60
 
 #: Texts of these characters alone are tokenised word by word: white space always parts words there, and lower-casing goes character by character.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-⁞]*")
+#: Marks that end words; a word of letters and then marks is two tokens' worth of text: the letters, and the marks.
+_MARKS = ".,;:!?$#%&*+=~^|/)]}>-"
+#: Words encoded by one call, words kept.
+_CALL, _KEPT = 1000, 1_200_000
 
 
 class Tokenizer:
-    """ids of whole texts, as little-endian 32-bit bytes. Ids of words seen lately are kept, for words are encoded one by one anyway."""
+    """ids of whole texts, as little-endian 32-bit bytes.
+
+    Words are encoded one by one by the tokenizer anyway, so ids of words seen lately are kept. Words that are new to a
+    slice of documents are encoded together, joined by blanks, without their closing marks: in the result each word ends
+    with the one id whose token carries the mark of a word's end. Only a tokenizer of that form gets words; to all others, and of all other
+    texts (see _PLAIN), the whole text is given.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Files
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder, self.seen = Files.from_file(path), {}
+        form = json.loads(self.encoder.to_str())
+        split = (form.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        steps = [x["type"] for x in (form.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = form["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed"
+        vocab = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        import unicodedata
-
-        if "<|" in text or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
-            return self._raw(text)
-        words, seen = text.lower().split(), self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if len(seen) + len(new) > 800_000:
-            seen.clear()
-            new = list(dict.fromkeys(words))
-        for word, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
+    def _learn(self, new: set[str]) -> None:
+        """Keeps the ids of new words."""
+        seen, parts, letters, others = self.seen, [], set(), set()
+        for word in new:
+            base = word.rstrip(_MARKS)
+            if base.isalpha():
+                letters.add(base)
+                if base != word:
+                    others.add(word[len(base) :])
+                    parts.append((word, base, word[len(base) :]))
+            else:
+                others.add(word)
+        todo = list(letters.difference(seen))
+        for i in range(0, len(todo), _CALL):
+            words = todo[i : i + _CALL]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(words):
+                others.update(words)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(words, stops.tolist()):
+                seen[word] = raw[at:stop]
+                at = stop
+        todo = list(others.difference(seen))
+        for word, e in zip(todo, self.encoder.encode_batch_fast(todo, add_special_tokens=False)):
             seen[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, words))
+        for word, base, marks in parts:
+            seen[word] = seen[base] + seen[marks]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        plain = [bool(t and self.by_word and "<|" not in t and _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t)) for t in texts]
+        words = [t.lower().split() if on else None for t, on in zip(texts, plain)]
+        distinct = set().union(*(w for w in words if w))
+        new = distinct.difference(self.seen)
+        if len(self.seen) + len(new) > _KEPT:
+            self.seen.clear()
+            new = distinct
+        if new:
+            self._learn(new)
+        of = self.seen.__getitem__
+        return [b"".join(map(of, w)) if w is not None else self._raw(t) if t else b"" for t, w in zip(texts, words)]
 
 
 def _pieces(path: str, context: int, end: int, with_ids: bool):
@@ -64,8 +110,8 @@ def _pieces(path: str, context: int, end: int, with_ids: bool):
         tail = np.array([end], "<u4").tobytes()
         for part in slices(batches):
             out: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                raw = tokenize(text) + tail
+            for doc, ids in zip(part.column("doc_id").to_pylist(), tokenize(part.column("text").to_pylist())):
+                raw = ids + tail
                 for piece, at in enumerate(range(0, len(raw), 4 * context)):
                     ids = raw[at : at + 4 * context]
                     for column, x in zip(out, (doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids), ids)):
@@ -212,7 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end: int = END
         base += times
     slots = {k: tuple(np.array(x, np.int64).T) for k, x in taken.items()}
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(F.broadcast(before) if len(histogram) * n_partitions(spark) <= 500_000 else before, ["length", "salt"])
+    ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"])
     cols = [*pieces.columns]
     rows = ranked.select(*cols, (F.col("own") + F.col("before")).cast("long").alias("rank"))
     return rows.mapInPandas(_place(slots), schema + ", sequence_id long, offset long")
