@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidesmith.llm.common import components, keep, slices, table, words
+from tidesmith.llm.common import components, keep, n_partitions, slices, table, words
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and samples of a band: two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8.
@@ -19,12 +19,10 @@ BANDS, ROWS = 12, 4
 IDF_BITS, POOL_BITS = 16, 16
 #: Samples of BANDS * ROWS that must agree in a byte before texts are compared: at similarity 0.8 fewer agree with probability 0.0005.
 AGREE = 29
-#: Partners of a document in the first round, which later rounds do not depend on.
+#: Partners of a document in the first round; the second one does not depend on them.
 NEAREST = 2
-#: Members of a bucket that the second round compares with its others; each further round takes GROWTH times as many.
-HEADS, GROWTH = 32, 32
-#: Members and heads of a bucket that one task compares at once.
-BLOCK = 1024
+#: Members of a bucket, and members outside its largest component, that one cell compares.
+BLOCK = 256
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -137,39 +135,41 @@ class Sampler:
         return out.view(np.int64).tolist(), sketch.tolist()
 
 
-def agreeing(a: str, b: str) -> Column:
-    """How many samples of two sketches (columns of array<long>) agree: the bytes that are zero in a xor b."""
-    total = F.lit(0)
-    for i in range(BANDS * ROWS // 8):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for by in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        total = total + 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
-
-
 def _signatures(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sampler = _Hashes(), Sampler()
-        last: dict[bytes, list] = {}
+        last: dict[tuple, tuple] = {}
         for part in slices(batches):
             ids, g1, g2, bands, sketches = [], [], [], [], []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 w = words(text)
                 if doc is None or not w:
                     continue
-                d = xxhash.xxh3_128_digest(b" ".join(w))
+                d = _digest(w)
                 if d not in last:
                     if len(last) > 5000:
                         last.clear()
                     last[d] = sampler.bands(weighted_shingles(text, idf, of))
                 ids.append(doc), bands.append(last[d][0]), sketches.append(last[d][1])
-                g1.append(int.from_bytes(d[:8], "little", signed=True)), g2.append(int.from_bytes(d[8:], "little", signed=True))
+                g1.append(d[0]), g2.append(d[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "g1", "g2", "bands", "sketch"])
 
     return run
 
 
+def _digest(w: list[bytes]) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(b" ".join(w))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) of rows whose words are those of (g1, g2)."""
+    for part in slices(batches):
+        text = part.column("text")
+        on = [_digest(words(t)) == (g1, g2) for t, g1, g2 in zip(text.to_pylist(), part.column("g1").to_pylist(), part.column("g2").to_pylist())]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), text], ["doc_id", "text"]).filter(pa.array(on, pa.bool_()))
+
+
 def _similarities(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, kept = _Hashes(), {}
@@ -199,83 +199,209 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return keep(sided.select("a", "b", "text_a", "text_b").mapInArrow(_similarities(idf), "a long, b long, s double"))
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Rows of BANDS * ROWS bytes of an array<long> column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("<i8")
+    return flat.view(np.uint8).reshape(len(column), BANDS * ROWS)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over (bucket, doc_id, sketch) in order: (doc_id, a, b, n) of each row with the row before it and the first of its bucket here."""
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        sketch = _sketches(batch.column(2))
+        if last is not None:  # the row before and the first of its bucket come again at the head of this batch
+            bucket, doc, sketch = (np.concatenate([x, y]) for x, y in zip(last, (bucket, doc, sketch)))
+        at = np.arange(len(bucket))
+        start = np.maximum.accumulate(np.where(np.append(True, bucket[1:] != bucket[:-1]), at, 0))
+        own = at[(0 if last is None else 2) :]
+        i, j = np.concatenate([own, own]), np.concatenate([np.maximum(own - 1, 0), start[own]])
+        on = (bucket[i] == bucket[j]) & (doc[i] != doc[j])
+        i, j = i[on], j[on]
+        n = (sketch[i] == sketch[j]).sum(1)
+        on = n >= AGREE
+        i, j, n = i[on], j[on], n[on]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(n.astype(np.int32))], ["doc_id", "a", "b", "n"])
+        ends = [start[-1], len(at) - 1]
+        last = bucket[ends], doc[ends], sketch[ends]
+
+
 def _first_pairs(buckets: DataFrame) -> DataFrame:
     """(a, b): of each document the NEAREST that agree with its sketch in most samples, among those before it and the first of its buckets.
 
     A bucket is sorted by its sketches, begun at another integer in different buckets: neighbours agree in a long run of samples,
-    so each of thousands of near copies soon meets some of those most like it, at the cost of sorting.
+    so each of thousands of near copies soon meets some of those most like it, at the cost of sorting. Sampled splitters cut
+    wide buckets too; what would meet across a cut is left to the second round.
     """
-    turn = F.pmod("bucket", F.lit(BANDS * ROWS // 8)).cast("int")
-    turned = F.concat(F.slice("sketch", turn + 1, F.lit(BANDS * ROWS // 8)), F.slice("sketch", F.lit(1), turn))
-    near = Window.partitionBy("bucket").orderBy(turned, "doc_id")
-    own = F.struct("doc_id", "sketch")
-    beside = buckets.select("doc_id", "sketch", F.lag(own).over(near).alias("before"), F.first(own).over(near).alias("first"))
-    pairs = beside.select("doc_id", "sketch", F.explode(F.array("before", "first")).alias("other"))
-    pairs = pairs.select("doc_id", "sketch", F.col("other.doc_id").alias("other"), F.col("other.sketch").alias("other_sketch")).where("doc_id <> other")
-    close = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), "doc_id", agreeing("sketch", "other_sketch").alias("n")).where(F.col("n") >= AGREE)
-    best = close.groupBy("doc_id", "a", "b").agg(F.max("n").alias("n"))
+    n = BANDS * ROWS // 8
+    turn = F.pmod("bucket", F.lit(n)).cast("int")
+    turned = F.concat(F.slice("sketch", turn + 1, F.lit(n)), F.slice("sketch", F.lit(1), turn)).alias("turned")
+    order = ["bucket", "turned", "doc_id"]
+    cut = buckets.select("bucket", "doc_id", "sketch", turned).repartitionByRange(n_partitions(buckets.sparkSession), *order).sortWithinPartitions(*order)
+    close = cut.select("bucket", "doc_id", "sketch").mapInArrow(_neighbours, "doc_id long, a long, b long, n int")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "a", "b"))
-    return best.withColumn("place", place).where(F.col("place") <= NEAREST).select("a", "b").distinct()
+    best = close.dropDuplicates(["doc_id", "a", "b"]).withColumn("place", place).where(F.col("place") <= NEAREST)
+    return best.select("a", "b").distinct()
 
 
-def _met(members: DataFrame, own: DataFrame) -> DataFrame:
-    """members with the heads (own) of their bucket, in cells of about BLOCK members and BLOCK heads.
+def _cells(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, doc_id, root, member, head, bands, sketch): the cells of all buckets of members with a root other than big.
 
-    Both sides of a bucket are dealt by a hash, and every block of one meets every block of the other: no pair is left out, and
-    a task never holds more of a wide bucket than a cell. Buckets of up to BLOCK members are one cell.
+    Heads are the members outside the largest component of their bucket. Both are dealt by a hash, BLOCK to a block, and every block of
+    members meets every block of heads: no pair of two components is left out, and no task ever holds more than a cell of
+    a wide bucket. A bucket of up to BLOCK members is one cell, in which each member stands once.
     """
-    n = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    heads = own.groupBy("bucket").agg(F.count("*").alias("h"))
-    wide = n.join(heads, "bucket").select("bucket", F.ceil(F.col("n") / BLOCK).alias("across"), F.ceil(F.col("h") / BLOCK).alias("down"))
-    wide = F.broadcast(keep(wide))
-    across, down = (F.coalesce(c, F.lit(1)) for c in ("across", "down"))
+    head = (F.col("root") != F.col("big")).alias("head")
+    rows = members.select("bucket", "doc_id", "root", "bands", "sketch", head)
+    size = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("head").alias("h")).where(F.col("n") > BLOCK)
+    wide = keep(size.select("bucket", F.ceil(F.col("n") / BLOCK).alias("across"), F.ceil(F.col("h") / BLOCK).alias("down")))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    left = members.join(wide, "bucket", "left").withColumn("i", F.pmod(F.xxhash64("doc_id"), across)).withColumn("j", every(down)).drop("across", "down")
-    right = own.join(wide, "bucket", "left").withColumn("j", F.pmod(F.xxhash64("head"), down)).withColumn("i", every(across)).drop("across", "down")
-    return left.join(right.hint("shuffle_hash"), ["bucket", "i", "j"])
+    of, cols = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), ["bucket", "i", "j", "doc_id", "root", "member", "head", "bands", "sketch"]
+    zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    narrow = rows.join(wide, "bucket", "left_anti").withColumns({"i": zero, "j": zero, "member": yes}).select(cols)
+    broad = rows.join(wide, "bucket")
+    across = broad.withColumns({"i": of % F.col("across"), "member": yes}).withColumn("head", no).withColumn("j", every(F.col("down"))).select(cols)
+    down = broad.where("head").withColumns({"j": of % F.col("down"), "member": no}).withColumn("i", every(F.col("across"))).select(cols)
+    return narrow.unionByName(across).unionByName(down)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of equal first `keys` columns of a sorted stream, one table for each; only one is held."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(key[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _to_meet(bucket: int, root: np.ndarray, member: np.ndarray, head: np.ndarray, bands: np.ndarray, sketch: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(head, members) of a cell that are to be compared: of two components, their sketches agree, and this bucket is the first that they share."""
+    band = int(np.flatnonzero((bands == bucket).all(0))[0])
+    on, out = np.flatnonzero(member), []
+    for h in np.flatnonzero(head):
+        m = on[root[on] != root[h]]
+        m = m[(sketch[m] == sketch[h]).sum(1) >= AGREE]
+        m = m[(bands[m, :band] != bands[h, :band]).all(1)]
+        if len(m):
+            out.append((int(h), m))
+    return out
+
+
+def _cell(table_: pa.Table) -> tuple:
+    bucket, _, _, _, root, member, head = (table_.column(i).to_numpy() for i in range(7))
+    bands = table_.column(7).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    return int(bucket[0]), root, member, head, bands, _sketches(table_.column(8).combine_chunks())
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of cells in order that have someone to meet."""
+    for t in _groups(batches, 3):
+        on = np.zeros(t.num_rows, bool)
+        for h, m in _to_meet(*_cell(t)):
+            on[h] = True
+            on[m] = True
+        if on.any():
+            yield from t.filter(pa.array(on)).combine_chunks().to_batches()
+
+
+def _joined(idf: np.ndarray, least: float):
+    """Task over cells with texts: links (a, b) that join the components of a cell, at most one for each component less one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Hashes()
+        for t in _groups(batches, 3):
+            bucket, root, member, head, bands, sketch = _cell(t)
+            doc, texts = t.column(3).to_numpy(), t.column(9)
+            shingles: dict[int, tuple] = {}
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = up.get(up[x], up[x])
+                    x = up[x]
+                return x
+
+            def weights(i: int) -> tuple:
+                if i not in shingles:
+                    code, w = weighted_shingles(texts[i].as_py(), idf, of)
+                    shingles[i] = code, w.astype(np.float64), float(w.sum(dtype=np.float64))
+                return shingles[i]
+
+            links = []
+            for h, m in _to_meet(bucket, root, member, head, bands, sketch):
+                own = weights(h)
+                m = [i for i in m.tolist() if top(int(root[i])) != top(int(root[h]))]
+                parts = [weights(i) for i in m]
+                if not m:
+                    continue
+                ends = np.cumsum([len(p[0]) for p in parts])
+                code = np.concatenate([p[0] for p in parts])
+                at = np.minimum(np.searchsorted(own[0], code), len(own[0]) - 1)
+                low = np.where(own[0][at] == code, np.minimum(own[1][at], np.concatenate([p[1] for p in parts])), 0.0)
+                low = np.add.reduceat(low, np.append(0, ends[:-1]))
+                s = low / np.maximum(own[2] + np.array([p[2] for p in parts]) - low, 1e-300)
+                for k in np.flatnonzero(s >= least):
+                    x, y = top(int(root[m[k]])), top(int(root[h]))
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        links.append((int(doc[h]), int(doc[m[k]])))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after links (a, b) have joined components."""
+    at = lambda c: roots.select(F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))
+    joined = keep(links.join(at("a"), "a").join(at("b"), "b").select("root_a", "root_b"))
+    if not joined.head(1):
+        return roots
+    moved = components(joined, "root_a", "root_b").select(F.col("id").alias("root"), F.col("root").alias("to"))
+    return keep(roots.join(moved, "root", "left").select("doc_id", F.coalesce("to", "root").alias("root")))
 
 
 def classes(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
     """(doc_id, root): of each document in a bucket, the smallest doc_id of the component that verified links give.
 
-    buckets: (bucket, doc_id, sketch), texts: (doc_id, text). Texts are compared where sketches agree in AGREE samples.
-    The first round compares each document with a few neighbours, which joins groups of near copies. In each further one the first few members
-    outside the largest component of their bucket (HEADS, then GROWTH times as many, ...) meet all members of other components; links
-    found anywhere join components everywhere. A bucket is done when it lies in one component, or when every member outside
-    its largest one has met the others: then no pair of two components is left. So a group of near copies costs a few comparisons for each
-    member, not one for each pair.
+    buckets: (bucket, doc_id, bands, sketch), texts: (doc_id, text). Texts are compared where sketches agree in AGREE samples.
+    The first round compares each document with a few neighbours, which joins most of a group of near copies at the cost of sorting.
+    The second one is exhaustive: in each bucket that lies in several components, the members outside the largest one
+    meet all members of other components, in cells of bounded size (see _cells), each pair in the first bucket that it shares. Cells send
+    links that join components, never pairs, and only texts with someone to meet are moved.
     """
-    members = buckets.select("bucket", "doc_id", "sketch", F.col("doc_id").alias("root"), F.lit(False).alias("done"))
-    roots, known, heads = keep(buckets.select("doc_id").distinct().withColumn("root", F.col("doc_id"))), None, HEADS
-    new = _verified(_first_pairs(buckets), texts, idf)
-    at = lambda c: roots.select(F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))
-    while True:
-        known = new if known is None else known.union(new)
-        joined = new.where(F.col("s") >= least).join(at("a"), "a").join(at("b"), "b").select("root_a", "root_b")
-        if joined.head(1):
-            moved = components(joined, "root_a", "root_b").select(F.col("id").alias("root"), F.col("root").alias("to"))
-            to = F.coalesce("to", "root").alias("root")
-            roots = keep(roots.join(moved, "root", "left").select("doc_id", to))
-            members = members.join(moved, "root", "left").select("bucket", "doc_id", "sketch", to, "done")
-        members = _open(members)
-        place = Window.partitionBy("bucket").orderBy("doc_id")
-        own = members.where("root <> big and not done").withColumn("place", F.row_number().over(place)).where(F.col("place") <= heads)
-        own = keep(own.select("bucket", F.col("doc_id").alias("head"), F.col("root").alias("head_root"), F.col("sketch").alias("head_sketch")))
-        if not own.head(1):
-            return roots
-        met = _met(members, own).where("root <> head_root and (not done or doc_id < head)").where(agreeing("sketch", "head_sketch") >= AGREE)
-        pairs = met.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-        new = _verified(pairs.join(known, ["a", "b"], "left_anti"), texts, idf)
-        was = own.select("bucket", F.col("head").alias("doc_id"), F.lit(True).alias("compared"))
-        done = (F.col("done") | F.coalesce("compared", F.lit(False))).alias("done")
-        members, heads = members.join(was, ["bucket", "doc_id"], "left").select("bucket", "doc_id", "sketch", "root", done), GROWTH * heads
+    spark = buckets.sparkSession
+    roots = buckets.select("doc_id").distinct().withColumn("root", F.col("doc_id"))
+    first = _verified(_first_pairs(buckets), texts, idf)
+    roots = _merged(keep(roots), first.where(F.col("s") >= least).select("a", "b"))
+    n, key = n_partitions(spark), ["bucket", "i", "j"]
+    cells = _cells(_open(buckets.join(roots, "doc_id"))).repartition(n, *key).sortWithinPartitions(*key)
+    kinds = "bucket long, i long, j long, doc_id long, root long, member boolean, head boolean, bands array<long>, sketch array<long>"
+    left = keep(cells.mapInArrow(_open_rows, kinds))
+    full = left.join(texts, "doc_id").select(*left.columns, "text").repartition(n, *key).sortWithinPartitions(*key)
+    return _merged(roots, full.mapInArrow(_joined(idf, least), "a long, b long"))
 
 
 def _open(members: DataFrame) -> DataFrame:
     """members of buckets that lie in several components, with the root of the largest as big."""
     parts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     big = parts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("root")).alias("neg"))).alias("big"), F.count("*").alias("parts")).where("parts > 1")
-    return keep(members.drop("big").join(big.select("bucket", (-F.col("big.neg")).alias("big")), "bucket"))
+    return keep(members.join(big.select("bucket", (-F.col("big.neg")).alias("big")), "bucket"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -284,15 +410,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     Classes are the connected components of pairs with weighted Jaccard similarity >= least over TF-IDF weighted shingles
     of five words (see inverse_frequencies). Texts of the same words are one class from the start and enter the search
     once, so thousands of copies cost no more than one text. Texts without words (null and empty too) are alone, as are rows
-    of null doc_id, whose class_id is null. Rows that share a doc_id get the smallest of their texts' classes.
+    of null doc_id, whose class_id is null. Rows that share a doc_id get the smallest of their texts' classes; where they have
+    different texts, one text (the least digest) is searched under that doc_id beside those that other documents hold too.
     """
     rows = docs.select("doc_id", "text")
     idf = inverse_frequencies(rows)
     signed = keep(rows.mapInArrow(_signatures(idf), "doc_id long, g1 long, g2 long, bands array<long>, sketch array<long>"))
     same = keep(signed.groupBy("g1", "g2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    every = same.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc_id"), "sketch").dropDuplicates(["bucket", "doc_id"])
-    buckets = keep(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"))
-    texts = keep(rows.join(buckets.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    one = same.groupBy("rep").agg(F.min_by(F.struct("g1", "g2", "bands", "sketch"), F.struct("g1", "g2")).alias("s")).select(F.col("rep").alias("doc_id"), "s.*")
+    every = one.select(F.explode(F.array_distinct("bands")).alias("bucket"), "doc_id")
+    shared = every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket")
+    buckets = keep(shared.join(one.select("doc_id", "bands", "sketch"), "doc_id").select("bucket", "doc_id", "bands", "sketch"))
+    nodes = buckets.select("doc_id").distinct().join(one.select("doc_id", "g1", "g2"), "doc_id")
+    texts = keep(rows.join(nodes, "doc_id").mapInArrow(_own_texts, "doc_id long, text string").dropDuplicates(["doc_id"]))
     roots = classes(buckets, texts, idf, least)
     rep = same.join(roots, same["rep"] == roots["doc_id"], "left").select("g1", "g2", F.coalesce("root", "rep").alias("class_id"))
     member = signed.select("doc_id", "g1", "g2").join(rep, ["g1", "g2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
