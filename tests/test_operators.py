@@ -40,15 +40,37 @@ def test_forward_fill_over_union_of_dates(spark):
     assert values(S.forward_fill(df)) == [1.0, 2.0, 3.0, 7.0, 7.0, 7.0]
 
 
-def test_p_values():
-    assert P.two_sided_p(2.0, 10) == pytest.approx(0.0734, abs=1e-4)
-    assert P.two_sided_p(0.0, 10) == pytest.approx(1.0)
-
-
-def test_false_discovery_is_monotone(spark):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.001, 0.02, 0.03, 0.9])], "k int, p double")
-    got = [r["adjusted_p"] for r in P.false_discovery(df, ["k"], 1.0).orderBy("p").collect()]
-    assert got == pytest.approx([0.004, 0.04, 0.04, 0.9])
+def test_p_values(spark):
+    p = P.two_sided_p([2.0, -2.0, 0.0, 1.0, 40.0, 1e-9, 2.0, 1.0], [10, 10, 10, 1, 3000, 5, 0, 2])
+    assert p[:4] == pytest.approx([0.0734, 0.0734, 1.0, 0.5], abs=1e-4) and p[4] == pytest.approx(0, abs=1e-200) and p[5] == pytest.approx(1)
+    assert math.isnan(p[6]) and p[7] == pytest.approx(0.42265, abs=1e-5)
+    t = [0.3, 5.0, 1.7, 2.0]
+    assert list(P.two_sided_p(t, 47)) == [float(P.two_sided_p(x, 47)) for x in t]  # whatever stands beside it
+    rows = spark.createDataFrame([(1, 1.0, 2), (2, None, 9), (3, 0.0, 3)], "k int, t double, n int")
+    assert {r["k"]: r["p"] for r in P.p_values(rows).collect()} == {1: None, 2: None, 3: 1.0}
+
+
+def plain_adjusted(p):
+    order, m = sorted(range(len(p)), key=lambda i: p[i]), len(p)
+    out, low = [0.0] * m, 1.0
+    for place in range(m, 0, -1):
+        i = order[place - 1]
+        low = min(low, p[i] * m / place)
+        out[i] = low
+    return out
+
+
+def test_false_discovery_is_that_of_a_plain_loop(spark):
+    import random
+
+    r = random.Random(2)
+    p = [r.random() ** 8 for _ in range(300)] + [r.random() for _ in range(300)] + [0.0, 0.0, 1.0, 1.0, 0.25, 0.25, 1 / 1024, 1e-300]
+    df = spark.createDataFrame(list(enumerate(p)) + [(9999, None)], "k int, p double")
+    got = {r["k"]: r["adjusted_p"] for r in P.false_discovery(df, 1.0).collect()}
+    assert [got[i] for i in range(len(p))] == pytest.approx(plain_adjusted(p)) and len(got) == len(p)
+    assert P.false_discovery(df.limit(0)).count() == 0
+    few = {r["k"] for r in P.false_discovery(df, 0.1).collect()}
+    assert few == {i for i, a in enumerate(plain_adjusted(p)) if a <= 0.1}
 
 
 def test_leader_is_b(spark):
@@ -58,14 +80,33 @@ def test_leader_is_b(spark):
     assert all(r["x"] == r["y"] for r in rows) and len(rows) == 4
 
 
-def test_glasso_drops_the_confounded_edge(spark):
+def test_glasso_meets_its_conditions():
+    """At the optimum cov - w is the penalty times a sign where the precision is not zero, at most the penalty elsewhere, and zero on the diagonal."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     z = rng.normal(size=300)
-    x = np.stack([z, z + 0.3 * rng.normal(size=300), z + 0.3 * rng.normal(size=300)])
-    theta = P.graphical_lasso(np.cov(x, ddof=0), 0.05)
-    assert np.allclose(theta, theta.T) and abs(theta[1, 2]) < min(abs(theta[0, 1]), abs(theta[0, 2]))
+    x = np.stack([z, z + 0.3 * rng.normal(size=300), z + 0.3 * rng.normal(size=300), *rng.normal(size=(5, 300))])
+    cov = np.cov(x, ddof=0)
+    for alpha in (0.02, 0.1, 0.4):
+        theta = P.graphical_lasso(cov, alpha, tol=1e-8)
+        gap, off = np.linalg.inv(theta) - cov, ~np.eye(len(cov), dtype=bool)
+        assert np.abs(np.diag(gap)).max() < 1e-5 and np.abs(gap[off]).max() < alpha + 1e-5
+        on = off & (theta != 0)
+        assert np.abs(gap[on] - alpha * np.sign(theta[on])).max(initial=0) < 1e-5 and (theta[off] == 0).any()
+    theta = P.graphical_lasso(cov, 0.05)
+    assert abs(theta[1, 2]) < min(abs(theta[0, 1]), abs(theta[0, 2]))
+
+
+def test_partial_correlations_leave_out_what_is_empty(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(120, 3))
+    x[:, 2] += x[:, 0]
+    rows = [(k, i, float(x[i, j])) for j, k in enumerate("abc") for i in range(120) if (j, i) != (1, 7)] + [("none", i, None) for i in range(120)] + [("b", 7, None)]
+    got = P.partial_correlations(spark.createDataFrame(rows, "key string, date int, value double")).collect()
+    assert {r["n"] for r in got} == {119} and max(got, key=lambda r: abs(r["partial_r"]))["b"] == "c"
+    assert P.partial_correlations(spark.createDataFrame([], "key string, date int, value double")).count() == 0
 
 
 def test_bootstrap_is_that_of_numpy(spark):
@@ -76,7 +117,7 @@ def test_bootstrap_is_that_of_numpy(spark):
     got = {r["a"]: r for r in P.bootstrap(spark.createDataFrame(rows[::-1], "a string, idx int, x double, y double"), ["a"]).collect()}
     r = [np.corrcoef(*x[at].argsort(0).argsort(0).T)[0, 1] for at in np.random.default_rng(42).integers(0, 20, (1000, 20))]
     assert [got["p"]["low"], got["p"]["high"]] == pytest.approx(list(np.percentile(r, [2.5, 97.5])))
-    assert got["p"]["n"] == 20 and (got["q"]["n"], got["q"]["low"], got["q"]["high"]) == (5, None, None)
+    assert got["p"]["n"] == 20 and (got["q"]["n"], got["q"]["low"], got["q"]["high"], got["q"]["excludes_zero"]) == (5, None, None, False)
 
 
 def test_bootstrap_has_every_monthly_pair(spark):
@@ -86,13 +127,99 @@ def test_bootstrap_has_every_monthly_pair(spark):
     assert pairs("bootstrap_ci") == pairs("monthly_join")
 
 
-def test_lags_by_kind(spark):
-    df = spark.range(70).select(F.explode(F.array(*map(F.lit, ["asset:A", "asset:B", "indicator:X"]))).alias("key"), F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("date"), F.rand(1).alias("value"))
-    n = {(r["a"], r["b"], r["lag"]): r["count"] for r in P.lagged_by_kind(df).groupBy("a", "b", "lag").count().collect()}
-    want = {("asset:A", "asset:B", 0), ("asset:A", "indicator:X", 0), ("asset:B", "indicator:X", 0)}
-    want |= {(a, b, k) for a, b in (("asset:A", "asset:B"), ("asset:B", "asset:A")) for k in (1, 2, 3, 5, 10)}
-    want |= {p for a in ("asset:A", "asset:B") for k in (1, 2, 3, 5, 10, 21, 63) for p in ((a, "indicator:X", k), ("indicator:X", a, k))}
-    assert set(n) == want and all(v == 70 - k for (_, _, k), v in n.items())
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_pair_statistics_are_those_of_numpy(spark, blocks):
+    """Gaps, a constant, a short series and a following one; blocks change nothing."""
+    import numpy as np
+
+    rng, size = np.random.default_rng(6), 90
+    x = {k: rng.normal(size=size) for k in ("asset:A", "asset:B", "indicator:X", "asset:C", "asset:S")}
+    x["asset:B"][5:20] = np.nan
+    x["asset:C"][:] = 3.0
+    x["asset:S"][: size - 25] = np.nan
+    x["asset:A"][2:] += 4 * x["indicator:X"][:-2]
+    rows = [(k, i, None if np.isnan(v) else float(v)) for k, vs in x.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "key string, date int, value double")
+    got = {(r["a"], r["b"], r["lag"]): r for r in P.pair_statistics(df, [0, 1], [0, 1, 2], least_n=20, tests=True, blocks=blocks).collect()}
+    want = {}
+    for a in x:
+        for b in x:
+            for lag in (0, 1, 2):
+                if a == b or (lag == 0 and a > b) or (lag == 2 and "indicator:X" not in (a, b)):
+                    continue
+                u, v = x[a][lag:], x[b][: size - lag]
+                on = ~np.isnan(u + v)
+                if on.sum() >= 20 and u[on].std() > 0 and v[on].std() > 0:
+                    want[a, b, lag] = np.corrcoef(u[on], v[on])[0, 1], on.sum()
+    assert set(got) == set(want) and all(got[k]["r"] == pytest.approx(r) and got[k]["n"] == n for k, (r, n) in want.items())
+    half = [np.corrcoef(x["asset:A"][p][2:], x["indicator:X"][p][:-2])[0, 1] for p in (slice(0, 45), slice(45, None))]
+    assert [got["asset:A", "indicator:X", 2][c] for c in ("r1", "r2")] == pytest.approx(half)
+    whole = {(r["a"], r["b"], r["lag"]): r["n"] for r in P.pair_statistics(df, [0, 1], [0, 1, 2], least_n=20, complete=True, min_obs=60, blocks=blocks).collect()}
+    assert set(whole.values()) == {size - 2 - 17} and not any("asset:S" in k or "asset:C" in k for k in whole)
+    assert P.pair_statistics(df.limit(0)).count() == 0
+
+
+def test_daily_run_finds_the_planted_leader(spark):
+    """A follows X by two days; of two series of one group none is linked; noise is not."""
+    import numpy as np
+
+    from tidesmith.operators import pipelines
+
+    rng, size = np.random.default_rng(8), 300
+    x = {k: rng.normal(size=size) for k in ("asset:A", "asset:N", "asset:G", "asset:H", "indicator:X", "asset:LATE", "asset:MKT")}
+    x["asset:H"] = x["asset:G"] + 0.1 * rng.normal(size=size)
+    x["asset:A"][3:] = 0.02 * x["indicator:X"][1:-2] + 0.003 * rng.normal(size=size - 3)
+    walk = {k: 100 * np.exp(0.01 * np.cumsum(v)) if k != "asset:A" else 100 * np.exp(np.cumsum(v)) for k, v in x.items() if k.startswith("asset:")}
+    walk["indicator:X"] = np.cumsum(x["indicator:X"])
+    rows = [(k, i, float(v)) for k, vs in walk.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "key string, i int, value double").select("key", F.date_add(F.lit("2024-01-01"), F.col("i")).alias("date"), "value")
+    few = lambda kind, *r: spark.createDataFrame(list(r), kind)
+    kinds = few("key string, category string", *((k, "equity") for k in walk))
+    got = pipelines.daily(df, 252, few("id string", ("LATE",)), "asset:MKT", few("key string, sector_key string"), few("key string, grp string", ("asset:G", "g"), ("asset:H", "g")), kinds, few("lo string, hi string")).collect()
+    assert {(r["a"], r["b"], r["lag"], r["direction"], r["tier"], r["method"]) for r in got} == {("asset:A", "indicator:X", 2, "positive", "strong", "pearson")}
+    assert got[0]["n"] > 150 and got[0]["stability"] > 0.7 and got[0]["p"] < 1e-6
+    none = pipelines.daily(df, 252, few("id string", ("LATE",)), "asset:MKT", few("key string, sector_key string"), few("key string, grp string"), kinds, few("lo string, hi string", ("equity", "equity")))
+    assert none.count() == 0
+
+
+def test_monthly_stability_and_flags(spark):
+    rows = [("steady", i, float(i), float(i)) for i in range(24)] + [("turns", i, float(i), float(min(i, 24 - i))) for i in range(24)] + [("few", i, float(i), float(-i)) for i in range(8)] + [("flat", i, 1.0, float(i)) for i in range(20)]
+    got = {r["a"]: (r["sign_ok"], r["tercile_ok"], r["magnitude_ok"]) for r in P.monthly_stability(spark.createDataFrame([(a, "x", *r) for a, *r in rows], "a string, b string, idx int, x double, y double")).collect()}
+    assert got == {"steady": (True, True, True), "turns": (False, False, got["turns"][2]), "few": (True, True, True), "flat": (False, False, False)}
+
+
+def test_a_month_that_is_skipped_leaves_two_gaps(spark):
+    df = spark.createDataFrame([("indicator:X", "2024-01-31", 1.0), ("indicator:X", "2024-03-31", 4.0), ("indicator:Y", "2024-02-15", 1.0), ("indicator:X", "2024-04-30", 6.0)], "key string, date string, value double").withColumn("date", F.to_date("date"))
+    got = {(r["key"][-1], r["date"].month): r["value"] for r in S.monthly_changes(df).collect()}
+    assert got == {("X", 2): None, ("X", 3): None, ("X", 4): 2.0, ("Y", 2): None, ("Y", 3): None, ("Y", 4): None}
+
+
+def test_duplicate_keys_are_refused(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert G.insert_new(old, spark.createDataFrame([(2, "b")], "k int, v string"), ["k"]).count() == 2
+    with pytest.raises(Exception, match="duplicate key"):
+        G.insert_new(old, spark.createDataFrame([(1, "b")], "k int, v string"), ["k"]).collect()
+
+
+def test_partial_edges_are_replaced_by_five_columns(spark):
+    kinds = "a string, b string, lag int, method string, window_days int, r double, status string, verdict string"
+    old = spark.createDataFrame([("x", "y", 0, "partial", 63, 0.2, "candidate", None), ("x", "z", 0, "partial", 63, 0.3, "active", "plausible"), ("x", "y", 0, "pearson", 63, 0.4, "candidate", None), ("x", "y", 0, "partial", 252, 0.5, "candidate", None)], kinds)
+    new = spark.createDataFrame([("x", "w", 0, "partial", 63, 0.9, "candidate")], kinds.rsplit(",", 1)[0])
+    got = {(r["b"], r["method"], r["window_days"], r["r"]) for r in G.replace_partial(old, new, 63).collect()}
+    assert got == {("z", "partial", 63, 0.3), ("y", "pearson", 63, 0.4), ("y", "partial", 252, 0.5), ("w", "partial", 63, 0.9)}
+
+
+def test_admission_by_age_and_url(spark):
+    rows = [("f", 1, "u1", "2024-01-05"), ("f", 2, "u2", "2023-01-01"), ("f", 3, "u3", "when?"), ("f", 4, "u1", "2024-01-05"), ("f", 5, "", None), ("g", 1, "known", None)]
+    articles = spark.createDataFrame(rows, "feed string, pos int, url string, published string")
+    got = X.admit(articles, spark.createDataFrame([("known",)], "url string"), 20, F.to_timestamp(F.lit("2024-01-01"))).collect()
+    assert sorted((r["url"], r["pos"]) for r in got) == [("u1", 1), ("u3", 3)]
+
+
+def test_names_of_several_words(spark):
+    texts = spark.createDataFrame([(1, "Shares of A.T.&T. Corp. rose"), (2, "at t corp"), (3, None), (4, "")], "doc_id int, text string")
+    names = spark.createDataFrame([("A.T.&T. Corp",), ("Corp",), ("...",)], "name string")
+    assert sorted(tuple(r) for r in X.mentions(texts, names).collect()) == [(1, "A.T.&T. Corp"), (1, "Corp"), (2, "Corp")]
 
 
 def test_lagged_links_of_market_series(spark):

@@ -35,12 +35,105 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), "rel_type")).distinct()
 
 
+def node(nodes: DataFrame, label: str, name: str) -> DataFrame:
+    """The node of a label and an id; the predicate reaches the scan."""
+    return nodes.where((F.col("label") == label) & (F.col("id") == name))
+
+
+def entity_list(nodes: DataFrame, labels: list[str]) -> DataFrame:
+    """All nodes of the labels with an id and a name, in order of names."""
+    return nodes.where(F.col("label").isin(labels) & F.col("id").isNotNull() & F.col("name").isNotNull()).orderBy("name", "label", "id")
+
+
+def insert_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old and new; fails when it is run if a key of new repeats, there or in old."""
+    every = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    whole = Window.partitionBy(*key)
+    twice = (F.count("*").over(whole) > 1) & (F.max("_new").over(whole) == 1)
+    checked = every.withColumn("_bad", F.when(twice, F.raise_error(F.concat_ws(" ", F.lit("duplicate key"), *(F.col(k).cast("string") for k in key)))))
+    return checked.where(F.col("_bad").isNull()).select(*old.columns)
+
+
+def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (from_id, rel_type, to_id, props map) after new ones with both ends among nodes are merged in, property by property."""
+    return overlay(old, edges_between(new, nodes), ["from_id", "rel_type", "to_id"])
+
+
+def upsert_mentions(old: DataFrame, found: DataFrame, nodes: DataFrame, at: Column) -> DataFrame:
+    """MENTIONS edges (url, id, matched_at) after articles' ids (url, ids) are merged in: known ids only, once each, matched now."""
+    new = found.select("url", F.explode("ids").alias("id")).distinct().join(nodes.select("id").distinct(), "id", "left_semi").withColumn("matched_at", at)
+    return upsert(old, new.select(*old.columns), ["url", "id"], ["matched_at"])
+
+
+def article_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Articles by url: a known url gets the new values of all columns but its status, a new one comes whole; of repeated new urls the first by position."""
+    first = first_of(new, ["url"], ["pos"]).select(*old.columns)
+    return upsert(old, first, ["url"], [c for c in old.columns if c not in ("url", "status")])
+
+
+def raw_articles(articles: DataFrame, since: Column | None = None) -> DataFrame:
+    """Articles that wait, with a summary, newest first; with `since`, only those collected from then on."""
+    some = articles.where("status = 'raw' and trim(summary) <> ''")
+    return (some if since is None else some.where(F.col("collected_at") >= since)).orderBy(F.desc("collected_at"), "url")
+
+
+def article_status(articles: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Articles after a run. outcomes: (url, ok). raw ones become mentions_done or mentions_failed; raw ones without a summary are skipped; all others stay."""
+    new = F.when(F.col("status") != "raw", F.col("status")).when(F.coalesce(F.trim("summary"), F.lit("")) == "", "skipped_no_summary").when(F.col("_ok"), "mentions_done").when(~F.col("_ok"), "mentions_failed").otherwise(F.col("status"))
+    by_url = outcomes.groupBy("url").agg(F.bool_or("ok").alias("_ok"))
+    return articles.join(by_url, "url", "left").withColumn("status", new).select(*articles.columns)
+
+
+def pending(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
+    """The strongest edges that wait for a verdict, with names and kinds of both ends: a report of at most so many."""
+    at = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"), F.when(F.col("label") == "Indicator", "indicator").otherwise("asset").alias(f"{c}_type"))
+    on = edges.where("status = 'pending_verification'").join(at("a"), "a").join(at("b"), "b")
+    return on.orderBy(F.desc(F.abs("r")), "a", "b").limit(most)
+
+
+CANDIDATE = ["a", "b", "lag", "method", "window_days"]
+
+
 def replace_candidates(old: DataFrame, new: DataFrame, key: list[str], window: int) -> DataFrame:
-    """The edge set after a run: candidates of this window without a verdict go, new ones come; a verdict keeps its status."""
+    """The edge set (key, window_days, r, status, verdict) after a run: candidates of this window without a verdict go, new ones come; a verdict keeps its status.
+
+    The result has the columns of old, so it can be old for the next window. Edges of other windows are others, even of the same key.
+    """
     stays = old.where(~((F.col("status") == "candidate") & (F.col("window_days") == window) & F.col("verdict").isNull()))
-    n = new.select(*key, F.col("r").alias("new_r"), F.lit(True).alias("is_new"))
-    status = F.when(F.col("verdict").isNotNull(), F.col("status")).when(F.col("is_new"), F.lit("candidate")).otherwise(F.col("status"))
-    return stays.join(n, key, "full").select(*key, F.coalesce("new_r", "r").alias("r"), status.alias("status"), "verdict")
+    every = [*key, "window_days"]
+    n = new.select(*key, F.lit(window).alias("window_days"), F.col("r").alias("_r"), F.lit(True).alias("_new"))
+    status = F.when(F.col("verdict").isNotNull(), F.col("status")).when(F.col("_new"), F.lit("candidate")).otherwise(F.col("status"))
+    return stays.join(n, every, "full").select(*every, F.coalesce("_r", "r").alias("r"), status.alias("status"), "verdict")
+
+
+def replace_partial(old: DataFrame, new: DataFrame, window: int) -> DataFrame:
+    """Edges (CANDIDATE, r, status, verdict) after a partial run: those of its method and window without a verdict go, then new ones are merged in by five columns."""
+    mine = (F.col("method") == "partial") & (F.col("window_days") == window) & F.col("verdict").isNull()
+    n = new.withColumn("verdict", F.lit(None).cast("string")).select(*old.columns)
+    return upsert(old.where(~mine), n, CANDIDATE, ["r", "status"])
+
+
+def write_verdicts(edges: DataFrame, results: DataFrame) -> DataFrame:
+    """Edges after a verification: the ones with a result get its verdict and the status that follows. results: (a, b, method, window_days, verdict)."""
+    key = ["a", "b", "method", "window_days"]
+    new = first_of(results.select(*key, F.col("verdict").alias("_verdict")), key, ["_verdict"])
+    both = edges.join(new, key, "left")
+    return both.select(*((F.coalesce("_verdict", "verdict") if c == "verdict" else F.when(F.col("_verdict").isNotNull(), verdict_status(F.col("_verdict"))).otherwise(F.col("status")) if c == "status" else F.col(c)).alias(c) for c in edges.columns))
+
+
+def run_record(results: DataFrame, run: str, started: Column, finished: Column) -> tuple[DataFrame, DataFrame]:
+    """(one audit row of a verification run, its result rows): counts by verdict, and each result under the run's id; a missing method is partial."""
+    v = F.col("verdict")
+    counts = results.agg(F.count("*").alias("total_pairs"), F.count_if(v.startswith("confirmed_") | v.startswith("likely_")).alias("promoted"), F.count_if(v == "spurious").alias("rejected"), F.count_if(v == "uncertain").alias("uncertain"))
+    took = (F.unix_seconds(finished.cast("timestamp")) - F.unix_seconds(started.cast("timestamp"))).alias("duration_seconds")
+    own = results.withColumn("method", F.coalesce("method", F.lit("partial")))
+    return counts.select(F.lit(run).alias("run_id"), started.alias("started_at"), finished.alias("finished_at"), took, "*"), own.select(F.lit(run).alias("run_id"), *own.columns)
+
+
+def mention_totals(results: DataFrame) -> DataFrame:
+    """Of a run's articles (ok, ids): how many, how many failed, mentions in all and on average of those that went well."""
+    n = F.size(F.coalesce("ids", F.array().cast("array<string>")))
+    return results.agg(F.count("*").alias("articles"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.when(F.col("ok"), n).otherwise(0)).alias("mentions"), F.avg(F.when(F.col("ok"), n)).alias("average"))
 
 
 def verdict_status(verdict: Column) -> Column:

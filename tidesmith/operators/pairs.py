@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidesmith.operators.series import by_key
+from tidesmith.sources.kept import keep
 
 
 #: Lags of pairs of assets, and of pairs with an indicator.
@@ -21,8 +22,8 @@ def pearson(x: str, y: str) -> Column:
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    """df with idx, the place of its date among all dates; the window runs over the few distinct dates alone."""
-    dates = df.select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")))
+    """df with idx, the place of its date among all dates, from 0; the window runs over the few distinct dates alone."""
+    dates = df.select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")) - 1)
     return df.join(F.broadcast(dates), "date")
 
 
@@ -31,23 +32,127 @@ def lagged(df: DataFrame, lags: list[int]) -> DataFrame:
 
     The join key is made on one side, so Spark joins by hash; each pair and lag costs one row a date.
     """
-    on = indexed(df.where("value is not null"))
+    on = indexed(df).where("value is not null")
     left = on.select(F.col("key").alias("a"), F.col("idx"), F.col("value").alias("x")).withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("at", F.col("idx") - F.col("lag"))
     right = on.select(F.col("key").alias("b"), F.col("idx").alias("at"), F.col("value").alias("y"))
     return left.join(right, "at").where("(lag = 0 and a < b) or (lag > 0 and a <> b)").select("a", "b", "lag", "idx", "x", "y")
 
 
-def lagged_by_kind(df: DataFrame) -> DataFrame:
-    """lagged, at MACRO_LAGS where an indicator takes part and at LAGS elsewhere."""
-    macro = F.col("a").startswith("indicator:") | F.col("b").startswith("indicator:")
-    return lagged(df, MACRO_LAGS).where(F.col("lag").isin(LAGS) | macro)
-
-
 def correlations(rows: DataFrame, least: int = 30) -> DataFrame:
     """(a, b, lag, r, n) of pairs with at least so many common rows and some variance."""
     return rows.groupBy("a", "b", "lag").agg(pearson("x", "y").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull())
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their mean."""
+    _, at, times = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(times) - (times - 1) / 2)[at]
+
+
+def _r(x: np.ndarray, y: np.ndarray, least: int = 2) -> float:
+    if len(x) < least:
+        return np.nan
+    x, y = x - x.mean(), y - y.mean()
+    scale = np.sqrt((x @ x) * (y @ y))
+    return float(x @ y / scale) if scale > 1e-12 else np.nan
+
+
+def _tests(x: np.ndarray, y: np.ndarray, lag: int, half_n: int) -> tuple[float, int, float, float]:
+    """Of a pair of whole series, y leading by lag: rank correlation and its rows, and r in either half, shifted inside it."""
+    shift = lambda u, v: (u[lag:], v[: len(v) - lag])
+    both = lambda u, v: (u[~np.isnan(u + v)], v[~np.isnan(u + v)])
+    u, v = both(*shift(x, y))
+    middle = len(x) // 2
+    halves = [_r(*both(*shift(x[part], y[part])), half_n) for part in (slice(0, middle), slice(middle, None))]
+    return _r(_ranks(u), _ranks(v)), len(u), *halves
+
+
+def _cell(lags: list[int], macro_lags: list[int], least_n: int, least_r: float, tests: bool, half_n: int):
+    """Task over the series of one or two blocks: all pairs between them (of one block: within it) at all lags, by products of matrices."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", ignore_index=True)
+        size, names, block = int(pdf["size"].iloc[0]), pdf["key"].to_numpy(str), pdf["block"].to_numpy()
+        x = np.full((len(pdf), size), np.nan)
+        for row, (idx, value) in enumerate(zip(pdf["idx"], pdf["value"])):
+            x[row, np.asarray(idx, np.int64)] = value
+        has = ~np.isnan(x)
+        centred = np.where(has, x - np.where(has, x, 0).sum(1, keepdims=True) / np.maximum(has.sum(1, keepdims=True), 1), 0.0)
+        left = has
+        if pdf["complete"].iloc[0] is not None:
+            left = has & np.isin(np.arange(size), np.asarray(pdf["complete"].iloc[0], np.int64))
+        meet = np.ones((len(pdf),) * 2, bool) if len(set(block)) == 1 else block[:, None] != block[None, :]
+        macro = np.char.startswith(names, "indicator:")
+        out: list[tuple] = []
+        for lag in sorted({*lags, *macro_lags}):
+            if lag >= size:
+                continue
+            m, u = left[:, lag:].astype(float), np.where(left, centred, 0.0)[:, lag:]
+            w, v = has[:, : size - lag].astype(float), centred[:, : size - lag]
+            n, sx, sy = m @ w.T, u @ w.T, m @ v.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                vx, vy = (u * u) @ w.T - sx * sx / n, m @ (v * v).T - sy * sy / n
+                r = np.where((vx > 1e-12) & (vy > 1e-12), (u @ v.T - sx * sy / n) / np.sqrt(vx * vy), np.nan)
+            on = meet & (n >= least_n) & (np.abs(r) >= least_r)
+            on &= np.triu(np.ones_like(on), 1) if lag == 0 else ~np.eye(len(pdf), dtype=bool)
+            on &= (macro[:, None] | macro[None, :] | (lag in lags)) & ((lag in macro_lags) | ~(macro[:, None] | macro[None, :]))
+            on &= np.array([lag in k and 0 in k for k in pdf["kept"]])[None, :] & np.array([0 in k for k in pdf["kept"]])[:, None]
+            for i, j in zip(*np.nonzero(on)):
+                more = _tests(x[i], x[j], lag, half_n) if tests else ()
+                out.append((names[i], names[j], lag, float(r[i, j]), int(n[i, j]), *more))
+        return pd.DataFrame(out, columns=_PAIRS[: 9 if tests else 5])
+
+    return run
+
+
+_PAIRS = ["a", "b", "lag", "r", "n", "rho", "rho_n", "r1", "r2"]
+
+
+def pair_statistics(
+    df: DataFrame, lags: list[int] = LAGS, macro_lags: list[int] = MACRO_LAGS, least_n: int = 30, least_r: float = 0.0,
+    complete: bool = False, min_obs: int = 0, tests: bool = False, half_n: int = 20, blocks: int = 4,
+) -> DataFrame:
+    """(a, b, lag, r, n) of all pairs of series of a spine (key, date, value); b leads by lag rows; lag 0 once for a < b.
+
+    Pairs with an indicator take macro_lags, others lags. Rows with a null in either series are left out pair by pair; with `complete`,
+    n is the number of dates on which no series misses a value at any lag (a series at a lag that leaves it fewer than
+    min_obs values, or no variance, takes no part). Pairs with fewer than least_n rows, weaker than least_r, or without variance go.
+    tests adds rho and rho_n (rank correlation on the pair's own rows), r1 and r2 (r in either half of the spine, null
+    under half_n rows).
+
+    A series is packed into one row, its dates being a few thousand. Series are dealt to `blocks` by a hash, and each pair of blocks is
+    one task's matrix product, so a series moves `blocks` times and no row is made for a pair's dates. Empty input: empty result.
+    """
+    every = sorted({*lags, *macro_lags})
+    on = indexed(df.select("key", "date", "value"))
+    size = on.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("size")).scalar()
+    packed = on.where("value is not null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v")).select("key", F.col("v.idx").alias("idx"), F.col("v.value").alias("value"), size.alias("size"))
+
+    @F.pandas_udf("array<int>")
+    def usable(idx: pd.Series, value: pd.Series, size: pd.Series) -> pd.Series:
+        def of(i, v, t):
+            left = [(k, np.asarray(v)[np.asarray(i) + k < t]) for k in every]
+            return [k for k, x in left if len(x) >= max(1, min_obs) and x.std() >= 1e-10]
+
+        return pd.Series([of(*x) for x in zip(idx, value, size)])
+
+    packed = packed.withColumn("kept", usable("idx", "value", "size") if complete else F.array(*map(F.lit, every)))
+    if complete:
+        rows = packed.select("size", "kept", F.explode("idx").alias("idx")).select("size", "idx", F.explode("kept").alias("lag")).select((F.col("idx") + F.col("lag")).alias("idx"), "size").where("idx < size")
+        full = packed.agg(F.sum(F.size("kept")).alias("k")).scalar()
+        dates = rows.groupBy("idx").agg(F.count("*").alias("k")).where(F.col("k") == full).agg(F.collect_list("idx").alias("dates"))
+        packed = packed.withColumn("complete", dates.scalar())
+    else:
+        packed = packed.withColumn("complete", F.lit(None).cast("array<int>"))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    dealt = packed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    kinds = "a string, b string, lag int, r double, n long" + ", rho double, rho_n long, r1 double, r2 double" * tests
+    found = dealt.groupBy("i", "j").applyInPandas(_cell(lags, macro_lags, least_n, least_r, tests, half_n), kinds)
+    null = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
+    return found.select(*(null(c) if t == "double" else F.col(c) for c, t in found.dtypes))
+
+
 def listwise(df: DataFrame) -> DataFrame:
     """Dates on which every series has a value."""
     keys = df.select("key").distinct().agg(F.count("*").alias("k"))
@@ -71,109 +176,164 @@ def t_statistic(r: Column, n: Column) -> Column:
     return clipped * F.sqrt((n - 2) / (1 - clipped * clipped))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
+def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(|T| >= |t|) of Student's distribution, of arrays; NaN where df is not positive.
+
+    The incomplete beta function by its continued fraction (modified Lentz), on the side where that converges fast.
+    """
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    on = (df > 0) & np.isfinite(t)
+    df, t = np.where(on, df, 1.0), np.where(on, t, 0.0)
+    x, a, b = df / (df + t * t), df / 2, np.full(df.shape, 0.5)
+    front = np.array([math.lgamma(p + 0.5) - math.lgamma(p) - math.lgamma(0.5) for p in a.ravel()]).reshape(a.shape)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.where((x > 0) & (x < 1), np.exp(front + a * np.log(x) + b * np.log1p(-x)), 0.0)
+    swap = x >= (a + 1) / (a + b + 2)
+    a, b, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    safe = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(z), 1 / safe(1 - (a + b) * z / (a + 1))
+    h, live = d.copy(), np.ones_like(z, bool)
     for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
+        for num in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / safe(1 + num * d), safe(1 + num / c)
+            h = np.where(live, h * d * c, h)  # what has converged stays, so a value does not depend on its neighbours
+        live &= np.abs(d * c - 1) >= 1e-14
+        if not live.any():
             break
-    return h
-
-
-def two_sided_p(t: float, df: float) -> float:
-    """P(|T| >= |t|) of Student's distribution."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 1.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+    part = front * h / a
+    return np.where(on, np.clip(np.where(swap, 1 - part, part), 0.0, 1.0), np.nan)
 
 
 def p_values(df: DataFrame) -> DataFrame:
-    """df (with t and n) and p."""
+    """df (with t and n) and p; null where n is under 3 or t is null."""
 
     @F.pandas_udf("double")
     def tail(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([two_sided_p(float(a), float(b) - 2) for a, b in zip(t, n)])
+        return pd.Series(two_sided_p(t.to_numpy(float), n.to_numpy(float) - 2))
 
-    return df.withColumn("p", tail("t", "n"))
+    return df.withColumn("p", F.when(F.col("t").isNotNull() & (F.col("n") >= 3), F.nanvl(tail("t", "n"), F.lit(None).cast("double"))))
 
 
-def false_discovery(df: DataFrame, order: list[str], alpha: float = 0.10) -> DataFrame:
-    """Benjamini-Hochberg: rows whose adjusted p is at most alpha. The family is what has passed the strength filter."""
-    by_p = Window.orderBy("p", *order)
-    ranked = df.withColumn("rank", F.row_number().over(by_p)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    adjusted = F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("rank")).over(Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)))
-    return ranked.withColumn("adjusted_p", adjusted).where(F.col("adjusted_p") <= alpha).drop("rank", "m")
+def _place_of(p: Column) -> Column:
+    """A whole number that never falls as p rises, of few values: even steps above 1/1024, steps of a 16th of a power of two below."""
+    return F.when(p >= 1 / 1024, F.floor(p * 1024)).otherwise(F.coalesce(F.floor(F.log2(F.when(p > 0, p)) * 16), F.lit(-100_000)))
 
 
-def split_half(rows: DataFrame, least_r: float = 0.4, least_n: int = 20) -> DataFrame:
-    """(a, b, lag, r1, r2, stability) of pairs strong in either half of the dates, each with enough rows."""
-    middle = rows.agg(F.floor(F.countDistinct("idx") / 2).alias("half"), F.min("idx").alias("start"))
-    half = F.when(F.col("idx") - F.col("start") < F.col("half"), 1).otherwise(2)
-    parts = rows.join(F.broadcast(middle)).groupBy("a", "b", "lag", half.alias("part")).agg(pearson("x", "y").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least_n)
+def false_discovery(df: DataFrame, alpha: float = 0.10) -> DataFrame:
+    """Benjamini-Hochberg: rows whose adjusted p is at most alpha. The family is what has passed the strength filter; rows of null p are no part of it.
+
+    Ties share the rank of their last, so only distinct p and their counts matter: those are summed up before anything moves. Running
+    sums and minima are taken within places of p (see _place_of), each a key of its own, and carried over by the totals of the places, of
+    which there are at most some 18,000. df is written once: rows meet their adjusted p by p itself, which must not be computed twice.
+    """
+    df = keep(df)
+    counts = df.where("p is not null").groupBy("p").agg(F.count("*").alias("k")).withColumn("place", _place_of(F.col("p")))
+    up, down = Window.partitionBy("place").orderBy("p"), Window.partitionBy("place").orderBy(F.desc("p"))
+    totals = counts.groupBy("place").agg(F.sum("k").alias("total"))
+    before = totals.select("place", (F.sum("total").over(Window.orderBy("place")) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy()).alias("m"))
+    raw = counts.join(F.broadcast(before), "place").withColumn("raw", F.col("p") * F.col("m") / (F.col("before") + F.sum("k").over(up)))
+    lows = raw.groupBy("place").agg(F.min("raw").alias("low"))
+    above = lows.select("place", F.min("low").over(Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
+    adjusted = raw.join(F.broadcast(above), "place").select("p", F.least(F.lit(1.0), F.coalesce("above", F.lit(1.0)), F.min("raw").over(down)).alias("adjusted_p"))
+    return df.join(adjusted.where(F.col("adjusted_p") <= alpha), "p")
+
+
+def split_half(rows: DataFrame, dates: DataFrame, least_r: float = 0.4, least_n: int = 20) -> DataFrame:
+    """(a, b, lag, r1, r2, stability) of pairs strong in either half of the spine, each with enough rows.
+
+    rows: (a, b, lag, idx, x, y); dates: the spine's (date). A lag is taken inside a half, so rows that reach over the middle count in neither.
+    """
+    middle = F.floor(dates.select("date").distinct().agg(F.count("*")).scalar() / 2)
+    half = F.when(F.col("idx") < middle, 1).when(F.col("idx") - F.col("lag") >= middle, 2)
+    parts = rows.groupBy("a", "b", "lag", half.alias("part")).agg(pearson("x", "y").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least_n)
     both = parts.groupBy("a", "b", "lag").agg(*(F.max(F.when(F.col("part") == i, F.col("r"))).alias(f"r{i}") for i in (1, 2)))
     return both.where((F.abs("r1") >= least_r) & (F.abs("r2") >= least_r)).withColumn("stability", F.least(F.abs("r1"), F.abs("r2")))
 
 
+def monthly_stability(rows: DataFrame, least_part: int = 6, share: float = 0.4) -> DataFrame:
+    """(a, b, n, rho, sign_ok, tercile_ok, magnitude_ok) of pairs of short series (a, b, idx, x, y), by rank correlations of parts.
+
+    Halves and thirds are cut by place; the last takes the rest. Parts of under least_part rows are not judged and pass. sign: both halves
+    have one sign; tercile: all thirds do; magnitude: the weaker half has at least `share` of the whole's strength, which is at least 0.01. A
+    part without variance fails.
+    """
+    pair = Window.partitionBy("a", "b")
+    placed = rows.withColumn("place", F.row_number().over(pair.orderBy("idx")) - 1).withColumn("n", F.count("*").over(pair))
+    half, third = F.floor(F.col("n") / 2), F.floor(F.col("n") / 3)
+    parts = F.array(F.lit("all"), F.when(F.col("place") < half, "h1").otherwise("h2"), F.concat(F.lit("t"), F.least(F.floor(F.col("place") / F.greatest(third, F.lit(1))), F.lit(2)).cast("string")))
+    rho = spearman(placed.select("a", "b", "x", "y", F.explode(parts).alias("part")), ["a", "b", "part"])
+    at = lambda k: F.max(F.when(F.col("part") == k, F.col("rho")))
+    wide = rho.groupBy("a", "b").agg(F.max(F.when(F.col("part") == "all", F.col("n"))).alias("n"), *(at(k).alias(k) for k in ("all", "h1", "h2", "t0", "t1", "t2")))
+    few = lambda k: F.floor(F.col("n") / k) < least_part
+    same = lambda *c: F.coalesce(F.greatest(*(F.col(x) > 0 for x in c)) == F.least(*(F.col(x) > 0 for x in c)), F.lit(False))
+    whole = lambda *c: F.lit(True) if not c else F.col(c[0]).isNotNull() & whole(*c[1:])
+    weak = F.coalesce(F.abs("all") < 0.01, F.lit(True))
+    strong = F.least(F.abs("h1"), F.abs("h2")) >= share * F.abs("all")
+    return wide.select(
+        "a", "b", "n", F.col("all").alias("rho"), (few(2) | whole("h1", "h2") & same("h1", "h2")).alias("sign_ok"),
+        (few(3) | whole("t0", "t1", "t2") & same("t0", "t1", "t2")).alias("tercile_ok"),
+        F.when(weak, False).when(few(2), True).otherwise(whole("h1", "h2") & F.coalesce(strong, F.lit(False))).alias("magnitude_ok"),
+    )
+
+
 def low_variance(df: DataFrame, least: float = 1e-10) -> DataFrame:
     return df.withColumn("sd", F.stddev_pop("value").over(by_key())).where(F.col("sd") >= least).drop("sd")
 
 
 def bootstrap(rows: DataFrame, by: list[str], resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval (2.5, 97.5) of the rank correlation over resamples of each pair's rows; under 6 rows, or under 100 valid resamples, it fails.
+    """(by, n, low, high, excludes_zero): percentile interval (2.5, 97.5) of the rank correlation over resamples of each pair's rows.
 
-    rows: by, idx, x, y. One pair is one group: its rows are the dates of a series.
+    rows: by, idx, x, y. Ranks in a resample are ordinal, so they are permutations and the correlation is 1 - 6 sum(d^2) / (n (n^2 - 1)). Under 6
+    rows there is no interval. One pair is one group: its rows are the months of a series.
     """
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        key, n = [pdf[c].iloc[0] for c in by], len(pdf)
-        low = high = None
+        n, low, high, clear = len(pdf), None, None, False
         if n >= 6:
-            at = np.random.default_rng(seed).integers(0, n, (resamples, n))
-            x, y = (pdf[c].to_numpy()[at].argsort(1).argsort(1).astype(float) for c in ("x", "y"))
-            x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
-            scale = np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            r = (x * y).sum(1)[scale > 0] / scale[scale > 0]
-            if len(r) >= 100:
-                low, high = (float(v) for v in np.percentile(r, [2.5, 97.5]))
-        return pd.DataFrame([[*key, n, low, high]], columns=[*by, "n", "low", "high"])
+            drawn = np.random.default_rng(seed).integers(0, n, (resamples, n))
+            x, y = (pdf[c].to_numpy()[drawn].argsort(axis=1).argsort(axis=1) for c in ("x", "y"))
+            low, high = np.percentile(1 - 6 * ((x - y) ** 2).sum(1) / (n * (n * n - 1)), [2.5, 97.5]).tolist()
+            clear = low > 0 or high < 0
+        return pd.DataFrame([[*pdf[by].iloc[0], n, low, high, clear]], columns=[*by, "n", "low", "high", "excludes_zero"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
-    return rows.groupBy(*by).applyInPandas(interval, f"{kinds}, n long, low double, high double")
+    return rows.groupBy(*by).applyInPandas(interval, f"{kinds}, n long, low double, high double, excludes_zero boolean")
+
+
+def _lasso(v: np.ndarray, s: np.ndarray, b: np.ndarray, alpha: float, tol: float) -> np.ndarray:
+    """b of least b'vb / 2 - s'b + alpha |b|, by coordinate descent from b; places at rest are passed over."""
+    d, left = np.diag(v), s - v @ b
+    for _ in range(1000):
+        moved = 0.0
+        for k in np.flatnonzero((b != 0) | (np.abs(left) > alpha)):
+            g = left[k] + d[k] * b[k]
+            new = math.copysign(max(abs(g) - alpha, 0.0), g) / d[k]
+            if new != b[k]:
+                left -= v[:, k] * (new - b[k])
+                moved, b[k] = max(moved, abs(new - b[k])), new
+        if moved < tol:
+            break
+    return b
 
 
-def graphical_lasso(cov: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-4) -> np.ndarray:
-    """Precision matrix by block coordinate descent (Friedman, Hastie and Tibshirani); soft thresholds give exact zeros."""
+def graphical_lasso(cov: np.ndarray, alpha: float, rounds: int = 200, tol: float = 1e-4) -> np.ndarray:
+    """Precision matrix of least trace(cov T) - logdet(T) + alpha * sum of |off-diagonal T|; the diagonal is not penalised.
+
+    Block coordinate descent (Friedman, Hastie and Tibshirani); soft thresholds give exact zeros.
+    """
     p = len(cov)
-    w, beta = cov.copy(), np.zeros((p, p))
-    w.flat[:: p + 1] += alpha
+    w, beta, theta = cov.copy(), np.zeros((p, p)), np.zeros((p, p))
+    w[~np.eye(p, dtype=bool)] *= 0.95
     for _ in range(rounds):
         before = w.copy()
         for j in range(p):
             rest = np.arange(p) != j
-            v, s, b = w[np.ix_(rest, rest)], cov[rest, j], beta[rest, j]
-            for _ in range(100):
-                old = b.copy()
-                for k in range(p - 1):
-                    g = s[k] - v[k] @ b + v[k, k] * b[k]
-                    b[k] = np.sign(g) * max(abs(g) - alpha, 0) / v[k, k]
-                if np.abs(b - old).max() < tol:
-                    break
-            beta[rest, j] = b
-            w[rest, j] = w[j, rest] = v @ b
-        if np.abs(w - before).mean() < tol:
+            v = w[np.ix_(rest, rest)]
+            beta[rest, j] = _lasso(v, cov[rest, j], beta[rest, j], alpha, tol * 1e-2)
+            w[rest, j] = w[j, rest] = v @ beta[rest, j]
+        if np.abs(w - before).mean() < tol * 1e-2:
             break
-    theta = np.zeros((p, p))
     for j in range(p):
         rest = np.arange(p) != j
         theta[j, j] = 1 / (w[j, j] - w[rest, j] @ beta[rest, j])
@@ -181,30 +341,59 @@ def graphical_lasso(cov: np.ndarray, alpha: float, rounds: int = 100, tol: float
     return (theta + theta.T) / 2
 
 
+def covariances(df: DataFrame) -> DataFrame:
+    """(a, b, c, n) for a <= b of complete rows (key, date, value): each date's values meet as one array, sums are made before they move."""
+    day = df.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("v"))
+    one = day.select("v", F.posexplode("v").alias("i", "x")).select("x", F.explode(F.expr("slice(v, i + 1, size(v))")).alias("y"))
+    return one.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.covar_pop("x.value", "y.value").alias("c"), F.count("*").alias("n"))
+
+
 def partial_correlations(df: DataFrame, alphas: int = 25, gamma: float = 0.1) -> DataFrame:
-    """(a, b, partial_r) of the sparse precision matrix with the least extended BIC; one task for each penalty of the grid.
+    """(a, b, partial_r, n) of the sparse precision matrix with the least extended BIC; one task for each penalty of the grid.
 
-    df holds complete rows. The covariances are sums over dates made by Spark; only that matrix, series by series, goes to a task.
+    df: (key, date, value); series without any value go, then dates on which one of the rest has none. Only the covariances,
+    series by series, go to a task: a few hundred series are the bound of the method. A fit sends one row.
     """
-    x, y = (df.select("date", F.col("key").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    cov = x.join(y, "date").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c"), F.count("*").alias("n"))
-    grid = cov.sparkSession.range(alphas).select(F.col("id").alias("step"))
+    named = df.groupBy("key").agg(F.count("value").alias("n")).where("n > 0").select("key")
+    cov = covariances(listwise(df.join(named, "key", "left_semi")))
+    grid = cov.agg(F.collect_list(F.struct("a", "b", "c")).alias("m"), F.max("n").alias("n")).where("n > 0")
+    grid = grid.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(alphas - 1))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="a", columns="b", values="c").sort_index().sort_index(axis=1)
-        names, s, n, p = list(m.index), m.to_numpy(), int(pdf["n"].iloc[0]), len(m)
-        top = np.abs(s - np.diag(np.diag(s))).max()
-        alpha = float(np.logspace(np.log10(max(1e-12, 0.01 * top)), np.log10(max(1e-12, top)), alphas)[int(pdf["step"].iloc[0])])
-        theta = graphical_lasso(s, alpha)
+        step, n, none = int(pdf["step"].iloc[0]), int(pdf["n"].iloc[0]), pd.DataFrame(columns=["step", "ebic", "n", "a", "b", "r"])
+        rows = [(x["a"], x["b"], x["c"]) for x in pdf["m"].iloc[0]]
+        names = sorted({a for a, _, _ in rows})
+        at, p = {k: i for i, k in enumerate(names)}, len(names)
+        s = np.zeros((p, p))
+        for a, b, c in rows:
+            s[at[a], at[b]] = s[at[b], at[a]] = c
+        upper = np.triu_indices(p, 1)
+        top = np.abs(s[upper]).max(initial=0.0)
+        if p < 2 or (np.diag(s) <= 0).any():
+            return none
+        theta = graphical_lasso(s, float(np.logspace(np.log10(max(1e-12, 0.01 * top)), np.log10(max(1e-12, top)), alphas)[step]))
         sign, logdet = np.linalg.slogdet(theta)
-        if sign <= 0:
-            return pd.DataFrame(columns=["step", "ebic", "a", "b", "partial_r"])
-        edges = int((np.abs(theta[np.triu_indices(p, 1)]) > 1e-10).sum())
+        if sign <= 0 or not np.isfinite(logdet):
+            return none
+        edges = int((np.abs(theta[upper]) > 1e-10).sum())
         ebic = -n * (logdet - np.trace(s @ theta)) + edges * np.log(n) + 4 * gamma * edges * np.log(p)
         d = np.sqrt(np.diag(theta))
-        r = -theta / np.outer(d, d)
-        return pd.DataFrame([(int(pdf["step"].iloc[0]), ebic, names[i], names[j], r[i, j]) for i in range(p) for j in range(i + 1, p)], columns=["step", "ebic", "a", "b", "partial_r"])
-
-    fits = cov.join(F.broadcast(grid)).groupBy("step").applyInPandas(fit, "step long, ebic double, a string, b string, partial_r double")
-    best = fits.agg(F.min(F.struct("ebic", "step"))["step"].alias("step"))
-    return fits.join(F.broadcast(best), "step").where("partial_r <> 0").select("a", "b", "partial_r")
+        r = (-theta / np.outer(d, d))[upper]
+        on = r != 0
+        return pd.DataFrame([(step, float(ebic), n, [names[i] for i in upper[0][on]], [names[i] for i in upper[1][on]], r[on].tolist())], columns=none.columns)
+
+    fits = grid.groupBy("step").applyInPandas(fit, "step int, ebic double, n long, a array<string>, b array<string>, r array<double>")
+    best = fits.agg(F.min_by(F.struct("n", "a", "b", "r"), F.struct("ebic", "step")).alias("f"))
+    return best.select("f.n", F.explode(F.arrays_zip("f.a", "f.b", "f.r")).alias("x")).select("x.a", "x.b", F.col("x.r").alias("partial_r"), "n")
+
+
+def partial_given(df: DataFrame, given: str) -> DataFrame:
+    """(a, b, r, partial_r): correlations of all pairs but of `given`, and what is left of them once `given` is known. df: complete rows."""
+    c = covariances(df)
+    sd = c.where("a = b").select(F.col("a").alias("k"), F.sqrt("c").alias("sd"))
+    r = c.where("a <> b").join(sd.select(F.col("k").alias("a"), F.col("sd").alias("sa")), "a").join(sd.select(F.col("k").alias("b"), F.col("sd").alias("sb")), "b").select("a", "b", F.try_divide("c", F.col("sa") * F.col("sb")).alias("r"))
+    own = r.where((F.col("a") == given) | (F.col("b") == given)).select(F.when(F.col("a") == given, F.col("b")).otherwise(F.col("a")).alias("k"), "r")
+    rest = r.where((F.col("a") != given) & (F.col("b") != given))
+    both = rest.join(own.select(F.col("k").alias("a"), F.col("r").alias("ra")), "a").join(own.select(F.col("k").alias("b"), F.col("r").alias("rb")), "b")
+    left = F.try_divide(F.col("r") - F.col("ra") * F.col("rb"), F.sqrt((1 - F.col("ra") ** 2) * (1 - F.col("rb") ** 2)))
+    return both.select("a", "b", "r", left.alias("partial_r"))

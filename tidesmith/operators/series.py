@@ -15,8 +15,9 @@ def by_key() -> WindowSpec:
 
 
 def spine(df: DataFrame) -> DataFrame:
-    """Every key on every date that any key has; dates are few, so they go to all tasks."""
-    return df.select("key").distinct().join(df.select("date").distinct()).join(df, ["key", "date"], "left")
+    """Every key on every date that any key has. The dates, a few thousand, are one array, which each key unfolds."""
+    dates = df.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("dates"))
+    return df.select("key").distinct().select("key", F.explode(dates.scalar()).alias("date")).join(df, ["key", "date"], "left")
 
 
 def forward_fill(df: DataFrame) -> DataFrame:
@@ -61,17 +62,53 @@ def zscore(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.when(sd >= 1e-10, (F.col("value") - F.avg("value").over(by_key())) / sd))
 
 
-def quantile_nearest(q: float) -> Column:
-    """The value at place round((n - 1) * q), without interpolation."""
-    values = F.array_sort(F.collect_list("value"))
-    return F.try_element_at(values, (F.round((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
+def winsorize(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Values clipped to the nearest-rank quantiles of their series: those at places round((n - 1) * q) in order, without interpolation."""
+    n = F.count("value").over(by_key())
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("value"))) - 1
+    at = lambda q: F.max(F.when(F.col("place") == F.round((F.col("n") - 1) * F.lit(q)), F.col("value"))).over(by_key())
+    placed = df.withColumns({"n": n, "place": place}).withColumns({"lo": at(low), "hi": at(high)})
+    return placed.select("key", "date", F.when(F.col("value").isNotNull(), F.greatest("lo", F.least("hi", "value"))).alias("value"))
 
 
-def winsorize(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values clipped to the nearest-rank quantiles of their series."""
-    bounds = df.groupBy("key").agg(quantile_nearest(low).alias("lo"), quantile_nearest(high).alias("hi"))
-    clipped = F.when(F.col("value").isNotNull(), F.greatest("lo", F.least("hi", "value")))
-    return df.join(bounds, "key").select("key", "date", clipped.alias("value"))
+def window_of(df: DataFrame, days: int) -> DataFrame:
+    """The last so many calendar days up to the last date of all."""
+    last = df.agg(F.max("date").alias("last")).scalar()
+    return df.where(F.col("date") > F.date_sub(last, days))
+
+
+def without(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Series whose id, the part of the key after its first colon, is not among the names (id): non-daily ones, or a pass's exclusions."""
+    return df.join(F.broadcast(names.select(F.col("id").alias("_id")).distinct()), key_id(F.col("key")) == F.col("_id"), "left_anti")
+
+
+def entity_key(kind: Column, name: Column) -> Column:
+    return F.concat_ws(":", kind, name)
+
+
+def key_kind(key: Column) -> Column:
+    return F.substring_index(key, ":", 1)
+
+
+def key_id(key: Column) -> Column:
+    """What follows the first colon; later colons belong to the id."""
+    return F.element_at(F.split(key, ":", 2), 2)
+
+
+def monthly_changes(df: DataFrame) -> DataFrame:
+    """Log returns of assets and differences of indicators from one row of the shared monthly spine to the next.
+
+    Assets share one spine of months and indicators another; a month that a series skips leaves it without a value there
+    and in the next month. The first month of each spine goes.
+    """
+    last = monthly_last(df)
+    asset = F.col("key").startswith("asset:")
+    return transform(spine(last.where(asset))).unionByName(transform(spine(last.where(~asset))))
+
+
+def latest_only(df: DataFrame) -> DataFrame:
+    """Rows of the last date of all, not of each key."""
+    return df.where(F.col("date") == df.agg(F.max("date")).scalar())
 
 
 def monthly_last(df: DataFrame) -> DataFrame:

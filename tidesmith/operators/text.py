@@ -18,23 +18,44 @@ def strip_html(html: Column) -> Column:
     return F.btrim(F.regexp_replace(x, "[\\s ]+", " "))
 
 
-def admit(articles: DataFrame, known: DataFrame, per_feed: int = 20) -> DataFrame:
-    """The first per_feed articles of each feed by position, then those with a url that is not known. Articles: (feed, pos, url)."""
+def admit(articles: DataFrame, known: DataFrame, per_feed: int = 20, since: Column | None = None) -> DataFrame:
+    """The first per_feed articles of each feed by position, then those with a url that is not known. Articles: (feed, pos, url[, published]).
+
+    With `since`, articles published before it go; those whose date cannot be read stay. Of repeated urls the first by feed and position stays.
+    """
     head = articles.withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy("pos"))).where(F.col("n") <= per_feed).drop("n")
-    return head.where("url is not null and url <> ''").join(known.select("url"), "url", "left_anti")
+    fresh = head if since is None else head.where(F.coalesce(F.try_to_timestamp("published") >= since, F.lit(True)))
+    once = fresh.where("url is not null and url <> ''").withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("feed", "pos"))).where("n = 1").drop("n")
+    return once.join(known.select("url"), "url", "left_anti")
+
+
+#: Words of the longest name that is looked for.
+MOST_WORDS = 6
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, name) where a text holds the name as a word, whatever its case: words meet names by hash, not pair by pair."""
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("word"))
-    return words.join(names.select(F.lower("name").alias("word"), "name"), "word").select("doc_id", "name").distinct()
+    """(doc_id, name) where a text holds the name's words one after another, whatever their case and the marks between them.
+
+    Runs of as many words as some name has meet names by hash, not pair by pair; names have at most MOST_WORDS words.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}0-9]+"), lambda w: w != "")
+    own = names.select("name", words(F.col("name")).alias("w")).select("name", F.array_join("w", " ").alias("run"), F.size("w").alias("k")).where(F.col("k").between(1, MOST_WORDS))
+    lengths = own.agg(F.array_sort(F.collect_set("k")).alias("ks")).scalar()
+    runs = F.flatten(F.transform(F.col("ks"), lambda k: F.transform(F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(F.col("w"), i, k), " "))))
+    found = texts.select("doc_id", words(F.col("text")).alias("w"), lengths.alias("ks")).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    return found.join(own.select("run", "name"), "run").select("doc_id", "name").distinct()
+
+
+# Words of names that prove nothing.
+STOP = ["inc", "ltd", "corp", "bank", "the", "group", "fund", "trust", "capital", "global", "energy", "financial", "national", "international"]
 
 
-def grounded(text: Column, name: Column, stop: list[str]) -> Column:
-    """Whether a name, or a word of it of over four letters that is no stop word, stands in the text."""
+def grounded(text: Column, name: Column, span: Column | None = None, stop: list[str] = STOP) -> Column:
+    """Whether a span or a name, or a word of the name of over four letters that is no stop word, stands in the text, whatever the case."""
     low = F.lower(text)
-    word = F.exists(F.split(F.lower(name), r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(*stop) & low.contains(w))
-    return low.contains(F.lower(name)) | word
+    word = F.exists(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(*stop) & low.contains(w))
+    whole = low.contains(F.lower(F.trim(name)))
+    return whole | word if span is None else F.coalesce(low.contains(F.lower(F.trim(span))), F.lit(False)) | whole | word
 
 
 def relationships(rels: DataFrame, entities: DataFrame) -> DataFrame:

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidesmith.operators import gates, pipelines, validate
 from tidesmith.operators import graph as G
 from tidesmith.operators import pairs as P
 from tidesmith.operators import series as S
 from tidesmith.operators import text as X
 from tidesmith.streaming import news as N
+from tidesmith.sources.kept import keep, shared_dir
 from tidesmith.sources.market import between, event_long, market_long, table
 
 QUERIES: dict = {}
@@ -74,7 +74,7 @@ w AS (SELECT z.key, date, CASE WHEN value IS NOT NULL THEN greatest(lo, least(hi
 MONTHLY = """
 monthly AS (SELECT key, CAST(date_trunc('month', date) AS DATE) AS date, arg_max(value, date) AS value FROM market GROUP BY ALL)"""
 LAGGED = """
-dates AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM {src} WHERE value IS NOT NULL)),
+dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM {src})),
 onidx AS (SELECT key, idx, value FROM {src} JOIN dates USING (date) WHERE value IS NOT NULL),
 pairs AS (SELECT a.key AS a, b.key AS b, lag, a.idx, a.value AS x, b.value AS y
   FROM (SELECT *, idx - lag AS at FROM onidx CROSS JOIN (SELECT unnest({lags}) AS lag)) a JOIN onidx b ON a.at = b.idx
@@ -91,7 +91,7 @@ def pairs_sql(src: str, lags: list[int]) -> str:
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    return S.forward_fill(market_long(spark, d))
+    return S.forward_fill(keep(market_long(spark, d)))
 
 
 def returns(spark: SparkSession, d: str) -> DataFrame:
@@ -109,11 +109,12 @@ def event_pairs(spark: SparkSession, d: str, lags: list[int]) -> DataFrame:
 EVENT_RETURNS = (EVENTS, FILLED, CHANGED)
 
 
-def market_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return P.lagged_by_kind(S.zscore(returns(spark, d)))
+def market_pairs(spark: SparkSession, d: str, lags: list[int] = P.LAGS, macro: list[int] = P.MACRO_LAGS, **more) -> DataFrame:
+    return P.pair_statistics(keep(S.zscore(returns(spark, d))), lags, macro, **more)
 
 
 MARKET_PAIRS = (MARKET, FILLED, CHANGED, SCALED, """
+dates AS (SELECT DISTINCT date FROM z),
 every AS (SELECT * FROM (""" + chain(pairs_sql("z", P.MACRO_LAGS)) + """ SELECT * FROM pairs)),
 pairs AS (SELECT * FROM every WHERE lag NOT IN (21, 63) OR a LIKE 'indicator:%' OR b LIKE 'indicator:%')""")
 
@@ -156,10 +157,13 @@ def last_per_month(spark, d):
     return rounded(S.monthly_last(market_long(spark, d)))
 
 
-@query("SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in ("click", "purchase", "view")) + " FROM events GROUP BY ALL")
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in TYPES) + " FROM events GROUP BY ALL")
 def pivot_wide(spark, d):
     e = table(spark, d, "events")
-    return rounded(e.groupBy(F.to_date("ts").alias("date")).pivot("event_type", ["click", "purchase", "view"]).agg(F.avg("value")))
+    return rounded(e.groupBy(F.to_date("ts").alias("date")).pivot("event_type", TYPES).agg(F.avg("value")))
 
 
 # --- series --------------------------------------------------------------------------------------------------------
@@ -228,7 +232,7 @@ g AS (SELECT key, n, am, asx, ay, mm * ss - ms * ms AS det,
     + " SELECT j.key, j.date, round(CASE WHEN n < 30 THEN y ELSE y - ay - b1 * (m - am) - b2 * (s - asx) END, 4) AS value FROM j JOIN g USING (key)"
 )
 def beta_market_sector_residual(spark, d):
-    rest = S.beta_residual(S.zscore(returns(spark, d)), "asset:MKT", sectors(spark, d))
+    rest = S.beta_residual(keep(S.zscore(returns(spark, d))), "asset:MKT", sectors(spark, d))
     return rounded(rest.where("key like 'asset:N%'"), 4)
 
 
@@ -237,7 +241,7 @@ def beta_market_sector_residual(spark, d):
 
 @query(chain(MARKET, FILLED, CHANGED, SCALED, pairs_sql("z", [0])) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30 AND {R} IS NOT NULL")
 def pearson_pairs_lag0(spark, d):
-    return rounded(P.correlations(P.lagged(S.zscore(returns(spark, d)), [0])), 5)
+    return rounded(market_pairs(spark, d, [0], [0]), 5)
 
 
 @query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1, 2, 3])) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10 AND {R} IS NOT NULL")
@@ -247,7 +251,7 @@ def lagged_pairs_both_directions(spark, d):
 
 @query(chain(*MARKET_PAIRS) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30 AND {R} IS NOT NULL")
 def market_lagged_pairs(spark, d):
-    return rounded(P.correlations(market_pairs(spark, d)), 5)
+    return rounded(market_pairs(spark, d), 5)
 
 
 @query(chain(MARKET, FILLED) + " , n AS (SELECT count(DISTINCT key) AS k FROM filled), full_dates AS (SELECT date FROM filled GROUP BY date HAVING count(value) = (SELECT k FROM n)) SELECT key, date, round(value, 6) AS value FROM filled SEMI JOIN full_dates USING (date)")
@@ -255,11 +259,16 @@ def listwise_complete_dates(spark, d):
     return rounded(P.listwise(filled(spark, d)))
 
 
-@query("SELECT DISTINCT a.s_nationkey AS a, b.s_nationkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey < b.s_nationkey JOIN nation x ON x.n_nationkey = a.s_nationkey JOIN nation y ON y.n_nationkey = b.s_nationkey WHERE x.n_regionkey <> y.n_regionkey")
+GROUPS = "(SELECT DISTINCT 'asset:N' || s_nationkey AS key, 'asset:R' || n_regionkey AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def groups(spark, d):
+    return sectors(spark, d).withColumnRenamed("sector_key", "grp")
+
+
+@query(chain(MARKET, f"g AS {GROUPS}", "k AS (SELECT DISTINCT market.key, grp FROM market LEFT JOIN g ON market.key = g.key)") + " SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON a.key < b.key WHERE a.grp IS NULL OR b.grp IS NULL OR a.grp <> b.grp")
 def redundancy_filter(spark, d):
-    group = sectors(spark, d).select(F.substring("key", 8, 9).cast("int").alias("a"), F.col("sector_key").alias("ga"))
-    other = group.select(F.col("a").alias("b"), F.col("ga").alias("gb"))
-    return group.join(other, (F.col("a") < F.col("b")) & ~F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b")
+    return gates.not_redundant(market_pairs(spark, d, [0], [0], least_n=2).select("a", "b"), groups(spark, d))
 
 
 CATEGORY = "CASE WHEN key LIKE 'indicator:%' THEN CASE WHEN key LIKE 'indicator:1%' OR key LIKE 'indicator:2%' THEN 'rates' ELSE 'fred_other' END WHEN key LIKE 'asset:R%' OR key = 'asset:MKT' THEN 'index' ELSE 'equity' END"
@@ -278,10 +287,8 @@ BLOCKED = [("fred_other", "index"), ("rates", "rates")]
     + " SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON a.key < b.key WHERE (least(a.c, b.c), greatest(a.c, b.c)) NOT IN (('fred_other', 'index'), ('rates', 'rates'))"
 )
 def plausibility_gate(spark, d):
-    k = classify_entity(spark, d)
-    pairs = k.select(F.col("key").alias("a"), F.col("category").alias("ca")).join(k.select(F.col("key").alias("b"), F.col("category").alias("cb")), F.col("a") < F.col("b"))
-    blocked = F.broadcast(spark.createDataFrame(BLOCKED, "lo string, hi string"))
-    return pairs.select("a", "b", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).join(blocked, ["lo", "hi"], "left_anti").select("a", "b")
+    pairs = market_pairs(spark, d, [0], [0], least_n=2).select("a", "b")
+    return gates.plausible(pairs, classify_entity(spark, d), spark.createDataFrame(BLOCKED, "lo string, hi string"))
 
 
 SPEARMAN = """
@@ -296,7 +303,7 @@ def spearman_pairs(spark, d):
 
 @query(chain(*MARKET_PAIRS, SPEARMAN) + f" SELECT a, b, lag, round({R}, 5) AS rho, count(*) AS n FROM ranks GROUP BY ALL")
 def market_spearman_pairs(spark, d):
-    return rounded(P.spearman(market_pairs(spark, d), ["a", "b", "lag"]), 5)
+    return rounded(market_pairs(spark, d, least_n=1, tests=True).select("a", "b", "lag", "rho", F.col("rho_n").alias("n")), 5)
 
 
 T = "greatest(-0.99999, least(0.99999, r)) * sqrt((n - 2) / (1 - power(greatest(-0.99999, least(0.99999, r)), 2)))"
@@ -313,7 +320,7 @@ def t_statistic(spark, d):
 
 
 def market_tested(spark, d):
-    return P.correlations(market_pairs(spark, d)).withColumn("t", P.t_statistic(F.col("r"), F.col("n")))
+    return market_pairs(spark, d).withColumn("t", P.t_statistic(F.col("r"), F.col("n")))
 
 
 @query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)") + f" SELECT a, b, lag, n, round({T}, 4) AS t FROM c WHERE r IS NOT NULL")
@@ -333,23 +340,28 @@ def p_value_two_sided(spark, d):
 )
 def bh_fdr(spark, d):
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr("(o_orderkey * 7919 % 10007) / 10007.0D * ((o_custkey % 13 + 1) / 13.0D)").alias("p"))
-    return rounded(P.false_discovery(p, ["k"], 0.6).select("k", "adjusted_p"))
+    return rounded(P.false_discovery(p, 0.6).select("k", "adjusted_p"))
 
 
 HALVES = """
-h AS (SELECT a, b, lag, CASE WHEN idx - (SELECT min(idx) FROM pairs) < (SELECT count(DISTINCT idx) // 2 FROM pairs) THEN 1 ELSE 2 END AS part, x, y FROM pairs),
+h AS (SELECT a, b, lag, CASE WHEN idx < (SELECT count(*) // 2 FROM dates) THEN 1 WHEN idx - lag >= (SELECT count(*) // 2 FROM dates) THEN 2 END AS part, x, y FROM pairs),
 q AS (SELECT a, b, lag, part, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM h GROUP BY ALL HAVING count(*) >= 10),
 twice AS (SELECT a, b, lag, max(r) FILTER (part = 1) AS r1, max(r) FILTER (part = 2) AS r2 FROM q GROUP BY ALL)"""
 
 
+def event_halves(spark, d, least_r):
+    r = S.transform(S.forward_fill(event_long(spark, d)))
+    return P.split_half(P.lagged(r, [0, 1]), r, least_r, 10)
+
+
 @query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), HALVES) + " SELECT a, b, lag, round(r1, 5) AS r1, round(r2, 5) AS r2, round(least(abs(r1), abs(r2)), 5) AS stability FROM twice WHERE abs(r1) >= 0.001 AND abs(r2) >= 0.001")
 def split_half_stability(spark, d):
-    return rounded(P.split_half(event_pairs(spark, d, [0, 1]), 0.001, 10), 5)
+    return rounded(event_halves(spark, d, 0.001), 5)
 
 
 @query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), HALVES) + " SELECT a, b, lag, (r1 > 0) = (r2 > 0) AS consistent FROM twice WHERE r1 IS NOT NULL AND r2 IS NOT NULL")
 def sign_consistent(spark, d):
-    return P.split_half(event_pairs(spark, d, [0, 1]), 0.0, 10).select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
+    return event_halves(spark, d, 0.0).select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
 
 
 MARKET_HALVES = HALVES.replace("count(*) >= 10", "count(*) >= 20")
@@ -357,23 +369,26 @@ MARKET_HALVES = HALVES.replace("count(*) >= 10", "count(*) >= 20")
 
 @query(chain(*MARKET_PAIRS, MARKET_HALVES) + " SELECT a, b, lag, round(r1, 5) AS r1, round(r2, 5) AS r2, round(least(abs(r1), abs(r2)), 5) AS stability FROM twice WHERE abs(r1) >= 0.4 AND abs(r2) >= 0.4")
 def market_split_half_stability(spark, d):
-    return rounded(P.split_half(market_pairs(spark, d)), 5)
+    both = market_pairs(spark, d, least_n=1, tests=True).where("abs(r1) >= 0.4 and abs(r2) >= 0.4")
+    return rounded(both.select("a", "b", "lag", "r1", "r2", F.least(F.abs("r1"), F.abs("r2")).alias("stability")), 5)
 
 
 @query(chain(*MARKET_PAIRS, MARKET_HALVES) + " SELECT a, b, lag, (r1 > 0) = (r2 > 0) AS consistent FROM twice WHERE r1 IS NOT NULL AND r2 IS NOT NULL")
 def market_sign_consistent(spark, d):
-    return P.split_half(market_pairs(spark, d), 0.0).select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
+    both = market_pairs(spark, d, least_n=1, tests=True).where("r1 is not null and r2 is not null")
+    return both.select("a", "b", "lag", ((F.col("r1") > 0) == (F.col("r2") > 0)).alias("consistent"))
 
 
 # --- monthly, partial ------------------------------------------------------------------------------------------------
 
 MONTHLY_RETURNS = """
-mp AS (SELECT key, date, value, lag(value) OVER w AS p, row_number() OVER w AS rn FROM monthly WINDOW w AS (PARTITION BY key ORDER BY date)),
+ms AS (SELECT key, date FROM (SELECT DISTINCT key, key LIKE 'asset:%' AS k FROM monthly) JOIN (SELECT DISTINCT date, key LIKE 'asset:%' AS k FROM monthly) USING (k)),
+mp AS (SELECT key, date, value, lag(value) OVER w AS p, row_number() OVER w AS rn FROM ms LEFT JOIN monthly USING (key, date) WINDOW w AS (PARTITION BY key ORDER BY date)),
 ret AS (SELECT key, date, CASE WHEN key LIKE 'asset:%' THEN CASE WHEN value / nullif(p, 0) > 0 THEN ln(value / nullif(p, 0)) END ELSE value - p END AS value FROM mp WHERE rn > 1)"""
 
 
 def monthly(spark, d):
-    return S.transform(S.monthly_last(market_long(spark, d)))
+    return S.monthly_changes(keep(market_long(spark, d)))
 
 
 @query(chain(MARKET, MONTHLY, MONTHLY_RETURNS) + " SELECT key, date, round(value, 6) AS value FROM ret WHERE key LIKE 'asset:%'")
@@ -387,9 +402,7 @@ def monthly_indicator_diff(spark, d):
 
 
 def monthly_pairs(spark, d):
-    m = monthly(spark, d).where("value is not null")
-    a = m.where("key like 'asset:%'").select("date", F.col("key").alias("a"), F.col("value").alias("x"))
-    return a.join(m.where("key like 'indicator:%'").select("date", F.col("key").alias("b"), F.col("value").alias("y")), "date")
+    return pipelines.month_pairs(monthly(spark, d))
 
 
 MP = "pairs AS (SELECT a.date, a.key AS a, b.key AS b, 0 AS lag, a.value AS x, b.value AS y FROM ret a JOIN ret b ON a.date = b.date WHERE a.key LIKE 'asset:%' AND b.key LIKE 'indicator:%' AND a.value IS NOT NULL AND b.value IS NOT NULL)"
@@ -407,15 +420,13 @@ def monthly_spearman(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    rows = P.indexed(monthly_pairs(spark, d))
-    return rounded(P.bootstrap(rows.select("a", "b", "idx", "x", "y"), ["a", "b"]))
+    return rounded(P.bootstrap(monthly_pairs(spark, d).select("a", "b", "idx", "x", "y"), ["a", "b"]))
 
 
 @query(chain(*EVENT_RETURNS) + " SELECT a.key AS a, b.key AS b, round(covar_pop(a.value, b.value), 6) AS cov FROM ret a JOIN ret b ON a.date = b.date AND a.key <= b.key GROUP BY ALL")
 def covariance_matrix(spark, d):
     r = S.transform(S.forward_fill(event_long(spark, d)))
-    x, y = (r.select("date", F.col("key").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return rounded(x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("cov")))
+    return rounded(P.covariances(r).select("a", "b", F.col("c").alias("cov")))
 
 
 @query(chain(*EVENT_RETURNS) + ", c AS (SELECT covar_pop(a.value, b.value) AS v FROM ret a JOIN ret b ON a.date = b.date AND a.key < b.key GROUP BY a.key, b.key) SELECT round(max(abs(v)), 6) AS alpha_max FROM c")
@@ -429,12 +440,11 @@ cov AS (SELECT a.key AS a, b.key AS b, covar_pop(a.value, b.value) AS cov FROM r
 
 
 def complete(spark, d):
-    return P.listwise(S.zscore(returns(spark, d)))
+    return P.listwise(keep(S.zscore(returns(spark, d))))
 
 
 def market_covariances(spark, d):
-    x, y = (complete(spark, d).select("date", F.col("key").alias(k), F.col("value").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("cov"))
+    return P.covariances(complete(spark, d)).select("a", "b", F.col("c").alias("cov"))
 
 
 @query(chain(*LISTWISE) + " SELECT a, b, round(cov, 6) AS cov FROM cov")
@@ -449,7 +459,7 @@ def market_alpha_max(spark, d):
 
 @query()
 def glasso_ebic_pairs(spark, d):
-    return rounded(P.partial_correlations(complete(spark, d)), 5)
+    return rounded(P.partial_correlations(keep(S.zscore(returns(spark, d)))), 5)
 
 
 # --- graph and status --------------------------------------------------------------------------------------------------
@@ -499,10 +509,10 @@ def candidate_build(spark, d):
     return built.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
 
 
-@query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)") + " SELECT a, b, lag, n, round(round(abs(r), 6), 5) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
+@query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)") + " SELECT a, b, lag, n, round(abs(r), 6) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
 def market_candidate_build(spark, d):
     built, _ = G.candidates(P.p_values(market_tested(spark, d)))
-    return built.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
+    return built.select("a", "b", "lag", "n", "strength", "direction", "tier")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -548,26 +558,34 @@ def article_admit(spark, d):
 NAMES = ["Idiot", "License", "Apache", "Und", "Que"]
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}0-9]+')) AS word FROM documents) SELECT doc_id, name FROM w JOIN (SELECT unnest(['Idiot', 'License', 'Apache', 'Und', 'Que']) AS name) ON word = lower(name)")
+WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}0-9]+'), lambda w: w <> '')"
+
+
+@query(f"WITH n AS (SELECT DISTINCT array_to_string(({WORDS.format('text')})[1:2], '. ') AS name FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string({WORDS.format('text')}, ' ') || ' ' AS t FROM documents) SELECT doc_id, name FROM t JOIN n ON contains(t, ' ' || array_to_string({WORDS.format('name')}, ' ') || ' ')")
 def mention_match(spark, d):
-    return X.mentions(table(spark, d, "documents"), spark.createDataFrame([(n,) for n in NAMES], "name string"))
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda w: w != "")
+    return X.mentions(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.array_join(F.slice(w, 1, 2), ". ").alias("name")).distinct())
 
 
-@query("SELECT doc_id, contains(lower(text), 'apache license') OR contains(lower(text), 'apache') OR contains(lower(text), 'license') AS grounded FROM documents")
+@query(
+    "WITH n AS (SELECT doc_id, lower(text) AS t, lower(coalesce(source, '') || ' Apache Group') AS name, lower(lang) AS span FROM documents) "
+    "SELECT doc_id, coalesce(contains(t, span), false) OR contains(t, trim(name)) OR len(list_filter(string_split_regex(trim(name), '\\s+'), lambda w: len(w) > 4 AND w <> 'group' AND contains(t, w))) > 0 AS grounded FROM n"
+)
 def hallucination_filter(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.grounded(F.col("text"), F.lit("Apache License"), ["group", "company"]).alias("grounded"))
+    name = F.concat(F.coalesce("source", F.lit("")), F.lit(" Apache Group"))
+    return table(spark, d, "documents").select("doc_id", X.grounded(F.col("text"), name, F.col("lang")).alias("grounded"))
 
 
 @query(
-    "WITH b AS (SELECT l_linenumber AS a, count(*) AS c FROM lineitem GROUP BY ALL) SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.r, o.r) AS r, "
+    "SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(o.window_days, 63) AS window_days, coalesce(n.r, o.r) AS r, "
     "CASE WHEN o.verdict IS NOT NULL THEN o.status WHEN n.o_orderkey IS NOT NULL THEN 'candidate' ELSE o.status END AS status, o.verdict FROM "
-    "(SELECT o_orderkey, o_totalprice AS r, CASE WHEN o_orderstatus = 'F' THEN 'candidate' ELSE 'active' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'plausible' END AS verdict FROM orders "
-    "WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 5 <> 0)) o FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS r FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"
+    "(SELECT o_orderkey, o_totalprice AS r, CASE WHEN o_orderstatus = 'F' THEN 'candidate' ELSE 'active' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'plausible' END AS verdict, CASE WHEN o_orderkey % 7 = 0 THEN 252 ELSE 63 END AS window_days FROM orders "
+    "WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)) o FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS r FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey AND o.window_days = 63"
 )
 def replace_candidates(spark, d):
     o = table(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "candidate").otherwise("active").alias("status")
-    old = o.select("o_orderkey", F.col("o_totalprice").alias("r"), status, F.when(F.col("o_orderkey") % 5 == 0, "plausible").alias("verdict"), F.lit(63).alias("window_days"))
+    old = o.select("o_orderkey", F.col("o_totalprice").alias("r"), status, F.when(F.col("o_orderkey") % 5 == 0, "plausible").alias("verdict"), F.when(F.col("o_orderkey") % 7 == 0, 252).otherwise(63).alias("window_days"))
     return G.replace_candidates(old, o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("r")), ["o_orderkey"], 63)
 
 
@@ -597,12 +615,295 @@ def relationship_rules(spark, d):
     return X.relationships(rels, entities).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT user_id, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def news_stream_dedup(spark, d):
-    """All of events through a stream that keeps each id once; what it wrote is then counted."""
+    """All of events, each sent twice, through a stream that keeps each id once; the rows it wrote are then counted."""
     source = table(spark, d, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-    rows = N.read_stream(spark, f"{d}/events.parquet*", source).withColumn("ts", F.col("ts").cast("timestamp"))
-    N.run_available(N.dedup_stream(rows, "event_id", "ts", "400 days"), f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows").groupBy("user_id", "event_type").agg(F.countDistinct("event_id").alias("n"))
+    out = shared_dir(spark)
+    rows = lambda: N.read_stream(spark, f"{d}/events.parquet*", source).withColumn("ts", F.col("ts").cast("timestamp"))
+    N.run_available(N.dedup_stream(rows().union(rows()), "event_id", "ts", "400 days"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+# --- whole runs ------------------------------------------------------------------------------------------------------------
+
+WINDOW = 252
+BLOCKED_ROWS = "(('fred_other', 'index'), ('rates', 'rates'))"
+#: The frame of a window, the pairs of its complete dates, and what their own rows say of them.
+DAILY = (MARKET.replace("market AS (", "everything AS (", 1), f"market AS (SELECT * FROM everything WHERE date > (SELECT max(date) FROM everything) - INTERVAL {WINDOW} DAY)", FILLED.replace("filled AS (", "whole AS (", 1),
+    "filled AS (SELECT * FROM whole SEMI JOIN (SELECT key FROM whole GROUP BY key HAVING count(value) >= 189) USING (key))", CHANGED, SCALED, CLIPPED, f"""
+dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM w)),
+onidx AS (SELECT key, idx, value FROM w JOIN dates USING (date) WHERE value IS NOT NULL),
+lags AS (SELECT unnest({P.MACRO_LAGS}) AS lag),
+kept AS (SELECT key, lag FROM onidx CROSS JOIN lags WHERE idx + lag < (SELECT count(*) FROM dates) GROUP BY ALL HAVING count(*) >= 189 AND stddev_pop(value) >= 1e-10),
+complete AS (SELECT idx + lag AS idx FROM onidx JOIN kept USING (key) WHERE idx + lag < (SELECT count(*) FROM dates) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM kept)),
+rows AS (SELECT a.key AS a, b.key AS b, lag, a.idx, a.value AS x, b.value AS y FROM onidx a JOIN (SELECT * FROM kept WHERE key IN (SELECT key FROM kept WHERE lag = 0)) k ON true JOIN onidx b ON b.key = k.key AND b.idx = a.idx - lag
+  WHERE (lag = 0 AND a.key < b.key OR lag > 0 AND a.key <> b.key) AND a.key IN (SELECT key FROM kept WHERE lag = 0) AND (lag NOT IN (21, 63) OR a.key LIKE 'indicator:%' OR b.key LIKE 'indicator:%')),
+g AS {GROUPS}, c AS (SELECT key, {CATEGORY} AS c FROM market GROUP BY key),
+strong AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM rows SEMI JOIN complete USING (idx) GROUP BY ALL HAVING count(*) >= 30 AND abs({R}) >= 0.4),
+open AS (SELECT strong.* FROM strong LEFT JOIN g ga ON ga.key = a LEFT JOIN g gb ON gb.key = b JOIN c ca ON ca.key = a JOIN c cb ON cb.key = b
+  WHERE (ga.grp IS NULL OR gb.grp IS NULL OR ga.grp <> gb.grp) AND (least(ca.c, cb.c), greatest(ca.c, cb.c)) NOT IN {BLOCKED_ROWS}),
+pairs AS (SELECT rows.* FROM rows SEMI JOIN open USING (a, b, lag))""", SPEARMAN, HALVES.replace("count(*) >= 10", "count(*) >= 20"), f"rho AS (SELECT a, b, lag, {R} AS rho, count(*) AS m FROM ranks GROUP BY ALL)")
+
+
+def rules(spark, d):
+    """(categories, blocked) of the plausibility gate."""
+    return classify_entity(spark, d), spark.createDataFrame(BLOCKED, "lo string, hi string")
+
+
+@query(chain(*DAILY) + " SELECT a, b, lag, n, round(r, 5) AS r, round(rho, 5) AS rho, round(r1, 5) AS r1, round(r2, 5) AS r2 FROM open JOIN rho USING (a, b, lag) LEFT JOIN twice USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4")
+def daily_pairs(spark, d):
+    frame = keep(pipelines.frame(market_long(spark, d), WINDOW))
+    return rounded(pipelines.daily_pairs(frame, WINDOW, groups(spark, d), *rules(spark, d)).select("a", "b", "lag", "n", "r", "rho", "r1", "r2"), 5)
+
+
+def no_names(spark):
+    return spark.createDataFrame([], "id string")
+
+
+@query()
+def daily_correlations(spark, d):
+    """Both windows of the daily run: market and sectors taken out, false discovery rate, both halves."""
+    long = keep(market_long(spark, d))
+    runs = [pipelines.daily(long, w, no_names(spark), "asset:MKT", sectors(spark, d), groups(spark, d), *rules(spark, d)) for w in (63, WINDOW)]
+    return rounded(runs[0].unionByName(runs[1]))
+
+
+@query()
+def monthly_correlations(spark, d):
+    return rounded(pipelines.monthly(keep(market_long(spark, d)), *rules(spark, d)))
+
+
+@query()
+def partial_candidates(spark, d):
+    """The partial run: one pass without regions and the market, one without nations."""
+    ids = market_long(spark, d).select("key").distinct().select(S.key_id(F.col("key")).alias("id"))
+    return rounded(pipelines.partial(keep(market_long(spark, d)), 2 * WINDOW, ids.where("id like 'R%' or id = 'MKT'"), ids.where("id like 'N%'"), *rules(spark, d)), 4)
+
+
+@query(
+    chain(MARKET, MONTHLY, MONTHLY_RETURNS, MP, """
+t AS (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM pairs),
+p AS (SELECT a, b, x, y, unnest(['all', CASE WHEN i < n // 2 THEN 'h1' ELSE 'h2' END, 't' || least(i // greatest(n // 3, 1), 2)]) AS part FROM t),
+k AS (SELECT a, b, part, rank() OVER (PARTITION BY a, b, part ORDER BY x) + (count(*) OVER (PARTITION BY a, b, part, x) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY a, b, part ORDER BY y) + (count(*) OVER (PARTITION BY a, b, part, y) - 1) / 2.0 AS y FROM p),
+s AS (SELECT a, b, part, """ + R + """ AS r, count(*) AS n FROM k GROUP BY ALL),
+f AS (SELECT a, b, max(n) AS n, max(r) FILTER (part = 'all') AS w, max(r) FILTER (part = 'h1') AS h1, max(r) FILTER (part = 'h2') AS h2, max(r) FILTER (part = 't0') AS t0, max(r) FILTER (part = 't1') AS t1, max(r) FILTER (part = 't2') AS t2 FROM s GROUP BY ALL)""")
+    + " SELECT a, b, n, round(w, 5) AS rho, n // 2 < 6 OR coalesce((h1 > 0) = (h2 > 0), false) AS sign_ok, n // 3 < 6 OR coalesce((t0 > 0) = (t1 > 0) AND (t1 > 0) = (t2 > 0), false) AS tercile_ok, "
+    "CASE WHEN w IS NULL OR abs(w) < 0.01 THEN false WHEN n // 2 < 6 THEN true ELSE coalesce(least(abs(h1), abs(h2)) >= 0.4 * abs(w), false) END AS magnitude_ok FROM f"
+)
+def monthly_stability(spark, d):
+    return rounded(P.monthly_stability(monthly_pairs(spark, d)), 5)
+
+
+@query(chain(*LISTWISE, """
+r AS (SELECT c.a, c.b, c.cov / sqrt(x.cov * y.cov) AS r FROM cov c JOIN cov x ON x.a = c.a AND x.b = c.a JOIN cov y ON y.a = c.b AND y.b = c.b WHERE c.a <> c.b),
+m AS (SELECT CASE WHEN a = 'asset:MKT' THEN b ELSE a END AS k, r FROM r WHERE a = 'asset:MKT' OR b = 'asset:MKT')""")
+    + " SELECT r.a, r.b, round(r.r, 5) + 0.0 AS r, round((r.r - x.r * y.r) / sqrt((1 - x.r * x.r) * (1 - y.r * y.r)), 5) + 0.0 AS partial_r FROM r JOIN m x ON x.k = r.a JOIN m y ON y.k = r.b WHERE r.a <> 'asset:MKT' AND r.b <> 'asset:MKT'")
+def partial_corr_3var(spark, d):
+    """What is left between two series once the market is known."""
+    return rounded(P.partial_given(complete(spark, d), "asset:MKT"), 5)
+
+
+# --- checks, keys, lifecycle -------------------------------------------------------------------------------------------------
+
+#: Orders as candidates, some of them outside every range.
+AS_CANDIDATES = "SELECT 'asset:' || o_custkey AS a, CASE WHEN o_orderkey % 11 = 0 THEN 'bond:' ELSE 'indicator:' END || lower(o_orderpriority) AS b, CAST(o_orderkey % 9 - 1 AS INT) AS lag, o_totalprice / 199999.7 - 1 AS r, (o_orderkey % 103) / 100.0 AS p, CAST(o_orderkey % 50 AS INT) AS n, CASE WHEN o_orderkey % 13 = 0 THEN 'kendall' ELSE 'pearson' END AS method, 63 AS window_days, o_orderkey FROM orders"
+RIGHT = "r BETWEEN -1 AND 1 AND p BETWEEN 0 AND 1 AND lag >= 0 AND n > 0 AND method <> 'kendall' AND b LIKE 'indicator:%'"
+
+
+def as_candidates(spark, d):
+    kind = F.when(F.col("o_orderkey") % 11 == 0, "bond").otherwise("indicator")
+    return table(spark, d, "orders").select(
+        S.entity_key(F.lit("asset"), F.col("o_custkey").cast("string")).alias("a"), S.entity_key(kind, F.lower("o_orderpriority")).alias("b"), (F.col("o_orderkey") % 9 - 1).cast("int").alias("lag"),
+        (F.col("o_totalprice") / 199999.7 - 1).alias("r"), (F.col("o_orderkey") % 103 / 100.0).alias("p"), (F.col("o_orderkey") % 50).cast("int").alias("n"),
+        F.when(F.col("o_orderkey") % 13 == 0, "kendall").otherwise("pearson").alias("method"), F.lit(63).alias("window_days"), "o_orderkey",
+    )
+
+
+@query(f"WITH c AS ({AS_CANDIDATES}) SELECT o_orderkey, a, b, lag FROM c WHERE NOT ({RIGHT})")
+def candidate_reject(spark, d):
+    return validate.candidates(as_candidates(spark, d))[1].select("o_orderkey", "a", "b", "lag")
+
+
+@query(f"WITH c AS ({AS_CANDIDATES}) SELECT o_orderkey, upper(b) AS b, round(abs(r), 6) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier, 0.5 AS confidence, 0 AS times_tested FROM c WHERE {RIGHT}")
+def candidate_valid(spark, d):
+    built = validate.candidates(as_candidates(spark, d))[0].withColumn("status", F.lit("candidate"))
+    edges = validate.edge_properties(built, F.current_timestamp(), F.current_timestamp())
+    return built.select("a", "b", "lag", "r", "o_orderkey").join(edges.select(F.col("a"), F.col("b"), "props"), ["a", "b"]).where("props.lag_days = lag and props.correlation = r").select(
+        "o_orderkey", F.upper("b").alias("b"), "props.strength", "props.direction", "props.tier", "props.confidence", "props.times_tested"
+    ).distinct()
+
+
+@query(f"WITH c AS ({AS_CANDIDATES}) SELECT o_orderkey, CASE WHEN abs(r) >= 0.15 THEN 'candidate' ELSE 'pending_verification' END AS status FROM c WHERE abs(r) >= 0.10")
+def tier_split(spark, d):
+    return gates.strong(as_candidates(spark, d), pipelines.PARTIAL_FLOOR).select("o_orderkey", gates.tier_status(F.col("r")).alias("status"))
+
+
+@query(
+    f"WITH c AS ({AS_CANDIDATES}), u AS (SELECT *, 1 AS pass FROM c WHERE o_orderkey % 2 = 0 UNION ALL SELECT b, a, lag, r, p, n, method, window_days, o_orderkey, 2 FROM c WHERE o_orderkey % 3 = 0), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY abs(r) DESC, pass, a, b) AS i FROM u) SELECT least(a, b) AS lo, greatest(a, b) AS hi, round(abs(r), 6) AS strength FROM o WHERE i = 1"
+)
+def merge_passes(spark, d):
+    c = as_candidates(spark, d)
+    second = c.where("o_orderkey % 3 = 0").withColumns({"a": F.col("b"), "b": F.col("a")})
+    best = gates.strongest(c.where("o_orderkey % 2 = 0"), second)
+    return best.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.round(F.abs("r"), 6).alias("strength"))
+
+
+@query("WITH v AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'spurious' WHEN 'O' THEN 'plausible' ELSE 'uncertain' END END AS verdict FROM orders) SELECT o_orderkey, o_custkey, CASE WHEN verdict = 'spurious' THEN 'rejected' WHEN verdict = 'uncertain' THEN 'pending_verification' ELSE 'candidate' END AS status, verdict FROM v")
+def status_transition(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"), F.lit("partial").alias("method"), F.lit(63).alias("window_days"), "o_orderstatus")
+    edges = rows.drop("o_orderstatus").withColumns({"status": F.lit("candidate"), "verdict": F.lit(None).cast("string")})
+    verdict = F.when(F.col("o_orderstatus") == "F", "spurious").when(F.col("o_orderstatus") == "O", "plausible").otherwise("uncertain")
+    done = G.write_verdicts(edges, rows.where("a % 3 = 0").withColumn("verdict", verdict))
+    return done.select(F.col("a").alias("o_orderkey"), F.col("b").alias("o_custkey"), "status", "verdict")
+
+
+@query("SELECT upper(event_type) AS entity_id, event_id FROM events WHERE event_type <> 'error' AND user_id % 7 <> 0 AND value IS NOT NULL")
+def fact_validation(spark, d):
+    kind, source = F.when(F.col("event_type") == "error", "bond").otherwise("asset"), F.when(F.col("user_id") % 7 == 0, "hearsay").otherwise("feed")
+    facts = table(spark, d, "events").select(kind.alias("entity_type"), F.col("event_type").alias("entity_id"), F.lit("value").alias("metric"), "value", F.col("ts").alias("timestamp"), source.alias("source"), "event_id")
+    return validate.facts(facts, ["feed"])[0].select("entity_id", "event_id")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 5 AS region, CASE WHEN c_custkey % 2 = 0 THEN 'kept' END AS note, 'Customer ' || c_custkey AS shown FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def entity_validation(spark, d):
+    meta = F.create_map(F.lit("name"), F.lit("lost"), F.lit("region"), (F.col("c_custkey") % 5).cast("string"), F.lit("note"), F.when(F.col("c_custkey") % 2 == 0, "kept"))
+    rows = table(spark, d, "customer").select(F.initcap("c_mktsegment").alias("label"), F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("Customer "), "c_custkey").alias("name"), F.lit("").alias("description"), meta.alias("metadata"))
+    p = F.col("props")
+    return validate.entities(rows, ["Building", "Machinery"])[0].select("id", p["region"].cast("long").alias("region"), p["note"].alias("note"), p["name"].alias("shown"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Company' WHEN '2-HIGH' THEN 'Sector' END AS label, replace(upper(trim(o_orderstatus || ' moves ')), ' ', '_') AS rel, greatest(0.0, least(1.0, o_totalprice / 300000.0 - 0.2)) AS confidence, o_orderpriority <> '3-MEDIUM' AS safe FROM orders")
+def normalised_output(spark, d):
+    raw = F.when(F.col("o_orderpriority") == "1-URGENT", " com PANY ").when(F.col("o_orderpriority") == "2-HIGH", "SECTOR").otherwise("planet")
+    kind = F.when(F.col("o_orderpriority") == "3-MEDIUM", "drop table").otherwise("SUPPLIES_TO")
+    return table(spark, d, "orders").select(
+        "o_orderkey", validate.label_of(raw, ["Company", "Sector"]).alias("label"), validate.relation_of(F.concat("o_orderstatus", F.lit(" moves "))).alias("rel"),
+        validate.clamp(F.col("o_totalprice") / 300000.0 - 0.2).alias("confidence"), validate.safe_relation(kind).alias("safe"),
+    )
+
+
+@query("SELECT key, 'asset' AS kind, 'US:' || c_custkey AS id FROM (SELECT 'asset:US:' || c_custkey AS key, c_custkey FROM customer) WHERE c_custkey % 4 <> 0")
+def entity_keys(spark, d):
+    """Keys built and cut at their first colon, without the series that are not daily."""
+    rows = table(spark, d, "customer").select(S.entity_key(F.lit("asset"), F.concat(F.lit("US:"), "c_custkey")).alias("key"), F.col("c_custkey").alias("k"))
+    late = rows.where("k % 4 = 0").select(S.key_id(F.col("key")).alias("id"))
+    return S.without(rows, late).select("key", S.key_kind(F.col("key")).alias("kind"), S.key_id(F.col("key")).alias("id"))
+
+
+@query(chain(MARKET) + " SELECT key, round(value, 6) AS value FROM market WHERE date = (SELECT max(date) FROM market)")
+def latest_row(spark, d):
+    return rounded(S.latest_only(market_long(spark, d)).select("key", "value"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) >= 50 AS long_enough FROM documents")
+def short_article_gate(spark, d):
+    return table(spark, d, "documents").select("doc_id", validate.long_enough(F.col("text")).alias("long_enough"))
+
+
+@query("WITH e AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_filter(ids, lambda x: x % 3 = 0), ',') AS ids FROM e")
+def mention_ids(spark, d):
+    """Each user's events, less those that are not among the known ones: every third."""
+    ids = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    known = F.transform("ids", lambda x: F.when(x % 3 == 0, x))
+    return ids.select("user_id", F.array_join(validate.known_ids(F.col("ids"), F.array_compact(known)), ",").alias("ids"))
+
+
+@query("SELECT DISTINCT CAST(event_id % 500 AS VARCHAR) AS url, user_id AS id FROM events WHERE user_id IN (SELECT c_custkey FROM customer)")
+def mention_edges(spark, d):
+    found = table(spark, d, "events").groupBy((F.col("event_id") % 500).cast("string").alias("url")).agg(F.collect_list("user_id").alias("ids"))
+    old = spark.createDataFrame([], "url string, id bigint, matched_at timestamp")
+    return G.upsert_mentions(old, found, table(spark, d, "customer").select(F.col("c_custkey").alias("id")), F.current_timestamp()).select("url", "id")
+
+
+@query("SELECT o_orderkey AS to_id, CASE WHEN o_orderkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'new' ELSE 'old' END AS seen, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 3 = 0 OR (o_orderkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))")
+def edge_upsert_merge(spark, d):
+    """Every third order is an edge already; every second one comes anew and is merged in where both of its ends are known."""
+    o = table(spark, d, "orders")
+    edge = lambda rows, props: rows.select(F.col("o_custkey").alias("from_id"), F.lit("BUYS").alias("rel_type"), F.col("o_orderkey").alias("to_id"), props.alias("props"))
+    old = edge(o.where("o_orderkey % 3 = 0"), F.create_map(F.lit("seen"), F.lit("old"), F.lit("status"), F.col("o_orderstatus")))
+    new = edge(o.where("o_orderkey % 2 = 0"), F.create_map(F.lit("seen"), F.lit("new")))
+    back = lambda e: e.withColumn("to_id", -1 - F.col("to_id"))  # noqa: E731  orders and customers are nodes of one table
+    nodes = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")).union(o.select(-1 - F.col("o_orderkey")))
+    both = G.upsert_edges(back(old), back(new), nodes)
+    return both.select((-1 - F.col("to_id")).alias("to_id"), F.col("props")["seen"].alias("seen"), F.col("props")["status"].alias("status"))
+
+
+ARTICLES = "SELECT CAST(doc_id AS VARCHAR) AS url, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS summary, CASE WHEN doc_id % 3 = 0 THEN 'mentions_done' ELSE 'raw' END AS status, n_chars AS collected_at FROM documents"
+
+
+def articles(spark, d):
+    summary, status = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")), F.when(F.col("doc_id") % 3 == 0, "mentions_done").otherwise("raw")
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), summary.alias("summary"), status.alias("status"), F.col("n_chars").alias("collected_at"))
+
+
+@query(f"SELECT url, collected_at FROM ({ARTICLES}) WHERE status = 'raw' AND trim(summary) <> '' AND collected_at >= 100")
+def raw_articles(spark, d):
+    return G.raw_articles(articles(spark, d), F.lit(100)).select("url", "collected_at")
+
+
+@query(f"WITH a AS ({ARTICLES}) SELECT url, CASE WHEN status <> 'raw' THEN status WHEN coalesce(trim(summary), '') = '' THEN 'skipped_no_summary' WHEN toxic = 0 THEN 'mentions_done' WHEN toxic = 1 THEN 'mentions_failed' ELSE status END AS status FROM a LEFT JOIN labels ON url = CAST(doc_id AS VARCHAR)")
+def article_status(spark, d):
+    outcomes = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("url"), (F.col("toxic") == 0).alias("ok"))
+    return G.article_status(articles(spark, d), outcomes).select("url", "status")
+
+
+@query(f"WITH a AS ({ARTICLES}) SELECT a.url, CASE WHEN CAST(a.url AS BIGINT) % 2 = 0 THEN 'renewed' ELSE a.summary END AS summary, CASE WHEN CAST(a.url AS BIGINT) % 5 = 0 AND CAST(a.url AS BIGINT) % 2 = 0 THEN 'raw' ELSE a.status END AS status FROM a WHERE CAST(a.url AS BIGINT) % 5 <> 0 OR CAST(a.url AS BIGINT) % 2 = 0")
+def article_upsert(spark, d):
+    """All articles but every fifth are there; every second one comes again, twice."""
+    a = articles(spark, d)
+    n = F.col("url").cast("long")
+    new = a.where(n % 2 == 0).withColumns({"summary": F.lit("renewed"), "status": F.lit("raw"), "pos": F.lit(1)})
+    return G.article_upsert(a.where(n % 5 != 0), new.unionByName(new.withColumns({"summary": F.lit("late"), "pos": F.lit(2)}))).select("url", "summary", "status")
+
+
+@query("SELECT a, b, round(r, 6) AS r, a_name FROM (SELECT o_custkey AS a, o_orderkey AS b, o_totalprice / 1000.0 AS r, c_name AS a_name FROM orders JOIN (SELECT c_custkey, c_mktsegment AS c_name FROM customer) ON o_custkey = c_custkey WHERE o_orderstatus = 'O') ORDER BY abs(r) DESC, a, b LIMIT 200")
+def pending_edges(spark, d):
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "pending_verification").otherwise("active")
+    edges = o.select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"), (F.col("o_totalprice") / 1000.0).alias("r"), status.alias("status"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.lit("Indicator").alias("label"))
+    goods = o.select(F.col("o_orderkey").alias("id"), F.lit("order").alias("name"), F.lit("Asset").alias("label"))
+    first = G.pending(edges.withColumn("b", -1 - F.col("b")), people.unionByName(goods.withColumn("id", -1 - F.col("id"))))
+    return first.select("a", (-1 - F.col("b")).alias("b"), F.round("r", 6).alias("r"), "a_name")
+
+
+@query("SELECT n_name AS name, 'Nation' AS label FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT r_name, 'Region' FROM region")
+def entity_list(spark, d):
+    n = table(spark, d, "nation").select(F.lit("Nation").alias("label"), F.when(F.col("n_regionkey") != 2, F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"))
+    r = table(spark, d, "region").select(F.lit("Region").alias("label"), F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return G.entity_list(n.unionByName(r).unionByName(n.withColumn("label", F.lit("Other"))), ["Nation", "Region"]).select("name", "label")
+
+
+@query("SELECT count(*) AS total_pairs, count(*) FILTER (quality = 1) AS promoted, count(*) FILTER (quality = 0 AND toxic = 1) AS rejected, count(*) FILTER (quality = 0 AND toxic = 0) AS uncertain FROM labels")
+def verification_run(spark, d):
+    verdict = F.when(F.col("quality") == 1, "confirmed_real").when(F.col("toxic") == 1, "spurious").otherwise("uncertain")
+    results = table(spark, d, "labels").where("quality is not null and toxic is not null").select(F.col("doc_id").alias("a"), F.lit(None).cast("string").alias("method"), verdict.alias("verdict"))
+    run, _ = G.run_record(results, "run", F.current_timestamp(), F.current_timestamp())
+    return run.select("total_pairs", "promoted", "rejected", "uncertain")
+
+
+@query("WITH e AS (SELECT user_id, bool_or(event_type = 'view') AS ok, count(*) AS k FROM events GROUP BY user_id) SELECT count(*) AS articles, count(*) FILTER (NOT ok) AS failed, CAST(sum(k) FILTER (ok) AS BIGINT) AS mentions, round(avg(k) FILTER (ok), 6) AS average FROM e")
+def mention_totals(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "view").alias("ok"), F.collect_list(F.col("event_id").cast("string")).alias("ids"))
+    return rounded(G.mention_totals(e))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice / 7, 4) AS DOUBLE) AS value FROM lineitem")
+def half_even_values(spark, d):
+    """Values at four places, halves to the even digit."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_extendedprice") / 7, 4).alias("value"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS value FROM events")
+def stream_late_revision(spark, d):
+    """Events through a stream, those of even ids again with revised values in a later micro-batch; the merged table."""
+    source, out = table(spark, d, "events").select("event_id", "user_id", "value"), shared_dir(spark)
+    first = source.withColumn("revision", F.lit(0))
+    second = source.where("event_id % 2 = 0").withColumns({"value": F.col("value") * 2, "revision": F.lit(1)})
+    for rows in (first, second):
+        rows.write.mode("append").parquet(f"{out}/arrived")
+        done = N.upsert_available(N.read_stream(spark, f"{out}/arrived", first), f"{out}/table", f"{out}/state", ["event_id"], ["value", "revision"], ["revision"])
+    return done.select("event_id", "user_id", "value")
