@@ -255,3 +255,10 @@ def test_oracle_covers_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_run_that_fails_stops_no_other(spark):
+    from tidesmith.operators import pipelines
+
+    done, failed = pipelines.run_all({"bad": lambda: spark.range(1).select(F.raise_error(F.lit("broken"))), "good": lambda: spark.range(3), "worse": lambda: 1 / 0})
+    assert set(failed) == {"bad", "worse"} and "ZeroDivisionError" in failed["worse"] and done["good"].count() == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +95,14 @@ def partial(df: DataFrame, window: int, micro_without: DataFrame, macro_without:
 def summary(tested_pairs: DataFrame, built: DataFrame) -> DataFrame:
     """(method, window_days, above, stored) of a run: counts by method and window, for its audit row."""
     return built.groupBy("method", "window_days").agg(F.count("*").alias("stored")).withColumn("above", tested_pairs.agg(F.count("*")).scalar())
+
+
+def run_all(steps: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(results by name, errors by name) of runs one after another: each is carried out and kept, and one that fails stops no other."""
+    done, failed = {}, {}
+    for name, step in steps.items():
+        try:
+            done[name] = keep(step())
+        except Exception as error:  # noqa: BLE001  whatever it is, it is reported by name
+            failed[name] = f"{type(error).__name__}: {error}"
+    return done, failed
