@@ -127,7 +127,7 @@ def test_bootstrap_has_every_monthly_pair(spark):
     assert pairs("bootstrap_ci") == pairs("monthly_join")
 
 
-@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize("blocks", [1, 3, 40])
 def test_pair_statistics_are_those_of_numpy(spark, blocks):
     """Gaps, a constant, a short series and a following one; blocks change nothing."""
     import numpy as np
@@ -140,7 +140,9 @@ def test_pair_statistics_are_those_of_numpy(spark, blocks):
     x["asset:A"][2:] += 4 * x["indicator:X"][:-2]
     rows = [(k, i, None if np.isnan(v) else float(v)) for k, vs in x.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "key string, date int, value double")
-    got = {(r["a"], r["b"], r["lag"]): r for r in P.pair_statistics(df, [0, 1], [0, 1, 2], least_n=20, tests=True, blocks=blocks).collect()}
+    rows = P.pair_statistics(df, [0, 1], [0, 1, 2], least_n=20, tests=True, blocks=blocks).collect()
+    got = {(r["a"], r["b"], r["lag"]): r for r in rows}
+    assert len(got) == len(rows)
     want = {}
     for a in x:
         for b in x:

@@ -81,7 +81,8 @@ def _cell(lags: list[int], macro_lags: list[int], least_n: int, least_r: float,
         left = has
         if pdf["complete"].iloc[0] is not None:
             left = has & np.isin(np.arange(size), np.asarray(pdf["complete"].iloc[0], np.int64))
-        meet = np.ones((len(pdf),) * 2, bool) if len(set(block)) == 1 else block[:, None] != block[None, :]
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]  # the other block of a cell may have no series
+        meet = np.ones((len(pdf),) * 2, bool) if same else block[:, None] != block[None, :]
         macro = np.char.startswith(names, "indicator:")
         out: list[tuple] = []
         for lag in sorted({*lags, *macro_lags}):
