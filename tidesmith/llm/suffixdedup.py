@@ -13,29 +13,30 @@ from pyspark.sql import functions as F
 from tidesmith.llm.common import keep, n_partitions, slices, table
 
 LEAST = 100
-#: Bytes of the token at which a sampled suffix starts; suffixes of one token (or of several) that a task sorts at once.
-TOKEN, BUCKET_SUFFIXES = 32, 500_000
+#: Bytes of the token at which a sampled suffix starts, and of them the leading ones that order suffixes; suffixes of one token (or of several) that a task sorts at once.
+TOKEN, LEAD, BUCKET_SUFFIXES = 32, 8, 500_000
 #: Windows of a text that are sampled at once; a place among them has so many bits.
 _STRIDE, _PLACE_BITS = 1 << 22, 23
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, lo, hi) of a text of any length: those of stretches of _STRIDE windows, none of which is left out or split."""
-    parts = [(t, lo + i, hi + i) for i in range(0, max(1, len(raw) - LEAST + 1), _STRIDE) for t, lo, hi in [_anchors(raw[i : i + _STRIDE + LEAST - 1])]]
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lead, token, lo, hi) of a text of any length: those of stretches of _STRIDE windows, none of which is left out or split."""
+    parts = [(f, t, lo + i, hi + i) for i in range(0, max(1, len(raw) - LEAST + 1), _STRIDE) for f, t, lo, hi in [_anchors(raw[i : i + _STRIDE + LEAST - 1])]]
     return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
 
 
-def _anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, lo, hi): the sampled suffixes of a text and the windows of LEAST bytes that each stands for.
+def _anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lead, token, lo, hi): the sampled suffixes of a text and the windows of LEAST bytes that each stands for.
 
     A window's sample is the TOKEN bytes in it whose hash is least (the leftmost of equals), so equal windows have their
-    sample at the same place, and windows lo..hi have the same one. token is the hash of those bytes.
+    sample at the same place, and windows lo..hi have the same one. lead is the first LEAD bytes of the sample as a number
+    of the same order, token the hash of all TOKEN bytes.
     """
     n = len(raw)
     if n < LEAST:
         none = np.empty(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     h, size = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), 1
     while size < TOKEN:
         h = (h[:-size] * _A) ^ (h[size:] * _B) ^ (h[:-size] >> np.uint64(31))
@@ -51,50 +52,53 @@ def _anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = (m & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
     lo = np.flatnonzero(np.diff(at, prepend=-1))
     hi = np.append(lo[1:] - 1, len(at) - 1)
-    return h[at[lo]].view(np.int64), lo, hi
+    at = at[lo]
+    first = np.frombuffer(raw, np.uint8)[at[:, None] + np.arange(LEAD)]
+    lead = np.ascontiguousarray(first).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)  # signed longs sort as the bytes do
+    return lead.view(np.int64), h[at].view(np.int64), lo, hi
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, context, doc_id, lo, hi): context is the hash of the bytes of all windows lo..hi."""
+    """(lead, token, context, doc_id, lo, hi): context is the hash of the bytes of all windows lo..hi."""
     for part in slices(batches, 512):
-        rows: list[list] = [[] for _ in range(5)]
+        rows: list[list] = [[] for _ in range(6)]
         for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
             if doc is None or not text:
                 continue
             raw = text.encode("utf-8", "surrogatepass")
-            token, lo, hi = anchors(raw)
+            lead, token, lo, hi = anchors(raw)
             context = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + LEAST).tolist())), np.uint64, len(lo))
-            for column, x in zip(rows, (token, context.view(np.int64), np.full(len(lo), doc, np.int64), lo, hi)):
+            for column, x in zip(rows, (lead, token, context.view(np.int64), np.full(len(lo), doc, np.int64), lo, hi)):
                 column.append(x)
         arrays = [np.concatenate(x) if x else np.empty(0, np.int64) for x in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["token", "context", "doc_id", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["lead", "token", "context", "doc_id", "lo", "hi"])
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted bucket of (token, context, doc_id, lo, hi): rows that repeat (again), and first ones whose token has other contexts (not again).
+    """Of a sorted bucket of (lead, token, context, doc_id, lo, hi): rows that repeat (again), and first ones whose token has other contexts (not again).
 
     What stands at either end of a bucket may go on in the next one: its first and its last context are passed on as ones
     to compare, so that nothing is decided across a boundary here.
     """
 
     def out(rows: np.ndarray, again: bool) -> pa.RecordBatch:
-        token, _, doc, lo, hi = rows
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, doc, lo, hi)] + [pa.array(np.full(len(token), again))], ["token", "doc_id", "lo", "hi", "again"])
+        lead, token, _, doc, lo, hi = rows
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (lead, token, doc, lo, hi)] + [pa.array(np.full(len(token), again))], ["lead", "token", "doc_id", "lo", "hi", "again"])
 
     held, held_other = None, False  # the first row of the last context so far; whether its token has another context
     for batch in batches:
-        x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+        x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
         if not x.shape[1]:
             continue
         start = held is None
         if not start:
             x = np.concatenate([held[:, None], x], axis=1)
-        new = np.append(True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1]))
+        new = np.append(True, (x[1, 1:] != x[1, :-1]) | (x[2, 1:] != x[2, :-1]))
         at = np.flatnonzero(new)
         run = np.cumsum(new) - 1
         first = x[:, at]
-        yield out(x[:, ~new & ((x[2] != first[2][run]) | (x[3] != first[3][run]))], True)
-        same = first[0, 1:] == first[0, :-1]
+        yield out(x[:, ~new & ((x[3] != first[3][run]) | (x[4] != first[4][run]))], True)
+        same = first[1, 1:] == first[1, :-1]
         other = np.append(start or held_other, same) | np.append(same, False)
         yield out(first[:, :-1][:, other[:-1]], False)
         held, held_other = first[:, -1], bool(other[-1])
@@ -103,16 +107,16 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, doc_id, lo, hi, raw): the bytes of the windows of each suffix that is left to compare."""
+    """(lead, token, doc_id, lo, hi, raw): the bytes of the windows of each suffix that is left to compare."""
     for part in slices(batches):
-        rows: list[list] = [[] for _ in range(5)]
+        rows: list[list] = [[] for _ in range(6)]
         for doc, text, own in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "own"))):
             raw = text.encode("utf-8", "surrogatepass")
             for s in own:
-                for column, x in zip(rows, (s["token"], doc, s["lo"], s["hi"], raw[s["lo"] : s["hi"] + LEAST])):
+                for column, x in zip(rows, (s["lead"], s["token"], doc, s["lo"], s["hi"], raw[s["lo"] : s["hi"] + LEAST])):
                     column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["token", "doc_id", "lo", "hi", "raw"])
+        kinds = (*[pa.int64()] * 5, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["lead", "token", "doc_id", "lo", "hi", "raw"])
 
 
 def repeated_suffixes(token: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,34 +193,71 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["prefix", "doc_id", "lo"])
 
 
+def _compare_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket sorted by (prefix, doc_id, lo): suffixes that come after the first of their prefix here (prefix null), and two that face the buckets beside it.
+
+    Those two are the first suffix of the bucket and the first of its last prefix, with their prefixes: what a prefix over
+    several buckets has in all of them is settled by comparing these.
+    """
+
+    def out(prefix: list, doc: list, lo: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(prefix, pa.binary()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64())], ["prefix", "doc_id", "lo"])
+
+    edge = first = None
+    for part in slices(batches, 8192):
+        docs, los = [], []
+        for row in zip(*(part.column(c).to_pylist() for c in ("prefix", "doc_id", "lo"))):
+            edge = edge or row
+            if first is None or row[0] != first[0]:
+                first = row
+            elif row != first:
+                docs.append(row[1]), los.append(row[2])
+        yield out([None] * len(docs), docs, los)
+    if edge:
+        yield out(*zip(*({edge, first})))
+
+
+def _repeated_dense(dense: DataFrame) -> DataFrame:
+    """(doc_id, lo) of suffixes (prefix, doc_id, lo) whose prefix also starts earlier.
+
+    Sampled splitters cut them by all three columns, so a prefix of many suffixes lies in several buckets; of each bucket
+    two suffixes at most are compared with those of others.
+    """
+    order = ["prefix", "doc_id", "lo"]
+    cut = dense.repartitionByRange(n_partitions(dense.sparkSession), *order).sortWithinPartitions(*order)
+    judged = keep(cut.mapInArrow(_compare_dense, "prefix binary, doc_id long, lo long"))
+    edges = judged.where("prefix is not null")
+    first = edges.groupBy("prefix").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
+    late = edges.join(first, "prefix").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo")))
+    return judged.where("prefix is null").select("doc_id", "lo").union(late.select("doc_id", "lo"))
+
+
 def repeated_spans(docs: DataFrame, bucket: int = BUCKET_SUFFIXES) -> DataFrame:
     """(doc_id, lo, hi): byte spans made of windows of LEAST bytes that also start earlier.
 
     Suffixes are sampled by content (see anchors): each stands for the windows around it, so one of about 33 is moved.
-    Sampled splitters (repartitionByRange) cut the suffixes, ordered by their leading token and the hash of what surrounds
-    it, into buckets; a token that a third of all texts hold is spread over many. A sorted bucket settles whole contexts that repeat. Where a
-    token has several contexts, their first ones are left: their bytes are fetched, cut by token, and every suffix in them is sorted
-    by multikey quicksort. Tokens with more than `bucket` suffixes are cut suffix by suffix by their leading bytes instead,
-    so no task meets more than that many of one token.
+    Sampled splitters (repartitionByRange) cut the suffixes, ordered by their leading bytes (hashes of the whole token and of
+    what surrounds it settle ties), into buckets; a token that a third of all texts hold is spread over many. A sorted bucket
+    settles whole contexts that repeat. Where a token has several contexts, their first ones are left: their bytes are fetched,
+    cut in the same order, and every suffix in them is sorted by multikey quicksort. Tokens with more than `bucket` suffixes are
+    cut suffix by suffix by all their LEAST bytes instead, with no limit on how many buckets one prefix takes.
     """
     spark, n = docs.sparkSession, n_partitions(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    sampled = rows.mapInArrow(_samples, "token long, context long, doc_id long, lo long, hi long")
-    order = ["token", "context", "doc_id", "lo"]
+    sampled = rows.mapInArrow(_samples, "lead long, token long, context long, doc_id long, lo long, hi long")
+    order = ["lead", "token", "context", "doc_id", "lo"]
     cut = sampled.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    judged = keep(cut.mapInArrow(_compare_neighbours, "token long, doc_id long, lo long, hi long, again boolean"))
+    judged = keep(cut.mapInArrow(_compare_neighbours, "lead long, token long, doc_id long, lo long, hi long, again boolean"))
     settled = judged.where("again").select("doc_id", "lo", (F.col("hi") + LEAST).alias("hi"))
     left = judged.where("not again").drop("again")
     hot = left.groupBy("token").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")).where(F.col("n") > bucket).select("token")
     hot = F.broadcast(keep(hot))  # at most (all suffixes that are left) / bucket rows
-    own = left.groupBy("doc_id").agg(F.collect_list(F.struct("token", "lo", "hi")).alias("own"))
-    contexts = keep(rows.join(own, "doc_id").select("doc_id", "text", "own").mapInArrow(_contexts, "token long, doc_id long, lo long, hi long, raw binary"))
-    cold = contexts.join(hot, "token", "left_anti").repartitionByRange(n, "token").sortWithinPartitions("token")
+    own = left.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "token", "lo", "hi")).alias("own"))
+    contexts = keep(rows.join(own, "doc_id").select("doc_id", "text", "own").mapInArrow(_contexts, "lead long, token long, doc_id long, lo long, hi long, raw binary"))
+    cold = contexts.join(hot, "token", "left_anti").repartitionByRange(n, "lead", "token").sortWithinPartitions("lead", "token")
     found = cold.select("token", "doc_id", "lo", "hi", "raw").mapInArrow(_sort_buckets(bucket), "doc_id long, lo long, hi long")
     dense = contexts.join(hot, "token", "left_semi").select("token", "doc_id", "lo", "hi", "raw").mapInArrow(_dense, "prefix binary, doc_id long, lo long")
-    first = dense.groupBy("prefix").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").select("prefix", "first")
-    later = dense.join(first, "prefix").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo")))
-    return settled.union(found).union(later.select("doc_id", "lo", (F.col("lo") + LEAST).alias("hi")))
+    return settled.union(found).union(_repeated_dense(dense).select("doc_id", "lo", (F.col("lo") + LEAST).alias("hi")))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
