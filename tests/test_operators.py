@@ -253,6 +253,42 @@ def test_html(spark):
     assert df.select(X.strip_html(F.col("h")).alias("t")).head()["t"] == "a <i> &lt;"
 
 
+def test_character_references_as_the_standard_library_decodes_them(spark):
+    import html
+    import random
+
+    r = random.Random(7)
+    parts = ["&", "&amp", "&amp;", "&copy", "&copyright", "&notit;", "&notin;", "&nosuch;", "&#39;", "&#x27", "&#8217;", "&#128;", "&#0;", "&#xD800;", "&#x110000;", "&#99999999999999999999999;", "&#11;", "&#xFFFE;", "&#x1F600;", "&CounterClockwiseContourIntegral;", "&Tab;", "&#", "&#x;", ";", "a", " ", "é", "&lt;", "lt;"]
+    texts = ["", "plain", *parts, *("".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string")
+    got = dict(df.select("i", X.decode_references(F.col("t"))).collect())
+    assert got.pop(-1) is None
+    assert {i: got[i] for i, t in enumerate(texts) if got[i] != html.unescape(t)} == {}
+
+
+def test_dates_of_feeds(spark):
+    stamp = 1774276200  # 2026-03-23 14:30:00 UTC
+    forms = ["Mon, 23 Mar 2026 14:30:00 GMT", "23 Mar 2026 14:30 +0000", "Mon, 23 Mar 2026 16:30:00 +0200", "2026-03-23T14:30:00Z", " 2026-03-23T10:30:00-04:00 ", "Monday, 23 Mar 26 14:30:00 GMT"]
+    none = ["", " ", None, "yesterday", "Mon, 99 Mar 2026 14:30:00 GMT"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(forms + none)], "i int, t string")
+    got = dict(df.select("i", F.unix_seconds(X.published(F.col("t"), F.timestamp_seconds(F.lit(5))))).collect())
+    assert [got[i] for i in range(len(forms + none))] == [stamp] * len(forms) + [5] * len(none)
+
+
+def test_status_stream_keeps_what_is_settled(spark, tmp_path):
+    from tidesmith.streaming import news as N
+
+    articles = spark.createDataFrame([("a", "x", "raw"), ("b", "x", "raw"), ("c", " ", "raw"), ("d", "x", "mentions_done")], "url string, summary string, status string")
+    plain = spark.createDataFrame([], "url string, ok boolean")
+    wanted = []
+    for batch, status in (([("a", True), ("zzz", True)], "raw"), ([("a", False), ("b", False), ("d", False)], "mentions_failed"), ([], "mentions_failed")):
+        if batch:
+            spark.createDataFrame(batch, plain.schema).write.mode("append").parquet(f"{tmp_path}/in")
+        done = N.status_available(N.read_stream(spark, f"{tmp_path}/in", plain), articles, f"{tmp_path}/t", f"{tmp_path}/s")
+        wanted = [("a", "mentions_done"), ("b", status), ("c", "skipped_no_summary"), ("d", "mentions_done")]
+        assert sorted((r["url"], r["status"]) for r in done.collect()) == wanted
+
+
 def test_oracle_covers_queries():
     import __spark_entry__ as e
 

@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The entities that are decoded; the ampersand last, so that nothing is decoded twice.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# Named character references of HTML 5 by name, as the standard library lists them; the old ones also stand without a semicolon.
+_NAMED = "\u0001".join(f"{name}\u0002{char}" for name, char in html5.items())
+_OLD = "|".join(sorted((x for x in html5 if not x.endswith(";")), key=len, reverse=True))
+REFERENCE = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+#: What the numbers 128 to 159 stand for: the characters of that Windows code page, where it has one.
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a number: U+FFFD for those that are none, nothing for control characters and non-characters."""
+    none = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    mute = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(none, "\ufffd").when(n.between(128, 159), F.lit(_WINDOWS).substr((n - 127).cast("int"), F.lit(1))).when(mute, "").otherwise(char)
+
+
+def decode_references(text: Column) -> Column:
+    """text with each character reference, named or numbered, replaced once (so `&amp;lt;` becomes `&lt;`); unknown names stay."""
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\u0001"), F.lit("\u0002"))
+
+    def one(hit: Column) -> Column:
+        digits = F.regexp_replace(hit, "^&#[xX]?0*|;$", "")
+        name = hit.substr(F.lit(2), F.length(hit))
+        old = F.regexp_extract(name, f"^({_OLD})", 1)
+        known = F.coalesce(F.try_element_at(named, name), F.concat(F.try_element_at(named, old), name.substr(F.length(old) + 1, F.length(name))), hit)
+        number = F.when(digits == "", 0).when(F.length(digits) <= 8, F.when(hit.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"))
+        return F.when(hit.startswith("&#"), _numbered(number)).otherwise(known)
+
+    between = F.split(text, REFERENCE, -1)
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.slice(between, 2, F.size(between)), lambda hit, after: F.concat(one(hit), after))
+    return F.when(text.contains("&"), F.concat(between[0], F.array_join(pairs, ""))).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
-    """CDATA unwrapped, tags out, entities decoded (escaped tags stay as text), white space collapsed."""
+    """CDATA unwrapped, tags out, character references decoded (escaped tags stay as text), white space collapsed."""
     x = F.regexp_replace(html, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    x = F.regexp_replace(x, "<[^>]+>", "")
-    for entity, char in ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.btrim(F.regexp_replace(x, "[\\s ]+", " "))
+    x = decode_references(F.regexp_replace(x, "<[^>]+>", ""))
+    return F.btrim(F.regexp_replace(x, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+
+
+# The forms of dates in feeds, without the day of the week; then what Spark itself reads (ISO 8601).
+DATES = [f"{day} HH:mm{seconds}{zone}" for day in ("d MMM yyyy", "d MMM yy") for seconds in (":ss", "") for zone in (" Z", " z", "")] + ["d MMM yyyy", "yyyy/M/d"]
+
+
+def published(text: Column, otherwise: Column) -> Column:
+    """The time that a feed's date stands for (without a zone: the session's); `otherwise` where it is null, empty or in no known form."""
+    bare = F.regexp_replace(F.btrim(text), r"^[A-Za-z]{3,9},?\s+(?=[0-9])", "")
+    return F.coalesce(F.try_to_timestamp(bare), *(F.try_to_timestamp(bare, F.lit(form)) for form in DATES), otherwise)
 
 
 def admit(articles: DataFrame, known: DataFrame, per_feed: int = 20, since: Column | None = None) -> DataFrame:
@@ -24,7 +63,7 @@ def admit(articles: DataFrame, known: DataFrame, per_feed: int = 20, since: Colu
     With `since`, articles published before it go; those whose date cannot be read stay. Of repeated urls the first by feed and position stays.
     """
     head = articles.withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy("pos"))).where(F.col("n") <= per_feed).drop("n")
-    fresh = head if since is None else head.where(F.coalesce(F.try_to_timestamp("published") >= since, F.lit(True)))
+    fresh = head if since is None else head.where(published(F.col("published"), since) >= since)
     once = fresh.where("url is not null and url <> ''").withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("feed", "pos"))).where("n = 1").drop("n")
     return once.join(known.select("url"), "url", "left_anti")
 

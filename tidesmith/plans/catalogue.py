@@ -538,7 +538,7 @@ def pass_sets(spark, d):
 
 def _html_sql() -> str:
     x = r"regexp_replace(regexp_replace(html, '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g'), '<[^>]+>', '', 'g')"
-    for entity, char in X.ENTITIES:
+    for entity, char in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"SELECT page_id, trim(regexp_replace({x}, '[\\s ]+', ' ', 'g')) AS text FROM pages"
 
@@ -907,3 +907,24 @@ def stream_late_revision(spark, d):
         rows.write.mode("append").parquet(f"{out}/arrived")
         done = N.upsert_available(N.read_stream(spark, f"{out}/arrived", first), f"{out}/table", f"{out}/state", ["event_id"], ["value", "revision"], ["revision"])
     return done.select("event_id", "user_id", "value")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN 0 ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS second FROM orders")
+def published_dates(spark, d):
+    """Dates of orders written in four forms that feeds use, and one that nobody can read, read back."""
+    at = F.col("o_orderdate")
+    ahead = F.concat(F.date_format(at + F.expr("interval 2 hours"), "d MMM yyyy HH:mm:ss"), F.lit(" +0200"))
+    forms = [F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), ahead, F.concat(F.date_format(at, "EEE, d MMM yyyy HH:mm"), F.lit(" GMT")), F.concat(F.lit("some day in "), F.date_format(at, "yyyy"))]
+    text = F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.unix_seconds(X.published(text, F.timestamp_seconds(F.lit(0)))).alias("second"))
+
+
+@query("SELECT doc_id, CASE WHEN trim(coalesce(d.text, '')) = '' THEN 'skipped_no_summary' WHEN l.quality = 1 THEN 'mentions_done' WHEN l.quality = 0 THEN 'mentions_failed' ELSE 'raw' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def stream_status(spark, d):
+    """Documents wait as raw; outcomes of the labelled ones arrive as a stream, and again, turned round, in a later micro-batch that changes nothing."""
+    articles = table(spark, d, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("summary"), F.lit("raw").alias("status"))
+    first, out = table(spark, d, "labels").select(F.col("doc_id").alias("url"), (F.col("quality") == 1).alias("ok")), shared_dir(spark)
+    for rows in (first, first.withColumn("ok", ~F.col("ok"))):
+        rows.write.mode("append").parquet(f"{out}/arrived")
+        done = N.status_available(N.read_stream(spark, f"{out}/arrived", first), articles, f"{out}/table", f"{out}/state")
+    return done.select(F.col("url").alias("doc_id"), "status")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidesmith.operators.graph import upsert
+from tidesmith.operators.graph import article_status, first_of, upsert
 
 
 def dedup_stream(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:
@@ -23,26 +25,34 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
-def upsert_available(stream: DataFrame, path: str, checkpoint: str, key: list[str], changed: list[str], order: list[str]) -> DataFrame:
-    """The table that results when all that has arrived is merged in, micro-batch by micro-batch; a late revision replaces `changed`.
+def merge_available(stream: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """The table that results when all that has arrived is merged into it by merge(table, batch), micro-batch by micro-batch.
 
-    Of several rows of a key in one batch the last by `order` counts. Each batch writes a version of its own under `path` from the one before
-    it, so a batch that is run again after a failure gives the same version. Returns the last one.
+    The first batch meets `start`. Each batch writes a version of its own under `path` from the one before it, so a batch that is
+    run again after a failure gives the same version. Returns the last one (start, if nothing has ever arrived).
     """
-    spark, plain = stream.sparkSession, stream.schema
+    spark = stream.sparkSession
     version = lambda n: f"{path.rstrip('/')}/version={n}"
     last = {"n": -1}
 
-    def merge(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        newest = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
-        new = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
-        old = own.read.schema(plain).parquet(version(n - 1)) if n else new.limit(0)
-        upsert(old, new, key, changed).write.mode("overwrite").parquet(version(n))
+    def each(batch: DataFrame, n: int) -> None:
+        old = batch.sparkSession.read.schema(start.schema).parquet(version(n - 1)) if n else start
+        merge(old, batch).write.mode("overwrite").parquet(version(n))
         last["n"] = n
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if last["n"] < 0 and query.lastProgress:  # nothing new has arrived since an earlier run
-        last["n"] = query.lastProgress["batchId"]
-    return spark.read.schema(plain).parquet(version(last["n"])) if last["n"] >= 0 else spark.createDataFrame([], plain)
+        last["n"] = query.lastProgress["batchId"] - 1  # that of the batch to come
+    return spark.read.schema(start.schema).parquet(version(last["n"])) if last["n"] >= 0 else start
+
+
+def upsert_available(stream: DataFrame, path: str, checkpoint: str, key: list[str], changed: list[str], order: list[str]) -> DataFrame:
+    """All that has arrived, by key: a late revision replaces `changed`; of several rows of a key in one batch the last by `order` counts."""
+    start = stream.sparkSession.createDataFrame([], stream.schema)
+    return merge_available(stream, start, lambda old, new: upsert(old, first_of(new, key, [F.desc(c) for c in order]), key, changed), path, checkpoint)
+
+
+def status_available(outcomes: DataFrame, articles: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Articles after all outcomes (url, ok) that have arrived: a status that is no longer raw never changes again, whatever arrives later."""
+    return merge_available(outcomes, articles, article_status, path, checkpoint)
