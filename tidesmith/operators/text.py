@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Named character references of HTML 5 by name, as the standard library lists them; the old ones also stand without a semicolon.
-_NAMED = "\u0001".join(f"{name}\u0002{char}" for name, char in html5.items())
+# Short names come first, as they are the frequent ones and a map is searched from its start.
+_NAMED = "\u0001".join(f"{name}\u0002{char}" for name, char in sorted(html5.items(), key=lambda x: (len(x[0]), x[0])))
 _OLD = "|".join(sorted((x for x in html5 if not x.endswith(";")), key=len, reverse=True))
 REFERENCE = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 #: What the numbers 128 to 159 stand for: the characters of that Windows code page, where it has one.
@@ -35,15 +36,15 @@ def decode_references(text: Column) -> Column:
         number = F.when(digits == "", 0).when(F.length(digits) <= 8, F.when(hit.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"))
         return F.when(hit.startswith("&#"), _numbered(number)).otherwise(known)
 
-    between = F.split(text, REFERENCE, -1)
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.slice(between, 2, F.size(between)), lambda hit, after: F.concat(one(hit), after))
-    return F.when(text.contains("&"), F.concat(between[0], F.array_join(pairs, ""))).otherwise(text)
+    hits = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    whole = F.array_join(F.zip_with(hits, F.split(text, REFERENCE, -1), lambda hit, after: F.concat(one(hit), after)), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
     """CDATA unwrapped, tags out, character references decoded (escaped tags stay as text), white space collapsed."""
     x = F.regexp_replace(html, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    x = decode_references(F.regexp_replace(x, "<[^>]+>", ""))
+    x = F.transform(F.array(F.regexp_replace(x, "<[^>]+>", "")), decode_references)[0]  # bound once, not cut anew for each use
     return F.btrim(F.regexp_replace(x, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
