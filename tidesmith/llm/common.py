@@ -9,7 +9,9 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many bytes of a column of strings or lists of 32-bit numbers, or of one longer row."""
+    for batch in batches:
+        kind = batch.schema.field(column).type
+        size = pc.list_value_length(batch.column(column)) if pa.types.is_list(kind) else pc.binary_length(batch.column(column))
+        total = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64) * (4 if pa.types.is_list(kind) else 1) + 64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def worker_cache(name: str) -> dict:
     """A dict of this Python worker, which serves many tasks."""
     home = sys.modules.setdefault("tidesmith_worker_cache", types.ModuleType("tidesmith_worker_cache"))
