@@ -19,7 +19,9 @@ from tidesmith.llm.common import portions, table, worker_cache
 from tidesmith.llm.packing import _PLAIN, default_tokenizer
 
 #: Pieces of text whose ids a worker keeps, and the longest one that it keeps.
-KEPT, LONGEST_KEPT = 600_000, 64
+KEPT, LONGEST_KEPT = 200_000, 32
+#: Bytes of text whose words a worker holds at a time.
+PORTION = 2 << 20
 #: Longer words are merged by a heap.
 _SHORT = 64
 _NEVER = 1 << 40
@@ -187,10 +189,6 @@ class Encoder:
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.special = {x["content"]: x["id"] for x in added}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        every = model["vocab"] | self.special
-        self.tokens = [None] * (max(every.values()) + 1)
-        for t, i in every.items():
-            self.tokens[i] = t
         self.seen: dict[str, bytes] = {}
         self.words = self.merged = 0
 
@@ -239,6 +237,19 @@ class Encoder:
         return out
 
 
+def spellings(path: str) -> pa.Array:
+    """The tokens of a file in the order of their ids, special ones too; null where an id has none."""
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    if form["decoder"] is not None:
+        raise ValueError(f"{path} has a decoder, which is not carried out here")
+    every = form["model"]["vocab"] | {x["content"]: x["id"] for x in form["added_tokens"]}
+    tokens: list[str | None] = [None] * (max(every.values()) + 1)
+    for t, i in every.items():
+        tokens[i] = t
+    return pa.array(tokens, pa.string())
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker."""
     kept = worker_cache("encoders")
@@ -256,7 +267,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
-        for part in portions(batches, "text"):
+        for part in portions(batches, "text", PORTION):
             raw = ids_of(part.column("text").to_pylist())
             offsets = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -272,8 +283,8 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(encoder(tokenizer).tokens, pa.string())
-        for part in portions(batches, "ids"):
+        tokens = spellings(tokenizer)
+        for part in portions(batches, "ids", PORTION):
             ids = part.column("ids")
             parents, flat = pc.list_parent_indices(ids), pc.list_flatten(ids)
             known = pc.and_(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), pc.is_valid(flat))
