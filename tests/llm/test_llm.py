@@ -155,6 +155,14 @@ def test_language(spark):
     assert got == [("aa", False), ("zz", False), ("und", True), ("und", True), ("und", True)]
 
 
+def test_what_counts_as_a_letter(spark):
+    """Numbers that are no digits (halves, powers, Roman ones, circled ones) are no letters; one letter of any script is."""
+    dicts = langid.dictionaries(spark.createDataFrame([(i, words(30, i), "aa") for i in range(9)], "doc_id long, text string, lang string"))
+    odd = ["½", "²³ 12", "Ⅷ", "①", "_ 5 -", None, "", "½ a", "ª", "中"]
+    got = [r["lang_pred"] for r in langid.identify(docs(spark, odd), dicts).orderBy("doc_id").collect()]
+    assert got == ["und"] * 7 + ["aa"] * 3
+
+
 def test_classifiers(spark):
     texts = [words(40, i) + (". you moron. " if i % 3 == 0 else ". ") + words(20, i + 500) for i in range(120)]
     rows, labels = docs(spark, texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, y int")
@@ -218,6 +226,57 @@ def test_base_spans_are_those_of_the_patterns(spark):
         assert {k: [(m["start"], m["end"]) for m in row[k]] for k in pii.KINDS} == base_of(row["text"]), row["text"]
 
 
+def test_many_matches_in_one_text(spark):
+    """Places of very many matches are right to the last one; work grows with them and not with their square."""
+    n = 32_000
+    text = "".join(f"é{i % 7} 10.0.{i % 256}.{i % 5} " for i in range(n)) + "pass: Qx7-441a end"
+    row = pii.personal_data(docs(spark, [text])).collect()[0]
+    want = [(m.start(), m.end()) for m in re.finditer(r"10\.0\.[0-9]+\.[0-9]+", text)]
+    assert [(m["start"], m["end"]) for m in row["ip"]] == want and len(want) == n
+
+
+def plain_bootstrap(found):
+    """learned of pii.bootstrap by plain loops: found is (doc_id, start, end, text, seed, base, pattern)."""
+    edges = {}
+    for _, _, _, text, seed, _, pattern in found:
+        if pattern:
+            edges[pattern, text] = edges.get((pattern, text), False) or seed
+
+    def shape(text):
+        runs = re.sub(r"\b(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[A-Za-z0-9]+\b", "\u0001", text)
+        return re.sub("[0-9]+", "0", re.sub("[A-Za-z]+", "a", runs)).replace("\u0001", "x")
+
+    known = {shape(t) for (_, t), seed in edges.items() if seed}
+    texts = {t for _, t in edges}
+    seeds = {t for (_, t), seed in edges.items() if seed}
+    belief = {t: float(t in seeds) for t in texts}
+    for _ in range(pii.ROUNDS):
+        conf = {}
+        for p in {p for p, _ in edges}:
+            own = [t for q, t in edges if q == p and shape(t) in known]
+            total = sum(belief[t] for t in own)
+            if total >= pii.LEAST_SEEDS and total >= pii.LEAST_PATTERN * len(own):
+                conf[p] = min(total / (len(own) + 1), 0.999)
+        belief = {t: 1.0 if t in seeds else 1 - np.prod([1 - conf.get(p, 0.0) for p, u in edges if u == t]) for t in texts}
+    good = {t for t in texts if belief[t] >= (pii.LEAST_INSTANCE if shape(t) in known else pii.LEAST_STRANGE)}
+    return {(d, s, e) for d, s, e, text, seed, base, pattern in found if not base and (seed or (pattern and text in good))}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_bootstrap_against_plain_loops(spark, seed):
+    """Planted forms that no seed has, under labels that seeds share, are found; those under labels of ordinary numbers are not."""
+    r = random.Random(seed)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(20)) + "a1"
+    odd = lambda: f"Zq{r.randint(100, 999)}-{r.choice('KLMN')}{r.randint(10, 99)}w"
+    texts = [f"words here token={key()} and more" for _ in range(60)] + [f"also token={odd()} here" for _ in range(4)] + [f"row id: {r.randint(10**6, 10**7)} of v{r.randint(1, 9)}.{r.randint(10000, 99999)}" for _ in range(40)]
+    rows = docs(spark, texts).select("doc_id", "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    found = pii.candidates(pii.base_spans(rows))
+    got = {tuple(x) for x in pii.bootstrap(found).select("doc_id", "start", "end").collect()}
+    assert got == plain_bootstrap([tuple(x) for x in found.select("doc_id", "start", "end", "text", "seed", "base", "pattern").collect()])
+    planted = {i for i in range(60, 64)}
+    assert planted <= {d for d, _, _ in got} and not {d for d, _, _ in got} & set(range(64, 104))
+
+
 def test_long_and_strange_identifiers(spark):
     texts = [*(f"password={hashlib.md5(bytes([i])).hexdigest()[:18]} z" for i in range(60)), "password=Abc-123xyz.", f"password={'k9' * 60}", "token " + "9" * 90]
     rows = docs(spark, texts).union(docs(spark, texts[-3:-2])).union(spark.createDataFrame([(None, texts[-3], "x", 1)], DOCS))

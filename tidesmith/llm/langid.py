@@ -22,7 +22,7 @@ BLOCK, LEVEL = 4096, 6
 SHORT, PARTS = 200, 8
 #: Texts are rejected where the second smallest is less than this share larger than the smallest, and no more than so many bytes.
 MARGIN, MARGIN_BYTES = 0.004, 0.125
-_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> bytes:
@@ -83,7 +83,7 @@ def _predict(dicts: list[tuple[str, bytes]]):
         for part in slices(batches):
             langs, scores, rejected = [], [], []
             for text in part.column("text").to_pylist():
-                if not text or not coders.langs or not _LETTER.search(text):
+                if not text or not coders.langs or not any(map(str.isalpha, text)):
                     langs.append("und"), scores.append(0.0), rejected.append(True)
                     continue
                 sizes = coders.sizes(text)

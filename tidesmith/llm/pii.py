@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidesmith.llm.common import keep, table
@@ -28,20 +28,51 @@ ROUNDS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE = 3, 5, 0.8, 0.9
 LEAST_STRANGE = 0.95
 
 
+#: Matches whose places are summed up together, and the characters before a match that come with it.
+BLOCK, BEFORE = 256, 40
+
+
 def _matches(text: Column, regex: str) -> Column:
-    """array<struct<start, end, text>> of a regex's matches in code points: the lengths of what lies between matches and of matches, summed up."""
-    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.transform(F.split(text, regex, -1), F.length)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
+    """array<struct<start, end, text, before>> of a regex's matches in code points, by the lengths of matches and of what lies between them.
+
+    Places are sums of those lengths, taken by blocks: sums of whole blocks first, then inside each block from where it begins, so the work grows
+    with the matches and not with their square. before: at least the BEFORE characters before a match, as far as the match before it reaches.
+    """
+    kind = "struct<start:int,end:int,text:string,before:string>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    cut = F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("gaps"))
+
+    def places(cut: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            gap, last = F.get(cut["gaps"], i), F.coalesce(F.get(cut["hits"], i - 1), F.lit(""))
+            return F.struct(F.length(gap).alias("gap"), hit.alias("hit"), F.concat(F.right(last, F.lit(BEFORE)), F.right(gap, F.lit(BEFORE))).alias("before"))
+
+        return F.transform(cut["hits"], one)
+
+    def blocks(steps: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK))
+        return F.transform(firsts, lambda i: F.slice(steps, i, BLOCK))
+
+    def starts(of: Column) -> Column:
+        """Where each block begins: a running sum over the blocks alone."""
+        lengths = F.transform(of, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x["gap"] + F.length(x["hit"])))
+        return F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+    def inside(block: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            end = begin + F.length(x["hit"])
+            hit = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text"), x["before"].alias("before"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
-    return F.when(F.regexp_like(text, F.lit(regex)), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(none)
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def once(value: Column, then) -> Column:
+        """then(value), with value computed a single time."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    found = once(cut, lambda c: once(once(places(c), blocks), lambda of: F.flatten(F.transform(F.arrays_zip(of.alias("b"), F.slice(starts(of), 1, F.size(of)).alias("s")), lambda x: inside(x["b"], x["s"])))))
+    return F.when(F.regexp_like(text, F.lit(regex)), found).otherwise(none)
 
 
 def _digits(text: Column) -> Column:
@@ -65,7 +96,7 @@ def _valid(kind: str, text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with one array<struct<start, end, text>> for each of email, ip, card and phone."""
+    """docs with one array<struct<start, end, text, before>> for each of email, ip, card and phone."""
     t = F.coalesce("text", F.lit(""))
 
     def of(kind: str, regex: str) -> Column:
@@ -74,9 +105,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.select("*", *(of(*x) for x in KINDS.items()))
 
 
-def _context(text: Column, at: Column) -> Column:
-    """The label before a place, lower-cased, its white space as one blank; empty if there is none."""
-    before = F.substring(text, F.greatest(at - 39, F.lit(1)), F.least(at, F.lit(40)))
+def _context(before: Column) -> Column:
+    """The label that the characters before a place end with, lower-cased, its white space as one blank; empty if there is none.
+
+    A label is one run of letters, so it reaches into the match before at most: that holds a digit or an @.
+    """
     return F.regexp_replace(F.lower(F.regexp_extract(before, r"([\p{L}_]{2,30}\s{0,2}[=:#]\s{0,2}[\"'(<\[]?)$", 1)), r"\s+", " ")
 
 
@@ -87,16 +120,23 @@ def _shape(text: Column) -> Column:
 
 
 def candidates(spans: DataFrame) -> DataFrame:
-    """(doc, doc_id, start, end, text, seed, base, pattern): base matches and other candidates, each with the pattern of its place."""
+    """(doc, doc_id, start, end, text, seed, base, pattern): base matches and other candidates, each with the pattern of its place.
+
+    Candidates that overlap a base match go. A document's matches are met in the order of their starts: the furthest end of a base match so far
+    and the next start of one tell.
+    """
     t = F.coalesce("text", F.lit(""))
-    base = F.flatten(F.array(*(F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(True).alias("seed"), F.lit(True).alias("base"))) for k in KINDS)))
-    free = F.filter(_matches(t, CANDIDATE), lambda m: (F.length(m["text"]) >= LEAST_LENGTH) & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    rows = spans.withColumn("base", base).withColumn("all", F.concat("base", F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.regexp_like(m["text"], F.lit(f"^{SECRET}$")).alias("seed"), F.lit(False).alias("base")))))
-    with_context = F.transform("all", lambda m: F.struct(m["start"], m["end"], m["text"], m["seed"], m["base"], _context(t, m["start"]).alias("pattern")))
-    return (
-        rows.where(F.size("all") > 0).select("doc", "doc_id", F.explode(with_context).alias("m"))
-        .select("doc", "doc_id", *(F.col(f"m.{c}").alias(c) for c in ("start", "end", "text", "seed", "base", "pattern")))
-    )
+    own = lambda m, seed, base: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), seed.alias("seed"), F.lit(base).alias("base"), _context(m["before"]).alias("pattern"))
+    base = F.flatten(F.array(*(F.transform(k, lambda m: own(m, F.lit(True), True)) for k in KINDS)))
+    free = F.filter(_matches(t, CANDIDATE), lambda m: F.length(m["text"]) >= LEAST_LENGTH)
+    free = F.transform(free, lambda m: own(m, F.regexp_like(m["text"], F.lit(f"^{SECRET}$")), False))
+    rows = spans.select("doc", "doc_id", F.explode(F.concat(base, free)).alias("m")).select("doc", "doc_id", "m.*")
+    by = Window.partitionBy("doc", "doc_id")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(by.orderBy("start", F.desc("base")).rowsBetween(Window.unboundedPreceding, 0))
+    # in falling order, as a frame that reaches to the end is summed up anew for each row
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(by.orderBy(F.desc("start"), "base").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumns({"reach": F.coalesce(reach, F.lit(0)), "ahead": ahead})
+    return placed.where("base or (reach <= start and (ahead is null or ahead >= end))").drop("reach", "ahead")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
