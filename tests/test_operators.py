@@ -211,6 +211,33 @@ def test_partial_edges_are_replaced_by_five_columns(spark):
     assert got == {("z", "partial", 63, 0.3), ("y", "pearson", 63, 0.4), ("y", "partial", 252, 0.5), ("w", "partial", 63, 0.9)}
 
 
+def test_five_verdicts(spark):
+    """What each verdict makes of an edge, whether it is looked at again, and what an audit counts."""
+    want = {
+        "confirmed_plausible": ("candidate", False, False), "likely_plausible": ("candidate", True, False), "uncertain": ("pending_verification", True, True),
+        "likely_spurious": ("rejected", True, False), "confirmed_spurious": ("rejected", False, False), "other": ("pending_verification", False, False), None: ("pending_verification", False, False),
+    }
+    rows = spark.createDataFrame([(v,) for v in want], "verdict string")
+    v = F.col("verdict")
+    got = {r[0]: tuple(r)[1:] for r in rows.select(v, G.verdict_status(v), G.needs_review(v, F.lit(0.64)), G.needs_review(v, F.lit(0.65))).collect()}
+    assert got == want
+    run = G.run_record(rows.withColumn("method", F.lit(None).cast("string")), "r", F.current_timestamp(), F.current_timestamp())
+    assert tuple(run[0].select("total_pairs", "promoted", "rejected", "uncertain").first()) == (7, 2, 2, 1)
+    assert {r["method"] for r in run[1].collect()} == {"partial"}
+    counts = sorted(map(tuple, G.verdict_counts(rows).collect()))
+    assert [c[:3] for c in counts] == [(i, x, 1) for i, x in enumerate(G.VERDICTS)] and counts[0][3] == pytest.approx(100 / 7)
+    assert [c[2:] for c in G.verdict_counts(rows.limit(0)).collect()] == [(0, 0.0)] * 5
+
+
+def test_verdicts_are_written_by_four_columns(spark):
+    """An edge of another method or window keeps its status; a result without confidence takes away the old one."""
+    kinds = "a string, b string, method string, window_days int, status string, verdict string, confidence double"
+    edges = spark.createDataFrame([("x", "y", "partial", 63, "pending_verification", None, 0.3), ("x", "y", "partial", 252, "pending_verification", None, 0.3), ("x", "y", "pearson", 63, "candidate", None, None)], kinds)
+    results = spark.createDataFrame([("x", "y", "partial", 63, "likely_spurious", None), ("z", "y", "partial", 63, "uncertain", 0.5)], "a string, b string, method string, window_days int, verdict string, confidence double")
+    got = {(r["method"], r["window_days"]): tuple(r)[4:] for r in G.write_verdicts(edges, results).collect()}
+    assert got == {("partial", 63): ("rejected", "likely_spurious", None), ("partial", 252): ("pending_verification", None, 0.3), ("pearson", 63): ("candidate", None, None)}
+
+
 def test_admission_by_age_and_url(spark):
     rows = [("f", 1, "u1", "2024-01-05"), ("f", 2, "u2", "2023-01-01"), ("f", 3, "u3", "when?"), ("f", 4, "u1", "2024-01-05"), ("f", 5, "", None), ("g", 1, "known", None)]
     articles = spark.createDataFrame(rows, "feed string, pos int, url string, published string")

@@ -114,35 +114,58 @@ def replace_partial(old: DataFrame, new: DataFrame, window: int) -> DataFrame:
 
 
 def write_verdicts(edges: DataFrame, results: DataFrame) -> DataFrame:
-    """Edges after a verification: the ones with a result get its verdict and the status that follows. results: (a, b, method, window_days, verdict)."""
+    """Edges after a verification: the ones with a result get the status that follows from its verdict, and its other values where edges have such columns.
+
+    results: (a, b, method, window_days, verdict, ...). Edges are met by the first four; of several results of an edge the least verdict counts.
+    """
     key = ["a", "b", "method", "window_days"]
-    new = first_of(results.select(*key, F.col("verdict").alias("_verdict")), key, ["_verdict"])
+    values = [c for c in edges.columns if c in results.columns and c not in (*key, "status")]
+    new = results.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*values)).alias("_new"))
     both = edges.join(new, key, "left")
-    return both.select(*((F.coalesce("_verdict", "verdict") if c == "verdict" else F.when(F.col("_verdict").isNotNull(), verdict_status(F.col("_verdict"))).otherwise(F.col("status")) if c == "status" else F.col(c)).alias(c) for c in edges.columns))
+    found = F.col("_new").isNotNull()
+    changed = {c: F.when(found, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in values}
+    changed["status"] = F.when(found, verdict_status(F.col("_new.verdict"))).otherwise(F.col("status"))
+    return both.select(*(changed.get(c, F.col(c)).alias(c) for c in edges.columns))
 
 
 def run_record(results: DataFrame, run: str, started: Column, finished: Column) -> tuple[DataFrame, DataFrame]:
     """(one audit row of a verification run, its result rows): counts by verdict, and each result under the run's id; a missing method is partial."""
     v = F.col("verdict")
-    counts = results.agg(F.count("*").alias("total_pairs"), F.count_if(v.startswith("confirmed_") | v.startswith("likely_")).alias("promoted"), F.count_if(v == "spurious").alias("rejected"), F.count_if(v == "uncertain").alias("uncertain"))
+    counts = results.agg(F.count("*").alias("total_pairs"), F.count_if(v.isin(PLAUSIBLE)).alias("promoted"), F.count_if(v.isin(SPURIOUS)).alias("rejected"), F.count_if(v == UNCERTAIN).alias("uncertain"))
     took = (F.unix_seconds(finished.cast("timestamp")) - F.unix_seconds(started.cast("timestamp"))).alias("duration_seconds")
     own = results.withColumn("method", F.coalesce("method", F.lit("partial")))
     return counts.select(F.lit(run).alias("run_id"), started.alias("started_at"), finished.alias("finished_at"), took, "*"), own.select(F.lit(run).alias("run_id"), *own.columns)
 
 
+def verdict_counts(results: DataFrame) -> DataFrame:
+    """(verdict, n, percent) of results, a row for each of the five verdicts in their order, also those that no result has; percent of nothing is 0."""
+    n = results.groupBy("verdict").agg(F.count("*").alias("n"))
+    total = results.agg(F.count("*")).scalar()
+    every = results.sparkSession.createDataFrame(list(enumerate(VERDICTS)), "place int, verdict string")
+    share = F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)) * 100.0, total), F.lit(0.0))
+    return every.join(n, "verdict", "left").select("place", "verdict", F.coalesce("n", F.lit(0)).alias("n"), share.alias("percent"))
+
+
 def mention_totals(results: DataFrame) -> DataFrame:
     """Of a run's articles (ok, ids): how many, how many failed, mentions in all and on average of those that went well."""
     n = F.size(F.coalesce("ids", F.array().cast("array<string>")))
     return results.agg(F.count("*").alias("articles"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.when(F.col("ok"), n).otherwise(0)).alias("mentions"), F.avg(F.when(F.col("ok"), n)).alias("average"))
 
 
+# The verdicts on an edge, in the order of reports.
+VERDICTS = ["confirmed_plausible", "likely_plausible", "uncertain", "likely_spurious", "confirmed_spurious"]
+PLAUSIBLE, UNCERTAIN, SPURIOUS = VERDICTS[:2], VERDICTS[2], VERDICTS[3:]
+
+
 def verdict_status(verdict: Column) -> Column:
-    return F.when(verdict == "spurious", "rejected").when(verdict == "plausible", "candidate").otherwise("pending_verification")
+    """Plausible edges are candidates, spurious ones rejected; all others, null and unknown verdicts too, go on waiting."""
+    return F.when(verdict.isin(SPURIOUS), "rejected").when(verdict.isin(PLAUSIBLE), "candidate").otherwise("pending_verification")
 
 
 def needs_review(verdict: Column, confidence: Column, least: float = 0.65) -> Column:
-    """A second look: never for confirmed_*, always for uncertain, for likely_* below the confidence."""
-    return F.when(verdict.startswith("confirmed_"), False).when(verdict == "uncertain", True).otherwise(confidence < least)
+    """A second look: always at uncertain, at likely_* below the confidence; never at anything else."""
+    likely = verdict.isin("likely_plausible", "likely_spurious")
+    return F.coalesce((verdict == UNCERTAIN) | (likely & (confidence < least)), F.lit(False))
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

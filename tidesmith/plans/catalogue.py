@@ -484,10 +484,19 @@ def upsert_facts(spark, d):
     return G.upsert(old, new, ["o_orderkey"], ["value"])
 
 
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'candidate' ELSE 'pending_verification' END AS status FROM labels")
+#: A verdict for each order, all five of them and one that nobody knows.
+VERDICT = "CASE o_orderkey % 6 WHEN 0 THEN 'confirmed_plausible' WHEN 1 THEN 'likely_plausible' WHEN 2 THEN 'uncertain' WHEN 3 THEN 'likely_spurious' WHEN 4 THEN 'confirmed_spurious' ELSE 'no verdict' END"
+STATUS = "CASE WHEN {0} IN ('confirmed_spurious', 'likely_spurious') THEN 'rejected' WHEN {0} IN ('confirmed_plausible', 'likely_plausible') THEN 'candidate' ELSE 'pending_verification' END"
+
+
+@query(f"SELECT o_orderkey, {STATUS.format('v')} AS status FROM (SELECT o_orderkey, {VERDICT} AS v FROM orders)")
 def verdict_writeback(spark, d):
-    verdict = F.when(F.col("toxic") == 1, "spurious").when(F.col("quality") == 1, "plausible").otherwise("uncertain")
-    return table(spark, d, "labels").select("doc_id", G.verdict_status(verdict).alias("status"))
+    return table(spark, d, "orders").select("o_orderkey", G.verdict_status(F.expr(VERDICT)).alias("status"))
+
+
+@query(f"WITH v AS (SELECT {VERDICT} AS v FROM orders), t AS (SELECT unnest({G.VERDICTS}) AS verdict, unnest(range(5)) AS place) SELECT CAST(place AS INT) AS place, verdict, count(v) AS n, round(100.0 * count(v) / (SELECT count(*) FROM v), 4) AS percent FROM t LEFT JOIN v ON v = verdict GROUP BY ALL")
+def verdict_report(spark, d):
+    return rounded(G.verdict_counts(table(spark, d, "orders").select(F.expr(VERDICT).alias("verdict"))), 4)
 
 
 @query("SELECT quality, toxic, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM labels GROUP BY ALL")
@@ -497,10 +506,9 @@ def verdict_distribution(spark, d):
     return n.join(F.broadcast(total)).select("quality", "toxic", F.col("count").alias("n"), F.round(F.col("count") * 100.0 / F.col("total"), 4).alias("percent"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'click' THEN false WHEN event_type = 'view' THEN true ELSE value < 0.65 END AS review FROM events")
+@query(f"SELECT o_orderkey, v = 'uncertain' OR (v IN ('likely_plausible', 'likely_spurious') AND o_totalprice / 300000 < 0.65) AS review FROM (SELECT *, {VERDICT} AS v FROM orders)")
 def review_routing(spark, d):
-    v = F.when(F.col("event_type") == "click", "confirmed_real").when(F.col("event_type") == "view", "uncertain").otherwise("likely_real")
-    return table(spark, d, "events").select("event_id", G.needs_review(v, F.col("value")).alias("review"))
+    return table(spark, d, "orders").select("o_orderkey", G.needs_review(F.expr(VERDICT), F.col("o_totalprice") / 300000).alias("review"))
 
 
 @query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10)") + " SELECT a, b, lag, n, round(round(abs(r), 6), 5) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
@@ -751,13 +759,13 @@ def merge_passes(spark, d):
     return best.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.round(F.abs("r"), 6).alias("strength"))
 
 
-@query("WITH v AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'spurious' WHEN 'O' THEN 'plausible' ELSE 'uncertain' END END AS verdict FROM orders) SELECT o_orderkey, o_custkey, CASE WHEN verdict = 'spurious' THEN 'rejected' WHEN verdict = 'uncertain' THEN 'pending_verification' ELSE 'candidate' END AS status, verdict FROM v")
+@query(f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN {STATUS.format('v')} ELSE 'candidate' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN v END AS verdict, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 1e6 END AS confidence FROM (SELECT *, {VERDICT} AS v FROM orders)")
 def status_transition(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"), F.lit("partial").alias("method"), F.lit(63).alias("window_days"), "o_orderstatus")
-    edges = rows.drop("o_orderstatus").withColumns({"status": F.lit("candidate"), "verdict": F.lit(None).cast("string")})
-    verdict = F.when(F.col("o_orderstatus") == "F", "spurious").when(F.col("o_orderstatus") == "O", "plausible").otherwise("uncertain")
-    done = G.write_verdicts(edges, rows.where("a % 3 = 0").withColumn("verdict", verdict))
-    return done.select(F.col("a").alias("o_orderkey"), F.col("b").alias("o_custkey"), "status", "verdict")
+    """Orders as edges; every fourth gets a verdict and with it a status."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"), F.lit("partial").alias("method"), F.lit(63).alias("window_days"), F.expr(VERDICT).alias("verdict"), (F.col("o_totalprice") / 1e6).alias("confidence"))
+    edges = rows.withColumns({"status": F.lit("candidate"), "verdict": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    done = G.write_verdicts(edges, rows.where("a % 4 = 0"))
+    return done.select(F.col("a").alias("o_orderkey"), F.col("b").alias("o_custkey"), "status", "verdict", "confidence")
 
 
 @query("SELECT upper(event_type) AS entity_id, event_id FROM events WHERE event_type <> 'error' AND user_id % 7 <> 0 AND value IS NOT NULL")
@@ -877,12 +885,24 @@ def entity_list(spark, d):
     return G.entity_list(n.unionByName(r).unionByName(n.withColumn("label", F.lit("Other"))), ["Nation", "Region"]).select("name", "label")
 
 
-@query("SELECT count(*) AS total_pairs, count(*) FILTER (quality = 1) AS promoted, count(*) FILTER (quality = 0 AND toxic = 1) AS rejected, count(*) FILTER (quality = 0 AND toxic = 0) AS uncertain FROM labels")
+#: Four minutes in all, whenever it runs.
+def run_times():
+    return (F.lit(f"2026-03-23 14:0{m}:00").cast("timestamp") for m in (0, 4))
+
+
+def verified(spark, d):
+    """Orders as the results of a verification run; every second has no method."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.when(F.col("o_orderkey") % 2 == 0, "pearson").alias("method"), F.expr(VERDICT).alias("verdict"))
+
+
+@query(f"SELECT 240 AS duration_seconds, count(*) AS total_pairs, count(*) FILTER (v IN ('confirmed_plausible', 'likely_plausible')) AS promoted, count(*) FILTER (v IN ('confirmed_spurious', 'likely_spurious')) AS rejected, count(*) FILTER (v = 'uncertain') AS uncertain FROM (SELECT {VERDICT} AS v FROM orders)")
 def verification_run(spark, d):
-    verdict = F.when(F.col("quality") == 1, "confirmed_real").when(F.col("toxic") == 1, "spurious").otherwise("uncertain")
-    results = table(spark, d, "labels").where("quality is not null and toxic is not null").select(F.col("doc_id").alias("a"), F.lit(None).cast("string").alias("method"), verdict.alias("verdict"))
-    run, _ = G.run_record(results, "run", F.current_timestamp(), F.current_timestamp())
-    return run.select("total_pairs", "promoted", "rejected", "uncertain")
+    return G.run_record(verified(spark, d), "run", *run_times())[0].select(F.col("duration_seconds").cast("int").alias("duration_seconds"), "total_pairs", "promoted", "rejected", "uncertain")
+
+
+@query(f"SELECT 'run' AS run_id, o_orderkey AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'pearson' ELSE 'partial' END AS method, {VERDICT} AS verdict FROM orders")
+def verification_results(spark, d):
+    return G.run_record(verified(spark, d), "run", *run_times())[1].select("run_id", "a", "method", "verdict")
 
 
 @query("WITH e AS (SELECT user_id, bool_or(event_type = 'view') AS ok, count(*) AS k FROM events GROUP BY user_id) SELECT count(*) AS articles, count(*) FILTER (NOT ok) AS failed, CAST(sum(k) FILTER (ok) AS BIGINT) AS mentions, round(avg(k) FILTER (ok), 6) AS average FROM e")
