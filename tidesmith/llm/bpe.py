@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tidesmith.llm.common import portions, table, worker_cache
 from tidesmith.llm.packing import _PLAIN, default_tokenizer
 
-#: Pieces of text whose ids a worker keeps, and the longest one that it keeps.
-KEPT, LONGEST_KEPT = 200_000, 32
+#: Pieces of text whose ids a worker keeps in each of two generations, and the longest one that it keeps.
+KEPT, LONGEST_KEPT = 160_000, 32
 #: Bytes of text whose words a worker holds at a time.
 PORTION = 2 << 20
 #: Longer words are merged by a heap.
@@ -190,6 +190,7 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in added}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words = self.merged = 0
 
     def _chunks(self, text: str) -> list[str]:
@@ -222,11 +223,10 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         chunks = [self._chunks(t) if t else [] for t in texts]
-        distinct = set().union(*chunks)
-        new = distinct.difference(self.seen)
-        if len(self.seen) + len(new) > KEPT:
-            self.seen.clear()
-            new = distinct
+        new = set().union(*chunks).difference(self.seen)
+        again = new.intersection(self.older)  # what was met in the last generation lives on in this one
+        self.seen.update(zip(again, map(self.older.__getitem__, again)))
+        new -= again
         if new:
             self._learn(list(new))
         of = self.seen.__getitem__
@@ -234,6 +234,8 @@ class Encoder:
         for chunk in new:
             if len(chunk) > LONGEST_KEPT:
                 del self.seen[chunk]
+        if len(self.seen) > KEPT:
+            self.seen, self.older = {}, self.seen
         return out
 
 
