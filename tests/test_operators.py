@@ -302,20 +302,6 @@ def test_dates_of_feeds(spark):
     assert [got[i] for i in range(len(forms + none))] == [stamp] * len(forms) + [5] * len(none)
 
 
-def test_status_stream_keeps_what_is_settled(spark, tmp_path):
-    from tidesmith.streaming import news as N
-
-    articles = spark.createDataFrame([("a", "x", "raw"), ("b", "x", "raw"), ("c", " ", "raw"), ("d", "x", "mentions_done")], "url string, summary string, status string")
-    plain = spark.createDataFrame([], "url string, ok boolean")
-    wanted = []
-    for batch, status in (([("a", True), ("zzz", True)], "raw"), ([("a", False), ("b", False), ("d", False)], "mentions_failed"), ([], "mentions_failed")):
-        if batch:
-            spark.createDataFrame(batch, plain.schema).write.mode("append").parquet(f"{tmp_path}/in")
-        done = N.status_available(N.read_stream(spark, f"{tmp_path}/in", plain), articles, f"{tmp_path}/t", f"{tmp_path}/s")
-        wanted = [("a", "mentions_done"), ("b", status), ("c", "skipped_no_summary"), ("d", "mentions_done")]
-        assert sorted((r["url"], r["status"]) for r in done.collect()) == wanted
-
-
 def test_oracle_covers_queries():
     import __spark_entry__ as e
 

@@ -13,6 +13,7 @@ from tidesmith.operators import pairs as P
 from tidesmith.operators import series as S
 from tidesmith.operators import text as X
 from tidesmith.streaming import news as N
+from tidesmith.sources import layout
 from tidesmith.sources.kept import keep, shared_dir
 from tidesmith.sources.market import between, event_long, market_long, table
 
@@ -925,7 +926,7 @@ def stream_late_revision(spark, d):
     second = source.where("event_id % 2 = 0").withColumns({"value": F.col("value") * 2, "revision": F.lit(1)})
     for rows in (first, second):
         rows.write.mode("append").parquet(f"{out}/arrived")
-        done = N.upsert_available(N.read_stream(spark, f"{out}/arrived", first), f"{out}/table", f"{out}/state", ["event_id"], ["value", "revision"], ["revision"])
+        done = N.upsert_available(N.read_stream(spark, f"{out}/arrived", first), f"{out}/table", f"{out}/state", layout.by_hash("event_id", parts=16), ["event_id"], ["value", "revision"], ["revision"])
     return done.select("event_id", "user_id", "value")
 
 
@@ -941,10 +942,47 @@ def published_dates(spark, d):
 
 @query("SELECT doc_id, CASE WHEN trim(coalesce(d.text, '')) = '' THEN 'skipped_no_summary' WHEN l.quality = 1 THEN 'mentions_done' WHEN l.quality = 0 THEN 'mentions_failed' ELSE 'raw' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def stream_status(spark, d):
-    """Documents wait as raw; outcomes of the labelled ones arrive as a stream, and again, turned round, in a later micro-batch that changes nothing."""
-    articles = table(spark, d, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("summary"), F.lit("raw").alias("status"))
-    first, out = table(spark, d, "labels").select(F.col("doc_id").alias("url"), (F.col("quality") == 1).alias("ok")), shared_dir(spark)
-    for rows in (first, first.withColumn("ok", ~F.col("ok"))):
-        rows.write.mode("append").parquet(f"{out}/arrived")
-        done = N.status_available(N.read_stream(spark, f"{out}/arrived", first), articles, f"{out}/table", f"{out}/state")
-    return done.select(F.col("url").alias("doc_id"), "status")
+    """Outcomes of the labelled documents arrive first, the documents later, and then all outcomes turned round, which changes nothing."""
+    out, day = shared_dir(spark), lambda n: F.timestamp_seconds(F.lit(1772323200 + n * 86400)).alias("at")
+    articles = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("summary"), day(1))
+    outcomes = lambda ok, n: N.outcome_events(table(spark, d, "labels").where("quality is not null").select(F.col("doc_id").cast("string").alias("url"), ok.alias("ok"), day(n)))
+    good = F.col("quality") == 1
+    for events in (outcomes(good, 0), N.article_events(articles), outcomes(~good, 2)):
+        events.write.mode("append").parquet(f"{out}/arrived")
+        N.run_available(N.article_states(N.read_stream(spark, f"{out}/arrived", events)), f"{out}/steps", f"{out}/state")
+    return N.latest_states(spark.read.parquet(f"{out}/steps")).select(F.col("url").cast("long").alias("doc_id"), "status")
+
+
+# --- tables in partitions --------------------------------------------------------------------------------------------------
+
+FACTS = ["entity_type", "entity_id", "metric", "at"]
+
+
+def facts(spark, d, unit, value):
+    """Lines of orders as facts of their suppliers, the last of each day."""
+    rows = table(spark, d, "lineitem").select(F.lit("asset").alias("entity_type"), F.concat(F.lit("S"), "l_suppkey").alias("entity_id"), F.lit("close").alias("metric"), F.col("l_shipdate").alias("at"), value.alias("value"), F.lit(unit).alias("unit"), "l_orderkey", "l_linenumber")
+    return rows.groupBy(*FACTS).agg(F.max_by(F.struct("value", "unit"), F.struct("l_orderkey", "l_linenumber")).alias("f")).select(*FACTS, "f.*")
+
+
+@query("""WITH f AS (SELECT 'S' || l_suppkey AS entity_id, l_shipdate AS t, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS v FROM lineitem GROUP BY ALL),
+  u AS (SELECT entity_id, t, CASE WHEN t >= TIMESTAMP '1998-06-01' THEN v * 2 ELSE v END AS value, CASE WHEN t < TIMESTAMP '1998-09-01' THEN 'old' ELSE 'new' END AS unit FROM f)
+  SELECT strftime(t, '%Y-%m') AS month, unit, count(*) AS n, round(sum(value), 2) AS total FROM u GROUP BY ALL""")
+def partition_upsert(spark, d):
+    """Facts laid out by month; a late batch of revised and of new ones rewrites its own months. Units of those that are there stay."""
+    path, month = shared_dir(spark), layout.by_month("at")
+    layout.create(facts(spark, d, "old", F.col("l_extendedprice")).where("at < '1998-09-01'"), path, month)
+    new = facts(spark, d, "new", F.col("l_extendedprice") * 2).where("at >= '1998-06-01'")
+    layout.upsert_rows(path, new, new.schema, month, FACTS, ["value"])
+    return rounded(layout.read(spark, path, new.schema).groupBy(F.col("part").alias("month"), "unit").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)
+
+
+@query("SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id, CASE WHEN max(o_orderkey) FILTER (o_orderkey % 97 = 5) OVER w IS NULL THEN 'seen' ELSE 'renewed' END AS state FROM orders JOIN lineitem ON o_orderkey = l_orderkey WINDOW w AS (PARTITION BY o_custkey, l_suppkey)")
+def partition_edges(spark, d):
+    """Edges laid out by the hash of both ends; every ninety-seventh order comes again, and its edges' properties are overlaid in their partitions."""
+    path, rule = shared_dir(spark), layout.by_hash("from_id", "rel_type", "to_id", parts=256)
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edge = lambda state, some: rows.where(some).select(F.col("o_custkey").alias("from_id"), F.lit("BUYS").alias("rel_type"), F.col("l_suppkey").alias("to_id")).distinct().withColumn("props", F.create_map(F.lit("state"), F.lit(state)))
+    old, new = edge("seen", "true"), edge("renewed", "o_orderkey % 97 = 5")
+    layout.create(old, path, rule)
+    layout.rewrite(path, new, old.schema, rule, lambda there, came: G.overlay(there, came, ["from_id", "rel_type", "to_id"]))
+    return layout.read(spark, path, old.schema).select("from_id", "to_id", F.col("props")["state"].alias("state"))

@@ -1,13 +1,15 @@
-"""Articles as a stream: once each by url within the lateness bound, in micro-batches of what has arrived."""
+"""Articles as a stream: once each by url within the lateness bound, states of each article kept by url, tables merged by touched partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidesmith.operators.graph import article_status, first_of, upsert
+from tidesmith.sources import layout
 
 
 def dedup_stream(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:
@@ -25,34 +27,83 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
-def merge_available(stream: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
-    """The table that results when all that has arrived is merged into it by merge(table, batch), micro-batch by micro-batch.
+def upsert_available(stream: DataFrame, path: str, checkpoint: str, rule: Column, key: list[str], changed: list[str], order: list[str]) -> DataFrame:
+    """Upserts all that has arrived into the table at path, micro-batch by micro-batch, and returns the table.
 
-    The first batch meets `start`. Each batch writes a version of its own under `path` from the one before it, so a batch that is
-    run again after a failure gives the same version. Returns the last one (start, if nothing has ever arrived).
+    A late revision replaces `changed`; of several rows of a key in one batch the last by `order` counts. A batch writes the partitions of its
+    own rows alone (see layout), and one that is run again after a failure writes the same. The first run creates the table.
     """
-    spark = stream.sparkSession
-    version = lambda n: f"{path.rstrip('/')}/version={n}"
-    last = {"n": -1}
+    spark, schema = stream.sparkSession, stream.schema
 
     def each(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.schema(start.schema).parquet(version(n - 1)) if n else start
-        merge(old, batch).write.mode("overwrite").parquet(version(n))
-        last["n"] = n
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+            layout.create(spark.createDataFrame([], schema), path, rule)
+        layout.upsert_rows(path, batch, schema, rule, key, changed, [F.desc(c) for c in order])
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if last["n"] < 0 and query.lastProgress:  # nothing new has arrived since an earlier run
-        last["n"] = query.lastProgress["batchId"] - 1  # that of the batch to come
-    return spark.read.schema(start.schema).parquet(version(last["n"])) if last["n"] >= 0 else start
+    return layout.read(spark, path, schema).drop(layout.PART)
 
 
-def upsert_available(stream: DataFrame, path: str, checkpoint: str, key: list[str], changed: list[str], order: list[str]) -> DataFrame:
-    """All that has arrived, by key: a late revision replaces `changed`; of several rows of a key in one batch the last by `order` counts."""
-    start = stream.sparkSession.createDataFrame([], stream.schema)
-    return merge_available(stream, start, lambda old, new: upsert(old, first_of(new, key, [F.desc(c) for c in order]), key, changed), path, checkpoint)
+# --- the states of an article ----------------------------------------------------------------------------------------------
 
+RAW, SKIPPED, DONE, FAILED = "raw", "skipped_no_summary", "mentions_done", "mentions_failed"
+_STEP = "url string, status string, step int, at timestamp"
 
-def status_available(outcomes: DataFrame, articles: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Articles after all outcomes (url, ok) that have arrived: a status that is no longer raw never changes again, whatever arrives later."""
-    return merge_available(outcomes, articles, article_status, path, checkpoint)
+
+def article_events(articles: DataFrame) -> DataFrame:
+    """Events of articles (url, summary, at): whether there is anything to read, which is all that a state needs of a text."""
+    return articles.select("url", "at", F.lit(None).cast("boolean").alias("ok"), (F.coalesce(F.btrim("summary"), F.lit("")) != "").alias("readable"))
+
+
+def outcome_events(outcomes: DataFrame) -> DataFrame:
+    """Events of outcomes (url, ok, at)."""
+    return outcomes.select("url", "at", "ok", F.lit(None).cast("boolean").alias("readable"))
+
+
+def _steps(days: int):
+    """State of a url: its status, the outcome that came before the article, and how many steps it has taken."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, early, step = state.get if state.exists else (None, None, 0)
+        out, last = [], 0
+        events = pd.concat(list(batches))
+        for at, ok, readable in events.sort_values(["at", "ok"], na_position="first")[["at", "ok", "readable"]].itertuples(index=False):
+            last = max(last, int(at.timestamp() * 1000))
+            before = status
+            if not pd.isna(readable) and status is None:
+                status = RAW if readable else SKIPPED
+                step += 1
+                out.append((key[0], status, step, at))
+                if status == RAW and early is not None:
+                    ok, before = early, RAW
+            if not pd.isna(ok) and status is None:
+                early = bool(ok) if early is None else early
+            elif not pd.isna(ok) and status == RAW and (before == RAW or early is not None):
+                status = DONE if ok else FAILED
+                step += 1
+                out.append((key[0], status, step, at))
+        state.update((status, early, step))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + days * 86_400_000)
+        yield pd.DataFrame(out, columns=["url", "status", "step", "at"])
+
+    return run
+
+
+def article_states(events: DataFrame, late: str = "7 days", days: int = 30) -> DataFrame:
+    """(url, status, step, at): each change of a status, from a stream of events (url, at, ok, readable) of both kinds.
+
+    An article begins as raw, or as skipped where it has no summary; its first outcome settles it, and a settled or skipped one never changes
+    again. An outcome that comes before its article waits for it. The state of a url, a few bytes, is dropped `days` after its last event; nothing
+    else is read or written again. Restarts go on from the checkpoint.
+    """
+    return events.withWatermark("at", late).groupBy("url").applyInPandasWithState(_steps(days), _STEP, "status string, early boolean, step int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_states(steps: DataFrame) -> DataFrame:
+    """(url, status): the last step of each url."""
+    return steps.groupBy("url").agg(F.max_by("status", "step").alias("status"))
