@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.entities import html5
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +73,129 @@ def admit(articles: DataFrame, known: DataFrame, per_feed: int = 20, since: Colu
     return once.join(known.select("url"), "url", "left_anti")
 
 
-#: Words of the longest name that is looked for.
-MOST_WORDS = 6
+#: Bytes of names that one automaton holds; more names are dealt to several, each of which reads the texts once.
+NAMES_BYTES = 32 << 20
+_APART = regex.compile(r"[^\p{L}0-9]+")
+_WORD = regex.compile(r"[\p{L}0-9]+")
 
 
-def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, name) where a text holds the name's words one after another, whatever their case and the marks between them.
+def _normal(text: str) -> str:
+    """The words of a text in lower case, a blank before each."""
+    words = _APART.sub(" ", text.lower()).strip()
+    return " " + words if words else ""
 
-    Runs of as many words as some name has meet names by hash, not pair by pair; names have at most MOST_WORDS words.
+
+def _places(text: str) -> list[tuple[int, int]]:
+    """Start and end, in code points of the text itself, of each of its words as _normal has them."""
+    low = text.lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    ends = np.cumsum([len(c.lower()) for c in text])  # some characters have two in lower case
+    at = lambda i: int(np.searchsorted(ends, i, side="right"))
+    return [(at(a), at(b - 1) + 1) for a, b in spans]
+
+
+def _automaton(names: list[str]):
+    """All names at once, as their words; a name without a word is never found. Names of the same words are found together."""
+    import ahocorasick
+
+    of: dict[str, list[str]] = {}
+    for name in sorted(set(names)):
+        if words := _normal(name):
+            of.setdefault(words, []).append(name)
+    found = ahocorasick.Automaton()
+    for words, own in of.items():
+        found.add_word(words, (len(words), words.count(" "), own))
+    if of:
+        found.make_automaton()
+    return found if of else None
+
+
+def _hits(automaton, words: str):
+    """(word, words, names) of every match that ends where a word ends, in the order of ends."""
+    for end, (length, k, own) in automaton.iter(words):
+        if end + 1 == len(words) or words[end + 1] == " ":
+            yield words.count(" ", 0, end - length + 2) - 1, k, own
+
+
+def _longest(hits: list[tuple]) -> list[tuple]:
+    """Of matches (word, words, ...) that overlap, the leftmost, and of those the longest."""
+    out, free = [], 0
+    for hit in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if hit[0] >= free:
+            out.append(hit)
+            free = hit[0] + hit[1]
+    return out
+
+
+_SPANS = "doc_id {}, name string, word int, words int, start int, end int"
+
+
+def _search(names: list[str], longest: bool, spans: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(names)
+        for pdf in batches:
+            out: list[tuple] = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                hits = list(_hits(automaton, _normal(text))) if automaton is not None and text else []
+                if not spans:
+                    out.extend((doc, name) for name in {name for _, _, own in hits for name in own})
+                elif hits:
+                    places = _places(text)
+                    for word, k, own in _longest(hits) if longest else hits:
+                        out.extend((doc, name, word, k, places[word][0], places[word + k - 1][1]) for name in own)
+            yield pd.DataFrame(out, columns=["doc_id", "name", "word", "words", "start", "end"][: 6 if spans else 2])
+
+    return run
+
+
+def _blocks(names: DataFrame, most: int) -> list[list[str]]:
+    """The names in blocks of at most so many bytes of names each (by hash; a name of more bytes alone is a block)."""
+    named = names.where(F.col("name").isNotNull()).select("name").distinct()
+    size = named.agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).head()[0]
+    n = -(-size // most)
+    block = F.pmod(F.xxhash64("name"), F.lit(max(n, 1)))
+    return [[r["name"] for r in named.where(block == i).collect()] for i in range(n)]
+
+
+def mention_spans(texts: DataFrame, names: DataFrame, longest: bool = True, most: int = NAMES_BYTES) -> DataFrame:
+    """(doc_id, name, word, words, start, end) where a text (doc_id, text) holds the words of a name (name) one after another.
+
+    Case and the marks between words do not matter; names may have any number of words. word: which word of the text, from 0; start and end in code
+    points. With `longest`, of matches that overlap the leftmost counts, and of those the longest; names of the same words are found together.
+    One automaton over all names reads each text once. It goes to every task, so its names are measured first: beyond `most` bytes they are dealt
+    to several automata, whose matches meet by text. Null texts and names, and names without a word, are never found.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}0-9]+"), lambda w: w != "")
-    own = names.select("name", words(F.col("name")).alias("w")).select("name", F.array_join("w", " ").alias("run"), F.size("w").alias("k")).where(F.col("k").between(1, MOST_WORDS))
-    lengths = own.agg(F.array_sort(F.collect_set("k")).alias("ks")).scalar()
-    runs = F.flatten(F.transform(F.col("ks"), lambda k: F.transform(F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(F.col("w"), i, k), " "))))
-    found = texts.select("doc_id", words(F.col("text")).alias("w"), lengths.alias("ks")).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
-    return found.join(own.select("run", "name"), "run").select("doc_id", "name").distinct()
+    blocks = _blocks(names, most)
+    kinds = _SPANS.format(texts.schema["doc_id"].dataType.simpleString())
+    if len(blocks) <= 1:
+        return texts.select("doc_id", "text").mapInPandas(_search((blocks or [[]])[0], longest, True), kinds)
+    # matches of one text meet again; its own hash tells it from others of the same doc_id
+    rows = texts.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("doc_id"), "text")
+    found = None
+    for block in blocks:
+        part = rows.mapInPandas(_search(block, False, True), _SPANS.format(rows.schema["doc_id"].dataType.simpleString()))
+        found = part if found is None else found.unionByName(part)
+    found = found.select("doc_id.*", *found.columns[1:])
+    if not longest:
+        return found.drop("hash")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = set(_longest(list(zip(pdf["word"], pdf["words"]))))
+        return pdf[[x in kept for x in zip(pdf["word"], pdf["words"])]].drop(columns="hash").drop_duplicates()
+
+    return found.groupBy("doc_id", "hash").applyInPandas(settle, kinds)
+
+
+def mentions(texts: DataFrame, names: DataFrame, most: int = NAMES_BYTES) -> DataFrame:
+    """(doc_id, name), once each, where a text holds the name's words one after another, whatever their case and the marks between them."""
+    kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, name string"
+    found = None
+    for block in _blocks(names, most) or [[]]:
+        part = texts.select("doc_id", "text").mapInPandas(_search(block, False, False), kinds)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
 
 
 # Words of names that prove nothing.

@@ -564,9 +564,6 @@ def article_admit(spark, d):
     return X.admit(docs, known).select(F.col("feed").alias("source"), "doc_id")
 
 
-NAMES = ["Idiot", "License", "Apache", "Und", "Que"]
-
-
 WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}0-9]+'), lambda w: w <> '')"
 
 
@@ -576,6 +573,21 @@ def mention_match(spark, d):
     return X.mentions(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.array_join(F.slice(w, 1, 2), ". ").alias("name")).distinct())
 
 
+NAMES_SQL = f"n AS (SELECT DISTINCT array_to_string(({WORDS.format('text')})[1:k], ' - ') AS name FROM benchmark, (SELECT unnest([1, 2, 5, 9]) AS k) WHERE len({WORDS.format('text')}) >= k)"
+
+
+@query(
+    f"WITH {NAMES_SQL}, w AS (SELECT name, {WORDS.format('name')} AS w FROM n), t AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), "
+    "p AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), (SELECT DISTINCT len(w) AS k FROM w) WHERE i + k - 1 <= len(w)) "
+    "SELECT doc_id, name, CAST(i - 1 AS INT) AS word, CAST(k AS INT) AS words FROM p JOIN (SELECT name, array_to_string(w, ' ') AS run FROM w) USING (run)"
+)
+def mention_spans(spark, d):
+    """Every place where a document holds the first 1, 2, 5 or 9 words of a benchmark text, overlaps too."""
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda w: w != "")
+    names = table(spark, d, "benchmark").select(w.alias("w"), F.explode(F.array(*map(F.lit, (1, 2, 5, 9)))).alias("k")).where("size(w) >= k").select(F.array_join(F.expr("slice(w, 1, k)"), " - ").alias("name"))
+    return X.mention_spans(table(spark, d, "documents"), names, longest=False).select("doc_id", "name", "word", "words")
+
+
 @query(
     "WITH n AS (SELECT doc_id, lower(text) AS t, lower(coalesce(source, '') || ' Apache Group') AS name, lower(lang) AS span FROM documents) "
     "SELECT doc_id, coalesce(contains(t, span), false) OR contains(t, trim(name)) OR len(list_filter(string_split_regex(trim(name), '\\s+'), lambda w: len(w) > 4 AND w <> 'group' AND contains(t, w))) > 0 AS grounded FROM n"
