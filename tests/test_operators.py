@@ -177,11 +177,80 @@ def test_daily_run_finds_the_planted_leader(spark):
     df = spark.createDataFrame(rows, "key string, i int, value double").select("key", F.date_add(F.lit("2024-01-01"), F.col("i")).alias("date"), "value")
     few = lambda kind, *r: spark.createDataFrame(list(r), kind)
     kinds = few("key string, category string", *((k, "equity") for k in walk))
-    got = pipelines.daily(df, 252, few("id string", ("LATE",)), "asset:MKT", few("key string, sector_key string"), few("key string, grp string", ("asset:G", "g"), ("asset:H", "g")), kinds, few("lo string, hi string")).collect()
+    rules = pipelines.Rules(few("key string, grp string", ("asset:G", "g"), ("asset:H", "g")), kinds, few("lo string, hi string"))
+    sectors = few("key string, sector_key string")
+    found = pipelines.daily(df, 252, few("id string", ("LATE",)), "asset:MKT", sectors, rules)
+    got = found.candidates.collect()
     assert {(r["a"], r["b"], r["lag"], r["direction"], r["tier"], r["method"]) for r in got} == {("asset:A", "indicator:X", 2, "positive", "strong", "pearson")}
-    assert got[0]["n"] > 150 and got[0]["stability"] > 0.7 and got[0]["p"] < 1e-6
-    none = pipelines.daily(df, 252, few("id string", ("LATE",)), "asset:MKT", few("key string, sector_key string"), few("key string, grp string"), kinds, few("lo string, hi string", ("equity", "equity")))
-    assert none.count() == 0
+    assert got[0]["n"] > 150 and got[0]["stability"] > 0.7 and got[0]["p"] < 1e-6 and found.total.first()["n"] == 15
+    none = pipelines.daily(df, 252, few("id string", ("LATE",)), "asset:MKT", sectors, rules._replace(blocked=few("lo string, hi string", ("equity", "equity"))))
+    assert none.candidates.count() == 0
+    # stored over an earlier run's edges
+    old = spark.createDataFrame([("asset:A", "indicator:X", 1, "pearson", 252, "candidate", None), ("asset:A", "indicator:X", 2, "pearson", 63, "candidate", None), ("asset:A", "indicator:X", 2, "pearson", 252, "rejected", "likely_spurious")], "a string, b string, lag int, method string, window_days int, status string, verdict string")
+    old = old.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("r", "double"), ("p", "double"), ("n", "long"), ("strength", "double"), ("direction", "string"), ("tier", "string"))))
+    edges, audit = pipelines.store(old, found, few("key string", ("asset:A",), ("indicator:X",)), 252, F.lit("2024-10-26").cast("date"), "pearson")
+    kept = {(r["lag"], r["window_days"]): (r["status"], r["verdict"], r["r"]) for r in edges.collect()}
+    assert kept == {(2, 63): ("candidate", None, None), (2, 252): ("rejected", "likely_spurious", got[0]["r"])}
+    assert tuple(audit.select("total_pairs", "above", "surviving", "stored", "cleared").first()) == (15, audit.first()["above"], 1, 1, 1)
+    gone, audit = pipelines.store(edges, found, few("key string", ("asset:A",)), 252, F.current_date(), "pearson")
+    assert gone.count() == 2 and audit.first()["stored"] == 0
+
+
+def test_monthly_run_finds_what_is_planted(spark):
+    """A follows X in the same month for ten years; an indicator outside the set, and years before, take no part."""
+    import numpy as np
+
+    from tidesmith.operators import pipelines
+
+    rng, months = np.random.default_rng(3), 150
+    x = {k: rng.normal(size=months) for k in ("X", "Y", "OUT", "A", "N")}
+    x["A"][-121:] = 0.05 * x["X"][-121:] + 0.01 * rng.normal(size=121)
+    x["OUT"] = x["X"].copy()
+    walk = {"asset:A": 100 * np.exp(np.cumsum(x["A"] * 0.3)), "asset:N": 100 * np.exp(np.cumsum(x["N"] * 0.02)), **{f"indicator:{k}": np.cumsum(x[k]) for k in ("X", "Y", "OUT")}}
+    rows = [(k, i, float(v)) for k, vs in walk.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "key string, i int, value double").select("key", F.add_months(F.lit("2012-01-15").cast("date"), F.col("i")).alias("date"), "value")
+    few = lambda kind, *r: spark.createDataFrame(list(r), kind)
+    kinds = few("key string, category string", *((k, k.split(":")[0]) for k in walk))
+    rules = pipelines.Rules(few("key string, grp string"), kinds, few("lo string, hi string"))
+    found = pipelines.monthly(df, few("id string", ("X",), ("Y",)), rules)
+    got = found.candidates.collect()
+    assert [(r["a"], r["b"], r["method"], r["window_days"], r["stability"], r["flags"]) for r in got] == [("asset:A", "indicator:X", "spearman", 3650, "stable", "")]
+    assert got[0]["n"] == 120 and got[0]["r"] > 0.9 and got[0]["p"] < 1e-6 and found.total.first()["n"] == 4
+    none = pipelines.monthly(df, few("id string", ("X",)), rules._replace(blocked=few("lo string, hi string", ("asset", "indicator"))))
+    assert none.candidates.count() == 0 and none.above.count() == 0
+
+
+def test_partial_run(spark):
+    """Two links planted: one between series of a group goes, one stays; series that are not daily take no part, and two series are too few for a pass."""
+    import numpy as np
+
+    from tidesmith.operators import pipelines
+
+    rng, size = np.random.default_rng(5), 260
+    x = {k: rng.normal(size=size) for k in ("A", "B", "C", "D", "E", "LATE")}
+    x["B"] += x["A"]
+    x["D"] += x["C"]
+    x["LATE"] = x["E"].copy()
+    walk = {f"asset:{k}": 100 * np.exp(0.01 * np.cumsum(v)) for k, v in x.items()}
+    rows = [(k, i, float(v)) for k, vs in walk.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "key string, i int, value double").select("key", F.date_add(F.lit("2024-01-01"), F.col("i")).alias("date"), "value")
+    few = lambda kind, *r: spark.createDataFrame(list(r), kind)
+    kinds = few("key string, category string", *((k, "equity") for k in walk))
+    rules = pipelines.Rules(few("key string, grp string", ("asset:C", "g"), ("asset:D", "g")), kinds, few("lo string, hi string"))
+    late = few("id string", ("LATE",))
+    found = pipelines.partial(df, 252, late, few("id string"), few("id string", ("A",), ("B",), ("C",)), rules)
+    got = found.candidates.collect()
+    assert [(r["a"], r["b"], r["status"], r["p"], r["lag"]) for r in got] == [("asset:A", "asset:B", "candidate", 0.0, 0)] and got[0]["r"] > 0.4
+    assert found.total.first()["n"] == 10 + 1
+    open_ = pipelines.partial(df, 252, late, few("id string"), few("id string"), rules._replace(groups=few("key string, grp string")))
+    assert {(r["a"], r["b"]) for r in open_.candidates.collect()} == {("asset:A", "asset:B"), ("asset:C", "asset:D")}
+
+
+def test_volatile_series_change_by_percent(spark):
+    from tidesmith.operators import pipelines
+
+    both = series(spark, "asset:^VIX", [10.0, 15.0, 12.0]).union(series(spark, "asset:SPY", [10.0, 15.0, 12.0]))
+    assert values(S.transform(both, pipelines.VOLATILE)) == [pytest.approx(v) for v in (math.log(1.5), math.log(0.8), 0.5, -0.2)]
 
 
 def test_monthly_stability_and_flags(spark):

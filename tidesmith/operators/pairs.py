@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,10 @@ from tidesmith.sources.kept import keep
 LAGS, MACRO_LAGS = [0, 1, 2, 3, 5, 10], [0, 1, 2, 3, 5, 10, 21, 63]
 
 
+#: Series of a block: a cell of two blocks takes some 50 MB of matrices at a few thousand dates.
+BLOCK_SERIES = 256
+
+
 def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
@@ -57,14 +62,46 @@ def _r(x: np.ndarray, y: np.ndarray, least: int = 2) -> float:
     return float(x @ y / scale) if scale > 1e-12 else np.nan
 
 
-def _tests(x: np.ndarray, y: np.ndarray, lag: int, half_n: int) -> tuple[float, int, float, float]:
-    """Of a pair of whole series, y leading by lag: rank correlation and its rows, and r in either half, shifted inside it."""
-    shift = lambda u, v: (u[lag:], v[: len(v) - lag])
-    both = lambda u, v: (u[~np.isnan(u + v)], v[~np.isnan(u + v)])
-    u, v = both(*shift(x, y))
-    middle = len(x) // 2
-    halves = [_r(*both(*shift(x[part], y[part])), half_n) for part in (slice(0, middle), slice(middle, None))]
-    return _r(_ranks(u), _ranks(v)), len(u), *halves
+def _products(x: np.ndarray, on_x: np.ndarray, y: np.ndarray, on_y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, n, least variance) of all pairs of rows of x and rows of y over the columns that both have, by products of matrices."""
+    m, w = on_x.astype(float), on_y.astype(float)
+    u, v = np.where(on_x, x, 0.0), np.where(on_y, y, 0.0)
+    n, sx, sy = m @ w.T, u @ w.T, m @ v.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = (u * u) @ w.T - sx * sx / n, m @ (v * v).T - sy * sy / n
+        return (u @ v.T - sx * sy / n) / np.sqrt(vx * vy), n, np.minimum(vx, vy)
+
+
+def _halves(x: np.ndarray, lag: int, least: int) -> list[np.ndarray]:
+    """r of all pairs of series in either half of the spine, the right one leading by lag inside the half; NaN under `least` rows."""
+    out, middle = [], x.shape[1] // 2
+    for part in (x[:, :middle], x[:, middle:]):
+        left, right = part[:, lag:], part[:, : max(part.shape[1] - lag, 0)]
+        r, n, low = _products(left, ~np.isnan(left), right, ~np.isnan(right))
+        out.append(np.where((n >= max(least, 2)) & (low > 1e-12), r, np.nan))
+    return out
+
+
+def _rank_correlations(x: np.ndarray, lag: int, pairs: list[tuple[int, int]]) -> tuple[list[float], list[int]]:
+    """Rank correlation and rows of each pair of series, the second leading by lag.
+
+    A series without a gap is ranked once for all its pairs, whose correlations are then one product; a pair with a gap is ranked on its own rows.
+    """
+    left, right = x[:, lag:], x[:, : x.shape[1] - lag]
+    whole = [~np.isnan(side).any(1) for side in (left, right)]
+    ranks = [np.array([_ranks(v) if on else np.zeros(side.shape[1]) for v, on in zip(side, full)]) for side, full in zip((left, right), whole)]
+    ones = np.ones(left.shape, bool)
+    r, _, low = _products(*(z for side in ranks for z in (side - (left.shape[1] + 1) / 2, ones)))
+    rho, rows = [], []
+    for i, j in pairs:
+        if whole[0][i] and whole[1][j]:
+            rho.append(float(r[i, j]) if low[i, j] > 1e-12 else np.nan)
+            rows.append(left.shape[1])
+        else:
+            on = ~np.isnan(left[i] + right[j])
+            rho.append(_r(_ranks(left[i][on]), _ranks(right[j][on])))
+            rows.append(int(on.sum()))
+    return rho, rows
 
 
 def _cell(lags: list[int], macro_lags: list[int], least_n: int, least_r: float, tests: bool, half_n: int):
@@ -88,19 +125,18 @@ def _cell(lags: list[int], macro_lags: list[int], least_n: int, least_r: float,
         for lag in sorted({*lags, *macro_lags}):
             if lag >= size:
                 continue
-            m, u = left[:, lag:].astype(float), np.where(left, centred, 0.0)[:, lag:]
-            w, v = has[:, : size - lag].astype(float), centred[:, : size - lag]
-            n, sx, sy = m @ w.T, u @ w.T, m @ v.T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                vx, vy = (u * u) @ w.T - sx * sx / n, m @ (v * v).T - sy * sy / n
-                r = np.where((vx > 1e-12) & (vy > 1e-12), (u @ v.T - sx * sy / n) / np.sqrt(vx * vy), np.nan)
+            r, n, low = _products(centred[:, lag:], left[:, lag:], centred[:, : size - lag], has[:, : size - lag])
+            r = np.where(low > 1e-12, r, np.nan)
             on = meet & (n >= least_n) & (np.abs(r) >= least_r)
             on &= np.triu(np.ones_like(on), 1) if lag == 0 else ~np.eye(len(pdf), dtype=bool)
             on &= (macro[:, None] | macro[None, :] | (lag in lags)) & ((lag in macro_lags) | ~(macro[:, None] | macro[None, :]))
             on &= np.array([lag in k and 0 in k for k in pdf["kept"]])[None, :] & np.array([0 in k for k in pdf["kept"]])[:, None]
-            for i, j in zip(*np.nonzero(on)):
-                more = _tests(x[i], x[j], lag, half_n) if tests else ()
-                out.append((names[i], names[j], lag, float(r[i, j]), int(n[i, j]), *more))
+            found = [*zip(*(z.tolist() for z in np.nonzero(on)))]
+            rows = [(names[i], names[j], lag, float(r[i, j]), int(n[i, j])) for i, j in found]
+            if tests and found:
+                r1, r2 = _halves(x, lag, half_n)
+                rows = [(*row, rho, k, float(r1[at]), float(r2[at])) for row, rho, k, at in zip(rows, *_rank_correlations(x, lag, found), found)]
+            out.extend(rows)
         return pd.DataFrame(out, columns=_PAIRS[: 9 if tests else 5])
 
     return run
@@ -111,7 +147,7 @@ _PAIRS = ["a", "b", "lag", "r", "n", "rho", "rho_n", "r1", "r2"]
 
 def pair_statistics(
     df: DataFrame, lags: list[int] = LAGS, macro_lags: list[int] = MACRO_LAGS, least_n: int = 30, least_r: float = 0.0,
-    complete: bool = False, min_obs: int = 0, tests: bool = False, half_n: int = 20, blocks: int = 4,
+    complete: bool = False, min_obs: int = 0, tests: bool = False, half_n: int = 20, blocks: int | None = None,
 ) -> DataFrame:
     """(a, b, lag, r, n) of all pairs of series of a spine (key, date, value); b leads by lag rows; lag 0 once for a < b.
 
@@ -121,9 +157,11 @@ def pair_statistics(
     tests adds rho and rho_n (rank correlation on the pair's own rows), r1 and r2 (r in either half of the spine, null
     under half_n rows).
 
-    A series is packed into one row, its dates being a few thousand. Series are dealt to `blocks` by a hash, and each pair of blocks is
-    one task's matrix product, so a series moves `blocks` times and no row is made for a pair's dates. Empty input: empty result.
+    A series is packed into one row, its dates being a few thousand. Series are dealt to `blocks` by a hash (of about BLOCK_SERIES series, four at
+    least), and each pair of blocks is one task's matrix product, so a series moves `blocks` times and no row is made for a pair's dates; a task holds
+    matrices of twice that many series, however many there are. Empty input: empty result.
     """
+    blocks = blocks or max(4, -(-df.agg(F.approx_count_distinct("key")).head()[0] // BLOCK_SERIES))
     every = sorted({*lags, *macro_lags})
     on = indexed(df.select("key", "date", "value"))
     size = on.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("size")).scalar()
@@ -154,6 +192,48 @@ def pair_statistics(
     return found.select(*(null(c) if t == "double" else F.col(c) for c, t in found.dtypes))
 
 
+# --- windows that move ---------------------------------------------------------------------------------------------------
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _moments(on: DataFrame, lags: list[int], x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
+    """(a, b, lag, _SUMS) of pairs whose later value stands at a row of x and whose earlier one at a row of y, ends included."""
+    some = on.where("value is not null")
+    left = some.where(F.col("idx").between(*x)).select(F.col("key").alias("a"), "idx", F.col("value").alias("x")).withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("at", F.col("idx") - F.col("lag"))
+    right = some.where(F.col("idx").between(*y)).select(F.col("key").alias("b"), F.col("idx").alias("at"), F.col("value").alias("y"))
+    rows = left.join(right, "at").where("(lag = 0 and a < b) or (lag > 0 and a <> b)")
+    u, v = F.col("x"), F.col("y")
+    return rows.groupBy("a", "b", "lag").agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in zip(_SUMS[1:], (u, v, u * u, v * v, u * v))))
+
+
+def window_moments(on: DataFrame, lags: list[int], window: tuple[int, int]) -> DataFrame:
+    """The state of a window of rows (first, last) of a spine: what correlations need, as sums. on: (key, idx, value) as indexed() gives it."""
+    return _moments(on, lags, window, window)
+
+
+def move_window(state: DataFrame, on: DataFrame, lags: list[int], old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """The state of a window that has moved forward: sums of pairs that come in at its end are added, of those whose earlier row has gone taken away.
+
+    Only rows at both ends are read. The values must not depend on the window (changes do not, scaled ones would). Rounding errors of sums that are
+    added and taken away are of the order of 1e-16 of the largest sum; to be rid of them, begin a new state now and then.
+    """
+    if not (old[0] <= new[0] <= old[1] <= new[1]):
+        raise ValueError(f"a window moves forward by less than its own length: {old} to {new}")
+    gone = _moments(on, lags, old, (old[0], new[0] - 1)).select("a", "b", "lag", *((-F.col(c)).alias(c) for c in _SUMS))
+    every = state.unionByName(_moments(on, lags, (old[1] + 1, new[1]), new)).unionByName(gone)
+    return every.groupBy("a", "b", "lag").agg(*(F.sum(c).alias(c) for c in _SUMS)).where("n > 0")
+
+
+def moment_correlations(state: DataFrame, least: int = 30) -> DataFrame:
+    """(a, b, lag, r, n) of the pairs of a state with at least so many rows; pairs without variance go."""
+    n = F.col("n")
+    var = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / n
+    some = lambda s, ss: var(s, ss) > 1e-12 * F.greatest(F.lit(1.0), F.col(ss))
+    r = F.when(some("sx", "sxx") & some("sy", "syy"), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(var("sx", "sxx") * var("sy", "syy")))
+    return state.select("a", "b", "lag", r.alias("r"), "n").where((n >= least) & F.col("r").isNotNull())
+
+
 def listwise(df: DataFrame) -> DataFrame:
     """Dates on which every series has a value."""
     keys = df.select("key").distinct().agg(F.count("*").alias("k"))
@@ -349,43 +429,101 @@ def covariances(df: DataFrame) -> DataFrame:
     return one.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.covar_pop("x.value", "y.value").alias("c"), F.count("*").alias("n"))
 
 
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of weighted edges (a, b, w) those of a spanning forest of the largest weights: what is left of a task's edges, and of the edges so far."""
+    left = None
+    for pdf in batches:
+        left = pdf if left is None else pd.concat([left, pdf])
+        left = left.sort_values(["w", "a", "b"], ascending=[False, True, True], ignore_index=True)
+        root: dict = {}
+
+        def find(k):
+            while root.setdefault(k, k) != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        keep_ = []
+        for a, b in zip(left["a"], left["b"]):
+            p, q = find(a), find(b)
+            keep_.append(p != q)
+            root[p] = q
+        left = left[keep_]
+    if left is not None:
+        yield left
+
+
+def covariance_blocks(cov: DataFrame, alphas: list[float]) -> DataFrame:
+    """(step, key, block): for each penalty the components of series that covariances over it in size join; block is the least key of one.
+
+    The components of every threshold come from one spanning forest of the largest covariances, which has fewer edges than there are series: each
+    task leaves a forest of its own edges, and a last one, of at most that many edges a task, joins them.
+    """
+    edges = cov.where("a <> b").select("a", "b", F.abs("c").alias("w")).where(F.col("w") > min(alphas))
+    tree = edges.mapInPandas(_forest, "a string, b string, w double")
+    tree = tree.repartition(1).mapInPandas(_forest, "a string, b string, w double")
+    names = cov.where("a = b").select("a", F.col("a").alias("b"), F.lit(float("inf")).alias("w"))
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("w", ascending=False)
+        for step, alpha in enumerate(alphas):
+            root = {k: k for k in sorted(rows["a"][np.isinf(rows["w"])])}
+
+            def find(k):
+                while root[k] != k:
+                    root[k] = k = root[root[k]]
+                return k
+
+            for a, b, w in zip(rows["a"], rows["b"], rows["w"]):
+                if alpha < w < np.inf:
+                    p, q = sorted((find(a), find(b)))
+                    root[q] = p
+            yield pd.DataFrame({"step": step, "key": list(root), "block": [find(k) for k in root]})
+
+    return tree.unionByName(names).repartition(1).mapInPandas(label, "step int, key string, block string")
+
+
 def partial_correlations(df: DataFrame, alphas: int = 25, gamma: float = 0.1) -> DataFrame:
-    """(a, b, partial_r, n) of the sparse precision matrix with the least extended BIC; one task for each penalty of the grid.
+    """(a, b, partial_r, n) of the sparse precision matrix with the least extended BIC over a grid of penalties.
 
-    df: (key, date, value); series without any value go, then dates on which one of the rest has none. Only the covariances,
-    series by series, go to a task: a few hundred series are the bound of the method. A fit sends one row.
+    df: (key, date, value); series without any value go, then dates on which one of the rest has none. For each penalty the optimum falls apart, exactly,
+    into the components of series that covariances larger than it join (see covariance_blocks), so a task fits one component at one penalty and
+    holds its covariances alone; a component of a few hundred series is the bound of the method. A fit sends one row; likelihoods, traces and edges of
+    the components of a penalty add up.
     """
     named = df.groupBy("key").agg(F.count("value").alias("n")).where("n > 0").select("key")
-    cov = covariances(listwise(df.join(named, "key", "left_semi")))
-    grid = cov.agg(F.collect_list(F.struct("a", "b", "c")).alias("m"), F.max("n").alias("n")).where("n > 0")
-    grid = grid.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(alphas - 1))))
+    cov = keep(covariances(listwise(df.join(named, "key", "left_semi"))))
+    top, least, n = cov.agg(F.max(F.when(F.col("a") != F.col("b"), F.abs("c"))), F.min(F.when(F.col("a") == F.col("b"), F.col("c"))), F.max("n")).head()
+    schema = "a string, b string, partial_r double, n long"
+    if top is None or not n or least <= 0:
+        return df.sparkSession.createDataFrame([], schema)
+    grid = [float(x) for x in np.logspace(np.log10(max(1e-12, 0.01 * top)), np.log10(max(1e-12, top)), alphas)]
+    blocks = keep(covariance_blocks(cov, grid))
+    at = lambda c: blocks.select("step", F.col("key").alias(c), "block")
+    parts = cov.join(at("a"), "a").join(at("b"), ["b", "step", "block"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        step, n, none = int(pdf["step"].iloc[0]), int(pdf["n"].iloc[0]), pd.DataFrame(columns=["step", "ebic", "n", "a", "b", "r"])
-        rows = [(x["a"], x["b"], x["c"]) for x in pdf["m"].iloc[0]]
-        names = sorted({a for a, _, _ in rows})
-        at, p = {k: i for i, k in enumerate(names)}, len(names)
+        step, block = int(pdf["step"].iloc[0]), pdf["block"].iloc[0]
+        names = sorted({*pdf["a"], *pdf["b"]})
+        where, p = {k: i for i, k in enumerate(names)}, len(names)
         s = np.zeros((p, p))
-        for a, b, c in rows:
-            s[at[a], at[b]] = s[at[b], at[a]] = c
-        upper = np.triu_indices(p, 1)
-        top = np.abs(s[upper]).max(initial=0.0)
-        if p < 2 or (np.diag(s) <= 0).any():
-            return none
-        theta = graphical_lasso(s, float(np.logspace(np.log10(max(1e-12, 0.01 * top)), np.log10(max(1e-12, top)), alphas)[step]))
+        i, j = pdf["a"].map(where), pdf["b"].map(where)
+        s[i, j] = s[j, i] = pdf["c"]
+        theta = graphical_lasso(s, grid[step]) if p > 1 else 1 / s
         sign, logdet = np.linalg.slogdet(theta)
-        if sign <= 0 or not np.isfinite(logdet):
-            return none
-        edges = int((np.abs(theta[upper]) > 1e-10).sum())
-        ebic = -n * (logdet - np.trace(s @ theta)) + edges * np.log(n) + 4 * gamma * edges * np.log(p)
-        d = np.sqrt(np.diag(theta))
+        upper = np.triu_indices(p, 1)
+        d = np.sqrt(np.abs(np.diag(theta)))
         r = (-theta / np.outer(d, d))[upper]
         on = r != 0
-        return pd.DataFrame([(step, float(ebic), n, [names[i] for i in upper[0][on]], [names[i] for i in upper[1][on]], r[on].tolist())], columns=none.columns)
-
-    fits = grid.groupBy("step").applyInPandas(fit, "step int, ebic double, n long, a array<string>, b array<string>, r array<double>")
-    best = fits.agg(F.min_by(F.struct("n", "a", "b", "r"), F.struct("ebic", "step")).alias("f"))
-    return best.select("f.n", F.explode(F.arrays_zip("f.a", "f.b", "f.r")).alias("x")).select("x.a", "x.b", F.col("x.r").alias("partial_r"), "n")
+        ok = bool(sign > 0 and np.isfinite(logdet))
+        row = (step, block, ok, float(logdet), float(np.trace(s @ theta)), int((np.abs(theta[upper]) > 1e-10).sum()), p, [names[k] for k in upper[0][on]], [names[k] for k in upper[1][on]], r[on].tolist())
+        return pd.DataFrame([row], columns=["step", "block", "ok", "logdet", "trace", "edges", "p", "a", "b", "r"])
+
+    fits = keep(parts.groupBy("step", "block").applyInPandas(fit, "step int, block string, ok boolean, logdet double, trace double, edges long, p long, a array<string>, b array<string>, r array<double>"))
+    whole = fits.groupBy("step").agg(F.bool_and("ok").alias("ok"), *(F.sum(c).alias(c) for c in ("logdet", "trace", "edges", "p"))).where("ok")
+    ebic = -n * (F.col("logdet") - F.col("trace")) + F.col("edges") * math.log(n) + 4 * gamma * F.col("edges") * F.log("p")
+    best = whole.agg(F.min_by("step", F.struct(ebic, "step"))).scalar()
+    pairs = fits.where(F.col("step") == best).select(F.explode(F.arrays_zip("a", "b", "r")).alias("x"))
+    return pairs.select("x.a", "x.b", F.col("x.r").alias("partial_r"), F.lit(n).cast("long").alias("n"))
 
 
 def partial_given(df: DataFrame, given: str) -> DataFrame:

@@ -289,7 +289,7 @@ BLOCKED = [("fred_other", "index"), ("rates", "rates")]
 )
 def plausibility_gate(spark, d):
     pairs = market_pairs(spark, d, [0], [0], least_n=2).select("a", "b")
-    return gates.plausible(pairs, classify_entity(spark, d), spark.createDataFrame(BLOCKED, "lo string, hi string"))
+    return gates.plausible(pairs, classify_entity(spark, d), blocked(spark))
 
 
 SPEARMAN = """
@@ -458,6 +458,20 @@ def market_alpha_max(spark, d):
     return rounded(market_covariances(spark, d).where("a < b").agg(F.max(F.abs("cov")).alias("alpha_max")))
 
 
+MOVED = [0, 1, 2, 3, 5, 10]
+
+
+@query(chain(MARKET, FILLED, CHANGED, pairs_sql("ret", MOVED)) + f" SELECT a, b, lag, round({R}, 5) AS r, count(*) AS n FROM pairs WHERE idx BETWEEN 90 AND 349 AND idx - lag >= 90 GROUP BY ALL HAVING count(*) >= 30 AND {R} IS NOT NULL")
+def moving_correlations(spark, d):
+    """Correlations of a window of 260 rows that moves three times, by 40, 25 and 25 rows: sums are added at its end and taken away at its start."""
+    on = keep(P.indexed(returns(spark, d)))
+    state, window = P.window_moments(on, MOVED, (0, 259)), (0, 259)
+    for step in (40, 25, 25):
+        new = (window[0] + step, window[1] + step)
+        state, window = keep(P.move_window(state, on, MOVED, window, new)), new
+    return rounded(P.moment_correlations(state), 5)
+
+
 @query()
 def glasso_ebic_pairs(spark, d):
     return rounded(P.partial_correlations(keep(S.zscore(returns(spark, d)))), 5)
@@ -652,7 +666,7 @@ WINDOW = 252
 BLOCKED_ROWS = "(('fred_other', 'index'), ('rates', 'rates'))"
 #: The frame of a window, the pairs of its complete dates, and what their own rows say of them.
 DAILY = (MARKET.replace("market AS (", "everything AS (", 1), f"market AS (SELECT * FROM everything WHERE date > (SELECT max(date) FROM everything) - INTERVAL {WINDOW} DAY)", FILLED.replace("filled AS (", "whole AS (", 1),
-    "filled AS (SELECT * FROM whole SEMI JOIN (SELECT key FROM whole GROUP BY key HAVING count(value) >= 189) USING (key))", CHANGED, SCALED, CLIPPED, f"""
+    "filled AS (SELECT * FROM whole SEMI JOIN (SELECT key FROM whole GROUP BY key HAVING count(value) >= 189) USING (key))", CHANGED.replace("CASE WHEN key LIKE 'asset:%'", "CASE WHEN key = 'asset:N3' THEN (value - p) / nullif(p, 0) WHEN key LIKE 'asset:%'"), SCALED, CLIPPED, f"""
 dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM w)),
 onidx AS (SELECT key, idx, value FROM w JOIN dates USING (date) WHERE value IS NOT NULL),
 lags AS (SELECT unnest({P.MACRO_LAGS}) AS lag),
@@ -667,39 +681,96 @@ open AS (SELECT strong.* FROM strong LEFT JOIN g ga ON ga.key = a LEFT JOIN g gb
 pairs AS (SELECT rows.* FROM rows SEMI JOIN open USING (a, b, lag))""", SPEARMAN, HALVES.replace("count(*) >= 10", "count(*) >= 20"), f"rho AS (SELECT a, b, lag, {R} AS rho, count(*) AS m FROM ranks GROUP BY ALL)")
 
 
+def blocked(spark):
+    return spark.createDataFrame(BLOCKED, "lo string, hi string")
+
+
 def rules(spark, d):
-    """(categories, blocked) of the plausibility gate."""
-    return classify_entity(spark, d), spark.createDataFrame(BLOCKED, "lo string, hi string")
+    """Regions are the groups of nations; the third nation counts as a series of volatility."""
+    return pipelines.Rules(groups(spark, d), classify_entity(spark, d), blocked(spark), ("asset:N3",))
 
 
 @query(chain(*DAILY) + " SELECT a, b, lag, n, round(r, 5) AS r, round(rho, 5) AS rho, round(r1, 5) AS r1, round(r2, 5) AS r2 FROM open JOIN rho USING (a, b, lag) LEFT JOIN twice USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4")
 def daily_pairs(spark, d):
-    frame = keep(pipelines.frame(market_long(spark, d), WINDOW))
-    return rounded(pipelines.daily_pairs(frame, WINDOW, groups(spark, d), *rules(spark, d)).select("a", "b", "lag", "n", "r", "rho", "r1", "r2"), 5)
+    return rounded(window_pairs(spark, d).select("a", "b", "lag", "n", "r", "rho", "r1", "r2"), 5)
+
+
+def window_pairs(spark, d):
+    frame = keep(pipelines.frame(keep(market_long(spark, d)), WINDOW, ("asset:N3",)))
+    return pipelines.daily_pairs(frame, WINDOW, groups(spark, d), classify_entity(spark, d), blocked(spark))
+
+
+def not_daily(spark):
+    """Indicators that daily runs leave out; the rest of them is not among the monthly ones."""
+    return spark.createDataFrame([("5-LOW",)], "id string")
 
 
-def no_names(spark):
-    return spark.createDataFrame([], "id string")
+def monthly_set(spark, d):
+    return table(spark, d, "orders").where("o_orderpriority <> '3-MEDIUM'").select(F.col("o_orderpriority").alias("id")).distinct()
+
+
+def passes(long):
+    """What the two passes of a partial run leave out: regions and the market, nations."""
+    ids = long.select("key").distinct().select(S.key_id(F.col("key")).alias("id"))
+    return ids.where("id like 'R%' or id = 'MKT'"), ids.where("id like 'N%'")
 
 
 @query()
 def daily_correlations(spark, d):
     """Both windows of the daily run: market and sectors taken out, false discovery rate, both halves."""
     long = keep(market_long(spark, d))
-    runs = [pipelines.daily(long, w, no_names(spark), "asset:MKT", sectors(spark, d), groups(spark, d), *rules(spark, d)) for w in (63, WINDOW)]
+    runs = [pipelines.daily(long, w, not_daily(spark), "asset:MKT", sectors(spark, d), rules(spark, d)).candidates for w in (63, WINDOW)]
     return rounded(runs[0].unionByName(runs[1]))
 
 
 @query()
 def monthly_correlations(spark, d):
-    return rounded(pipelines.monthly(keep(market_long(spark, d)), *rules(spark, d)))
+    return rounded(pipelines.monthly(keep(market_long(spark, d)), monthly_set(spark, d), rules(spark, d)).candidates)
 
 
 @query()
 def partial_candidates(spark, d):
     """The partial run: one pass without regions and the market, one without nations."""
-    ids = market_long(spark, d).select("key").distinct().select(S.key_id(F.col("key")).alias("id"))
-    return rounded(pipelines.partial(keep(market_long(spark, d)), 2 * WINDOW, ids.where("id like 'R%' or id = 'MKT'"), ids.where("id like 'N%'"), *rules(spark, d)), 4)
+    long = keep(market_long(spark, d))
+    return rounded(pipelines.partial(long, 2 * WINDOW, not_daily(spark), *passes(long), rules(spark, d)).candidates, 4)
+
+
+@query()
+def correlation_runs(spark, d):
+    """A whole round of runs over both windows, each stored before the next: what they tested, kept and stored."""
+    long = keep(market_long(spark, d))
+    nodes = long.select("key").distinct().select(F.upper("key").alias("key")).select(F.concat_ws(":", F.lower(S.key_kind(F.col("key"))), S.key_id(F.col("key"))).alias("key"))
+    _, rows, failed = pipelines.run_windows(long, pipelines.no_edges(long), nodes, [63, WINDOW], not_daily(spark), monthly_set(spark, d), "asset:MKT", sectors(spark, d), passes(long), rules(spark, d))
+    if failed:
+        raise RuntimeError(f"runs failed: {failed}")
+    return rows
+
+
+#: Every pair of series as an edge of an earlier run: some with a verdict, some of another window, some of another method.
+OLD_EDGES = """old AS (SELECT a.key AS a, b.key AS b, 0 AS lag, CASE WHEN hash_a % 5 = 4 THEN 'partial' ELSE 'pearson' END AS method, CASE WHEN hash_a % 7 = 3 THEN 63 ELSE 252 END AS window_days, -0.5 AS r,
+  CASE WHEN hash_a % 3 = 0 THEN 'candidate' WHEN hash_a % 3 = 1 THEN 'pending_verification' ELSE 'rejected' END AS status, CASE WHEN hash_a % 4 = 1 THEN 'uncertain' END AS verdict
+  FROM (SELECT key, length(key) + ascii(substr(key, length(key), 1)) AS h FROM names) a JOIN (SELECT key, ascii(substr(key, length(key), 1)) * 3 AS h FROM names) b ON a.key < b.key, LATERAL (SELECT a.h + b.h AS hash_a))"""
+
+
+@query(chain(*DAILY) + """, found AS (SELECT a, b, lag, CAST(round(r, 6) AS DOUBLE) AS r FROM open JOIN rho USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4),
+  names AS (SELECT DISTINCT key FROM everything), new AS (SELECT * FROM found WHERE a <> 'asset:R1' AND b <> 'asset:R1'), """ + OLD_EDGES + """,
+  stay AS (SELECT * FROM old WHERE NOT (window_days = 252 AND verdict IS NULL AND status = 'candidate'))
+  SELECT coalesce(s.a, n.a) AS a, coalesce(s.b, n.b) AS b, coalesce(s.lag, n.lag) AS lag, coalesce(method, 'pearson') AS method, coalesce(window_days, 252) AS window_days, round(coalesce(n.r, s.r), 5) + 0.0 AS r,
+  CASE WHEN n.a IS NOT NULL AND verdict IS NULL THEN 'candidate' ELSE status END AS status, verdict FROM stay s FULL JOIN new n ON s.a = n.a AND s.b = n.b AND s.lag = n.lag AND method = 'pearson' AND window_days = 252""")
+def run_replaces_candidates(spark, d):
+    """The pairs of a window stored over the edges of an earlier run: all pairs of series, of several states. One region is no node."""
+    long = keep(market_long(spark, d))
+    keys = long.select("key").distinct()
+    code = F.length("a") + F.ascii(F.substring("a", -1, 1)) + F.ascii(F.substring("b", -1, 1)) * 3
+    every = market_pairs(spark, d, [0], [0], least_n=2).select("a", "b")
+    old = every.select(
+        "a", "b", F.lit(0).alias("lag"), F.when(code % 5 == 4, "partial").otherwise("pearson").alias("method"), F.when(code % 7 == 3, 63).otherwise(252).alias("window_days"), F.lit(-0.5).alias("r"),
+        F.when(code % 3 == 0, "candidate").when(code % 3 == 1, "pending_verification").otherwise("rejected").alias("status"), F.when(code % 4 == 1, "uncertain").alias("verdict"),
+    )
+    found = keep(window_pairs(spark, d).select("a", "b", "lag", F.lit("pearson").alias("method"), F.lit(WINDOW).alias("window_days"), F.round("r", 6).alias("r"), F.lit("candidate").alias("status")))
+    run = pipelines.Found(found, found.agg(F.count("*").alias("n")), found, found)
+    edges, _ = pipelines.store(old, run, keys.where("key <> 'asset:R1'"), WINDOW, F.current_date(), "pearson")
+    return rounded(edges, 5)
 
 
 @query(
