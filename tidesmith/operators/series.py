@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidesmith.sources.kept import keep
+
 
 def by_date() -> WindowSpec:
     return Window.partitionBy("key").orderBy("date")
@@ -71,6 +73,48 @@ def winsorize(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame
     return placed.select("key", "date", F.when(F.col("value").isNotNull(), F.greatest("lo", F.least("hi", "value"))).alias("value"))
 
 
+#: Values of a series that may meet in one array, once a quantile has been narrowed down to them.
+FEW = 10_000
+
+
+def exact_quantiles(df: DataFrame, qs: list[float], few: int = FEW) -> DataFrame:
+    """(key, q, value): the value at place round((n - 1) * q) of each series' values in order, for series of any length.
+
+    No series is sorted or met whole by a task. Each round takes approximate quantiles on either side of the wanted place (mergeable sketches), counts exactly
+    how many values lie below and between them, and goes on between them, until at most `few` values are left or all that are left are equal. Nulls take
+    no part; a series of nulls has no quantile. Rounds grow with the logarithm of the longest series.
+    """
+    values = df.where("value is not null").select("key", "value")
+    sizes = values.groupBy("key").agg(F.count("*").alias("left"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    state = sizes.select("key", F.explode(F.array(*map(F.lit, qs))).alias("q"), "left", "lo", "hi").withColumn("place", F.round((F.col("left") - 1) * F.col("q")).cast("long"))
+    state = keep(state)
+    inside = F.col("value").between(F.col("lo"), F.col("hi"))
+    wide = (F.col("left") > few) & (F.col("lo") < F.col("hi"))
+    while state.where(wide).head(1):
+        open_ = state.where(wide)
+        share = F.col("place") / (F.col("left") - 1)
+        around = values.join(open_, "key").where(inside).groupBy("key", "q").agg(F.percentile_approx("value", F.array(*(F.lit(i / 256) for i in range(257))), 2000).alias("cuts"))
+        near = open_.join(around, ["key", "q"]).select(
+            *state.columns, F.get("cuts", F.greatest(F.floor(share * 256) - 2, F.lit(0)).cast("int")).alias("low"), F.get("cuts", F.least(F.ceil(share * 256) + 2, F.lit(256)).cast("int")).alias("high")
+        )
+        v = F.col("value")
+        parts = F.when(v < F.col("low"), 0).when(v <= F.col("high"), 1).otherwise(2)
+        counts = values.join(near, "key").where(inside).groupBy("key", "q", "place", parts.alias("part")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        before = F.sum("n").over(Window.partitionBy("key", "q").orderBy("part")) - F.col("n")
+        on = counts.withColumn("before", before).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
+        narrowed = on.select("key", "q", F.col("n").alias("left"), "lo", "hi", (F.col("place") - F.col("before")).alias("place"))
+        state = keep(state.where(~wide).unionByName(narrowed.select(*state.columns)))
+    some = values.join(state.where("lo < hi"), "key").where(inside).groupBy("key", "q", "place").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    found = some.select("key", "q", F.get("v", F.col("place").cast("int")).alias("value"))
+    return state.where("lo = hi").select("key", "q", F.col("lo").alias("value")).unionByName(found)
+
+
+def winsorize_long(df: DataFrame, low: float = 0.01, high: float = 0.99, few: int = FEW) -> DataFrame:
+    """winsorize() for series too long to be sorted by one task: the bounds come from exact_quantiles."""
+    bounds = exact_quantiles(df, [low, high], few).groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return df.join(bounds, "key", "left").select("key", "date", F.when(F.col("value").isNotNull(), F.greatest("lo", F.least("hi", "value"))).alias("value"))
+
+
 def window_of(df: DataFrame, days: int) -> DataFrame:
     """The last so many calendar days up to the last date of all."""
     last = df.agg(F.max("date").alias("last")).scalar()
