@@ -338,10 +338,15 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, G.upsert(once, new, ["k"], ["v"]).collect())) == sorted(map(tuple, once.collect()))
 
 
-def test_candidates_reject_self_pairs(spark):
-    df = spark.createDataFrame([("x", "y", 0, -0.8, 0.01, 5), ("x", "x", 0, 0.1, 0.1, 5), ("x", "z", 0, 2.0, 0.1, 5)], "a string, b string, lag int, r double, p double, n int")
-    built, rejected = G.candidates(df)
-    assert [(r["direction"], r["tier"]) for r in built.collect()] == [("negative", "strong")] and rejected.count() == 2
+def test_candidates_of_every_kind_of_fault(spark):
+    from tidesmith.operators import validate
+
+    good = ("asset:x", "indicator:y:z", 0, -0.8, 0.01, 5, "pearson", 63)
+    change = lambda i, v: (*good[:i], v, *good[i + 1 :])
+    bad = [change(*c) for c in ((1, "asset:X"), (3, 1.5), (3, None), (4, -0.1), (2, -1), (5, 0), (7, 0), (6, "kendall"), (0, "bond:x"), (0, "asset:"), (1, None))]
+    df = spark.createDataFrame([good, *bad], "a string, b string, lag int, r double, p double, n int, method string, window_days int")
+    built, rejected = validate.candidates(df)
+    assert [(r["a"], r["b"], r["strength"], r["direction"], r["tier"]) for r in built.collect()] == [("asset:X", "indicator:Y:Z", 0.8, "negative", "strong")] and rejected.count() == len(bad)
 
 
 def test_html(spark):

@@ -12,6 +12,18 @@ def _of(pairs: DataFrame, names: DataFrame, value: str) -> DataFrame:
     return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
 
 
+# Categories of what the map does not know.
+OTHER = {"indicator": "fred_other", "asset": "equity"}
+
+
+def classify(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, category) of keys by a map (kind, id, category), met by kind and id; what the map does not know gets the category that is usual for its kind."""
+    kind = F.substring_index("key", ":", 1)
+    of = known.select(F.concat_ws(":", "kind", "id").alias("key"), "category").dropDuplicates(["key"])
+    other = F.when(kind == "indicator", OTHER["indicator"]).otherwise(OTHER["asset"])
+    return keys.select("key").join(of, "key", "left").select("key", F.coalesce("category", other).alias("category"))
+
+
 def not_redundant(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs whose ends are not of one group; an end without a group is redundant with none. groups: (key, grp)."""
     return _of(pairs, groups, "grp").where("_a is null or _b is null or _a <> _b").select(*pairs.columns)

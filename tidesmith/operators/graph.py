@@ -107,10 +107,16 @@ def replace_candidates(old: DataFrame, new: DataFrame, key: list[str], window: i
 
 
 def replace_partial(old: DataFrame, new: DataFrame, window: int) -> DataFrame:
-    """Edges (CANDIDATE, r, status, verdict) after a partial run: those of its method and window without a verdict go, then new ones are merged in by five columns."""
-    mine = (F.col("method") == "partial") & (F.col("window_days") == window) & F.col("verdict").isNull()
-    n = new.withColumn("verdict", F.lit(None).cast("string")).select(*old.columns)
-    return upsert(old.where(~mine), n, CANDIDATE, ["r", "status"])
+    """Edges (CANDIDATE, r, status, verdict) after a partial run: those of its method and window that are candidates or wait, without a verdict, go.
+
+    New ones are merged in by five columns; an edge with a verdict gets the new r but keeps its status.
+    """
+    mine = (F.col("method") == "partial") & (F.col("window_days") == window) & F.col("status").isin("candidate", "pending_verification") & F.col("verdict").isNull()
+    came = new.select(*CANDIDATE, F.struct("r", "status").alias("_new"))
+    both = old.where(~F.coalesce(mine, F.lit(False))).join(came, CANDIDATE, "full")
+    fresh = F.col("_new").isNotNull()
+    value = {"r": F.when(fresh, F.col("_new.r")).otherwise(F.col("r")), "status": F.when(fresh & F.col("verdict").isNull(), F.col("_new.status")).otherwise(F.col("status"))}
+    return both.select(*(value.get(c, F.col(c)).alias(c) for c in old.columns))
 
 
 def write_verdicts(edges: DataFrame, results: DataFrame) -> DataFrame:
@@ -171,15 +177,3 @@ def needs_review(verdict: Column, confidence: Column, least: float = 0.65) -> Co
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first in the order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
-
-
-def candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(built, rejected) of rows (a, b, lag, r, p, n): range checks, then strength, direction and tier."""
-    ok = F.col("r").between(-1, 1) & F.col("p").between(0, 1) & (F.col("lag") >= 0) & (F.col("n") > 0) & (F.col("a") != F.col("b"))
-    ok = F.coalesce(ok, F.lit(False))
-    s = F.abs("r")
-    built = df.where(ok).select(
-        "a", "b", "lag", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"), "n", F.round(s, 6).alias("strength"),
-        F.when(F.col("r") >= 0, "positive").otherwise("negative").alias("direction"), F.when(s >= 0.7, "strong").when(s >= 0.5, "moderate").otherwise("store").alias("tier"),
-    )
-    return built, df.where(~ok)

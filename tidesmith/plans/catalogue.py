@@ -277,7 +277,8 @@ CATEGORY = "CASE WHEN key LIKE 'indicator:%' THEN CASE WHEN key LIKE 'indicator:
 
 @query(chain(MARKET) + f" SELECT key, {CATEGORY} AS category FROM market GROUP BY key")
 def classify_entity(spark, d):
-    return market_long(spark, d).select("key").distinct().select("key", F.expr(CATEGORY).alias("category"))
+    known = [("indicator", "1-URGENT", "rates"), ("indicator", "2-HIGH", "rates"), ("asset", "MKT", "index"), *(("asset", f"R{i}", "index") for i in range(5))]
+    return gates.classify(market_long(spark, d).select("key").distinct(), spark.createDataFrame(known, "kind string, id string, category string"))
 
 
 BLOCKED = [("fred_other", "index"), ("rates", "rates")]
@@ -526,16 +527,20 @@ def review_routing(spark, d):
     return table(spark, d, "orders").select("o_orderkey", G.needs_review(F.expr(VERDICT), F.col("o_totalprice") / 300000).alias("review"))
 
 
-@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10)") + " SELECT a, b, lag, n, round(round(abs(r), 6), 5) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
+def built(found):
+    """Candidates of pairs, as a daily run builds them."""
+    return validate.candidates(found.withColumns({"method": F.lit("pearson"), "window_days": F.lit(63)}))[0]
+
+
+@query(chain(*EVENT_RETURNS, pairs_sql("ret", [0, 1]), f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 10)") + " SELECT 'asset:' || upper(a[7:]) AS a, 'asset:' || upper(b[7:]) AS b, lag, n, round(round(abs(r), 6), 5) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
 def candidate_build(spark, d):
-    built, _ = G.candidates(P.correlations(event_pairs(spark, d, [0, 1]), 10).withColumn("p", F.lit(0.0)))
-    return built.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
+    found = built(P.correlations(event_pairs(spark, d, [0, 1]), 10).withColumn("p", F.lit(0.0)))
+    return found.select("a", "b", "lag", "n", F.round("strength", 5).alias("strength"), "direction", "tier")
 
 
 @query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)") + " SELECT a, b, lag, n, round(abs(r), 6) AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier FROM c WHERE r IS NOT NULL")
 def market_candidate_build(spark, d):
-    built, _ = G.candidates(P.p_values(market_tested(spark, d)))
-    return built.select("a", "b", "lag", "n", "strength", "direction", "tier")
+    return built(P.p_values(market_tested(spark, d))).select("a", "b", "lag", "n", "strength", "direction", "tier")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -887,7 +892,7 @@ def entity_keys(spark, d):
 
 @query(chain(MARKET) + " SELECT key, round(value, 6) AS value FROM market WHERE date = (SELECT max(date) FROM market)")
 def latest_row(spark, d):
-    return rounded(S.latest_only(market_long(spark, d)).select("key", "value"))
+    return rounded(S.latest_only(keep(market_long(spark, d))).select("key", "value"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) >= 50 AS long_enough FROM documents")
@@ -995,12 +1000,6 @@ def mention_totals(spark, d):
     return rounded(G.mention_totals(e))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice / 7, 4) AS DOUBLE) AS value FROM lineitem")
-def half_even_values(spark, d):
-    """Values at four places, halves to the even digit."""
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_extendedprice") / 7, 4).alias("value"))
-
-
 @query("SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS value FROM events")
 def stream_late_revision(spark, d):
     """Events through a stream, those of even ids again with revised values in a later micro-batch; the merged table."""

@@ -14,18 +14,16 @@ def market_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset:N<nation>, asset:R<region> and asset:MKT from prices, indicator:<priority> from orders, one value a day."""
     t = lambda n: table(spark, sf_dir, n)
     nations = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
-    # one partial aggregation for all three levels: sums and counts by nation, rolled up from there
+    # sums and counts by nation and day; each then counts for its nation, its region and the market
     base = (
         t("lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", "n_regionkey", F.to_date("l_shipdate").alias("date")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("s"), F.count("*").alias("c"))
     )
+    levels = F.array(F.concat(F.lit("asset:N"), "s_nationkey"), F.concat(F.lit("asset:R"), "n_regionkey"), F.lit("asset:MKT"))
     mean = (F.sum("s").cast("double") / F.sum("c")).alias("value")  # cents add up exactly, whatever the order
-    level = lambda key: base.groupBy(key.alias("key"), "date").agg(mean)
-    stocks = level(F.concat(F.lit("asset:N"), F.col("s_nationkey")))
-    sectors = level(F.concat(F.lit("asset:R"), F.col("n_regionkey")))
-    whole = level(F.lit("asset:MKT"))
+    assets = base.select(F.explode(levels).alias("key"), "date", "s", "c").groupBy("key", "date").agg(mean)
     macro = t("orders").groupBy(F.concat(F.lit("indicator:"), F.col("o_orderpriority")).alias("key"), F.to_date("o_orderdate").alias("date")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("o_totalprice")).alias("value"))
-    return stocks.unionByName(sectors).unionByName(whole).unionByName(macro)
+    return assets.unionByName(macro)
 
 
 def event_long(spark: SparkSession, sf_dir: str) -> DataFrame:
