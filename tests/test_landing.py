@@ -103,3 +103,18 @@ def test_quantiles_by_counting(spark, few):
     dated = df.withColumn("date", F.date_add(F.lit("2000-01-01"), F.col("i")))
     same = [sorted(map(tuple, f(dated, 0.05, 0.9).collect()), key=str) for f in (S.winsorize, lambda d, a, b: S.winsorize_long(d, a, b, few))]
     assert same[0] == same[1]
+
+
+def test_the_chain_of_rules_after_extraction(spark):
+    """Each rule drops its own row; articles do not lend each other entities; a short article keeps its entities alone."""
+    from tidesmith.operators import text as X
+
+    body = "Acme Motors sold copper to Globex near Springfield " + "word " * 50
+    articles = spark.createDataFrame([(1, body), (2, "Acme Motors sold Globex"), (3, None), (4, body)], "doc_id long, text string")
+    entities = [(1, 1, "acme motors", "company", "Acme Motors Inc"), (1, 2, "Globex", " COMPANY", "Globex"), (1, 3, "globex", "Company", " GLOBEX "), (1, 4, "gone", "Company", "Initech Bank"), (1, 5, "copper", "commodity", "Copper"), (1, 6, "Acme", "planet", "Acme"),
+                (2, 1, "Acme", "Company", "Acme Motors Inc"), (2, 2, "Globex", "Company", "Globex"), (3, 1, "x", "Company", "X"), (4, 1, "nothing", "Company", "Springfield Holdings")]
+    rels = [(1, 1, "acme motors inc", "Globex", "competes with", 0.9), (1, 2, "Acme Motors Inc", "globex ", "COMPETES_WITH", 0.95), (1, 3, "Acme Motors Inc", "Copper", "supplies to", 0.9), (1, 4, "Acme Motors Inc", "Copper", "DEPENDS_ON", 0.7),
+            (1, 5, "Initech Bank", "Globex", "OWNS", 0.9), (1, 6, "Globex", "Copper", "OWNS", 0.69), (2, 1, "Acme Motors Inc", "Globex", "OWNS", 0.9), (4, 1, "Springfield Holdings", "Globex", "OWNS", 0.9)]
+    kept, found = X.extraction(articles, spark.createDataFrame(entities, "doc_id long, pos int, span string, entity_type string, name string"), spark.createDataFrame(rels, "doc_id long, pos int, subject string, object string, relationship_type string, confidence double"), ["Company", "Commodity"])
+    assert sorted((r["doc_id"], r["pos"], r["entity_type"]) for r in kept.collect()) == [(1, 1, "Company"), (1, 2, "Company"), (1, 5, "Commodity"), (2, 1, "Company"), (2, 2, "Company"), (4, 1, "Company")]
+    assert sorted((r["doc_id"], r["pos"], r["relationship_type"]) for r in found.collect()) == [(1, 1, "COMPETES_WITH"), (1, 4, "DEPENDS_ON")]

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidesmith.operators.validate import clamp, label_of, long_enough, relation_of
+
 # Named character references of HTML 5 by name, as the standard library lists them; the old ones also stand without a semicolon.
 # Short names come first, as they are the frequent ones and a map is searched from its start.
 _NAMED = "\u0001".join(f"{name}\u0002{char}" for name, char in sorted(html5.items(), key=lambda x: (len(x[0]), x[0])))
@@ -210,10 +212,35 @@ def grounded(text: Column, name: Column, span: Column | None = None, stop: list[
     return whole | word if span is None else F.coalesce(low.contains(F.lower(F.trim(span))), F.lit(False)) | whole | word
 
 
-def relationships(rels: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relationships whose ends are both extracted entities, without SUPPLIES_TO a Commodity. Names meet trimmed and lower-cased."""
-    e = entities.select(F.lower(F.trim("name")).alias("k"), "entity_type")
-    ends = rels.withColumn("s", F.lower(F.trim("subject"))).withColumn("o", F.lower(F.trim("object")))
-    known = ends.join(e.select("k"), F.col("s") == F.col("k"), "left_semi").join(e.select("k"), F.col("o") == F.col("k"), "left_semi")
-    goods = e.where("entity_type = 'Commodity'").select(F.col("k").alias("o"), F.lit("SUPPLIES_TO").alias("relationship_type"))
-    return known.join(goods, ["o", "relationship_type"], "left_anti").drop("s", "o")
+def relationships(rels: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Relationships whose ends are both extracted entities, without SUPPLIES_TO a Commodity. Names meet trimmed and lower-cased, within an article where `by` names its columns."""
+    by = list(by)
+    e = entities.select(*by, F.lower(F.trim("name")).alias("_k"), "entity_type")
+    ends = rels.withColumns({"_s": F.lower(F.trim("subject")), "_o": F.lower(F.trim("object"))})
+    names = lambda c: e.select(*by, F.col("_k").alias(c)).distinct()
+    known = ends.join(names("_s"), [*by, "_s"], "left_semi").join(names("_o"), [*by, "_o"], "left_semi")
+    goods = e.where("entity_type = 'Commodity'").select(*by, F.col("_k").alias("_o"), F.lit("SUPPLIES_TO").alias("relationship_type"))
+    return known.join(goods, [*by, "_o", "relationship_type"], "left_anti").select(*rels.columns)
+
+
+#: Confidence that a relationship needs.
+LEAST_CONFIDENCE = 0.70
+
+
+def extraction(articles: DataFrame, entities: DataFrame, rels: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) that stand, of what was extracted from articles (doc_id, text), once for each doc_id.
+
+    entities: (doc_id, pos, span, entity_type, name), rels: (doc_id, pos, subject, object, relationship_type, confidence). In this order: types are brought to the
+    labels, and rows of none go; entities that the text does not hold go; of one name in an article the first stays; kinds and confidence of
+    relationships are brought to their forms, and unsure ones go; articles of fewer than 50 words, or without entities, have no relationships; of one
+    (subject, object, kind) the first stays; then the rules on ends (see relationships).
+    """
+    typed = entities.withColumn("entity_type", label_of(F.col("entity_type"), labels)).where("entity_type is not null and name is not null")
+    texts = articles.select("doc_id", "text", long_enough(F.col("text")).alias("_long"))
+    held = typed.join(texts, "doc_id").where(grounded(F.coalesce("text", F.lit("")), F.col("name"), F.col("span")))
+    one = lambda df, *key: df.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *key).orderBy("pos"))).where("_n = 1")
+    kept = one(held, F.lower(F.trim("name"))).select(*entities.columns)
+    formed = rels.withColumns({"relationship_type": relation_of(F.col("relationship_type")), "confidence": clamp(F.col("confidence"))}).where(F.col("confidence") >= LEAST_CONFIDENCE)
+    judged = formed.join(texts.where("_long").select("doc_id"), "doc_id", "left_semi")
+    first = one(judged, F.lower(F.trim("subject")), F.lower(F.trim("object")), "relationship_type").select(*rels.columns)
+    return kept, relationships(first, kept, ("doc_id",))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidesmith.operators import gates, landed, seeding
+from tidesmith.operators import gates, landed, seeding, text
 from tidesmith.operators import graph as G
 from tidesmith.operators import series as S
 from tidesmith.plans.catalogue import CHANGED, CLIPPED, FILLED, MARKET, SCALED, STATUS, VERDICT, chain, passes, query, returns, rounded
@@ -113,11 +113,11 @@ e AS (SELECT 'C' || c_custkey AS from_id, CASE WHEN c_custkey % 2 = 0 THEN 'LOCA
 @query(f"WITH {SEED} SELECT from_id, rel_type, to_id, name AS to_name FROM e JOIN n ON id = to_id")
 def seed_graph(spark, d):
     """Nations and customers as a graph in two tables; relationships to nations that are not there are left out."""
-    text = lambda c, t: F.concat(F.lit(t), c)
+    mark = lambda c, t: F.concat(F.lit(t), c)
     entity = lambda rows, label, i, name: rows.select(F.lit(label).alias("label"), i.alias("id"), name.alias("name"), F.lit("").alias("description"), F.create_map(F.lit("from"), F.lit("seed")).alias("metadata"))
-    nations = entity(table(spark, d, "nation"), "Country", text("n_nationkey", "N"), F.col("n_name"))
-    people = entity(table(spark, d, "customer"), "Company", text("c_custkey", "C"), text("c_custkey", "Customer "))
-    rels = table(spark, d, "customer").select(text("c_custkey", "C").alias("from_id"), F.when(F.col("c_custkey") % 2 == 0, "LOCATED_IN").otherwise("SELLS_TO").alias("rel_type"), text(F.col("c_custkey") % 30, "N").alias("to_id"), F.create_map(F.lit("w"), F.lit("1")).alias("props"))
+    nations = entity(table(spark, d, "nation"), "Country", mark("n_nationkey", "N"), F.col("n_name"))
+    people = entity(table(spark, d, "customer"), "Company", mark("c_custkey", "C"), mark("c_custkey", "Customer "))
+    rels = table(spark, d, "customer").select(mark("c_custkey", "C").alias("from_id"), F.when(F.col("c_custkey") % 2 == 0, "LOCATED_IN").otherwise("SELLS_TO").alias("rel_type"), mark(F.col("c_custkey") % 30, "N").alias("to_id"), F.create_map(F.lit("w"), F.lit("1")).alias("props"))
     paths, rules = [shared_dir(spark), shared_dir(spark)], [layout.by_hash("label", "id", parts=8), layout.by_hash("from_id", "rel_type", "to_id", parts=8)]
     nodes = spark.createDataFrame([], "label string, id string, props map<string,string>")
     layout.create(nodes, paths[0], rules[0])
@@ -173,3 +173,47 @@ def classify_by_map(spark, d):
     c = table(spark, d, "customer").where("c_acctbal > 5000")
     side = lambda kind, name: c.select(F.lit(kind).alias("kind"), F.col("c_custkey").cast("string").alias("id"), name.alias("category"))
     return gates.classify(o, side("indicator", F.lower("c_mktsegment")).union(side("asset", F.upper("c_mktsegment"))))
+
+
+# --- extraction ---------------------------------------------------------------------------------------------------------------
+
+LABELS = ["Company", "Commodity", "Country", "Sector"]
+#: What was extracted from each document: its first words, the same again, a name that it does not hold, and one that it holds in part.
+EXTRACTED = """
+w AS (SELECT doc_id, lower(text) AS t, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, t, len(w) AS n, w[1] || ' ' || w[2] AS one, w[4] || ' Holdings Group' AS two FROM w WHERE len(w) >= 4),
+raw AS (SELECT doc_id, t, n, 1 AS pos, one AS span, one AS name, ['Company', 'Commodity', 'Country'][doc_id % 3 + 1] AS kind FROM d UNION ALL SELECT doc_id, t, n, 2, ' ' || one || ' ', ' ' || one || ' ', 'Sector' FROM d
+  UNION ALL SELECT doc_id, t, n, 3, 'zz qq', 'Zzqx Corp', 'Company' FROM d UNION ALL SELECT doc_id, t, n, 4, 'nowhere zz', two, 'Company' FROM d WHERE doc_id % 5 <> 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(name)) ORDER BY pos) AS i FROM raw WHERE contains(t, lower(trim(span))) OR contains(t, lower(trim(name)))
+  OR len(list_filter(string_split_regex(lower(trim(name)), '\\s+'), lambda x: len(x) > 4 AND x <> 'group' AND contains(t, x))) > 0),
+e AS (SELECT * FROM g WHERE i = 1)"""
+
+
+def extracted(spark, d):
+    """(articles, entities, relationships)."""
+    docs = table(spark, d, "documents").where("text is not null").withColumn("w", F.filter(F.split("text", r"\s+"), lambda w: w != "")).where("size(w) >= 4")
+    one, two = F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat(F.col("w")[3], F.lit(" Holdings Group"))
+    wide_one = F.concat(F.lit(" "), one, F.lit(" "))
+    kind = F.element_at(F.array(F.lit("company"), F.lit("COMMODITY "), F.lit(" Country")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    ent = [(1, one, one, kind), (2, wide_one, wide_one, F.lit("sector")), (3, F.lit("zz qq"), F.lit("Zzqx Corp"), F.lit("Company")), (4, F.lit("nowhere zz"), two, F.when(F.col("doc_id") % 5 == 0, "planet").otherwise("Company"))]
+    entities = docs.select("doc_id", F.explode(F.array(*(rows(pos=F.lit(p), span=s, entity_type=t, name=n) for p, s, n, t in ent))).alias("x")).select("doc_id", "x.*")
+    rel = [(1, one, two, "supplies to", 0.9), (2, two, one, " Supplies_To ", 0.8), (3, wide_one, two, "SUPPLIES_TO", 0.95), (4, one, F.lit("Zzqx Corp"), "COMPETES_WITH", 0.9), (5, one, two, "OWNS", 0.5), (6, two, one, "OWNS", 1.7)]
+    rels = docs.select("doc_id", F.explode(F.array(*(rows(pos=F.lit(p), subject=s, object=o, relationship_type=F.lit(k), confidence=F.lit(c)) for p, s, o, k, c in rel))).alias("x")).select("doc_id", "x.*")
+    return table(spark, d, "documents").select("doc_id", "text"), entities, rels
+
+
+@query(f"WITH {EXTRACTED} SELECT doc_id, pos, name, kind AS entity_type FROM e")
+def extracted_entities(spark, d):
+    """Entities that stand after grounding and the first of each name."""
+    return text.extraction(*extracted(spark, d), LABELS)[0].select("doc_id", "pos", "name", "entity_type")
+
+
+@query(f"""WITH {EXTRACTED},
+  r AS (SELECT doc_id, n, 1 AS pos, one AS s, two AS o, 'SUPPLIES_TO' AS k, 0.9 AS confidence FROM d UNION ALL SELECT doc_id, n, 2, two, one, 'SUPPLIES_TO', 0.8 FROM d UNION ALL SELECT doc_id, n, 3, ' ' || one || ' ', two, 'SUPPLIES_TO', 0.95 FROM d
+    UNION ALL SELECT doc_id, n, 4, one, 'Zzqx Corp', 'COMPETES_WITH', 0.9 FROM d UNION ALL SELECT doc_id, n, 6, two, one, 'OWNS', 1.0 FROM d),
+  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(s)), lower(trim(o)), k ORDER BY pos) AS i FROM r WHERE n >= 50)
+  SELECT f.doc_id, f.pos, k AS relationship_type, CAST(confidence AS DOUBLE) AS confidence FROM f JOIN e a ON a.doc_id = f.doc_id AND lower(trim(a.name)) = lower(trim(s)) JOIN e b ON b.doc_id = f.doc_id AND lower(trim(b.name)) = lower(trim(o)) WHERE f.i = 1 AND NOT (k = 'SUPPLIES_TO' AND b.kind = 'Commodity')""")
+def extracted_relationships(spark, d):
+    """Relationships that stand after the whole chain of rules."""
+    return text.extraction(*extracted(spark, d), LABELS)[1].select("doc_id", "pos", "relationship_type", "confidence")
