@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +54,9 @@ def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([row], columns=[c.split()[0] for c in TREES.split(", ")])
 
 
+#: Size that components stay below: products of two vectors of up to 2,000 of them fit a 64-bit number.
+LARGEST = 1 << 26
+
 TREES = "dim int, n int, ids binary, vecs binary, nodes binary, centres binary, radii binary"
 HITS = "query_id long, vec_id long, score long"
 
@@ -74,36 +76,53 @@ class _Best:
         self.low[q] = np.maximum(self.low[q], self.score[q, -1])
 
 
-def _walk(tree: pd.Series, qid: np.ndarray, qv: np.ndarray, best: _Best) -> None:
-    """Branch and bound of all queries through one tree: the node of the highest bound first, each with the queries that can still gain from it."""
+def _leaf_bounds(nodes: np.ndarray, centres: np.ndarray, radii: np.ndarray, qf: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves, bound of each query in each leaf): from the root down, level by level; a query leaves a subtree that cannot reach its kth score, its bound there is -inf."""
+    norm = np.sqrt((qf**2).sum(1))
+    level, on, leaves, bounds = np.array([0]), np.ones((len(qf), 1), bool), [], []
+    while len(level):
+        bound = qf @ centres[level].T + norm[:, None] * radii[level][None, :] + 1e-6
+        bound[~on | (bound < low[:, None])] = -np.inf
+        used = (bound > -np.inf).any(0)
+        level, bound = level[used], bound[:, used]
+        leaf = nodes[level, 2] < 0
+        leaves.append(level[leaf])
+        bounds.append(bound[:, leaf])
+        inner = level[~leaf]
+        level, on = nodes[inner, 2:4].ravel(), np.repeat(bound[:, ~leaf] > -np.inf, 2, axis=1)
+    return np.concatenate(leaves), np.concatenate(bounds, axis=1)
+
+
+def _walk(tree: pd.Series, qid: np.ndarray, qv: np.ndarray, best: _Best) -> int:
+    """Branch and bound of all queries through one tree; the number of scores that were computed.
+
+    Each query meets its leaves in the order of its own bounds, the highest first, and ends at the first that cannot reach its kth score so far.
+    Queries whose next leaf is the same one are scored there together.
+    """
     ids, nodes = np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["nodes"], np.int64).reshape(-1, 4)
     vecs, radii = np.frombuffer(tree["vecs"], np.int64).reshape(len(ids), -1), np.frombuffer(tree["radii"], np.float64)
     centres = np.frombuffer(tree["centres"], np.float64).reshape(len(radii), -1)
     qf = qv.astype(np.float64)
-    norm = np.sqrt((qf**2).sum(1))
     # floats are exact where all sums are below 2^53
     exact = vecs.size and qv.size and float(np.abs(vecs).max()) * float(np.abs(qv).max()) * vecs.shape[1] < 2.0**52
-    heap: list[tuple] = []
-
-    def push(node: int, on: np.ndarray) -> None:
-        bound = qf[on] @ centres[node] + norm[on] * radii[node] + 1e-6
-        able = bound >= best.low[on]
-        if able.any():
-            heapq.heappush(heap, (-float(bound[able].max()), node, on[able], bound[able]))
-
-    push(0, np.arange(len(qid)))
-    while heap:
-        _, node, on, bound = heapq.heappop(heap)
-        on = on[bound >= best.low[on]]
-        if not len(on):
-            continue
-        lo, hi, left, right = nodes[node].tolist()
-        if left >= 0:
-            push(left, on), push(right, on)
-            continue
-        v = vecs[lo:hi]
-        s = (qf[on] @ v.T.astype(np.float64)).astype(np.int64) if exact else qv[on] @ v.T
-        best.add(on, np.where(ids[lo:hi][None, :] == qid[on][:, None], NONE, s), ids[lo:hi][None, :])
+    leaves, bounds = _leaf_bounds(nodes, centres, radii, qf, best.low)
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    live, scored = np.arange(len(qid)), 0
+    for step in range(len(leaves)):
+        next_ = order[live, step]
+        bound = bounds[live, next_]
+        on = (bound > -np.inf) & (bound >= best.low[live])
+        live, next_ = live[on], next_[on]
+        if not len(live):
+            break
+        by = np.argsort(next_, kind="stable")
+        for q in np.split(live[by], np.flatnonzero(np.diff(next_[by])) + 1):
+            lo, hi = nodes[leaves[order[q[0], step]], :2]
+            v = vecs[lo:hi]
+            s = (qf[q] @ v.T.astype(np.float64)).astype(np.int64) if exact else qv[q] @ v.T
+            best.add(q, np.where(ids[lo:hi][None, :] == qid[q][:, None], NONE, s), ids[lo:hi][None, :])
+            scored += s.size
+    return scored
 
 
 def _search(queries: dict, k: int):
@@ -134,10 +153,15 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def integers(rows: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """(id, dim, v): components as floor(scale * x). Rows with null id or vector, or a null or non-finite component, take no part."""
+    """(id, dim, v): components as floor(scale * x). Rows with null id or vector, or a null or non-finite component, take no part.
+
+    A component of LARGEST or more in size is an error: products of such could not be told from others.
+    """
     bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     good = rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(~bad)
-    v = F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    whole = lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")
+    large = lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) >= float(LARGEST)
+    v = F.transform(vec_col, lambda x: F.when(large(x), F.raise_error(F.lit(f"a component is not below {LARGEST} in size"))).otherwise(whole(x)))
     return good.select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), v.alias("v"))
 
 
