@@ -24,5 +24,9 @@ def labelled_ids(labels: DataFrame, label: str, m: int, held: int, per_class: in
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, y, text) of the chosen documents. ids has a bounded number of rows, so it goes to every task."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+    """(doc_id, y, text) of the chosen documents, one row each, in order of doc_id: of rows that share one the text of the least hash.
+
+    ids has a bounded number of rows, so it goes to every task, and so has the result, however often a document stands in docs.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("doc_id", "y", "t.text").orderBy("doc_id")
