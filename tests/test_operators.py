@@ -246,6 +246,44 @@ def test_partial_run(spark):
     assert {(r["a"], r["b"]) for r in open_.candidates.collect()} == {("asset:A", "asset:B"), ("asset:C", "asset:D")}
 
 
+def test_market_and_sector_are_taken_out(spark):
+    """Of four series: one with its sector, one whose sector has no series, one without a sector in the map, and one with too few rows."""
+    import numpy as np
+
+    rng, n = np.random.default_rng(6), 80
+    x = {"asset:MKT": rng.normal(size=n), "asset:SEC": rng.normal(size=n)}
+    x |= {"asset:A": 2 * x["asset:MKT"] - x["asset:SEC"] + 0.1 * rng.normal(size=n), "asset:B": 1 + x["asset:MKT"] + 0.1 * rng.normal(size=n), "asset:C": rng.normal(size=n), "asset:D": rng.normal(size=n)}
+    x["asset:D"][25:] = np.nan
+    x["asset:A"][7] = np.nan
+    df = spark.createDataFrame([(k, i, None if np.isnan(v) else float(v)) for k, vs in x.items() for i, v in enumerate(vs)], "key string, date int, value double")
+    sectors = spark.createDataFrame([("asset:A", "asset:SEC"), ("asset:B", "asset:GONE"), ("asset:D", None)], "key string, sector_key string")
+    got = {}
+    for r in S.beta_residual(df, "asset:MKT", sectors).orderBy("date").collect():
+        got.setdefault(r["key"], []).append(np.nan if r["value"] is None else r["value"])
+    for key, columns in (("asset:A", ["asset:MKT", "asset:SEC"]), ("asset:B", ["asset:MKT"])):
+        on = ~np.isnan(x[key])
+        m = np.column_stack([np.ones(n), *(x[c] for c in columns)])
+        want = x[key] - m @ np.linalg.lstsq(m[on], x[key][on], rcond=None)[0]
+        assert np.allclose(got[key], want, equal_nan=True)
+    assert all(np.allclose(got[k], x[k], equal_nan=True) for k in ("asset:MKT", "asset:SEC", "asset:C", "asset:D"))
+    same = S.beta_residual(df, "asset:NONE", sectors)
+    assert sorted(map(str, same.collect())) == sorted(map(str, df.collect()))
+
+
+def test_prices_that_are_missing_take_no_part(spark, tmp_path):
+    from tidesmith.sources.market import market_long
+
+    d, nan = str(tmp_path), float("nan")
+    for name, rows, kinds in [
+        ("supplier", [(1, 7)], "s_suppkey long, s_nationkey long"), ("nation", [(7, 2)], "n_nationkey long, n_regionkey long"),
+        ("lineitem", [(1, 10.0, "2024-01-02"), (1, nan, "2024-01-02"), (1, None, "2024-01-02"), (1, 20.0, "2024-01-02"), (1, nan, "2024-01-03")], "l_suppkey long, l_extendedprice double, l_shipdate string"),
+        ("orders", [("1-URGENT", nan, "2024-01-02"), ("1-URGENT", 5.0, "2024-01-02")], "o_orderpriority string, o_totalprice double, o_orderdate string"),
+    ]:
+        spark.createDataFrame(rows, kinds).write.parquet(f"{d}/{name}.parquet")
+    got = {(r["key"], r["date"].day): r["value"] for r in market_long(spark, d).collect()}
+    assert got == {("asset:N7", 2): 15.0, ("asset:R2", 2): 15.0, ("asset:MKT", 2): 15.0, ("indicator:1-URGENT", 2): 5.0, **{(k, 3): None for k in ("asset:N7", "asset:R2", "asset:MKT")}}
+
+
 def test_volatile_series_change_by_percent(spark):
     from tidesmith.operators import pipelines
 

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tidesmith.sources.kept import keep
 
 
+def missing(value: Column) -> Column:
+    """Whether a number is missing: null or NaN."""
+    return value.isNull() | F.coalesce(F.isnan(value), F.lit(False))
+
+
+def given(value: Column) -> Column:
+    """The number, or null where it is missing."""
+    return F.when(~missing(value), value)
+
+
 def by_date() -> WindowSpec:
     return Window.partitionBy("key").orderBy("date")
 
@@ -123,7 +133,7 @@ def window_of(df: DataFrame, days: int) -> DataFrame:
 
 def without(df: DataFrame, names: DataFrame) -> DataFrame:
     """Series whose id, the part of the key after its first colon, is not among the names (id): non-daily ones, or a pass's exclusions."""
-    return df.join(F.broadcast(names.select(F.col("id").alias("_id")).distinct()), key_id(F.col("key")) == F.col("_id"), "left_anti")
+    return df.join(names.select(F.col("id").alias("_id")).distinct(), key_id(F.col("key")) == F.col("_id"), "left_anti")
 
 
 def entity_key(kind: Column, name: Column) -> Column:
@@ -160,14 +170,16 @@ def monthly_last(df: DataFrame) -> DataFrame:
 
 
 def beta_residual(df: DataFrame, market: str, sector: DataFrame, least: int = 30) -> DataFrame:
-    """Series with a sector minus their fit on market and sector; others as they are. sector: (key, sector_key).
+    """Series with a sector minus their fit on market and sector; others as they are. sector: (key, sector_key), one row a key.
 
-    Normal equations from moments; collinear regressors fall back to the market alone; under `least` joint rows nothing changes;
-    a residual is null where a regressor is.
+    Where there is no series of the sector, and for a null sector_key, the fit is on the market alone, as it is for collinear regressors. Normal equations from
+    moments; under `least` joint rows, or without a series of the market, nothing changes; a residual is null where a regressor is.
     """
     m = df.where(F.col("key") == market).select("date", F.col("value").alias("m"))
     s = df.join(sector.select(F.col("sector_key").alias("key"), F.col("key").alias("own")), "key").select(F.col("own").alias("key"), "date", F.col("value").alias("s"))
-    wide = df.join(sector.select("key"), "key", "left_semi").join(m, "date", "left").join(s, ["key", "date"], "left")
+    there = df.select(F.col("key").alias("sector_key")).distinct().withColumn("has", F.lit(True))
+    known = sector.join(there, "sector_key", "left").select("key", F.coalesce("has", F.lit(False)).alias("has"))
+    wide = df.join(known, "key").join(m, "date", "left").join(s, ["key", "date"], "left").withColumn("s", F.when(F.col("has"), F.col("s")).otherwise(0.0)).drop("has")
     full = F.col("value").isNotNull() & F.col("m").isNotNull() & F.col("s").isNotNull()
     cov = lambda a, b: F.covar_pop(F.when(full, F.col(a)), F.when(full, F.col(b)))
     fit = wide.groupBy("key").agg(
@@ -180,5 +192,5 @@ def beta_residual(df: DataFrame, market: str, sector: DataFrame, least: int = 30
     b2 = F.when(two, F.try_divide(F.col("mm") * F.col("sy") - F.col("ms") * F.col("my"), det)).otherwise(0.0)
     fit = fit.select("key", "n", b1.alias("b1"), b2.alias("b2"), "am", "as", "avalue")
     rest = F.col("value") - F.col("avalue") - F.col("b1") * (F.col("m") - F.col("am")) - F.col("b2") * (F.col("s") - F.col("as"))
-    done = wide.join(F.broadcast(fit), "key").select("key", "date", F.when(F.col("n") < least, F.col("value")).otherwise(rest).alias("value"))
+    done = wide.join(fit, "key").select("key", "date", F.when(F.col("n") < least, F.col("value")).otherwise(rest).alias("value"))
     return done.unionByName(df.join(sector.select("key"), "key", "left_anti"))

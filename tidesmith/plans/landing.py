@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidesmith.operators import gates, landed, seeding, text
+from tidesmith.operators import gates, landed, pipelines, seeding, text
 from tidesmith.operators import graph as G
+from tidesmith.operators import pairs as P
 from tidesmith.operators import series as S
-from tidesmith.plans.catalogue import CHANGED, CLIPPED, FILLED, MARKET, SCALED, STATUS, VERDICT, chain, passes, query, returns, rounded
+from tidesmith.plans.catalogue import CHANGED, CLIPPED, FILLED, MARKET, ORACLE_SQL, SCALED, STATUS, VERDICT, chain, filled, monthly_pairs, monthly_set, passes, query, returns, rounded
 from tidesmith.sources import layout, wide
 from tidesmith.sources.kept import keep, shared_dir
 from tidesmith.sources.market import market_long, table
@@ -217,3 +218,56 @@ def extracted_entities(spark, d):
 def extracted_relationships(spark, d):
     """Relationships that stand after the whole chain of rules."""
     return text.extraction(*extracted(spark, d), LABELS)[1].select("doc_id", "pos", "relationship_type", "confidence")
+
+
+# --- series --------------------------------------------------------------------------------------------------------------------
+
+@query(chain(MARKET, FILLED, CHANGED, SCALED, """
+j AS (SELECT z.key, z.date, z.value AS y, m.value AS m FROM z LEFT JOIN z m ON m.key = 'asset:MKT' AND m.date = z.date WHERE z.key LIKE 'asset:N%'),
+f AS (SELECT key, count(*) AS n, covar_pop(m, y) / nullif(var_pop(m), 0) AS b, avg(m) AS am, avg(y) AS ay FROM j WHERE y IS NOT NULL AND m IS NOT NULL GROUP BY key)""")
+    + " SELECT key, j.date, round(CASE WHEN n < 30 THEN y ELSE y - ay - b * (m - am) END, 4) AS value FROM j JOIN f USING (key)")
+def beta_market(spark, d):
+    """Nations without the market: their sectors have no series of their own."""
+    scaled = keep(S.zscore(returns(spark, d)))
+    lone = scaled.where("key like 'asset:N%'").select("key").distinct().withColumn("sector_key", F.lit("asset:NONE"))
+    return rounded(S.beta_residual(scaled, "asset:MKT", lone).where("key like 'asset:N%'"), 4)
+
+
+@query(chain(MARKET, FILLED, CHANGED.replace("CASE WHEN key LIKE 'asset:%'", "CASE WHEN key IN ('asset:N3', 'asset:N8') THEN (value - p) / nullif(p, 0) WHEN key LIKE 'asset:%'")) + " SELECT key, date, round(value, 5) AS value FROM ret")
+def volatile_transform(spark, d):
+    """Changes by kind of series; two of them count as volatility and change by percent."""
+    return rounded(S.transform(filled(spark, d), ("asset:N3", "asset:N8")), 5)
+
+
+@query(chain(MARKET) + """, last AS (SELECT max(date) AS d FROM market)
+  SELECT key, count(*) AS n, CAST(min(date) AS VARCHAR) AS first FROM market, last WHERE date >= d - INTERVAL 5 YEAR AND (key LIKE 'asset:%' OR key NOT IN ('indicator:3-MEDIUM')) GROUP BY key""")
+def monthly_series(spark, d):
+    """What a monthly run of five years takes in: all assets, and indicators of the monthly set."""
+    rows = pipelines.monthly_input(keep(market_long(spark, d)), monthly_set(spark, d), 5)
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("date").cast("string").alias("first"))
+
+
+@query("SELECT event_type, count(*) FILTER (event_id % 3 < 2) AS missing, round(avg(value) FILTER (event_id % 3 = 2), 6) AS mean FROM events GROUP BY ALL")
+def missing_values(spark, d):
+    """Of events, every third value is null and every third NaN: both are missing."""
+    v = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).when(F.col("event_id") % 3 == 2, F.col("value"))
+    rows = table(spark, d, "events").select("event_type", v.alias("v"))
+    return rounded(rows.groupBy("event_type").agg(F.count_if(S.missing(F.col("v"))).alias("missing"), F.avg(S.given(F.col("v"))).alias("mean")))
+
+
+def stability(spark, d):
+    return P.monthly_stability(monthly_pairs(spark, d))
+
+
+@query()
+def tercile_consistent(spark, d):
+    return stability(spark, d).select("a", "b", "tercile_ok")
+
+
+@query()
+def magnitude_stable(spark, d):
+    return stability(spark, d).select("a", "b", "magnitude_ok")
+
+
+for _name, _column in (("tercile_consistent", "tercile_ok"), ("magnitude_stable", "magnitude_ok")):
+    ORACLE_SQL[_name] = f"SELECT a, b, {_column} FROM ({ORACLE_SQL['monthly_stability']})"
