@@ -62,9 +62,8 @@ def percent_change() -> Column:
 
 def transform(df: DataFrame, volatile: tuple[str, ...] = ()) -> DataFrame:
     """Log returns of assets (percent changes of volatile ones), differences of indicators; the first row of a series goes."""
-    kind = F.when(F.col("key").isin(*volatile), percent_change()) if volatile else None
     usual = F.when(F.col("key").startswith("asset:"), log_return()).otherwise(difference())
-    change = usual if kind is None else F.when(F.col("key").isin(*volatile), percent_change()).otherwise(usual)
+    change = F.when(F.col("key").isin(*volatile), percent_change()).otherwise(usual) if volatile else usual
     return df.select("key", "date", change.alias("value"), F.row_number().over(by_date()).alias("row")).where("row > 1").drop("row")
 
 
@@ -75,12 +74,15 @@ def zscore(df: DataFrame) -> DataFrame:
 
 
 def winsorize(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values clipped to the nearest-rank quantiles of their series: those at places round((n - 1) * q) in order, without interpolation."""
-    n = F.count("value").over(by_key())
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("value"))) - 1
-    at = lambda q: F.max(F.when(F.col("place") == F.round((F.col("n") - 1) * F.lit(q)), F.col("value"))).over(by_key())
-    placed = df.withColumns({"n": n, "place": place}).withColumns({"lo": at(low), "hi": at(high)})
-    return placed.select("key", "date", F.when(F.col("value").isNotNull(), F.greatest("lo", F.least("hi", "value"))).alias("value"))
+    """Values clipped to the nearest-rank quantiles of their series: those at places round((n - 1) * q) in order, without interpolation.
+
+    A series, a few thousand dates, is one row while its quantiles are taken; longer ones are for winsorize_long.
+    """
+    whole = df.groupBy("key").agg(F.collect_list(F.struct("date", "value")).alias("rows"))
+    placed = whole.withColumn("v", F.sort_array(F.filter(F.transform("rows", lambda r: r["value"]), lambda v: v.isNotNull())))
+    at = lambda q: F.get("v", F.round((F.size("v") - 1) * F.lit(q)).cast("int"))
+    each = placed.select("key", at(low).alias("lo"), at(high).alias("hi"), F.inline("rows"))
+    return each.select("key", "date", F.when(F.col("value").isNotNull(), F.greatest("lo", F.least("hi", "value"))).alias("value"))
 
 
 #: Values of a series that may meet in one array, once a quantile has been narrowed down to them.
