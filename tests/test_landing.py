@@ -44,6 +44,24 @@ def test_a_second_pass_overrides_where_it_succeeds(spark):
     assert sorted((r["a"], r["error"], r["pass"]) for r in errors.collect()) == [("broken", "broken", 1), ("weak", "broken", 2)]
 
 
+def test_a_whole_round(spark):
+    """The strongest edges that wait are judged; a broken answer, a weaker edge and a settled one stay as they are; nothing that waits gives zeros."""
+    rows = [("a", "z", "partial", 63, 0.9, "pending_verification", None, None), ("b", "z", "partial", 63, -0.8, "pending_verification", None, None), ("c", "z", "partial", 63, 0.1, "pending_verification", None, None), ("d", "z", "partial", 63, 0.99, "candidate", None, 0.5), ("e", "z", "partial", 63, 0.7, "pending_verification", None, None)]
+    edges = spark.createDataFrame(rows, "a string, b string, method string, window_days int, r double, status string, verdict string, confidence double")
+    nodes = spark.createDataFrame([(i, i.upper(), "Asset") for i in "abcde"] + [("z", "Z", "Indicator")], "id string, name string, label string")
+    answers = landed(spark, {k: answer("likely_spurious", 0.8) for k in "acd"} | {"b": answer("uncertain"), "e": "{"})
+    at = lambda s: F.lit(s).cast("timestamp")
+    after, results, audit, errors = L.round_of(edges, nodes, answers, landed(spark, {"b": answer("confirmed_plausible", 1)}), "r1", at("2026-01-01 00:00:00"), at("2026-01-01 00:01:30"), most=3)
+    assert {x["a"]: (x["status"], x["verdict"], x["confidence"]) for x in after.collect()} == {
+        "a": ("rejected", "likely_spurious", 0.8), "b": ("candidate", "confirmed_plausible", 1.0), "c": ("pending_verification", None, None), "d": ("candidate", None, 0.5), "e": ("pending_verification", None, None),
+    }
+    assert {(x["a"], x["a_name"], x["b_type"]) for x in results.collect()} == {("a", "A", "indicator"), ("b", "B", "indicator")}
+    assert tuple(audit.select("run_id", "duration_seconds", "total_pairs", "promoted", "rejected", "uncertain").first()) == ("r1", 90, 2, 1, 1, 0)
+    assert [(x["a"], x["error"]) for x in errors.collect()] == [("e", "broken")]
+    none = L.round_of(edges.where("status = 'candidate'"), nodes, answers, answers, "r2", at("2026-01-01 00:00:00"), at("2026-01-01 00:00:00"))
+    assert none[2].first()["total_pairs"] == 0 and none[0].count() == 1
+
+
 def test_an_audit_file(spark, tmp_path):
     rows = spark.createDataFrame([("a", 'says "so", and\nmore', 0.5, "lost")], "entity_a_id string, mechanism string, confidence double, other string")
     for _ in range(2):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesmith.operators import graph, validate
+from tidesmith.sources.kept import keep
 
 # What kinds a judged relationship may be of, and the columns of an audit file.
 CATEGORIES = ["sector_peer", "supply_chain", "macro_sensitivity", "competition", "risk_factor", "etf_composition", "none"]
@@ -55,6 +56,21 @@ def verify(edges: DataFrame, first: DataFrame, second: DataFrame) -> tuple[DataF
     return edges.join(values, KEY), bad_one.withColumn("pass", F.lit(1)).unionByName(bad_two.withColumn("pass", F.lit(2)))
 
 
+def round_of(
+    edges: DataFrame, nodes: DataFrame, first: DataFrame, second: DataFrame, run: str, started: Column, finished: Column, most: int = 200
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges after it, results, audit row, errors) of a whole verification round.
+
+    The strongest `most` edges that wait (see graph.pending; nodes: id, name, label) are judged by both passes; those with a result get its verdict and values, all
+    others stay as they are. The audit row counts the results by verdict. Nothing waits: no results, and an audit row of zeros.
+    """
+    batch = keep(graph.pending(edges, nodes, most))
+    results, errors = verify(batch.select(*(c for c in batch.columns if c not in FIELDS)), first, second)
+    results = keep(results)
+    audit, _ = graph.run_record(results, run, started, finished)
+    return graph.write_verdicts(edges, results), results, audit, errors
+
+
 def write_audit(results: DataFrame, path: str) -> None:
     """The results as one CSV file with a header of fixed columns; what results lack is empty, and what they have besides is left out.
 

@@ -1061,7 +1061,7 @@ def partition_upsert(spark, d):
 @query("SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id, CASE WHEN max(o_orderkey) FILTER (o_orderkey % 97 = 5) OVER w IS NULL THEN 'seen' ELSE 'renewed' END AS state FROM orders JOIN lineitem ON o_orderkey = l_orderkey WINDOW w AS (PARTITION BY o_custkey, l_suppkey)")
 def partition_edges(spark, d):
     """Edges laid out by the hash of both ends; every ninety-seventh order comes again, and its edges' properties are overlaid in their partitions."""
-    path, rule = shared_dir(spark), layout.by_hash("from_id", "rel_type", "to_id", parts=256)
+    path, rule = shared_dir(spark), layout.by_hash("from_id", "rel_type", "to_id", parts=32)
     rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     edge = lambda state, some: rows.where(some).select(F.col("o_custkey").alias("from_id"), F.lit("BUYS").alias("rel_type"), F.col("l_suppkey").alias("to_id")).distinct().withColumn("props", F.create_map(F.lit("state"), F.lit(state)))
     old, new = edge("seen", "true"), edge("renewed", "o_orderkey % 97 = 5")

@@ -65,12 +65,40 @@ def csv_audit(spark, d):
     return back.select("entity_a_id", "window_days", "verdict", "direction")
 
 
+#: The two hundred strongest edges alone.
+ROUND = f"""WITH {ANSWERS},
+top AS (SELECT o_orderkey FROM orders ORDER BY o_totalprice / 1e6 DESC, o_orderkey, o_custkey LIMIT 200)"""
+
+
+def verification(spark, d):
+    """A round over all orders as edges that wait, between orders and customers as nodes."""
+    edges, first, second = answers(spark, d)
+    edges = edges.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_totalprice") / 1e6).alias("r")), "a")
+    node = lambda rows, c, label: rows.select(F.col(c).alias("id"), F.concat(F.lit(label), F.col(c)).alias("name"), F.lit(label).alias("label"))
+    # orders and customers are nodes of one table, so the ids of the latter are below zero
+    low = lambda rows: rows.withColumn("b", -1 - F.col("b"))
+    nodes = node(table(spark, d, "orders"), "o_orderkey", "Asset").union(node(table(spark, d, "customer").withColumn("c_custkey", -1 - F.col("c_custkey")), "c_custkey", "Indicator"))
+    times = (F.lit(f"2026-03-23 14:0{m}:00").cast("timestamp") for m in (0, 4))
+    return landed.round_of(low(edges), nodes, low(first), low(second), "run", *times)
+
+
+@query(f"{ROUND} SELECT o_orderkey, CASE WHEN t.k IS NULL THEN 'pending_verification' ELSE {STATUS.format('coalesce(verdict, chr(0))')} END AS status, CASE WHEN t.k IS NOT NULL THEN verdict END AS verdict FROM j LEFT JOIN (SELECT o_orderkey AS k FROM top) t ON k = o_orderkey")
+def verification_round(spark, d):
+    """All edges after a round: those of the batch with a good answer have a verdict, all others wait as before."""
+    return verification(spark, d)[0].select(F.col("a").alias("o_orderkey"), "status", "verdict")
+
+
+@query(f"{ROUND} SELECT 'run' AS run_id, count(*) AS total_pairs, count(*) FILTER (verdict LIKE '%plausible') AS promoted, count(*) FILTER (verdict LIKE '%spurious') AS rejected, count(*) FILTER (verdict = 'uncertain') AS uncertain FROM j JOIN top USING (o_orderkey) WHERE verdict IS NOT NULL")
+def verification_audit(spark, d):
+    return verification(spark, d)[2].select("run_id", "total_pairs", "promoted", "rejected", "uncertain")
+
+
 # --- wide prices --------------------------------------------------------------------------------------------------------------
 
 DAYS = "SELECT CAST(l_shipdate AS DATE) AS date, 'N' || s_nationkey AS ticker, max(l_extendedprice) AS close, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
 
 
-def wide_prices(spark, d):
+def wide_table(spark, d):
     """The highest price and the quantity of each nation and day, landed as a table of a column for each; one of the tickers never traded."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     days = rows.groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit("N"), "s_nationkey").alias("ticker")).agg(F.max("l_extendedprice").alias("Close"), F.sum("l_quantity").alias("Volume"))
@@ -82,14 +110,14 @@ def wide_prices(spark, d):
 
 @query(f"WITH d AS ({DAYS}) SELECT ticker AS entity_id, 'close_price' AS metric, CAST(date AS VARCHAR) AS date, round(close, 2) AS value, 'USD' AS unit FROM d UNION ALL SELECT ticker, 'volume', CAST(date AS VARCHAR), round(volume, 2), 'shares' FROM d")
 def price_points(spark, d):
-    points, _ = wide.price_points(*wide_prices(spark, d))
+    points, _ = wide.price_points(*wide_table(spark, d))
     return points.select("entity_id", "metric", F.col("timestamp").cast("string").alias("date"), F.round(F.col("value").cast("double"), 2).alias("value"), "unit")
 
 
 @query(f"WITH d AS ({DAYS}), t AS (SELECT 'N' || n_nationkey AS ticker FROM nation UNION SELECT 'NONE') SELECT t.ticker, count(d.ticker) > 0 AS ok, 2 * count(d.ticker) AS stored, 0 AS failed FROM t LEFT JOIN (SELECT * FROM d WHERE date = (SELECT max(date) FROM d)) d USING (ticker) GROUP BY ALL")
 def price_counts(spark, d):
     """What the last day alone stores, ticker by ticker: those that did not trade then have failed."""
-    return wide.price_points(*wide_prices(spark, d), latest_only=True)[1]
+    return wide.price_points(*wide_table(spark, d), latest_only=True)[1]
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice / 7, 4) AS DOUBLE) AS value FROM lineitem")
