@@ -167,7 +167,7 @@ def mention_spans(texts: DataFrame, names: DataFrame, longest: bool = True, most
     Case and the marks between words do not matter; names may have any number of words. word: which word of the text, from 0; start and end in code
     points. With `longest`, of matches that overlap the leftmost counts, and of those the longest; names of the same words are found together.
     One automaton over all names reads each text once. It goes to every task, so its names are measured first: beyond `most` bytes they are dealt
-    to several automata, whose matches meet by text. Null texts and names, and names without a word, are never found.
+    to several automata, whose matches meet by text; the driver holds all names while the plan is made. Null texts and names, and names without a word, are never found.
     """
     blocks = _blocks(names, most)
     kinds = _SPANS.format(texts.schema["doc_id"].dataType.simpleString())
