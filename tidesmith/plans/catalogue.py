@@ -330,7 +330,14 @@ def market_t_statistic(spark, d):
     return rounded(market_tested(spark, d).select("a", "b", "lag", "n", "t"), 4)
 
 
-@query()
+#: Both tails of Student's distribution beyond t, at n - 2 degrees of freedom: its finite series in the angle atan(t / sqrt(n - 2)), for odd and for even degrees.
+TAILS = """
+angle AS (SELECT *, n - 2 AS df, atan(abs(t) / sqrt(n - 2)) AS o FROM tv),
+tails AS (SELECT * EXCLUDE (df, o), greatest(0.0, 1 - CASE WHEN df % 2 = 0 THEN sin(o) * list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0) + 2 * j * ln(cos(o))) for j in range(0, df // 2)])
+  ELSE 2 / pi() * (o + sin(o) * coalesce(list_sum([exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos(o))) for j in range(0, (df - 1) // 2)]), 0)) END) AS p FROM angle)"""
+
+
+@query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)", f"tv AS (SELECT a, b, lag, r, n, {T} AS t FROM c WHERE r IS NOT NULL)", TAILS) + " SELECT a, b, lag, n, round(r, 6) AS r, round(t, 6) AS t, round(p, 6) + 0.0 AS p FROM tails")
 def p_value_two_sided(spark, d):
     return rounded(P.p_values(market_tested(spark, d)))
 
@@ -720,7 +727,31 @@ def passes(long):
     return ids.where("id like 'R%' or id = 'MKT'"), ids.where("id like 'N%'")
 
 
-@query()
+def daily_sql(window: int) -> str:
+    """A daily run of a window: market and sectors taken out of the frame, its strong pairs, their false discovery rate, both halves."""
+    recent = DAILY[1].replace(f"INTERVAL {WINDOW} DAY", f"INTERVAL {window} DAY").replace("FROM everything", "FROM daily_only")
+    head, tail = DAILY[3], DAILY[7].replace("FROM w ", "FROM rest ").replace("FROM w)", "FROM rest)")
+    least = f">= {max(15, window * 3 // 4)}"
+    return chain(DAILY[0], "daily_only AS (SELECT * FROM everything WHERE key <> 'indicator:5-LOW')", recent, DAILY[2], head.replace(">= 189", least), *DAILY[4:7], """
+sector AS (SELECT DISTINCT 'asset:N' || s_nationkey AS key, 'asset:R' || n_regionkey AS sk FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+j AS (SELECT w.key, w.date, w.value AS y, m.value AS m, CASE WHEN sk IN (SELECT key FROM w) THEN s.value ELSE 0 END AS s FROM w JOIN sector USING (key)
+  LEFT JOIN w m ON m.key = 'asset:MKT' AND m.date = w.date LEFT JOIN w s ON s.key = sk AND s.date = w.date),
+f AS (SELECT key, count(*) AS n, var_pop(m) AS mm, var_pop(s) AS ss, covar_pop(m, s) AS ms, covar_pop(m, y) AS my, covar_pop(s, y) AS sy, avg(m) AS am, avg(s) AS asx, avg(y) AS ay
+  FROM j WHERE y IS NOT NULL AND m IS NOT NULL AND s IS NOT NULL GROUP BY key),
+fit AS (SELECT key, n, am, asx, ay, CASE WHEN mm * ss - ms * ms > 1e-12 THEN (ss * my - ms * sy) / (mm * ss - ms * ms) ELSE my / nullif(mm, 0) END AS b1,
+  CASE WHEN mm * ss - ms * ms > 1e-12 THEN (mm * sy - ms * my) / (mm * ss - ms * ms) ELSE 0 END AS b2 FROM f),
+rest AS (SELECT j.key, j.date, CASE WHEN coalesce(n, 0) < 30 THEN y ELSE y - ay - b1 * (m - am) - b2 * (s - asx) END AS value FROM j LEFT JOIN fit USING (key)
+  UNION ALL SELECT key, date, value FROM w WHERE key NOT IN (SELECT key FROM sector))""", tail.replace(">= 189", least), *DAILY[8:], f"""
+tv AS (SELECT a, b, lag, r, n, {T} AS t FROM open JOIN rho USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4)""", TAILS, """
+places AS (SELECT *, row_number() OVER (ORDER BY p) AS place, count(*) OVER () AS family FROM tails),
+found AS (SELECT *, least(1.0, min(p * family / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM places)""") + (
+        f" SELECT a, b, lag, round(r, 6) AS r, round(q, 6) + 0.0 AS p, n, 'pearson' AS method, CAST({window} AS INT) AS window_days, round(abs(r), 6) AS strength,"
+        " CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier,"
+        f" 'candidate' AS status, round(least(abs(r1), abs(r2)), 6) AS stability FROM found {'JOIN twice USING (a, b, lag) WHERE abs(r1) >= 0.4 AND abs(r2) >= 0.4 AND' if window >= 42 else 'WHERE'} q <= 0.1"
+    )
+
+
+@query(f"SELECT * FROM ({daily_sql(63)}) UNION ALL SELECT * FROM ({daily_sql(WINDOW)})")
 def daily_correlations(spark, d):
     """Both windows of the daily run: market and sectors taken out, false discovery rate, both halves."""
     long = keep(market_long(spark, d))
