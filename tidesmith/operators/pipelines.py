@@ -62,9 +62,9 @@ def daily_pairs(frame_: DataFrame, window: int, groups: DataFrame, categories: D
     return found.where((F.col("rho_n") < 20) | F.col("rho").isNull() | (F.abs("rho") >= STRENGTH))
 
 
-def tested(found: DataFrame) -> DataFrame:
+def tested(found: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Pairs with p and adjusted_p that survive the false discovery rate."""
-    return pairs.false_discovery(pairs.p_values(found.withColumn("t", pairs.t_statistic(F.col("r"), F.col("n")))), ALPHA)
+    return pairs.false_discovery(pairs.p_values(found.withColumn("t", pairs.t_statistic(F.col("r"), F.col("n")))), alpha)
 
 
 def _candidates(found: DataFrame, method: str, window: int) -> DataFrame:
@@ -94,6 +94,23 @@ def daily(df: DataFrame, window: int, excluded: DataFrame, market: str, sectors:
     return Found(built, _pairs_of(rest), above, kept)
 
 
+def flagged(judged: DataFrame) -> DataFrame:
+    """judged with flags, the reasons of the checks that failed, and stability: stable ones and those under review stay together.
+
+    Checks are the boolean columns of REASONS; those that judged lacks are not asked, and a null is no failure.
+    """
+    own = [F.when(~F.col(c), F.lit(name)) for name, c in REASONS.items() if c in judged.columns]
+    flags = F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
+    return judged.withColumn("flags", flags).withColumn("stability", F.when(F.size("flags") == 0, "stable").otherwise("under_review"))
+
+
+def month_strong(changes: DataFrame, rules: Rules, least: int = 10, strength: float = STRENGTH) -> tuple[DataFrame, DataFrame]:
+    """(rows of all pairs of months, strong and plausible pairs (a, b, lag, r, n) of at least so many months), by rank correlation."""
+    rows = keep(month_pairs(changes))
+    rho = pairs.spearman(rows, ["a", "b"]).withColumnRenamed("rho", "r").where((F.col("n") >= least) & F.col("r").isNotNull())
+    return rows, keep(gates.strong(gates.plausible(rho, rules.categories, rules.blocked), strength).withColumn("lag", F.lit(0)))
+
+
 def month_pairs(changes: DataFrame) -> DataFrame:
     """(a, b, idx, x, y): assets and indicators in the months that both spines have, where neither misses a value; idx counts months."""
     on = changes.withColumn("idx", F.year("date") * 12 + F.month("date"))
@@ -115,14 +132,11 @@ def monthly(df: DataFrame, indicators: DataFrame, rules: Rules, least: int = 10)
     Unstable pairs stay, under review and with their reasons.
     """
     changes = keep(series.monthly_changes(keep(monthly_input(df, indicators))))
-    rows = keep(month_pairs(changes))
-    rho = pairs.spearman(rows, ["a", "b"]).withColumnRenamed("rho", "r").where((F.col("n") >= least) & F.col("r").isNotNull())
-    above = keep(gates.strong(gates.plausible(rho, rules.categories, rules.blocked), STRENGTH).withColumn("lag", F.lit(0)))
+    rows, above = month_strong(changes, rules, least)
     kept = keep(tested(above))
     some = rows.join(kept.select("a", "b"), ["a", "b"], "left_semi")
     checks = pairs.monthly_stability(some).drop("n", "rho").join(pairs.bootstrap(some, ["a", "b"]).select("a", "b", "excludes_zero"), ["a", "b"])
-    flags = F.array_compact(F.array(*(F.when(~F.col(c), F.lit(name)) for name, c in REASONS.items())))
-    judged = kept.join(checks, ["a", "b"]).withColumn("flags", flags).withColumn("stability", F.when(F.size("flags") == 0, "stable").otherwise("under_review"))
+    judged = flagged(kept.join(checks, ["a", "b"]))
     built = _candidates(judged.drop("p").withColumnRenamed("adjusted_p", "p"), "spearman", MONTHLY_DAYS)
     kinds = F.col("key").startswith("asset:")
     total = changes.select("key").distinct().agg((F.count_if(kinds) * F.count_if(~kinds)).alias("n"))

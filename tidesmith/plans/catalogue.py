@@ -277,8 +277,13 @@ CATEGORY = "CASE WHEN key LIKE 'indicator:%' THEN CASE WHEN key LIKE 'indicator:
 
 @query(chain(MARKET) + f" SELECT key, {CATEGORY} AS category FROM market GROUP BY key")
 def classify_entity(spark, d):
+    return categories(market_long(spark, d))
+
+
+def categories(long):
+    spark = long.sparkSession
     known = [("indicator", "1-URGENT", "rates"), ("indicator", "2-HIGH", "rates"), ("asset", "MKT", "index"), *(("asset", f"R{i}", "index") for i in range(5))]
-    return gates.classify(market_long(spark, d).select("key").distinct(), spark.createDataFrame(known, "kind string, id string, category string"))
+    return gates.classify(long.select("key").distinct(), spark.createDataFrame(known, "kind string, id string, category string"))
 
 
 BLOCKED = [("fred_other", "index"), ("rates", "rates")]
@@ -289,8 +294,9 @@ BLOCKED = [("fred_other", "index"), ("rates", "rates")]
     + " SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON a.key < b.key WHERE (least(a.c, b.c), greatest(a.c, b.c)) NOT IN (('fred_other', 'index'), ('rates', 'rates'))"
 )
 def plausibility_gate(spark, d):
-    pairs = market_pairs(spark, d, [0], [0], least_n=2).select("a", "b")
-    return gates.plausible(pairs, classify_entity(spark, d), blocked(spark))
+    long = keep(market_long(spark, d))
+    pairs = P.pair_statistics(keep(S.zscore(S.transform(S.forward_fill(long)))), [0], [0], least_n=2).select("a", "b")
+    return gates.plausible(pairs, categories(long), blocked(spark))
 
 
 SPEARMAN = """
@@ -335,6 +341,10 @@ TAILS = """
 angle AS (SELECT *, n - 2 AS df, atan(abs(t) / sqrt(n - 2)) AS o FROM tv),
 tails AS (SELECT * EXCLUDE (df, o), greatest(0.0, 1 - CASE WHEN df % 2 = 0 THEN sin(o) * list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0) + 2 * j * ln(cos(o))) for j in range(0, df // 2)])
   ELSE 2 / pi() * (o + sin(o) * coalesce(list_sum([exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos(o))) for j in range(0, (df - 1) // 2)]), 0)) END) AS p FROM angle)"""
+#: And what the false discovery rate makes of them, all rows being one family.
+ADJUSTED = """
+places AS (SELECT *, row_number() OVER (ORDER BY p) AS place, count(*) OVER () AS family FROM tails),
+found AS (SELECT *, least(1.0, min(p * family / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM places)"""
 
 
 @query(chain(*MARKET_PAIRS, f"c AS (SELECT a, b, lag, {R} AS r, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 30)", f"tv AS (SELECT a, b, lag, r, n, {T} AS t FROM c WHERE r IS NOT NULL)", TAILS) + " SELECT a, b, lag, n, round(r, 6) AS r, round(t, 6) AS t, round(p, 6) + 0.0 AS p FROM tails")
@@ -417,6 +427,19 @@ def monthly_pairs(spark, d):
 MP = "pairs AS (SELECT a.date, a.key AS a, b.key AS b, 0 AS lag, a.value AS x, b.value AS y FROM ret a JOIN ret b ON a.date = b.date WHERE a.key LIKE 'asset:%' AND b.key LIKE 'indicator:%' AND a.value IS NOT NULL AND b.value IS NOT NULL)"
 
 
+#: Rank correlations of the whole, the halves and the thirds of each pair's months, and what they say of it.
+MONTH_PARTS = """
+t AS (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM pairs),
+p AS (SELECT a, b, x, y, unnest(['all', CASE WHEN i < n // 2 THEN 'h1' ELSE 'h2' END, 't' || least(i // greatest(n // 3, 1), 2)]) AS part FROM t),
+k AS (SELECT a, b, part, rank() OVER (PARTITION BY a, b, part ORDER BY x) + (count(*) OVER (PARTITION BY a, b, part, x) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY a, b, part ORDER BY y) + (count(*) OVER (PARTITION BY a, b, part, y) - 1) / 2.0 AS y FROM p),
+s AS (SELECT a, b, part, """ + R + """ AS r, count(*) AS n FROM k GROUP BY ALL),
+f AS (SELECT a, b, max(n) AS n, max(r) FILTER (part = 'all') AS w, max(r) FILTER (part = 'h1') AS h1, max(r) FILTER (part = 'h2') AS h2, max(r) FILTER (part = 't0') AS t0, max(r) FILTER (part = 't1') AS t1, max(r) FILTER (part = 't2') AS t2 FROM s GROUP BY ALL)"""
+MONTH_JUDGED = """
+judged AS (SELECT a, b, n, w, n // 2 < 6 OR coalesce((h1 > 0) = (h2 > 0), false) AS sign_ok, n // 3 < 6 OR coalesce((t0 > 0) = (t1 > 0) AND (t1 > 0) = (t2 > 0), false) AS tercile_ok,
+  CASE WHEN w IS NULL OR abs(w) < 0.01 THEN false WHEN n // 2 < 6 THEN true ELSE coalesce(least(abs(h1), abs(h2)) >= 0.4 * abs(w), false) END AS magnitude_ok FROM f)"""
+
+
 @query(chain(MARKET, MONTHLY, MONTHLY_RETURNS, MP) + " SELECT a, b, count(*) AS n, round(sum(x), 5) AS sx FROM pairs GROUP BY ALL")
 def monthly_join(spark, d):
     return rounded(monthly_pairs(spark, d).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("sx")), 5)
@@ -697,9 +720,9 @@ def blocked(spark):
     return spark.createDataFrame(BLOCKED, "lo string, hi string")
 
 
-def rules(spark, d):
+def rules(spark, d, long):
     """Regions are the groups of nations; the third nation counts as a series of volatility."""
-    return pipelines.Rules(groups(spark, d), classify_entity(spark, d), blocked(spark), ("asset:N3",))
+    return pipelines.Rules(keep(groups(spark, d)), keep(categories(long)), blocked(spark), ("asset:N3",))
 
 
 @query(chain(*DAILY) + " SELECT a, b, lag, n, round(r, 5) AS r, round(rho, 5) AS rho, round(r1, 5) AS r1, round(r2, 5) AS r2 FROM open JOIN rho USING (a, b, lag) LEFT JOIN twice USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4")
@@ -708,8 +731,9 @@ def daily_pairs(spark, d):
 
 
 def window_pairs(spark, d):
-    frame = keep(pipelines.frame(keep(market_long(spark, d)), WINDOW, ("asset:N3",)))
-    return pipelines.daily_pairs(frame, WINDOW, groups(spark, d), classify_entity(spark, d), blocked(spark))
+    long = keep(market_long(spark, d))
+    frame = keep(pipelines.frame(long, WINDOW, ("asset:N3",)))
+    return pipelines.daily_pairs(frame, WINDOW, groups(spark, d), categories(long), blocked(spark))
 
 
 def not_daily(spark):
@@ -742,9 +766,7 @@ fit AS (SELECT key, n, am, asx, ay, CASE WHEN mm * ss - ms * ms > 1e-12 THEN (ss
   CASE WHEN mm * ss - ms * ms > 1e-12 THEN (mm * sy - ms * my) / (mm * ss - ms * ms) ELSE 0 END AS b2 FROM f),
 rest AS (SELECT j.key, j.date, CASE WHEN coalesce(n, 0) < 30 THEN y ELSE y - ay - b1 * (m - am) - b2 * (s - asx) END AS value FROM j LEFT JOIN fit USING (key)
   UNION ALL SELECT key, date, value FROM w WHERE key NOT IN (SELECT key FROM sector))""", tail.replace(">= 189", least), *DAILY[8:], f"""
-tv AS (SELECT a, b, lag, r, n, {T} AS t FROM open JOIN rho USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4)""", TAILS, """
-places AS (SELECT *, row_number() OVER (ORDER BY p) AS place, count(*) OVER () AS family FROM tails),
-found AS (SELECT *, least(1.0, min(p * family / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM places)""") + (
+tv AS (SELECT a, b, lag, r, n, {T} AS t FROM open JOIN rho USING (a, b, lag) WHERE m < 20 OR rho IS NULL OR abs(rho) >= 0.4)""", TAILS, ADJUSTED) + (
         f" SELECT a, b, lag, round(r, 6) AS r, round(q, 6) + 0.0 AS p, n, 'pearson' AS method, CAST({window} AS INT) AS window_days, round(abs(r), 6) AS strength,"
         " CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'store' END AS tier,"
         f" 'candidate' AS status, round(least(abs(r1), abs(r2)), 6) AS stability FROM found {'JOIN twice USING (a, b, lag) WHERE abs(r1) >= 0.4 AND abs(r2) >= 0.4 AND' if window >= 42 else 'WHERE'} q <= 0.1"
@@ -755,20 +777,40 @@ found AS (SELECT *, least(1.0, min(p * family / place) OVER (ORDER BY place ROWS
 def daily_correlations(spark, d):
     """Both windows of the daily run: market and sectors taken out, false discovery rate, both halves."""
     long = keep(market_long(spark, d))
-    runs = [pipelines.daily(long, w, not_daily(spark), "asset:MKT", sectors(spark, d), rules(spark, d)).candidates for w in (63, WINDOW)]
+    known, of = rules(spark, d, long), keep(sectors(spark, d))
+    runs = [pipelines.daily(long, w, not_daily(spark), "asset:MKT", of, known).candidates for w in (63, WINDOW)]
     return rounded(runs[0].unionByName(runs[1]))
 
 
 @query()
 def monthly_correlations(spark, d):
-    return rounded(pipelines.monthly(keep(market_long(spark, d)), monthly_set(spark, d), rules(spark, d)).candidates)
+    long = keep(market_long(spark, d))
+    return rounded(pipelines.monthly(long, monthly_set(spark, d), rules(spark, d, long)).candidates)
+
+
+@query(chain(MARKET.replace("market AS (", "everything AS (", 1), """
+recent AS (SELECT * FROM everything WHERE date >= (SELECT max(date) FROM everything) - INTERVAL 10 YEAR),
+market AS (SELECT * FROM recent WHERE key LIKE 'asset:%' OR key <> 'indicator:3-MEDIUM')""", MONTHLY, MONTHLY_RETURNS, MP, SPEARMAN, f"c AS (SELECT key, {CATEGORY} AS c FROM market GROUP BY key)", f"""
+above AS (SELECT s.* FROM (SELECT a, b, {R} AS r, count(*) AS n FROM ranks GROUP BY a, b HAVING count(*) >= 10 AND abs({R}) >= 0.2) s JOIN c ca ON ca.key = a JOIN c cb ON cb.key = b
+  WHERE (least(ca.c, cb.c), greatest(ca.c, cb.c)) NOT IN {BLOCKED_ROWS})""", f"tv AS (SELECT *, {T} AS t FROM above)", TAILS, ADJUSTED, MONTH_PARTS, MONTH_JUDGED) + """
+  SELECT a, b, h.n, round(r, 5) AS r, round(q, 6) + 0.0 AS p, array_to_string(list_filter(['sign_inconsistent', 'tercile_inconsistent', 'magnitude_unstable'], lambda x: x = CASE WHEN NOT sign_ok THEN 'sign_inconsistent' END
+    OR x = CASE WHEN NOT tercile_ok THEN 'tercile_inconsistent' END OR x = CASE WHEN NOT magnitude_ok THEN 'magnitude_unstable' END), ',') AS flags,
+  CASE WHEN sign_ok AND tercile_ok AND magnitude_ok THEN 'stable' ELSE 'under_review' END AS stability FROM found h JOIN judged USING (a, b)""")
+def monthly_flags(spark, d):
+    """Pairs of the monthly run, weaker and less certain ones too, stable and flagged ones together, by the checks that need no resampling."""
+    long = keep(market_long(spark, d))
+    rows, above = pipelines.month_strong(keep(S.monthly_changes(keep(pipelines.monthly_input(long, monthly_set(spark, d))))), rules(spark, d, long), strength=0.2)
+    kept = keep(pipelines.tested(above, 1.0))
+    checks = P.monthly_stability(rows.join(kept.select("a", "b"), ["a", "b"], "left_semi")).drop("n", "rho")
+    found = pipelines.flagged(kept.join(checks, ["a", "b"]))
+    return rounded(found.select("a", "b", "n", F.round("r", 5).alias("r"), F.col("adjusted_p").alias("p"), F.array_join("flags", ",").alias("flags"), "stability"))
 
 
 @query()
 def partial_candidates(spark, d):
     """The partial run: one pass without regions and the market, one without nations."""
     long = keep(market_long(spark, d))
-    return rounded(pipelines.partial(long, 2 * WINDOW, not_daily(spark), *passes(long), rules(spark, d)).candidates, 4)
+    return rounded(pipelines.partial(long, 2 * WINDOW, not_daily(spark), *passes(long), rules(spark, d, long)).candidates, 4)
 
 
 @query()
@@ -776,7 +818,7 @@ def correlation_runs(spark, d):
     """A whole round of runs over both windows, each stored before the next: what they tested, kept and stored."""
     long = keep(market_long(spark, d))
     nodes = long.select("key").distinct().select(F.upper("key").alias("key")).select(F.concat_ws(":", F.lower(S.key_kind(F.col("key"))), S.key_id(F.col("key"))).alias("key"))
-    _, rows, failed = pipelines.run_windows(long, pipelines.no_edges(long), nodes, [63, WINDOW], not_daily(spark), monthly_set(spark, d), "asset:MKT", sectors(spark, d), passes(long), rules(spark, d))
+    _, rows, failed = pipelines.run_windows(long, pipelines.no_edges(long), nodes, [63, WINDOW], not_daily(spark), monthly_set(spark, d), "asset:MKT", sectors(spark, d), passes(long), rules(spark, d, long))
     if failed:
         raise RuntimeError(f"runs failed: {failed}")
     return rows
@@ -809,17 +851,7 @@ def run_replaces_candidates(spark, d):
     return rounded(edges, 5)
 
 
-@query(
-    chain(MARKET, MONTHLY, MONTHLY_RETURNS, MP, """
-t AS (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM pairs),
-p AS (SELECT a, b, x, y, unnest(['all', CASE WHEN i < n // 2 THEN 'h1' ELSE 'h2' END, 't' || least(i // greatest(n // 3, 1), 2)]) AS part FROM t),
-k AS (SELECT a, b, part, rank() OVER (PARTITION BY a, b, part ORDER BY x) + (count(*) OVER (PARTITION BY a, b, part, x) - 1) / 2.0 AS x,
-  rank() OVER (PARTITION BY a, b, part ORDER BY y) + (count(*) OVER (PARTITION BY a, b, part, y) - 1) / 2.0 AS y FROM p),
-s AS (SELECT a, b, part, """ + R + """ AS r, count(*) AS n FROM k GROUP BY ALL),
-f AS (SELECT a, b, max(n) AS n, max(r) FILTER (part = 'all') AS w, max(r) FILTER (part = 'h1') AS h1, max(r) FILTER (part = 'h2') AS h2, max(r) FILTER (part = 't0') AS t0, max(r) FILTER (part = 't1') AS t1, max(r) FILTER (part = 't2') AS t2 FROM s GROUP BY ALL)""")
-    + " SELECT a, b, n, round(w, 5) AS rho, n // 2 < 6 OR coalesce((h1 > 0) = (h2 > 0), false) AS sign_ok, n // 3 < 6 OR coalesce((t0 > 0) = (t1 > 0) AND (t1 > 0) = (t2 > 0), false) AS tercile_ok, "
-    "CASE WHEN w IS NULL OR abs(w) < 0.01 THEN false WHEN n // 2 < 6 THEN true ELSE coalesce(least(abs(h1), abs(h2)) >= 0.4 * abs(w), false) END AS magnitude_ok FROM f"
-)
+@query(chain(MARKET, MONTHLY, MONTHLY_RETURNS, MP, MONTH_PARTS, MONTH_JUDGED) + " SELECT a, b, n, round(w, 5) AS rho, sign_ok, tercile_ok, magnitude_ok FROM judged")
 def monthly_stability(spark, d):
     return rounded(P.monthly_stability(monthly_pairs(spark, d)), 5)
 
