@@ -297,6 +297,32 @@ def test_monthly_stability_and_flags(spark):
     assert got == {"steady": (True, True, True), "turns": (False, False, got["turns"][2]), "few": (True, True, True), "flat": (False, False, False)}
 
 
+def test_two_sided_p_equals_its_finite_series():
+    """Whole degrees of freedom have a sum of finitely many terms in the angle atan(t / sqrt(df))."""
+
+    def series_of(t, df):
+        o = math.atan(abs(t) / math.sqrt(df))
+        term, total = (1.0, 0.0) if df % 2 == 0 else (math.cos(o), o)
+        for j in range(df // 2 if df % 2 == 0 else (df - 1) // 2):
+            total += term * (math.sin(o) if df % 2 else 1.0)
+            term *= math.cos(o) ** 2 * ((2 * j + 1) / (2 * j + 2) if df % 2 == 0 else (2 * j + 2) / (2 * j + 3))
+        return 1 - (total * math.sin(o) if df % 2 == 0 else 2 / math.pi * total)
+
+    for df in (*range(1, 61), 251, 1000):
+        for t in (0.0, 0.3, -1.0, 2.0, 3.5):
+            assert float(P.two_sided_p(t, df)) == pytest.approx(series_of(t, df), abs=1e-11)
+
+
+def test_flagged_pairs_stay(spark):
+    from tidesmith.operators import pipelines
+
+    rows = [("a", True, True, True), ("b", False, True, False), ("c", None, True, True)]
+    judged = spark.createDataFrame(rows, "a string, excludes_zero boolean, tercile_ok boolean, magnitude_ok boolean")
+    got = {r["a"]: (r["flags"], r["stability"]) for r in pipelines.flagged(judged).collect()}
+    assert got == {"a": ([], "stable"), "b": (["bootstrap_ci_includes_zero", "magnitude_unstable"], "under_review"), "c": ([], "stable")}
+    assert [r["stability"] for r in pipelines.flagged(judged.select("a")).collect()] == ["stable"] * 3
+
+
 def test_a_month_that_is_skipped_leaves_two_gaps(spark):
     df = spark.createDataFrame([("indicator:X", "2024-01-31", 1.0), ("indicator:X", "2024-03-31", 4.0), ("indicator:Y", "2024-02-15", 1.0), ("indicator:X", "2024-04-30", 6.0)], "key string, date string, value double").withColumn("date", F.to_date("date"))
     got = {(r["key"][-1], r["date"].month): r["value"] for r in S.monthly_changes(df).collect()}
