@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -113,3 +114,20 @@ def test_states_are_dropped_in_time(spark, tmp_path):
     assert send(spark, path, [("a", "text", 62)])["z"] == "raw"
     steps = [(r["step"], r["status"]) for r in spark.read.parquet(f"{path}/steps").where("url = 'a'").collect()]
     assert sorted(steps) == [(1, "mentions_done"), (1, "raw"), (2, "mentions_done")] or sorted(steps) == [(1, "raw"), (1, "raw"), (2, "mentions_done")]
+
+
+def test_many_articles_share_a_state(spark, tmp_path):
+    """Random events of sixty urls in four buckets, run by run, against a plain loop over each url; no row of state for each url."""
+    r, path, plain = random.Random(3), str(tmp_path), {}
+    for run in range(3):
+        rows = [(f"u{r.randrange(60)}", START + timedelta(hours=24 * run + r.randrange(20), seconds=i), *r.choice([(None, True), (None, False), (True, None), (False, None)])) for i in range(80)]
+        events = spark.createDataFrame(rows, "url string, at timestamp, ok boolean, readable boolean")
+        events.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        N.run_available(N.article_states(N.read_stream(spark, f"{path}/in", events), buckets=4), f"{path}/steps", f"{path}/state")
+        for url, _, ok, readable in sorted(rows, key=lambda x: x[1]):
+            first, outcome = plain.get(url, (None, None))
+            plain[url] = (readable if first is None else first, ok if outcome is None and first is not False else outcome)
+    want = {(u, 1, "raw" if a else "skipped_no_summary") for u, (a, _) in plain.items() if a is not None} | {(u, 2, "mentions_done" if ok else "mentions_failed") for u, (a, ok) in plain.items() if a and ok is not None}
+    got = [(x["url"], x["step"], x["status"]) for x in spark.read.parquet(f"{path}/steps").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spark.read.format("statestore").load(f"{path}/state").count() <= 4

@@ -1,4 +1,4 @@
-"""Articles as a stream: once each by url within the lateness bound, states of each article kept by url, tables merged by touched partitions."""
+"""Articles as a stream: once each by url within the lateness bound, states of each article kept in buckets of urls, tables merged by touched partitions."""
 
 from __future__ import annotations
 
@@ -62,46 +62,60 @@ def outcome_events(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("url", "at", "ok", F.lit(None).cast("boolean").alias("readable"))
 
 
+_STATE = "urls array<string>, statuses array<string>, early array<boolean>, steps array<int>, until array<long>"
+
+
 def _steps(days: int):
-    """State of a url: its status, the outcome that came before the article, and how many steps it has taken."""
+    """State of a bucket, by url: its status, the outcome that came before the article, how many steps it has taken, and when it is forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark, out, known = state.getCurrentWatermarkMs(), [], {}
+        if state.exists:
+            known = {url: own for url, *own in zip(*state.get)}
+        if not state.hasTimedOut:
+            events = pd.concat(list(batches))
+            touched: dict = {}
+            for url, at, ok, readable in events.sort_values(["at", "ok"], na_position="first")[["url", "at", "ok", "readable"]].itertuples(index=False, name=None):
+                touched[url] = max(touched.get(url, 0), int(at.timestamp() * 1000))
+                status, early, step, until = known.get(url) or (None, None, 0, 0)
+                before = status
+                if not pd.isna(readable) and status is None:
+                    status = RAW if readable else SKIPPED
+                    step += 1
+                    out.append((url, status, step, at))
+                    if status == RAW and early is not None:
+                        ok, before = early, RAW
+                if not pd.isna(ok) and status is None:
+                    early = bool(ok) if early is None else early
+                elif not pd.isna(ok) and status == RAW and (before == RAW or early is not None):
+                    status = DONE if ok else FAILED
+                    step += 1
+                    out.append((url, status, step, at))
+                known[url] = [status, early, step, until]
+            for url, last in touched.items():
+                known[url][3] = max(last, mark) + days * 86_400_000
+        known = {url: own for url, own in known.items() if own[3] >= mark}
+        if known:
+            state.update((list(known), *map(list, zip(*known.values()))))
+            state.setTimeoutTimestamp(min(own[3] for own in known.values()))
+        elif state.exists:
             state.remove()
-            return
-        status, early, step = state.get if state.exists else (None, None, 0)
-        out, last = [], 0
-        events = pd.concat(list(batches))
-        for at, ok, readable in events.sort_values(["at", "ok"], na_position="first")[["at", "ok", "readable"]].itertuples(index=False):
-            last = max(last, int(at.timestamp() * 1000))
-            before = status
-            if not pd.isna(readable) and status is None:
-                status = RAW if readable else SKIPPED
-                step += 1
-                out.append((key[0], status, step, at))
-                if status == RAW and early is not None:
-                    ok, before = early, RAW
-            if not pd.isna(ok) and status is None:
-                early = bool(ok) if early is None else early
-            elif not pd.isna(ok) and status == RAW and (before == RAW or early is not None):
-                status = DONE if ok else FAILED
-                step += 1
-                out.append((key[0], status, step, at))
-        state.update((status, early, step))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + days * 86_400_000)
-        yield pd.DataFrame(out, columns=["url", "status", "step", "at"])
+        if out:
+            yield pd.DataFrame(out, columns=["url", "status", "step", "at"])
 
     return run
 
 
-def article_states(events: DataFrame, late: str = "7 days", days: int = 30) -> DataFrame:
+def article_states(events: DataFrame, late: str = "7 days", days: int = 30, buckets: int = 1024) -> DataFrame:
     """(url, status, step, at): each change of a status, from a stream of events (url, at, ok, readable) of both kinds.
 
     An article begins as raw, or as skipped where it has no summary; its first outcome settles it, and a settled or skipped one never changes
-    again. An outcome that comes before its article waits for it. The state of a url, a few bytes, is dropped `days` after its last event; nothing
-    else is read or written again. Restarts go on from the checkpoint.
+    again. An outcome that comes before its article waits for it. The state of a url, a few bytes, is dropped `days` after its last event.
+    States lie in buckets by the hash of the url, as a call of Python for each url would cost more than its work; a micro-batch reads and writes the
+    buckets of its own urls alone. One task holds one bucket at a time. Restarts go on from the checkpoint, with the same number of buckets.
     """
-    return events.withWatermark("at", late).groupBy("url").applyInPandasWithState(_steps(days), _STEP, "status string, early boolean, step int", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = events.withWatermark("at", late).withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_steps(days), _STEP, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_states(steps: DataFrame) -> DataFrame:
