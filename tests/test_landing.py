@@ -136,3 +136,12 @@ def test_the_chain_of_rules_after_extraction(spark):
     kept, found = X.extraction(articles, spark.createDataFrame(entities, "doc_id long, pos int, span string, entity_type string, name string"), spark.createDataFrame(rels, "doc_id long, pos int, subject string, object string, relationship_type string, confidence double"), ["Company", "Commodity"])
     assert sorted((r["doc_id"], r["pos"], r["entity_type"]) for r in kept.collect()) == [(1, 1, "Company"), (1, 2, "Company"), (1, 5, "Commodity"), (2, 1, "Company"), (2, 2, "Company"), (4, 1, "Company")]
     assert sorted((r["doc_id"], r["pos"], r["relationship_type"]) for r in found.collect()) == [(1, 1, "COMPETES_WITH"), (1, 4, "DEPENDS_ON")]
+
+
+def test_an_answer_is_read_once_for_each_pass(spark):
+    """The first pass twice, for its own answers and for those looked at again, the second once; not once for each condition on a part of an answer."""
+    rows = {"a": answer("uncertain"), "b": answer(), "c": "{", "d": None}
+    results, errors = L.verify(edges(spark, list(rows)), landed(spark, rows), landed(spark, {"a": answer("confirmed_plausible")}))
+    assert {r["a"]: (r["verdict"], r["pass"]) for r in results.collect()} == {"a": ("confirmed_plausible", 2), "b": ("likely_plausible", 1)} and errors.count() == 2
+    for df in (results, errors):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3

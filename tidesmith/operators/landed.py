@@ -23,7 +23,8 @@ def read_answers(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     row and why: missing (null), broken (no JSON object), or the first field that is wrong.
     """
     kinds = ", ".join(f"{c} string" for c in FIELDS) + ", _corrupt_record string"
-    read = landed.withColumn("_r", F.from_json("response", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    # one row for each, so that no condition on the parts of an answer reads its text anew
+    read = landed.withColumn("_r", F.explode(F.array(F.from_json("response", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))))
     r = {c: F.col(f"_r.{c}") for c in FIELDS}
     value = r | {"verdict": F.lower(r["verdict"]), "relationship_category": F.lower(r["relationship_category"]), "confidence": F.nanvl(r["confidence"].try_cast("double"), F.lit(None).cast("double"))}
     wrong = {c: value[c].isNull() for c in FIELDS}
