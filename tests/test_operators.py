@@ -440,6 +440,23 @@ def test_dates_of_feeds(spark):
     assert [got[i] for i in range(len(forms + none))] == [stamp] * len(forms) + [5] * len(none)
 
 
+def test_dates_by_their_shapes_as_by_all_forms(spark):
+    """Only forms of a text's shape are tried: the same times as by all forms one after another, for odd and for spoilt dates too; no form at all for plain words."""
+    import random
+    import re
+
+    r = random.Random(5)
+    good = [f"{d} {m} {y}{t}{z}" for d in ("1", "07", "023", "31") for m in ("Mar", "FEB", "March") for y in ("2026", "26", "0026", "+12026", "126") for t in ("", " 14:30:05", " 14:30", " 4:30") for z in ("", " +0200", " GMT", " Europe/Berlin", " UTC+01:00", " EST", " Z")]
+    good += ["2026/3/23", "2026/03/23 10:00", "26/3/23", "2026-03-23T14:30:00Z", "23  Mar 2026", "23 Mar 2026 ", "1 Mar 2026\n", "some day in 1996", "words"]
+    spoilt = [t[:i] + r.choice(["", " ", "0", "x", ":", "-"]) + t[i + r.randrange(2) :] for t in r.choices(good, k=600) for i in [r.randrange(len(t))]]
+    df = spark.createDataFrame([(t,) for t in good + spoilt], "t string")
+    bare = F.regexp_replace(F.btrim("t"), r"^[A-Za-z]{3,9},?\s+(?=[0-9])", "")
+    every = F.coalesce(F.try_to_timestamp(bare), *(F.try_to_timestamp(bare, F.lit(form)) for form in X.DATES), F.timestamp_seconds(F.lit(5)))
+    rows = df.select("t", F.unix_micros(X.published(F.col("t"), F.timestamp_seconds(F.lit(5)))).alias("got"), F.unix_micros(every).alias("want")).collect()
+    assert [tuple(x) for x in rows if x["got"] != x["want"]] == [] and len({x["want"] for x in rows}) > 30
+    assert not any(re.search(shape, t) for shape in X.DATES.values() for t in ("some day in 1996", "nobody knows", "Monday"))
+
+
 def test_oracle_covers_queries():
     import __spark_entry__ as e
 

@@ -54,14 +54,24 @@ def strip_html(html: Column) -> Column:
     return F.btrim(F.regexp_replace(x, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
-# The forms of dates in feeds, without the day of the week; then what Spark itself reads (ISO 8601).
-DATES = [f"{day} HH:mm{seconds}{zone}" for day in ("d MMM yyyy", "d MMM yy") for seconds in (":ss", "") for zone in (" Z", " z", "")] + ["d MMM yyyy", "yyyy/M/d"]
+# The forms of dates in feeds, without the day of the week, each with the shape that any text in it has; they come after what Spark itself reads (ISO 8601).
+DATES = {
+    f"{day} HH:mm{seconds}{zone}": f"^[^ ]+ [^ ]+ {year} [0-9]{{2}}:[0-9]{{2}}{':[0-9]{2}' if seconds else ''}{end}$"
+    for day, year in (("d MMM yyyy", "[+-]?[0-9]{4,}"), ("d MMM yy", "[0-9]{2}"))
+    for seconds in (":ss", "")
+    for zone, end in ((" Z", " [+-][0-9]{4}"), (" z", " .+"), ("", ""))
+} | {"d MMM yyyy": "^[^ ]+ [^ ]+ [+-]?[0-9]{4,}$", "yyyy/M/d": "^[^/]+/[^/]+/[^/]+$"}
 
 
 def published(text: Column, otherwise: Column) -> Column:
     """The time that a feed's date stands for (without a zone: the session's); `otherwise` where it is null, empty or in no known form."""
     bare = F.regexp_replace(F.btrim(text), r"^[A-Za-z]{3,9},?\s+(?=[0-9])", "")
-    return F.coalesce(F.try_to_timestamp(bare), *(F.try_to_timestamp(bare, F.lit(form)) for form in DATES), otherwise)
+
+    def read(t: Column) -> Column:
+        # a form that fails costs an error of the parser, so only those of the text's own shape are tried
+        return F.coalesce(F.try_to_timestamp(t), *(F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(form))) for form, shape in DATES.items()))
+
+    return F.coalesce(F.transform(F.array(bare), read)[0], otherwise)  # bound once, not cut anew for each form
 
 
 def admit(articles: DataFrame, known: DataFrame, per_feed: int = 20, since: Column | None = None) -> DataFrame:
