@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tidesmith.operators import text as X
@@ -51,3 +52,15 @@ def test_long_names_and_odd_letters(spark):
     text = texts.first()["text"]
     assert got == [(1, 1, text.index("Bank"), text.index("Bank") + 4), (1, 40, 5, 5 + len(long)), (2, 1, 0, 4)]
     assert X.mention_spans(texts, names.limit(0)).count() == 0 and X.mentions(texts.limit(0), names).count() == 0
+
+
+@pytest.mark.parametrize("spans", [False, True])
+def test_matches_are_handed_on_in_pieces(monkeypatch, spans):
+    """However many matches a batch of texts has, a task holds no more than a bound and those of one text; keys of any type stay as they are, null too."""
+    monkeypatch.setattr(X, "GATHERED", 50)
+    keys = pa.array([None if i == 7 else {"doc_id": i, "hash": -i} for i in range(400)], pa.struct([("doc_id", pa.int64()), ("hash", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([keys, pa.array([None if i == 9 else "a b, a" for i in range(400)])], ["doc_id", "text"])
+    pieces = list(X._search(["a", "b", "a b"], False, spans)(iter([batch])))
+    each = 4 if spans else 3
+    assert max(p.num_rows for p in pieces) < 50 + each and sum(p.num_rows for p in pieces) == 399 * each
+    assert [k for p in pieces for k in p.column("doc_id").to_pylist()] == [k for i, k in enumerate(keys.to_pylist()) if i != 9 for _ in range(each)]

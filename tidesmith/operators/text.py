@@ -7,6 +7,7 @@ from html.entities import html5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,22 +143,41 @@ def _longest(hits: list[tuple]) -> list[tuple]:
 
 
 _SPANS = "doc_id {}, name string, word int, words int, start int, end int"
+_KINDS = {"name": pa.string(), "word": pa.int32(), "words": pa.int32(), "start": pa.int32(), "end": pa.int32()}
+#: Matches that a task gathers before it hands them on (and all those of the text that it is in).
+GATHERED = 20_000
 
 
 def _search(names: list[str], longest: bool, spans: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = list(_KINDS.items())[: 5 if spans else 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(names)
-        for pdf in batches:
+        for batch in batches:
+            docs, texts = batch.column("doc_id"), batch.column("text")
+            at: list[int] = []
             out: list[tuple] = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*out) if out else [()] * len(kinds)
+                return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds))], ["doc_id", *(n for n, _ in kinds)])
+
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
                 hits = list(_hits(automaton, _normal(text))) if automaton is not None and text else []
+                before = len(out)
                 if not spans:
-                    out.extend((doc, name) for name in {name for _, _, own in hits for name in own})
+                    out.extend((name,) for name in {name for _, _, own in hits for name in own})
                 elif hits:
                     places = _places(text)
                     for word, k, own in _longest(hits) if longest else hits:
-                        out.extend((doc, name, word, k, places[word][0], places[word + k - 1][1]) for name in own)
-            yield pd.DataFrame(out, columns=["doc_id", "name", "word", "words", "start", "end"][: 6 if spans else 2])
+                        out.extend((name, word, k, places[word][0], places[word + k - 1][1]) for name in own)
+                at.extend([i] * (len(out) - before))
+                if len(out) >= GATHERED:
+                    yield made()
+                    at.clear()
+                    out.clear()
+            yield made()
 
     return run
 
@@ -182,12 +202,12 @@ def mention_spans(texts: DataFrame, names: DataFrame, longest: bool = True, most
     blocks = _blocks(names, most)
     kinds = _SPANS.format(texts.schema["doc_id"].dataType.simpleString())
     if len(blocks) <= 1:
-        return texts.select("doc_id", "text").mapInPandas(_search((blocks or [[]])[0], longest, True), kinds)
+        return texts.select("doc_id", "text").mapInArrow(_search((blocks or [[]])[0], longest, True), kinds)
     # matches of one text meet again; its own hash tells it from others of the same doc_id
     rows = texts.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("doc_id"), "text")
     found = None
     for block in blocks:
-        part = rows.mapInPandas(_search(block, False, True), _SPANS.format(rows.schema["doc_id"].dataType.simpleString()))
+        part = rows.mapInArrow(_search(block, False, True), _SPANS.format(rows.schema["doc_id"].dataType.simpleString()))
         found = part if found is None else found.unionByName(part)
     found = found.select("doc_id.*", *found.columns[1:])
     if not longest:
@@ -205,7 +225,7 @@ def mentions(texts: DataFrame, names: DataFrame, most: int = NAMES_BYTES) -> Dat
     kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, name string"
     found = None
     for block in _blocks(names, most) or [[]]:
-        part = texts.select("doc_id", "text").mapInPandas(_search(block, False, False), kinds)
+        part = texts.select("doc_id", "text").mapInArrow(_search(block, False, False), kinds)
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
